@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import chat, line_dedup, mixing, quality_rules
+from fieldweave.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_rules, rlz
 
 _QUERIES = (
     (line_dedup.op1_line_dedup, line_dedup.SQL),
     (mixing.op4_mixing, mixing.SQL),
+    (ngram_join.op5_ngram_join, ngram_join.SQL),
+    (bpe.op6_byte_bpe, None),
     (chat.op8_chat, chat.SQL),
     (quality_rules.op9_quality_rules, quality_rules.SQL),
+    (rlz.op10_substring_dedup, rlz.SQL),
 )
 
 
