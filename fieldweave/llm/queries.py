@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_rules, rlz
+from fieldweave.llm import ann, bpe, chat, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz
 
 _QUERIES = (
     (line_dedup.op1_line_dedup, line_dedup.SQL),
+    (ann.op2_additive_quantisation, None),
+    (quality_pu.op3_quality_classifier, None),
     (mixing.op4_mixing, mixing.SQL),
     (ngram_join.op5_ngram_join, ngram_join.SQL),
     (bpe.op6_byte_bpe, None),
+    (langid.op7_language_id, None),
     (chat.op8_chat, chat.SQL),
     (quality_rules.op9_quality_rules, quality_rules.SQL),
     (rlz.op10_substring_dedup, rlz.SQL),
