@@ -223,7 +223,7 @@ SELECT model_name, time, avg(value) AS value FROM c GROUP BY ALL""",
     Query("unstable_runs", "model_name:s time:t iy:i ix:i number:l depth:r base:r top:r", unstable_runs, "", f"WITH {RUNS}\nFINAL\nSELECT *, top - base AS depth FROM b"),
     Query(
         "layer_winds",
-        "model_name:s time:t iy:i ix:i wind_below:r directional_shear:r",
+        "model_name:s time:t iy:i ix:i wind_below:p directional_shear:p",
         layer_winds,
         "",
         f"""WITH {RUNS}, w AS (SELECT m.*, base, top, fmod(degrees(atan2(-u, -v)) + 360, 360) AS dir FROM m JOIN b USING (model_name, time, iy, ix)),
