@@ -70,8 +70,11 @@ def profile(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     """Languages in order of name and their profiles, from at most TEXTS texts of each that are not held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.withColumn("place", place).where(F.col("place") <= TEXTS).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
+    # First the best of each of 64 parts of a language, so one with most rows is not ordered in one task.
+    for by in (["lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= TEXTS)
+    picked = rows.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -110,12 +110,12 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 def fit(positives: np.ndarray, unlabelled: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Bin edges, weights and the class prior, from the statistics of both samples."""
-    edges = Bins.cut(unlabelled if len(unlabelled) else positives)
+    if len(positives) < 4 or len(unlabelled) < 4:
+        return [np.zeros(0)] * len(STATISTICS), np.zeros(len(STATISTICS) + 1), 0.5
+    edges = Bins.cut(unlabelled)
     bins = Bins(edges)
     size = int(bins.starts[-1])
     p, u = dense(bins.places(positives), size), dense(bins.places(unlabelled), size)
-    if len(p) < 4 or len(u) < 4:
-        return edges, np.zeros(size + 1), 0.5
     prior = class_prior(p, u)
 
     def gradient(w):
