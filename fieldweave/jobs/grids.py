@@ -125,6 +125,10 @@ def gaussian_perturbation(spark, sf_dir):
     return slabs.perturbation(adapters.slabs(spark, sf_dir), SLAB, 4)
 
 
+def smoothed_slabs(spark, sf_dir):
+    return tracking.smoothed(adapters.slabs(spark, sf_dir), SLAB)
+
+
 def power_spectrum(spark, sf_dir):
     return slabs.power_spectrum(adapters.slabs(spark, sf_dir), SLAB)
 
@@ -156,7 +160,8 @@ def age_of_air(spark, sf_dir):
     columns = months.where("lead < 8").select(
         "lead", "iy", "ix", F.array(q / 20, q / 10, q / 5).alias("us"), F.array(d * 40, d * 20, d * 10).alias("vs"), F.array(q * 0.001, d, -d).alias("ws"), F.array(*(F.lit(z) for z in (0.0, 1000.0, 2500.0))).alias("zs")
     )
-    return tracking.age_of_air(columns, 5, 8, 10_000.0, 10_000.0, 1.0, 1, 8)
+    places = columns.select("iy", "ix").distinct().withColumns({"lat": 50 + F.col("iy") * 0.1, "lon": F.col("ix") * 0.15})
+    return tracking.age_of_air(columns, tracking.grid_spacing(places), 5, 8, 1.0, 1, 8)
 
 
 LEVELS = """lv AS (SELECT realization, model_name, time, iy, ix, 100.0 * realization + 10.0 * realization * realization AS z, avg(value) AS value, avg(d) AS d, avg(x) AS x
@@ -301,5 +306,6 @@ SELECT model_name, time, point, place, value FROM field JOIN l USING (iy, ix)"""
     Query("similarity_map", "time:i iy:i ix:i value:r", similarity_map),
     Query("mean_similarity", "time:i value:r", mean_similarity),
     Query("feature_tracks", "frame:i feature:i track:s lifetime:i initiation:b", feature_tracks),
+    Query("smoothed_slabs", "time:i iy:i ix:i value:r", smoothed_slabs),
     Query("age_of_air", "lead:i iy:i ix:i age:r", age_of_air),
 ]

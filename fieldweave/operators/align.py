@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.operators.regrid import regrid_onto
+
 #: Variables on staggered grids, always regridded before a difference.
 STAGGERED = (
     "eastward_wind_at_10m",
@@ -44,6 +46,18 @@ def difference(fields: DataFrame, keys: list[str]) -> DataFrame:
     return paired(fields, keys).select(*keys, "model_name", (F.col("other") - F.col("base")).alias("value"))
 
 
+def regridded_difference(fields: DataFrame, base_axes: tuple[DataFrame, DataFrame], other_axes: tuple[DataFrame, DataFrame], keys: list[str], same_grid: bool = False) -> DataFrame:
+    """(keys, iy, ix, model_name, value) of fields with a variable: the base goes linearly onto the other grid first.
+
+    On the same grid only the STAGGERED variables do. ``keys`` without iy and ix; axes are (i, c) tables.
+    """
+    keep = ["is_base", "variable", *keys]
+    moved = F.col("is_base") & (F.col("variable").isin(*STAGGERED) if same_grid else F.lit(True))
+    base = regrid_onto(fields.where(moved), base_axes, other_axes, keep)
+    rest = fields.where(~moved).select(*keep, "model_name", "iy", "ix", "value")
+    return difference(base.unionByName(rest, allowMissingColumns=True), ["variable", *keys, "iy", "ix"])
+
+
 def pivoted_difference(fields: DataFrame, keys: list[str], other: str) -> DataFrame:
     """(keys, value) for one other model, in a single aggregation without a join."""
     of = lambda c: F.max(F.when(c, F.col("value")))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.operators import slabs
+from fieldweave.operators.regrid import haversine
 
 
 def features(cells: DataFrame, slab: list[str], threshold: float, under: bool = False, min_size: int = 4) -> DataFrame:
@@ -51,28 +52,52 @@ def track(found: DataFrame, series: list[str], overlap: float = 0.3) -> DataFram
     return state.select(*series, "frame", "feature", name.alias("track"), (F.col("frame") - F.col("root_frame") + 1).alias("lifetime"), (F.col("frame") == F.col("root_frame")).alias("initiation"))
 
 
-def age_of_air(winds: DataFrame, ny: int, nx: int, dx: float, dy: float, hours: float, level: int, steps: int, cyclic: bool = False) -> DataFrame:
-    """(lead, iy, ix, age): hours since air at ``level`` came into the domain, at most the hours since lead 0.
+def grid_spacing(places: DataFrame) -> DataFrame:
+    """(iy, ix, dx, dy) in metres from ``places`` (iy, ix, lat, lon): to the next cell, at the edge from the one before."""
+    along = lambda part, order: Window.partitionBy(part).orderBy(order)
+    near = lambda c, w: F.coalesce(F.lead(c).over(w), F.lag(c).over(w))
+    wx, wy = along("iy", "ix"), along("ix", "iy")
+    here = (F.col("lat"), F.col("lon"))
+    return places.select("iy", "ix", haversine(*here, near("lat", wx), near("lon", wx)).alias("dx"), haversine(*here, near("lat", wy), near("lon", wy)).alias("dy"))
+
+
+def smoothed(cells: DataFrame, slab: list[str], sigma: float = 2.0) -> DataFrame:
+    """(slab, iy, ix, value) smoothed by a Gaussian, edge values repeated: vertical winds, before air is followed."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return slabs.spread({k: pdf[k].iloc[0] for k in slab}, slabs.gaussian(slabs.dense(pdf), sigma, edge="nearest"))
+
+    return slabs.apply(cells.select(*slab, "iy", "ix", "value"), slab, run, "iy int, ix int, value double")
+
+
+def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: float, level: int, steps: int, cyclic: bool = False) -> DataFrame:
+    """(lead, iy, ix, age): whole steps, in hours, that air at ``level`` has been in the domain; all hours since lead 0 if it never came in.
 
     ``winds`` (lead, iy, ix, us, vs, ws, zs): a row a column and lead, with arrays over
-    levels of winds in m s-1 and heights in m. Air is followed back one lead a step: it
-    moves by minus the wind, takes the level nearest to its height, and its age is known
-    when it leaves the domain. Each step is one join of the seeds still under way with
-    the winds; a cyclic domain wraps in x.
+    levels of winds in m s-1 and heights in m; ``spacing`` as of ``grid_spacing``, that of
+    the seed's own cell counting all the way. Air is followed back one lead a step: it
+    moves by minus the wind, and takes the level whose height is nearest to the height of
+    its first step plus the present step's own rise. Each step is one join of the seeds
+    still under way with the winds, then a checkpoint; a cyclic domain wraps in x.
     """
     seconds = hours * 3600
-    seeds = winds.where(F.col("lead") >= 1).select(F.col("lead").alias("seed_lead"), F.col("iy").alias("seed_iy"), F.col("ix").alias("seed_ix"), "lead", F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x"), F.lit(level).alias("k"))
+    seeds = winds.where(F.col("lead") >= 1).select("lead", "iy", "ix").join(spacing, ["iy", "ix"])
+    seeds = seeds.select(
+        F.col("lead").alias("seed_lead"), F.col("iy").alias("seed_iy"), F.col("ix").alias("seed_ix"), "lead", F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x"), F.lit(level).alias("k"), F.lit(None).cast("double").alias("first"), "dx", "dy"
+    )
     done, keys = None, ["lead", "iy", "ix"]
-    for step in range(1, steps + 1):
+    for step in range(steps):
         here = seeds.withColumns({"iy": F.floor("y").cast("int"), "ix": F.floor("x").cast("int")}).join(winds, keys)
         at = lambda c: F.get(c, F.col("k"))
-        y, x = F.col("y") - at("vs") * seconds / dy, F.col("x") - at("us") * seconds / dx
+        y, x = F.col("y") - at("vs") * seconds / F.col("dy"), F.col("x") - at("us") * seconds / F.col("dx")
         x = F.pmod(x, F.lit(float(nx))) if cyclic else x
-        gaps = F.transform("zs", lambda z: F.abs(z - F.col("z")))
-        here = here.withColumns({"y": y, "x": x, "z": at("zs") - at("ws") * seconds}).withColumn("k", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
+        moved = F.coalesce("first", at("zs")) - at("ws") * seconds
+        here = here.withColumns({"y": y, "x": x, "moved": moved, "first": F.coalesce("first", moved)})
+        gaps = F.transform("zs", lambda z: F.abs(z - F.col("moved")))
+        here = here.withColumn("k", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
         out = (F.col("y") < 0) | (F.col("y") >= ny) | (F.col("x") < 0) | (F.col("x") >= nx)
-        here = here.select("seed_lead", "seed_iy", "seed_ix", (F.col("lead") - 1).alias("lead"), "y", "x", "k", out.alias("out")).checkpoint()
-        ended = here.where(F.col("out") | (F.col("lead") == 0)).select("seed_lead", "seed_iy", "seed_ix", F.when(F.col("out"), step * F.lit(hours)).otherwise(F.col("seed_lead") * F.lit(hours)).alias("age"))
+        here = here.select("seed_lead", "seed_iy", "seed_ix", (F.col("lead") - 1).alias("lead"), "y", "x", "k", "first", "dx", "dy", out.alias("out")).checkpoint()
+        ended = here.where(F.col("out") | (F.col("lead") == 0)).select("seed_lead", "seed_iy", "seed_ix", F.when(F.col("out"), F.lit(step * hours)).otherwise(F.col("seed_lead") * F.lit(hours)).alias("age"))
         done = ended if done is None else done.union(ended)
         seeds = here.where(~F.col("out") & (F.col("lead") > 0)).drop("out")
     return done.select(F.col("seed_lead").alias("lead"), F.col("seed_iy").alias("iy"), F.col("seed_ix").alias("ix"), "age")

@@ -115,3 +115,19 @@ def rain_rate(depths: DataFrame, series: list[str]) -> DataFrame:
     lasted = depths.select(*series, "time", "value", F.coalesce(bounds, step, back).alias("__s"))
     bad = F.raise_error(F.lit("a rain depth needs a positive duration")).cast("double")
     return lasted.select(*series, "time", F.when(F.col("__s") > 0, F.col("value") / F.col("__s")).otherwise(bad).alias("value"))
+
+
+RAIN = ("rainfall", "precipitation")
+
+
+def rainfall_to_rate(field: DataFrame, series: list[str]) -> DataFrame:
+    """``field`` (series, variable, units, time, value) with depths of rain as rates; rates and other variables pass.
+
+    Depths are rows of a rain variable in mm, cm, m or kg m-2. A variable has one unit.
+    """
+    scale = F.when(F.col("units").isin("mm", "kg m-2"), 1.0).when(F.col("units") == "cm", 10.0).when(F.col("units") == "m", 1000.0)
+    rain = F.coalesce(F.col("variable").rlike("|".join(RAIN)), F.lit(False)) & scale.isNotNull()
+    bounds = [c for c in ("time_lower", "time_upper") if c in field.columns]
+    depth = field.where(rain).select(*series, "variable", "time", *bounds, (F.col("value") * scale).alias("value"))
+    rates = rain_rate(depth, [*series, "variable"]).withColumn("units", F.lit("kg m-2 s-1"))
+    return field.where(~rain).select(*series, "variable", "units", "time", "value").unionByName(rates)

@@ -35,6 +35,34 @@ def one_field(fields: DataFrame) -> DataFrame:
     return fields
 
 
+def select_fields(fields: DataFrame, *conditions: Column) -> DataFrame:
+    """Rows that meet any of ``conditions``; an error without a condition, or if nothing is left."""
+    if not conditions:
+        raise ValueError("no condition")
+    found = fields.where(reduce(lambda a, b: a | b, conditions))
+    if found.isEmpty():
+        raise ValueError("no field meets a condition")
+    return found
+
+
+def rename(fields: DataFrame, name: str) -> DataFrame:
+    return fields.withColumn("variable", F.lit(name))
+
+
+def remove_attributes(fields: DataFrame, names: list[str]) -> DataFrame:
+    """Without the attributes ``names``, or those it has of them."""
+    return fields.withColumn("attributes", F.map_filter("attributes", lambda k, v: ~k.isin(*names)))
+
+
+def remove_constant_columns(fields: DataFrame, names: list[str]) -> DataFrame:
+    """Without those of the columns ``names`` that hold one value throughout: one aggregation finds them."""
+    names = [n for n in names if n in fields.columns]
+    if not names:
+        return fields
+    many = fields.agg(*((F.count_distinct(n) + F.max(F.col(n).isNull().cast("int"))).alias(n) for n in names)).first()
+    return fields.drop(*(n for n in names if (many[n] or 0) <= 1))
+
+
 def combine(*fields: DataFrame) -> DataFrame:
     """All rows of ``fields``; a column that one lacks is null there."""
     if not all(isinstance(f, DataFrame) for f in fields):

@@ -256,12 +256,50 @@ def test_connected_areas_join_round_corners():
 def test_age_of_air_in_a_steady_wind(spark):
     rows = [(t, y, x, [3.0], [0.0], [0.0], [0.0]) for t in range(4) for y in range(2) for x in range(5)]
     winds = frame(spark, rows, "lead int, iy int, ix int, us array<double>, vs array<double>, ws array<double>, zs array<double>")
-    found = {(r.lead, r.ix): r.age for r in tracking.age_of_air(winds, 2, 5, 3 * 3600.0, 1e9, 1.0, 0, 3).where("iy = 0").collect()}
-    assert found[(3, 0)] == 1.0 and found[(3, 1)] == 2.0 and found[(3, 4)] == 3.0 and found[(1, 4)] == 1.0
-    around = tracking.age_of_air(winds, 2, 5, 3 * 3600.0, 1e9, 1.0, 0, 3, cyclic=True)
+    spacing = frame(spark, [(y, x, 3 * 3600.0, 1e9) for y in range(2) for x in range(5)], "iy int, ix int, dx double, dy double")
+    found = {(r.lead, r.ix): r.age for r in tracking.age_of_air(winds, spacing, 2, 5, 1.0, 0, 3).where("iy = 0").collect()}
+    assert found[(3, 0)] == 0.0 and found[(3, 1)] == 1.0 and found[(3, 4)] == 3.0 and found[(1, 4)] == 1.0
+    around = tracking.age_of_air(winds, spacing, 2, 5, 1.0, 0, 3, cyclic=True)
     assert {(r.lead, r.age) for r in around.collect()} == {(1, 1.0), (2, 2.0), (3, 3.0)}
 
 
+def test_grid_spacing_looks_back_at_the_edge(spark):
+    places = frame(spark, [(y, x, float(y), float(x)) for y in range(2) for x in range(3)], "iy int, ix int, lat double, lon double")
+    found = {(r.iy, r.ix): (r.dx, r.dy) for r in tracking.grid_spacing(places).collect()}
+    degree = 6_378_000 * np.pi / 180
+    assert found[(0, 2)] == pytest.approx((degree, degree)) and found[(1, 0)][0] < degree
+
+
+def test_difference_on_another_grid(spark):
+    rows = [("a", True, "v", y, x, float(10 * x)) for y in range(2) for x in range(3)] + [("b", False, "v", y, x, float(5 * x + 1)) for y in range(2) for x in range(5)]
+    fields = frame(spark, rows, "model_name string, is_base boolean, variable string, iy int, ix int, value double")
+    y = axis(spark, range(2))
+    found = align.regridded_difference(fields, (y, axis(spark, [0, 2, 4])), (y, axis(spark, range(5))), [])
+    assert found.count() == 10 and {r.value for r in found.collect()} == {1.0}
+    same = align.regridded_difference(fields.where("ix < 3"), (y, axis(spark, range(3))), (y, axis(spark, range(3))), [], same_grid=True)
+    assert same.count() == 6 and {r.value for r in same.collect()} == {1.0, -4.0, -9.0}
+
+
+def test_rain_depths_become_rates_and_others_pass(spark):
+    rows = [("rainfall_amount", "cm", T + timedelta(hours=h), 0.36) for h in range(2)] + [("rainfall_rate", "kg m-2 s-1", T, 5.0), ("air_temperature", "m", T, 1.0)]
+    found = vertical.rainfall_to_rate(frame(spark, rows, "variable string, units string, time timestamp, value double").withColumn("k", F.lit(1)), ["k"])
+    assert sorted((r.variable, r.units, round(r.value, 9)) for r in found.collect()) == [
+        ("air_temperature", "m", 1.0), ("rainfall_amount", "kg m-2 s-1", 0.001), ("rainfall_amount", "kg m-2 s-1", 0.001), ("rainfall_rate", "kg m-2 s-1", 5.0)
+    ]
+
+
+def test_metadata_projections(spark):
+    fields = frame(spark, [("v", {"a": "1", "b": "2"}, 1, 1.0), ("v", {"b": "2"}, 1, 2.0)], "variable string, attributes map<string,string>, height int, value double")
+    assert io.rename(fields, "w").first().variable == "w"
+    assert io.remove_attributes(fields, ["a", "zz"]).first().attributes == {"b": "2"}
+    assert io.remove_constant_columns(fields, ["height", "value", "zz"]).columns == ["variable", "attributes", "value"]
+    assert io.select_fields(fields, F.col("value") > 1, F.col("value") > 5).count() == 1
+    with pytest.raises(ValueError):
+        io.select_fields(fields)
+    with pytest.raises(ValueError):
+        io.select_fields(fields, F.col("value") > 5)
+
+
 def test_observations_in_a_window(spark):
     forecasts = frame(spark, [(1, T, 1.0)], "station int, time timestamp, value double")
     reports = frame(spark, [(1, T + timedelta(seconds=s), float(s)) for s in (-1801, -1800, 0, 1800, 1801)], "station int, time timestamp, value double")
