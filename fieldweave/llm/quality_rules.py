@@ -17,6 +17,7 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 LINE_DOCS, LINE_PART = 10, 0.05
 #: A document is depleted that loses more than this part of its words.
 DEPLETED = 0.5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def let(value, body):
@@ -52,12 +53,20 @@ def base_rules(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
+    dups = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     found = let(
         words,
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            dups.alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        ),
     )
-    counted = with_columns(docs, __w=found, n_symbols=F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"), n_dup_lines=let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
-    counted = with_columns(counted, n_words=F.col("__w.n_words"), word_chars=F.col("__w.word_chars"), n_repeat_words=F.col("__w.n_repeat_words")).drop("__w")
+    # As a generated row the counts are made once, whatever later filters and columns use them.
+    plain = docs.drop(*COUNTS, "base_failed")
+    counted = plain.select("*", F.inline(F.array(found)))
     return with_columns(counted, base_failed=(F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
@@ -111,9 +120,6 @@ def clean(ruled: DataFrame) -> DataFrame:
     return ruled.where("kept").select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in ruled.columns))
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return quality_rules(docs).select("doc_id", *COUNTS, "base_failed", "kept")
