@@ -100,7 +100,7 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
 
     w = descend(p.shape[1], gradient)
     at_p, at_u = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
-    cuts = np.quantile(at_p, np.linspace(0, 0.9, 91))
+    cuts = np.quantile(at_p, np.linspace(0, 0.5, 51))
     share = lambda at: 1 - np.searchsorted(at, cuts, side="left") / len(at)
     in_p, in_u = share(at_p), share(at_u)
     # A margin of one standard error keeps chance in small regions from pulling the estimate down.
