@@ -9,6 +9,7 @@ UTF-8 bytes that is what ``bytes.split()`` and ``bytes.strip()`` use, and
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -22,6 +23,21 @@ STRIP = " \t\n\x0b\x0c\r"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and read it from there.
+
+    A checkpoint keeps Spark's estimate of its size, a product over all joins before it;
+    over rounds of joins the numbers themselves grow too long to plan with. A table has
+    the size of its files. For narrow tables of such rounds.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it from there.
 

@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut, gram_hashes, mix, with_columns, word_hashes
+from fieldweave.llm.common import cut, gram_hashes, mix, stored, word_hashes
 
 N, PERCENT = 5, 80
 ORDERS = 3
-#: n-grams in this part of the documents, and in so many, go last in every order; at most so many are told apart.
-COMMON_PART, COMMON_DOCS, COMMON_MOST = 0.0005, 16, 1_000_000
-GROUP, HUBS = 64, 4
+#: Common n-grams that are told apart, at most.
+COMMON_MOST = 1_000_000
+#: Nodes of a prefix n-gram that are all paired; hubs of a larger group, and turns until all of the rest are.
+GROUP, HUBS, TURNS = 8, 3, 3
 #: Bytes of an n-gram's hash that are stored to compare sets.
 STORED = 5
 #: Nodes up to which their list is broadcast (8 bytes each); beyond it is joined.
@@ -84,33 +85,11 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, grams binary")
 
 
-def common_grams(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The common n-grams and their numbers of documents, which make the orders.
-
-    Each batch reports the n-grams in COMMON_PART of its documents. A document of g
-    n-grams has room for g / COMMON_PART such n-grams a corpus, so the list stays small
-    whatever the corpus; only the COMMON_MOST most frequent are told apart. Any order
-    gives the same links, so a report that misses some changes the work only.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                grams, counts = np.unique(unpacked(b"".join(batch.column("grams").to_pylist())), return_counts=True)
-                often = counts >= max(4, COMMON_PART * batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "docs"])
-
-    docs = sets.count()
-    found = sets.select("grams").mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    rows = found.where(F.col("docs") >= max(COMMON_DOCS, COMMON_PART * docs / 2)).orderBy(F.desc("docs"), "gram").limit(COMMON_MOST).toPandas()
-    return rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["docs"].to_numpy(np.int64)
-
-
-def postings(sets: DataFrame, orders, percent: int) -> DataFrame:
-    """(gram, node, size, group): prefix n-grams of the first order that two nodes or more share."""
+def prefix_rows(sets: DataFrame, orders, percent: int) -> DataFrame:
+    """(gram, node, size): each node's prefix under the first order; ``orders`` None sorts by the hash alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Orders(*orders.value)
+        by = Orders(*(orders.value if orders else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
         for batch in batches:
             node = batch.column("node").to_numpy()
             first = np.unique(node, return_index=True)[1]
@@ -121,8 +100,24 @@ def postings(sets: DataFrame, orders, percent: int) -> DataFrame:
                 columns = [np.concatenate(prefixes).astype(np.int64), np.repeat(node[first], counts), np.repeat([len(g) for g in grams], counts).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "size"])
 
-    found = sets.where("node IS NOT NULL").select("node", "grams").mapInArrow(run, "gram long, node long, size int")
-    dealt = found.repartition("gram").dropDuplicates(["gram", "node"])
+    return sets.where("node IS NOT NULL").select("node", "grams").mapInArrow(run, "gram long, node long, size int")
+
+
+def common_grams(sets: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams in the hash prefixes of more than GROUP documents, with those numbers, which make the orders.
+
+    Put last, they leave the prefixes of all documents that have enough rarer n-grams.
+    Any order gives the same links, so that only the COMMON_MOST most frequent are told
+    apart (16 bytes each, to every task) changes the work, not the result.
+    """
+    counts = prefix_rows(sets, None, percent).groupBy("gram").agg(F.count("*").alias("docs")).where(F.col("docs") > GROUP)
+    rows = counts.orderBy(F.desc("docs"), "gram").limit(COMMON_MOST).toPandas()
+    return rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["docs"].to_numpy(np.int64)
+
+
+def postings(sets: DataFrame, orders, percent: int) -> DataFrame:
+    """(gram, node, size, group): prefix n-grams of the first order that two nodes or more share."""
+    dealt = prefix_rows(sets, orders, percent).repartition("gram").dropDuplicates(["gram", "node"])
     return cut(dealt.withColumn("group", F.count("*").over(Window.partitionBy("gram"))).where(F.col("group") > 1))
 
 
@@ -140,73 +135,95 @@ def pairs_of(left: DataFrame, right: DataFrame, percent: int, *conditions) -> Da
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def node_sets(sets: DataFrame, pairs: DataFrame, orders, percent: int) -> DataFrame:
-    """(node, prefixes, heads, grams) of the nodes in ``pairs``.
+def narrowed(pairs: DataFrame, sets: DataFrame, reps: DataFrame, orders, build, read, check) -> DataFrame:
+    """The pairs (a, b) of which ``check`` holds, given what ``build`` makes of each node's n-grams (a list of binaries).
+
+    ``read`` turns that into what ``check`` compares; pairs of one b come together, so b is read once.
 
-    prefixes: the 2-byte tails of each further order's prefix, one after another; heads:
-    2-byte tails of all n-grams. Tails that differ come from n-grams that differ.
+    A node's n-grams come from the row of its least doc_id, found by a join with the
+    list of nodes in ``pairs``; only what ``build`` makes of them is shuffled.
     """
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select(F.col("node").alias("__n"), F.col("own").alias("__d")))
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Orders(*orders.value)
         for batch in batches:
-            grams = [unpacked(raw) for raw in batch.column("grams").to_pylist()]
-            tails = [[by.prefix(g, o, percent).astype(np.uint16).tobytes() for o in range(1, ORDERS)] for g in grams]
-            columns = [batch.column("node"), pa.array(tails, pa.list_(pa.binary())), pa.array([g.astype(np.uint16).tobytes() for g in grams], pa.binary()), batch.column("grams")]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "prefixes", "tails", "grams"])
+            made = [build(by, unpacked(raw)) for raw in batch.column("grams").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.binary()))], ["node", "made"])
 
-    own = sets.join(nodes, "node", "left_semi").select("node", "grams").dropDuplicates(["node"])
-    return cut(own.mapInArrow(run, "node long, prefixes array<binary>, tails binary, grams binary"))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            found = []
+            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "ma", "mb")), strict=True):
+                if b != last:
+                    last, held = b, read(y)
+                found.append(check(read(x), held))
+            good = pa.array(found, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
+    rows = sets.join(nodes, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "grams")
+    made = cut(rows.mapInArrow(make, "node long, made array<binary>"))
+    side = lambda s: made.select(F.col("node").alias(s), F.col("made").alias(f"m{s}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(keep, "a long, b long").distinct())
 
-def passes(percent: int):
-    """Keeps pairs that share a prefix n-gram under each further order, and whose tails leave room for the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for pa_, pb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "ta", "tb")), strict=True):
-                ok = all(not set(memoryview(x).cast("H")).isdisjoint(memoryview(y).cast("H")) for x, y in zip(pa_, pb, strict=True))
-                if ok:
-                    va, ca = np.unique(np.frombuffer(ta, np.uint16), return_counts=True)
-                    vb, cb = np.unique(np.frombuffer(tb, np.uint16), return_counts=True)
-                    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-                    most = int(np.minimum(ca[ia], cb[ib]).sum())
-                    ok = 100 * most >= percent * ((len(ta) + len(tb)) // 2 - most)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
-
-    return run
-
-
-def similar(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for ga, gb in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-                common = len(np.intersect1d(unpacked(ga), unpacked(gb), assume_unique=True))
-                keep.append(100 * common >= percent * ((len(ga) + len(gb)) // STORED - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+def tails(grams: np.ndarray) -> bytes:
+    return grams.astype(np.uint16).tobytes()
+
+
+def tail_set(raw: bytes) -> set[int]:
+    return set(memoryview(raw).cast("H"))
+
+
+def prefix_filter(percent: int):
+    """Two nodes must share a prefix n-gram under each further order; told by 2-byte tails, as n-grams of different tails differ."""
+
+    def build(by: Orders, grams: np.ndarray) -> list[bytes]:
+        return [tails(by.prefix(grams, o, percent)) for o in range(1, ORDERS)]
+
+    def check(x: list[set], y: list[set]) -> bool:
+        return all(not p.isdisjoint(q) for p, q in zip(x, y, strict=True))
+
+    return build, lambda made: [tail_set(m) for m in made], check
 
-    return run
 
+def room_filter(percent: int):
+    """The n-grams' tails in common must leave room for the similarity.
 
-def verified(pairs: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    pairs = cut(pairs)
-    own = node_sets(sets, pairs, orders, percent)
-    side = lambda p, s, t: own.select(F.col("node").alias(s), F.col(p).alias(t))
-    filters = lambda s: own.select(F.col("node").alias(s), F.col("prefixes").alias(f"p{s}"), F.col("tails").alias(f"t{s}"))
-    left = cut(pairs.join(filters("a"), "a").join(filters("b"), "b").select("a", "b", "pa", "pb", "ta", "tb").mapInArrow(passes(percent), "a long, b long"))
-    both = left.join(side("grams", "a", "ga"), "a").join(side("grams", "b", "gb"), "b")
-    return cut(both.select("a", "b", "ga", "gb").mapInArrow(similar(percent), "a long, b long"))
+    Each tail in common stands for one n-gram in common at most, but for n-grams of one
+    set that share a tail; the fewer of those in either set are added.
+    """
+
+    def read(made: list[bytes]) -> tuple[set, int]:
+        return tail_set(made[0]), len(made[0]) // 2
+
+    def check(x: tuple[set, int], y: tuple[set, int]) -> bool:
+        most = len(x[0] & y[0]) + min(x[1] - len(x[0]), y[1] - len(y[0]))
+        return 100 * most >= percent * (x[1] + y[1] - most)
+
+    return (lambda by, grams: [tails(grams)]), read, check
+
+
+def similarity(percent: int):
+    def check(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    return (lambda by, grams: [grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :STORED].tobytes()]), (lambda made: unpacked(made[0])), check
+
+
+def verified(pairs: DataFrame, sets: DataFrame, reps: DataFrame, orders, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; each step ships more of a set, for fewer pairs."""
+    for step in (prefix_filter, room_filter, similarity):
+        pairs = narrowed(pairs, sets, reps, orders, *step(percent))
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``links`` (a, b) reaches, by alternating large and small stars."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -214,30 +231,37 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = cut(small.where("u <> v").distinct())
+        edges = stored(small.where("u <> v").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = now
 
 
-def links_between(sets: DataFrame, percent: int) -> DataFrame:
+def links_between(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes: all of them, but for those inside a component that other links hold together."""
-    orders = sets.sparkSession.sparkContext.broadcast(common_grams(sets))
+    orders = sets.sparkSession.sparkContext.broadcast(common_grams(sets, percent))
     found = postings(sets, orders, percent)
     small, large = found.where(F.col("group") <= GROUP), found.where(F.col("group") > GROUP)
-    place = F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("node", "gram"), "node"))
-    hubs = large.withColumn("place", place).where(F.col("place") <= HUBS).drop("place")
-    first = cut(pairs_of(small, small, percent, F.col("x.node") < F.col("y.node")).union(pairs_of(large, hubs, percent)).distinct())
-    links = verified(first, sets, orders, percent)
+
+    def hubs(turn: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("node", "gram", F.lit(turn)), "node"))
+        return large.withColumn("place", place).where(F.col("place") <= HUBS).drop("place")
+
+    tried = stored(pairs_of(small, small, percent, F.col("x.node") < F.col("y.node")).union(pairs_of(large, hubs(0), percent)).distinct())
+    links = verified(tried, sets, reps, orders, percent)
     if large.isEmpty():
         return links
-    labels = components(links)
-    labelled = cut(large.join(labels, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("component")))
-    main = labelled.groupBy("gram", "component").count().groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    outside = labelled.join(main, "gram").where("component <> main").drop("main")
-    rest = pairs_of(outside, labelled, percent, F.col("x.component") != F.col("y.component")).join(first, ["a", "b"], "left_anti")
-    return links.union(verified(rest, sets, orders, percent))
+    for turn in range(1, TURNS + 1):
+        labels = components(links)
+        labelled = cut(large.join(labels, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("component")))
+        main = labelled.groupBy("gram", "component").count().groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        outside = labelled.join(main, "gram").where("component <> main").drop("main")
+        # Nodes outside their group's largest component meet other hubs, and at last all of the group.
+        others = labelled if turn == TURNS else hubs(turn).join(labels, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("component"))
+        rest = stored(pairs_of(outside, others, percent, F.col("x.component") != F.col("y.component")).join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.union(verified(rest, sets, reps, orders, percent)), tried.union(rest)
+    return links
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -253,8 +277,8 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     gives an empty table. Sets are compared by hashes: nodes by 64 bits, n-grams by 40.
     """
     sets = cut(gram_sets(docs, n))
-    names = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own"))
-    labels = components(links_between(sets, percent))
+    names = cut(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")))
+    labels = components(links_between(sets, names, percent))
     labels = labels.union(labels.select("component", "component")).distinct()
     named = labels.join(names, "node")
     least = named.groupBy("component").agg(F.min("own").alias("least"))
