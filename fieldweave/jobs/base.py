@@ -20,6 +20,8 @@ VIEWS = {
     "hourly": "SELECT variable, date_trunc('hour', time) AS time, avg(value) AS value FROM obs GROUP BY ALL",
     "slab": """SELECT label AS time, iy, (i - 1)::INT AS ix, embedding[i]::DOUBLE AS value FROM (
         SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS iy FROM embeddings) , range(1, 65) AS r(i) WHERE iy < 40""",
+    "slabs": """SELECT label AS time, (n // 40)::INT AS part, (n % 40)::INT AS iy, (i - 1)::INT AS ix, embedding[i]::DOUBLE AS value FROM (
+        SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), range(1, 65) AS r(i)""",
 }
 NEEDS = {"member": ("ln",), "field": ("ln",), "cases": ("ln",), "hourly": ("obs",)}
 TIME = ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S")

@@ -114,10 +114,14 @@ def rotated_poles(spark, sf_dir):
     return turned.withColumns({"back_lat": back_lat, "back_lon": back_lon, "metres": regrid.haversine(F.col("lat"), F.col("lon"), F.lit(51.5), F.lit(0.0))})
 
 
-SLAB = ["time"]
+SLAB = ["time", "part"]
 
 
 def box_perturbation(spark, sf_dir):
+    return slabs.perturbation(adapters.first_slabs(spark, sf_dir), ["time"], 3, gauss=False)
+
+
+def box_perturbation_all(spark, sf_dir):
     return slabs.perturbation(adapters.slabs(spark, sf_dir), SLAB, 3, gauss=False)
 
 
@@ -130,13 +134,17 @@ def smoothed_slabs(spark, sf_dir):
 
 
 def power_spectrum(spark, sf_dir):
+    return slabs.power_spectrum(adapters.first_slabs(spark, sf_dir), ["time"])
+
+
+def power_spectrum_all(spark, sf_dir):
     return slabs.power_spectrum(adapters.slabs(spark, sf_dir), SLAB)
 
 
 def slab_pairs(spark, sf_dir):
     cells = adapters.slabs(spark, sf_dir)
-    other = cells.select((F.col("time") - 1).alias("time"), "iy", "ix", F.col("value").alias("other"))
-    return cells.withColumnRenamed("value", "base").join(other, ["time", "iy", "ix"])
+    other = cells.select((F.col("time") - 1).alias("time"), "part", "iy", "ix", F.col("value").alias("other"))
+    return cells.withColumnRenamed("value", "base").join(other, [*SLAB, "iy", "ix"])
 
 
 def similarity_map(spark, sf_dir):
@@ -148,7 +156,7 @@ def mean_similarity(spark, sf_dir):
 
 
 def feature_tracks(spark, sf_dir):
-    cells = adapters.slabs(spark, sf_dir).select(F.lit(0).alias("series"), F.col("time").alias("frame"), "iy", "ix", "value")
+    cells = adapters.slabs(spark, sf_dir).select(F.col("part").alias("series"), F.col("time").alias("frame"), "iy", "ix", "value")
     found = tracking.features(cells, ["series", "frame"], 0.05)
     return tracking.track(found, ["series"])
 
@@ -197,6 +205,11 @@ BOX = """WITH size AS (SELECT time, max(iy) AS y1 FROM slab GROUP BY ALL), near
 FROM slab s JOIN size USING (time), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
 FINAL
 SELECT n.time, n.iy, n.ix, n.value - sum(s.value) / 9 AS value FROM near n JOIN slab s ON s.time = n.time AND s.iy = n.jy AND s.ix = n.jx GROUP BY n.time, n.iy, n.ix, n.value"""
+SPECTRUM_ALL = SPECTRUM.replace("slab", "slabs").replace("time", "time, part")
+BOX_ALL = """WITH size AS (SELECT time, part, max(iy) AS y1 FROM slabs GROUP BY ALL), near AS (SELECT s.time, s.part, s.iy, s.ix, s.value, least(greatest(s.iy + dy, 0), y1) AS jy, least(greatest(s.ix + dx, 0), 63) AS jx
+FROM slabs s JOIN size USING (time, part), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
+FINAL
+SELECT n.time, n.part, n.iy, n.ix, n.value - sum(s.value) / 9 AS value FROM near n JOIN slabs s ON s.time = n.time AND s.part = n.part AND s.iy = n.jy AND s.ix = n.jx GROUP BY n.time, n.part, n.iy, n.ix, n.value"""
 
 QUERIES = [
     Query(
@@ -301,11 +314,13 @@ SELECT model_name, time, point, place, value FROM field JOIN l USING (iy, ix)"""
     ),
     Query("rotated_poles", "s_suppkey:l rlat:r rlon:r back_lat:r back_lon:r metres:r", rotated_poles, "", ROTATED),
     Query("box_perturbation", "time:i iy:i ix:i value:r", box_perturbation, "slab", BOX),
-    Query("gaussian_perturbation", "time:i iy:i ix:i value:r", gaussian_perturbation),
+    Query("box_perturbation_all", "time:i part:i iy:i ix:i value:r", box_perturbation_all, "slabs", BOX_ALL),
+    Query("gaussian_perturbation", "time:i part:i iy:i ix:i value:r", gaussian_perturbation),
     Query("power_spectrum", "time:i k:i value:r", power_spectrum, "slab", SPECTRUM),
-    Query("similarity_map", "time:i iy:i ix:i value:r", similarity_map),
-    Query("mean_similarity", "time:i value:r", mean_similarity),
-    Query("feature_tracks", "frame:i feature:i track:s lifetime:i initiation:b", feature_tracks),
-    Query("smoothed_slabs", "time:i iy:i ix:i value:r", smoothed_slabs),
+    Query("power_spectrum_all", "time:i part:i k:i value:r", power_spectrum_all, "slabs", SPECTRUM_ALL),
+    Query("similarity_map", "time:i part:i iy:i ix:i value:r", similarity_map),
+    Query("mean_similarity", "time:i part:i value:r", mean_similarity),
+    Query("feature_tracks", "series:i frame:i feature:i track:s lifetime:i initiation:b", feature_tracks),
+    Query("smoothed_slabs", "time:i part:i iy:i ix:i value:r", smoothed_slabs),
     Query("age_of_air", "lead:i iy:i ix:i age:r", age_of_air),
 ]

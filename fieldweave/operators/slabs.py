@@ -100,14 +100,15 @@ def power_spectrum(cells: DataFrame, slab: list[str]) -> DataFrame:
     """(slab, k, value): mean variance over rings of wavenumbers; a ring without any is 0.
 
     Ring k of 1 .. min(ny, nx) - 1 holds pairs, counted from 1, whose distance
-    sqrt((ky / ny)^2 + (kx / nx)^2) is from k / (that number) to before the next.
+    sqrt((ky / ny)^2 + (kx / nx)^2) is from k / (that number) to before the next. A slice
+    of a single row or column has no ring.
     """
     each = spectral_variance(cells, slab)
     rings = F.least("ny", "nx") - 1
     y, x = (F.col("ky") + 1) / F.col("ny"), (F.col("kx") + 1) / F.col("nx")
     ring = F.floor(F.sqrt(y * y + x * x) * rings + 1e-12)
     means = each.withColumn("k", ring.cast("int")).where((F.col("k") >= 1) & (F.col("k") <= rings)).groupBy(*slab, "k").agg(F.avg("value").alias("value"))
-    every = each.select(*slab, "ny", "nx").distinct().select(*slab, F.explode(F.sequence(F.lit(1), rings.cast("int"))).alias("k"))
+    every = each.select(*slab, "ny", "nx").distinct().where(rings >= 1).select(*slab, F.explode(F.sequence(F.lit(1), rings.cast("int"))).alias("k"))
     return every.join(means, [*slab, "k"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -134,7 +135,8 @@ def similarity(pairs: DataFrame, slab: list[str], sigma: float = 1.5) -> DataFra
 
 
 def mean_similarity(pairs: DataFrame, slab: list[str], sigma: float = 1.5) -> DataFrame:
-    return similarity(pairs, slab, sigma).where("inside").groupBy(*slab).agg(F.avg("value").alias("value"))
+    """(slab, value): the mean of the map off the border; null for a slice that is all border."""
+    return similarity(pairs, slab, sigma).groupBy(*slab).agg(F.avg(F.when(F.col("inside"), F.col("value"))).alias("value"))
 
 
 def connected_areas(inside: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL = ("realization", "time", "iy", "ix")
+#: Vectors of one field of ``slabs``.
+ROWS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +74,19 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of 64 columns, one a label: iy counts the label's vectors, ix is the place in the vector.
+    """Fields of 64 columns, ROWS vectors each: part numbers a label's fields, iy the vectors of one, ix is the place in the vector.
 
     A label's row number comes from an ordered window over ids alone, so no task sorts vectors.
+    The last field of a label has the vectors that are left.
     """
     from pyspark.sql import Window
 
     vectors = table(spark, sf_dir, "embeddings")
-    rows = vectors.select("vec_id", "label").withColumn("iy", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("iy < 40").drop("label")
-    return vectors.join(rows, "vec_id").select(F.col("label").alias("time"), "iy", F.posexplode("embedding").alias("ix", "value")).withColumn("value", F.col("value").cast("double"))
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = vectors.select("vec_id", n.alias("n")).select("vec_id", F.floor(F.col("n") / ROWS).cast("int").alias("part"), (F.col("n") % ROWS).cast("int").alias("iy"))
+    return vectors.join(rows, "vec_id").select(F.col("label").alias("time"), "part", "iy", F.posexplode("embedding").alias("ix", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+def first_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only each label's first field of ``slabs``: what the SQL view slab has."""
+    return slabs(spark, sf_dir).where("part = 0").drop("part")
