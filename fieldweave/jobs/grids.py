@@ -165,11 +165,11 @@ def age_of_air(spark, sf_dir):
     """Leads, columns and three levels of the base's monthly fields; winds from its values."""
     months = adapters.lines(spark, sf_dir).where("is_base").groupBy((F.year("time") * 12 + F.month("time") - 1995 * 12 - 1).alias("lead"), "iy", "ix").agg(F.avg("value").alias("q"), F.avg("l_discount").alias("d"))
     q, d = F.col("q") - 25, F.col("d") - 0.05
-    columns = months.where("lead < 8").select(
+    columns = months.select(
         "lead", "iy", "ix", F.array(q / 20, q / 10, q / 5).alias("us"), F.array(d * 40, d * 20, d * 10).alias("vs"), F.array(q * 0.001, d, -d).alias("ws"), F.array(*(F.lit(z) for z in (0.0, 1000.0, 2500.0))).alias("zs")
     )
     places = columns.select("iy", "ix").distinct().withColumns({"lat": 50 + F.col("iy") * 0.1, "lon": F.col("ix") * 0.15})
-    return tracking.age_of_air(columns, tracking.grid_spacing(places), 5, 8, 1.0, 1, 8)
+    return tracking.age_of_air(columns, tracking.grid_spacing(places), 5, 8, 1.0, 1)
 
 
 LEVELS = """lv AS (SELECT realization, model_name, time, iy, ix, 100.0 * realization + 10.0 * realization * realization AS z, avg(value) AS value, avg(d) AS d, avg(x) AS x

@@ -70,7 +70,7 @@ def smoothed(cells: DataFrame, slab: list[str], sigma: float = 2.0) -> DataFrame
     return slabs.apply(cells.select(*slab, "iy", "ix", "value"), slab, run, "iy int, ix int, value double")
 
 
-def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: float, level: int, steps: int, cyclic: bool = False) -> DataFrame:
+def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: float, level: int, steps: int | None = None, cyclic: bool = False) -> DataFrame:
     """(lead, iy, ix, age): whole steps, in hours, that air at ``level`` has been in the domain; all hours since lead 0 if it never came in.
 
     ``winds`` (lead, iy, ix, us, vs, ws, zs): a row a column and lead, with arrays over
@@ -79,15 +79,21 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
     moves by minus the wind, and takes the level whose height is nearest to the height of
     its first step plus the present step's own rise. Each step is one join of the seeds
     still under way with the winds, then a checkpoint; a cyclic domain wraps in x.
+
+    Every column of a lead from 1 on gives a row. Air is followed until none is under
+    way, or for ``steps`` steps. The age is null where air comes to a place without winds
+    while it is in the domain, and where it is still under way after ``steps``.
     """
     seconds = hours * 3600
-    seeds = winds.where(F.col("lead") >= 1).select("lead", "iy", "ix").join(spacing, ["iy", "ix"])
+    winds = winds.select("lead", "iy", "ix", "us", "vs", "ws", "zs").checkpoint()
+    seeds = winds.where(F.col("lead") >= 1).select("lead", "iy", "ix").join(spacing, ["iy", "ix"], "left")
     seeds = seeds.select(
         F.col("lead").alias("seed_lead"), F.col("iy").alias("seed_iy"), F.col("ix").alias("seed_ix"), "lead", F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x"), F.lit(level).alias("k"), F.lit(None).cast("double").alias("first"), "dx", "dy"
     )
-    done, keys = None, ["lead", "iy", "ix"]
-    for step in range(steps):
-        here = seeds.withColumns({"iy": F.floor("y").cast("int"), "ix": F.floor("x").cast("int")}).join(winds, keys)
+    done, keys, step = None, ["lead", "iy", "ix"], 0
+    seed = ["seed_lead", "seed_iy", "seed_ix"]
+    while steps is None or step < steps:
+        here = seeds.withColumns({"iy": F.floor("y").cast("int"), "ix": F.floor("x").cast("int")}).join(winds, keys, "left")
         at = lambda c: F.get(c, F.col("k"))
         y, x = F.col("y") - at("vs") * seconds / F.col("dy"), F.col("x") - at("us") * seconds / F.col("dx")
         x = F.pmod(x, F.lit(float(nx))) if cyclic else x
@@ -96,8 +102,15 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
         gaps = F.transform("zs", lambda z: F.abs(z - F.col("moved")))
         here = here.withColumn("k", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
         out = (F.col("y") < 0) | (F.col("y") >= ny) | (F.col("x") < 0) | (F.col("x") >= nx)
-        here = here.select("seed_lead", "seed_iy", "seed_ix", (F.col("lead") - 1).alias("lead"), "y", "x", "k", "first", "dx", "dy", out.alias("out")).checkpoint()
-        ended = here.where(F.col("out") | (F.col("lead") == 0)).select("seed_lead", "seed_iy", "seed_ix", F.when(F.col("out"), F.lit(step * hours)).otherwise(F.col("seed_lead") * F.lit(hours)).alias("age"))
+        # Without a place the air is lost, unless the other axis alone has left the domain.
+        lost = (F.col("y").isNull() | F.col("x").isNull()) & ~F.coalesce(out, F.lit(False))
+        here = here.select(*seed, (F.col("lead") - 1).alias("lead"), "y", "x", "k", "first", "dx", "dy", F.coalesce(out, F.lit(False)).alias("out"), lost.alias("lost")).checkpoint()
+        age = F.when(F.col("out"), F.lit(step * hours)).when(~F.col("lost"), F.col("seed_lead") * F.lit(hours))
+        ended = here.where(F.col("out") | F.col("lost") | (F.col("lead") == 0)).select(*seed, age.alias("age"))
         done = ended if done is None else done.union(ended)
-        seeds = here.where(~F.col("out") & (F.col("lead") > 0)).drop("out")
+        seeds, step = here.where(~F.col("out") & ~F.col("lost") & (F.col("lead") > 0)).drop("out", "lost"), step + 1
+        if seeds.isEmpty():
+            break
+    left = seeds.select(*seed, F.lit(None).cast("double").alias("age"))
+    done = left if done is None else done.union(left)
     return done.select(F.col("seed_lead").alias("lead"), F.col("seed_iy").alias("iy"), F.col("seed_ix").alias("ix"), "age")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from fieldweave.jobs.queries import QUERIES
+from fieldweave.operators import tracking
 
 LABELS = {0: 45, 1: 85, 2: 81}
 
@@ -50,3 +51,51 @@ def test_slabs_hold_every_vector(spark, vectors):
     means = {(r.time, r.part): r.value for r in QUERIES["mean_similarity"](spark, vectors).collect()}
     assert set(means) == {(t, p) for t, p, _ in shared} and means[(0, 0)] is not None and means[(1, 2)] is None
     assert {r.series for r in QUERIES["feature_tracks"](spark, vectors).collect()} >= {0, 1}
+
+
+def brute_age(winds, spacing, ny, nx, hours, level, cyclic):
+    """Each seed by itself; None where it comes to a place without winds."""
+    ages, seconds = {}, hours * 3600
+    for lead, iy, ix in (k for k in winds if k[0] >= 1):
+        y, x, k, first, age = float(iy), float(ix), level, None, lead * hours
+        for n in range(lead):
+            column = winds.get((lead - n, int(y), int(x)))
+            if column is None:
+                age = None
+                break
+            us, vs, ws, zs = column
+            dx, dy = spacing[iy, ix]
+            moved = (zs[k] if first is None else first) - ws[k] * seconds
+            first = moved if first is None else first
+            y, x = y - vs[k] * seconds / dy, x - us[k] * seconds / dx
+            x = x % nx if cyclic else x
+            k = int(np.argmin([abs(z - moved) for z in zs]))
+            if not (0 <= y < ny and 0 <= x < nx):
+                age = n * hours
+                break
+        ages[lead, iy, ix] = age
+    return ages
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_age_of_air_follows_every_seed(spark, cyclic):
+    rng, ny, nx, leads = np.random.default_rng(3), 3, 4, 15
+    column = lambda: tuple([float(x) for x in rng.normal(0, s, 3)] for s in (0.5, 0.3, 0.2)) + ([0.0, 500.0, 1500.0],)
+    winds = {(t, y, x): column() for t in range(leads) for y in range(ny) for x in range(nx) if rng.random() > 0.02}
+    spacing = {(y, x): (5000.0 + 100 * y, 6000.0 + 100 * x) for y in range(ny) for x in range(nx)}
+    rows = spark.createDataFrame([(*k, *v) for k, v in winds.items()], "lead int, iy int, ix int, us array<double>, vs array<double>, ws array<double>, zs array<double>")
+    sizes = spark.createDataFrame([(*k, *v) for k, v in spacing.items()], "iy int, ix int, dx double, dy double")
+    wanted = brute_age(winds, spacing, ny, nx, 1.0, 1, cyclic)
+    found = {(r.lead, r.iy, r.ix): r.age for r in tracking.age_of_air(rows, sizes, ny, nx, 1.0, 1, cyclic=cyclic).collect()}
+    assert found == wanted
+    assert None in wanted.values() and max(a for a in wanted.values() if a is not None) > 8
+    few = {(r.lead, r.iy, r.ix): r.age for r in tracking.age_of_air(rows, sizes, ny, nx, 1.0, 1, 2, cyclic).collect()}
+    assert set(few) == set(wanted) and None in few.values()
+
+
+def test_age_of_air_has_every_lead(spark):
+    sf = "/root/testdata/sf0.001"
+    month = "(year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1"
+    wanted = duckdb.sql(f"SELECT DISTINCT {month}, l_suppkey % 5, l_partkey % 8 FROM '{sf}/lineitem.parquet' WHERE l_returnflag = 'A' AND {month} >= 1").fetchall()
+    found = [(r.lead, r.iy, r.ix) for r in QUERIES["age_of_air"](spark, sf).collect()]
+    assert sorted(found) == sorted(wanted) and max(found)[0] > 8
