@@ -32,6 +32,8 @@ COMMON_MOST = 1_000_000
 GROUP, HUBS, TURNS = 8, 3, 3
 #: Bytes of an n-gram's hash that are stored to compare sets.
 STORED = 5
+#: A hash of a row's doc_id and text, where rows and not doc_ids are told apart.
+ROW = "__row"
 #: Nodes up to which their list is broadcast (8 bytes each); beyond it is joined.
 BROADCAST_NODES = 1_000_000
 
@@ -73,16 +75,18 @@ class Orders:
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, grams): node is a hash of the set, null for an empty one."""
+    """(doc_id, n_shingles, node, grams): node is a hash of the set, null for an empty one. ROW, if ``docs`` has it, goes along."""
+    own = [c for c in docs.columns if c == ROW]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [grams_of(t or b"", n) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([packed(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "grams"])
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in own)], ["doc_id", "n_shingles", "node", "grams", *own])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, grams binary")
+    schema = ", ".join(["doc_id long, n_shingles long, node long, grams binary", *(f"{c} long" for c in own)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).mapInArrow(run, schema)
 
 
 def prefix_rows(sets: DataFrame, orders, percent: int) -> DataFrame:
@@ -264,6 +268,14 @@ def links_between(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``gram_sets``; (node, own): each node's least doc_id; (node, component) of the nodes that have links."""
+    sets = cut(gram_sets(docs, n))
+    names = cut(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")))
+    labels = components(links_between(sets, names, percent))
+    return sets, names, labels.union(labels.select("component", "component")).distinct()
+
+
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -276,10 +288,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     give no component its name; a component of such rows only has none. An empty table
     gives an empty table. Sets are compared by hashes: nodes by 64 bits, n-grams by 40.
     """
-    sets = cut(gram_sets(docs, n))
-    names = cut(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")))
-    labels = components(links_between(sets, names, percent))
-    labels = labels.union(labels.select("component", "component")).distinct()
+    sets, names, labels = labelled(docs, n, percent)
     named = labels.join(names, "node")
     least = named.groupBy("component").agg(F.min("own").alias("least"))
     named = names.join(named.select("node", "component").join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
@@ -288,9 +297,23 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it. Documents without words all stay."""
-    stay = ngram_components(docs.select("doc_id", "text"), n, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long") == F.col("__stay"), "left_semi")
+    """``docs`` with one row of each component, and every row without words.
+
+    The row that stays is the one of least doc_id, nulls last, and of these the one of
+    least ROW; of rows equal in both doc_id and text, the first by the other columns. So a
+    component of rows without doc_id keeps one of them, and rows that share a doc_id but
+    not a component each stand for their own.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets, _, labels = labelled(docs.select("doc_id", "text", row.alias(ROW)), n, percent)
+    rows = sets.select("doc_id", "node", ROW)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).getField(ROW)
+    first = rows.where("node IS NOT NULL").join(labels, "node", "left").groupBy(F.coalesce("component", "node")).agg(least.alias(ROW)).select(ROW, F.lit(False).alias("__all"))
+    stay = first.union(rows.where("node IS NULL").select(ROW, F.lit(True)).distinct())
+    # Dealt by ROW for the join, the rows need not move again for the window.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy(ROW, "doc_id", "text").orderBy(*others or [F.lit(0)]))
+    return docs.withColumn(ROW, row).join(stay, ROW).withColumn("__place", place).where("__all OR __place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

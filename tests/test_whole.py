@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from fieldweave.jobs.queries import QUERIES
+from fieldweave.llm import ngram_join
 from fieldweave.operators import tracking
 
 LABELS = {0: 45, 1: 85, 2: 81}
@@ -99,3 +100,23 @@ def test_age_of_air_has_every_lead(spark):
     wanted = duckdb.sql(f"SELECT DISTINCT {month}, l_suppkey % 5, l_partkey % 8 FROM '{sf}/lineitem.parquet' WHERE l_returnflag = 'A' AND {month} >= 1").fetchall()
     found = [(r.lead, r.iy, r.ix) for r in QUERIES["age_of_air"](spark, sf).collect()]
     assert sorted(found) == sorted(wanted) and max(found)[0] > 8
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [
+        (None, text(1), "a"), (None, None, "a"), (None, "", "a"), (None, "", "a"), (None, " \n", "b"), (5, None, "a"),
+        (None, text(2), "a"), (None, near(2), "a"), (None, text(2), "a"),
+        (None, text(3), "a"), (9, near(3), "a"), (12, text(3), "a"),
+        (7, text(4), "a"), (7, text(5), "a"), (6, near(5), "a"), (8, near(4), "a"),
+        (3, text(6), "b"), (3, text(6), "a"), (3, near(6), "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = sorted(map(tuple, ngram_join.drop_near_duplicates(docs).collect()), key=repr)
+    wordless, kept = [r for r in found if not (r[1] or "").split()], [r for r in found if (r[1] or "").split()]
+    assert wordless == sorted((r for r in rows if not (r[1] or "").split()), key=repr)
+    assert [r for r in kept if r[0] is not None and r[0] != 3] == [(6, near(5), "a"), (7, text(4), "a"), (9, near(3), "a")]
+    assert sum(r[1] == text(1) for r in kept) == 1 and sum(r[1] in (text(2), near(2)) for r in kept) == 1
+    three = [r for r in kept if r[0] == 3]
+    assert len(three) == 1 and three[0] in [(3, text(6), "a"), (3, near(6), "a")] and len(kept) == 6
