@@ -62,6 +62,11 @@ def rain_rates(spark, sf_dir):
     return vertical.rain_rate(adapters.field(spark, sf_dir).where("iy = 0 AND ix = 0").select("model_name", "time", "value"), ["model_name"])
 
 
+def rain_rates_all(spark, sf_dir):
+    series = ["model_name", "iy", "ix"]
+    return vertical.rain_rate(adapters.field(spark, sf_dir).select(*series, "time", "value"), series)
+
+
 KEEP = ["model_name", "time"]
 
 
@@ -267,6 +272,13 @@ WHERE z1 IS NOT NULL AND (level_height >= z OR i = 1) AND (level_height < z1 OR
         "field",
         """SELECT model_name, time, value / coalesce(epoch(lead(time) OVER w) - epoch(time), epoch(time) - epoch(lag(time) OVER w)) AS value FROM field WHERE iy = 0 AND ix = 0 WINDOW w AS (PARTITION BY model_name ORDER BY time)""",
     ),
+    Query(
+        "rain_rates_all",
+        "model_name:s iy:i ix:i time:t value:p",
+        rain_rates_all,
+        "field",
+        """SELECT model_name, iy, ix, time, value / coalesce(epoch(lead(time) OVER w) - epoch(time), epoch(time) - epoch(lag(time) OVER w)) AS value FROM field WINDOW w AS (PARTITION BY model_name, iy, ix ORDER BY time)""",
+    ),
     Query(
         "linear_regrid",
         "model_name:s time:t iy:i ix:i value:r",

@@ -120,3 +120,10 @@ def test_near_duplicates_without_or_with_repeated_ids(spark):
     assert sum(r[1] == text(1) for r in kept) == 1 and sum(r[1] in (text(2), near(2)) for r in kept) == 1
     three = [r for r in kept if r[0] == 3]
     assert len(three) == 1 and three[0] in [(3, text(6), "a"), (3, near(6), "a")] and len(kept) == 6
+
+
+def test_rain_rates_of_every_cell(spark):
+    sf = "/root/testdata/sf0.001"
+    cells = duckdb.sql(f"SELECT DISTINCT l_returnflag, l_suppkey % 5, l_partkey % 8, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') FROM '{sf}/lineitem.parquet'").fetchall()
+    found = QUERIES["rain_rates_all"](spark, sf).collect()
+    assert sorted((r.model_name, r.iy, r.ix, r.time) for r in found) == sorted(cells) and all(r.value > 0 for r in found)
