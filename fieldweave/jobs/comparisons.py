@@ -28,6 +28,11 @@ def matched_points(spark, sf_dir):
     return align.matched_points(adapters.member_field(spark, sf_dir).where("iy = 0 AND ix = 0 AND realization = 0"), "time").select("time", F.concat_ws(",", "models").alias("models"))
 
 
+def matched_points_all(spark, sf_dir):
+    point = ["time", "iy", "ix", "realization"]
+    return align.matched_points(adapters.member_field(spark, sf_dir), *point).select(*point, F.concat_ws(",", "models").alias("models"))
+
+
 def field_product(spark, sf_dir):
     field = adapters.field(spark, sf_dir)
     static = field.groupBy("iy", "ix").agg(F.avg("value").alias("value")).withColumn("variable", F.lit("mean"))
@@ -126,6 +131,13 @@ QUERIES = [
     Query(
         "matched_points", "time:t models:s", matched_points, "member", "SELECT time, string_agg(model_name, ',' ORDER BY model_name) AS models FROM member WHERE iy = 0 AND ix = 0 AND realization = 0 GROUP BY ALL"
     ),
+    Query(
+        "matched_points_all",
+        "time:t iy:i ix:i realization:i models:s",
+        matched_points_all,
+        "member",
+        "SELECT time, iy, ix, realization, string_agg(model_name, ',' ORDER BY model_name) AS models FROM member GROUP BY ALL",
+    ),
     Query(
         "field_product",
         "model_name:s variable:s time:t iy:i ix:i value:r",

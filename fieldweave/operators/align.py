@@ -77,9 +77,9 @@ def arithmetic(a: DataFrame, b: DataFrame, keys: list[str], operation: str) -> D
     return named.withColumn("value", operations[operation]).drop("__b", "__name")
 
 
-def matched_points(fields: DataFrame, point: str) -> DataFrame:
+def matched_points(fields: DataFrame, *point: str) -> DataFrame:
     """(point, models): which models have each point of the union."""
-    return fields.groupBy(point).agg(F.array_sort(F.collect_set("model_name")).alias("models"))
+    return fields.groupBy(*point).agg(F.array_sort(F.collect_set("model_name")).alias("models"))
 
 
 def pivot_variables(field: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:

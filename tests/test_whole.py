@@ -127,3 +127,10 @@ def test_rain_rates_of_every_cell(spark):
     cells = duckdb.sql(f"SELECT DISTINCT l_returnflag, l_suppkey % 5, l_partkey % 8, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') FROM '{sf}/lineitem.parquet'").fetchall()
     found = QUERIES["rain_rates_all"](spark, sf).collect()
     assert sorted((r.model_name, r.iy, r.ix, r.time) for r in found) == sorted(cells) and all(r.value > 0 for r in found)
+
+
+def test_matched_points_of_every_cell_and_member(spark):
+    sf = "/root/testdata/sf0.001"
+    points = duckdb.sql(f"SELECT DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S'), l_suppkey % 5, l_partkey % 8, l_linenumber - 1 FROM '{sf}/lineitem.parquet'").fetchall()
+    found = [(r.time, r.iy, r.ix, r.realization) for r in QUERIES["matched_points_all"](spark, sf).collect()]
+    assert sorted(found) == sorted(points)
