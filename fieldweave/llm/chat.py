@@ -63,12 +63,15 @@ def parse(formatted):
     return F.when((F.get(pieces, F.size(pieces) - 1) == "") & ~F.exists(parsed, lambda t: t.isNull()), parsed)
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
+def format_chats(turns: DataFrame, guard: bool = False) -> DataFrame:
     """(conv_id, formatted, n_turns, loss_spans) for each conversation of ``turns`` (conv_id, turn, role, text).
 
     loss_spans: array<struct<start, length>>, code points of ``formatted`` that hold the
     (possibly escaped) text of each assistant turn, and whether it is escaped.
 
+    With ``guard`` every text that holds a CONTROL string is escaped, also where the
+    conversation would be read back without.
+
     Turns stand in the order of turn, nulls first; equal turn numbers by role, then
     text, and repeated rows are turns of their own. A null text or role is an empty one.
     Rows without conv_id form one conversation. Other columns are left out. An empty
@@ -93,7 +96,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     for i, level in enumerate(levels):
         convs = convs.withColumn(f"try{i}", F.array_join(rendered(level), ""))
     same = lambda i: F.coalesce(parse(F.col(f"try{i}")) == F.col("source"), F.lit(False))
-    convs = convs.withColumn("level", F.when(same(0), 0).when(same(1), 1).when(same(2), 2).otherwise(F.raise_error(F.lit("a conversation does not survive its own grammar"))).cast("int"))
+    convs = convs.withColumn("level", F.when(same(0) & F.lit(not guard), 0).when(same(1), 1).when(same(2), 2).otherwise(F.raise_error(F.lit("a conversation does not survive its own grammar"))).cast("int"))
     pick = lambda what: F.when(F.col("level") == 0, what(0)).when(F.col("level") == 1, what(1)).otherwise(what(2))
     escaped = lambda t: F.when(F.col("level") == 0, F.lit(False)).when(F.col("level") == 1, holds(t)).otherwise(F.lit(True))
     lengths = F.transform(
@@ -128,10 +131,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_text", masked)
 
 
-def op8_chat(spark, sf_dir: str) -> DataFrame:
+def op8_chat(spark, sf_dir: str, guard: bool = False) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
-    back = read_back(format_chats(turns.unionByName(extra)))
+    back = read_back(format_chats(turns.unionByName(extra), guard))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -143,6 +146,10 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat_guarded(spark, sf_dir: str) -> DataFrame:
+    return op8_chat(spark, sf_dir, guard=True)
+
+
 SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -161,3 +168,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(9 + role_length + CASE WHEN breaks AND holds THEN 1 + escaped_length ELSE length(text) END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+SQL_GUARDED = SQL.replace("WHEN breaks AND holds THEN", "WHEN holds THEN")

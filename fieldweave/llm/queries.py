@@ -13,6 +13,7 @@ _QUERIES = (
     (bpe.op6_byte_bpe, None),
     (langid.op7_language_id, None),
     (chat.op8_chat, chat.SQL),
+    (chat.op8_chat_guarded, chat.SQL_GUARDED),
     (quality_rules.op9_quality_rules, quality_rules.SQL),
     (rlz.op10_substring_dedup, rlz.SQL),
 )

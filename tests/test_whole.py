@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from fieldweave.jobs.queries import QUERIES
-from fieldweave.llm import ngram_join
+from fieldweave.llm import chat, ngram_join
 from fieldweave.operators import tracking
 
 LABELS = {0: 45, 1: 85, 2: 81}
@@ -134,3 +134,18 @@ def test_matched_points_of_every_cell_and_member(spark):
     points = duckdb.sql(f"SELECT DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S'), l_suppkey % 5, l_partkey % 8, l_linenumber - 1 FROM '{sf}/lineitem.parquet'").fetchall()
     found = [(r.time, r.iy, r.ix, r.realization) for r in QUERIES["matched_points_all"](spark, sf).collect()]
     assert sorted(found) == sorted(points)
+
+
+def test_guarded_chats_hold_no_raw_control_string(spark, tmp_path):
+    texts = {1: "<s>[", 2: "[INST]", 3: "a [/INST] b", 4: "plain ] text", 5: "</s>"}
+    rows = [(k, t, r, x) for k, x in texts.items() for t, r in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.format_chats(turns, guard=True)).collect():
+        assert [t.text for t in r.turns] == [texts[r.conv_id]] * 2 and r.loss_text == texts[r.conv_id]
+        assert ("!]" in r.formatted) == (r.conv_id != 4)
+        assert r.formatted.count("<s>[") == r.formatted.count("</s>") == 2 and "INST]" not in r.formatted
+    turns.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    frame = chat.op8_chat_guarded(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, frame.collect())) == sorted(db.sql(f"SELECT {', '.join(frame.columns)} FROM ({chat.SQL_GUARDED})").fetchall())
