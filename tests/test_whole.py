@@ -149,3 +149,11 @@ def test_guarded_chats_hold_no_raw_control_string(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(tuple, frame.collect())) == sorted(db.sql(f"SELECT {', '.join(frame.columns)} FROM ({chat.SQL_GUARDED})").fetchall())
+
+
+def test_wind_speeds_count_every_line(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_linenumber > 3").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert QUERIES["wind_speeds"](spark, str(tmp_path)).count() == 0
+    found = QUERIES["wind_speeds_all"](spark, str(tmp_path)).collect()
+    assert len({r.variable for r in found}) == 3
+    close([(r.model_name, r.time, r.variable, r.n, r.value) for r in found], oracle("wind_speeds_all", {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"}))
