@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,31 +24,36 @@ STRIP = " \t\n\x0b\x0c\r"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that executors and driver share, as ``spark.checkpoint.dir`` names it.
+
+    Where the session names none, a run in one process (tests) gets a temporary folder; on a
+    cluster that would be one machine's own disk, so there it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there.
 
     A checkpoint keeps Spark's estimate of its size, a product over all joins before it;
     over rounds of joins the numbers themselves grow too long to plan with. A table has
-    the size of its files. For narrow tables of such rounds.
+    the size of its files, and columns that are not asked for are not read.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it from there.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where the
-    session has none (tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """``df`` by way of a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -91,3 +97,55 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         total = total * GOLDEN + hashes[i : i + size]
     return mix(total)
+
+
+LONG_WORD = 1024
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[ord("A") : ord("Z") + 1] += 32
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[ord(c) for c in STRIP]] = True
+
+
+class Words:
+    """The words of a batch of texts as 64-bit hashes, found and hashed column-wise.
+
+    ``hashes``: all words in order; ``bounds``: those of text i are bounds[i] to
+    bounds[i + 1]. A word is hashed eight bytes at a time by a bijection, so words of up to
+    eight bytes have different hashes; those over LONG_WORD bytes are hashed one by one.
+    """
+
+    def __init__(self, texts: list[bytes | None], lower: bool = False):
+        raw = b" ".join([b"", *(t or b"" for t in texts), b" " * 8])
+        self.raw = np.frombuffer(raw, np.uint8)
+        self.bytes = LOWERED[self.raw] if lower else self.raw
+        edges = np.diff(IS_SPACE[self.raw].view(np.int8))
+        self.starts, self.ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
+        begins = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+        self.bounds = np.searchsorted(self.starts, begins)
+        self.hashes = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        eights = np.ndarray(len(self.bytes) - 7, "<u8", buffer=self.bytes, strides=(1,))
+        length = self.ends - self.starts
+        out = mix(length.astype(np.uint64) * GOLDEN)
+        long = length > LONG_WORD
+        at, left, which = self.starts[~long], length[~long], np.flatnonzero(~long)
+        while len(which):
+            masks = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8))
+            out[which] = mix(out[which] ^ (eights[at] & masks))
+            more = left > 8
+            at, left, which = at[more] + 8, left[more] - 8, which[more]
+        for i in np.flatnonzero(long):
+            out[i] = xxhash.xxh3_64_intdigest(self.bytes[self.starts[i] : self.ends[i]].tobytes())
+        return out
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.bounds[i] : self.bounds[i + 1]]
+
+    def grams(self, n: int) -> np.ndarray:
+        """A hash of ``n`` words from each word on; the last n - 1 of a text run on into the next."""
+        return gram_hashes(self.hashes, n)
+
+
+def binary(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()

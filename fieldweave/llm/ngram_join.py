@@ -6,10 +6,16 @@ with a Jaccard similarity of at least t share an n-gram among the first
 prefix filter of ORDERS orders before its sets are compared. Each order puts n-grams of
 many documents last, rarest of them first, and sorts the rest by a hash of its own.
 
-Equal sets are one node from the start, so copies cost nothing. A prefix n-gram with
-up to GROUP nodes gives all its pairs. One with more gives pairs with a few hub nodes
-only; after their links are known, only pairs from outside the group's largest
-component are left to look at, so a large group of near copies is not paired out.
+Equal sets are one node from the start, so copies cost nothing. Nodes that share a prefix
+n-gram of the first order meet in one of two ways, neither of which pairs out a group:
+
+* up to GROUP nodes: their pairs, a few a node. The other orders' prefixes are joined to a
+  pair first, and the sets only to pairs that pass them all.
+* more than GROUP nodes: such n-grams are chained to clusters of nodes, each node once. A
+  task holds a cluster (or a block of at most BLOCK_BYTES of it), applies the filters of
+  all orders and the similarity to it in memory, and gives the links that hold its
+  components together. Of a cluster of several blocks, each also holds a few HUBS of the
+  whole; then nodes outside its largest component meet all its other blocks.
 """
 
 from __future__ import annotations
@@ -22,38 +28,37 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut, gram_hashes, mix, stored, word_hashes
+from fieldweave.llm.common import Words, binary, gram_hashes, mix, stored
 
 N, PERCENT = 5, 80
 ORDERS = 3
-#: Common n-grams that are told apart, at most.
-COMMON_MOST = 1_000_000
-#: Nodes of a prefix n-gram that are all paired; hubs of a larger group, and turns until all of the rest are.
-GROUP, HUBS, TURNS = 8, 3, 3
-#: Bytes of an n-gram's hash that are stored to compare sets.
-STORED = 5
+#: Common n-grams that are told apart, at most (16 bytes each, to every task).
+COMMON_MOST = 250_000
+#: Nodes of a prefix n-gram whose pairs are made; more are a cluster.
+GROUP = 8
+#: Bytes of n-gram hashes that a task compares with each other, and nodes of a cluster that all its blocks hold.
+BLOCK_BYTES, HUBS = 4_000_000, 8
+#: Rows that a task gets of one n-gram; one with more is dealt to several.
+PART_ROWS = 100_000
 #: A hash of a row's doc_id and text, where rows and not doc_ids are told apart.
 ROW = "__row"
-#: Nodes up to which their list is broadcast (8 bytes each); beyond it is joined.
-BROADCAST_NODES = 1_000_000
 
 
-def grams_of(text: bytes, n: int) -> np.ndarray:
-    """The set of hashes of a text's n-grams; of the whole sequence if it is shorter."""
-    words = word_hashes(text.lower().split())
-    return np.unique(gram_hashes(words, min(n, len(words)))) if len(words) else words
+def prefix_size(size: int, percent: int) -> int:
+    return size + (-percent * size) // 100 + 1
 
 
-def packed(grams: np.ndarray) -> bytes:
-    """Sorted distinct STORED-byte heads of ``grams``."""
-    heads = np.unique(grams >> np.uint64(64 - 8 * STORED))
-    return heads.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :STORED].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // STORED, 8), np.uint8)
-    out[:, :STORED] = np.frombuffer(raw, np.uint8).reshape(-1, STORED)
-    return out.view("<u8").reshape(-1)
+def gram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """The set of n-gram hashes of each text; of the whole sequence if it is shorter. Sorted."""
+    words = Words(texts, lower=True)
+    grams = words.grams(n)
+    out = []
+    for i in range(len(texts)):
+        start, stop = words.bounds[i], words.bounds[i + 1]
+        own = grams[start : stop - n + 1] if stop - start >= n else gram_hashes(words.of(i), stop - start) if stop > start else words.of(i)
+        own = np.sort(own)
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return out
 
 
 class Orders:
@@ -63,217 +68,393 @@ class Orders:
         at = np.argsort(common)
         self.common, self.docs = common[at], docs[at]
 
-    def prefix(self, grams: np.ndarray, order: int, percent: int) -> np.ndarray:
-        size = len(grams)
-        keep = size + (-percent * size) // 100 + 1
-        rank = np.zeros(size, np.int64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
-            rank = np.where(self.common[at] == grams, self.docs[at], 0)
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
+        return np.where(self.common[at] == grams, self.docs[at], 0)
+
+    def place(self, grams: np.ndarray, order: int, percent: int, counts: np.ndarray | None = None) -> np.ndarray:
+        """Where in ``grams`` its prefix under ``order`` stands. ``counts`` if they are known."""
+        counts = self.counts(grams) if counts is None else counts
+        keep = prefix_size(len(grams), percent)
         own = mix(grams + np.uint64((order * 0xA24BAED4963EE407) % (1 << 64)))
-        return grams[np.lexsort((own, rank))[:keep]]
+        rare = np.flatnonzero(counts == 0)
+        if len(rare) >= keep:  # the common case: no sorting of all
+            return rare[np.argpartition(own[rare], keep - 1)[:keep]] if len(rare) > keep else rare
+        return np.lexsort((own, counts))[:keep]
 
+    def prefix(self, grams: np.ndarray, order: int, percent: int) -> np.ndarray:
+        return grams[self.place(grams, order, percent)]
 
-def gram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, grams): node is a hash of the set, null for an empty one. ROW, if ``docs`` has it, goes along."""
-    own = [c for c in docs.columns if c == ROW]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [grams_of(t or b"", n) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([packed(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in own)], ["doc_id", "n_shingles", "node", "grams", *own])
+def row_key(docs: DataFrame):
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
 
-    schema = ", ".join(["doc_id long, n_shingles long, node long, grams binary", *(f"{c} long" for c in own)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own).mapInArrow(run, schema)
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias(ROW))
 
 
-def prefix_rows(sets: DataFrame, orders, percent: int) -> DataFrame:
-    """(gram, node, size): each node's prefix under the first order; ``orders`` None sorts by the hash alone."""
+def common_grams(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams in the hash prefixes of more than GROUP documents, with those numbers, which make the orders.
+
+    Put last, they leave the prefixes of all documents that have enough rarer n-grams.
+    Any order gives the same links, so that only the COMMON_MOST most frequent are told
+    apart changes the work, not the result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Orders(*(orders.value if orders else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+        by = Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            first = np.unique(node, return_index=True)[1]
-            grams = [unpacked(raw) for raw in batch.column("grams").take(pa.array(first)).to_pylist()]
-            prefixes = [by.prefix(g, 0, percent) for g in grams]
-            counts = [len(p) for p in prefixes]
-            if sum(counts):
-                columns = [np.concatenate(prefixes).astype(np.int64), np.repeat(node[first], counts), np.repeat([len(g) for g in grams], counts).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "node", "size"])
+            found = [by.prefix(g, 0, percent) for g in gram_sets(binary(batch.column("text")), n) if len(g)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
 
-    return sets.where("node IS NOT NULL").select("node", "grams").mapInArrow(run, "gram long, node long, size int")
+    counts = docs.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("docs")).where(F.col("docs") > GROUP)
+    rows = counts.orderBy(F.desc("docs"), "gram").limit(COMMON_MOST).toPandas()
+    return rows["gram"].to_numpy(np.int64).view(np.uint64), rows["docs"].to_numpy(np.int64)
 
 
-def common_grams(sets: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams in the hash prefixes of more than GROUP documents, with those numbers, which make the orders.
+def nodes_of(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
+    """(doc_id, ROW, n_shingles, node, prefix): node is a hash of the set, null for an empty one.
 
-    Put last, they leave the prefixes of all documents that have enough rarer n-grams.
-    Any order gives the same links, so that only the COMMON_MOST most frequent are told
-    apart (16 bytes each, to every task) changes the work, not the result.
+    prefix: (gram, part) of the set's prefix under the first order, once for a node in a
+    batch; part is over 0 where an n-gram's rows are dealt to several tasks.
     """
-    counts = prefix_rows(sets, None, percent).groupBy("gram").agg(F.count("*").alias("docs")).where(F.col("docs") > GROUP)
-    rows = counts.orderBy(F.desc("docs"), "gram").limit(COMMON_MOST).toPandas()
-    return rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["docs"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = Orders(*orders.value)
+        for batch in batches:
+            sets = gram_sets(binary(batch.column("text")), n)
+            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            grams, parts, ends, seen = [], [], [0], {None}
+            for own, node in zip(sets, nodes, strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    counts = by.counts(own)
+                    at = by.place(own, 0, percent, counts)
+                    dealt = -(-counts[at] // PART_ROWS)
+                    grams.append(own[at])
+                    parts.append(np.where(dealt > 1, (node % np.maximum(dealt, 1)) + 1, 0).astype(np.int32))
+                    ends.append(ends[-1] + len(at))
+                else:
+                    ends.append(ends[-1])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]))], ["gram", "part"])
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), prefix], ["doc_id", ROW, "n_shingles", "node", "prefix"])
+
+    return stored(docs.mapInArrow(run, f"doc_id long, {ROW} long, n_shingles long, node long, prefix array<struct<gram: long, part: int>>"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges (a, b) as stars (node, least node), the least ones left out."""
+    nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(ids, 2)
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        open_edges = low < high
+        if not open_edges.any():
+            own = label != np.arange(len(nodes))
+            return nodes[own], nodes[label[own]]
+        np.minimum.at(label, high[open_edges], low[open_edges])
+        while (label[label] != label).any():
+            label = label[label]
 
 
-def postings(sets: DataFrame, orders, percent: int) -> DataFrame:
-    """(gram, node, size, group): prefix n-grams of the first order that two nodes or more share."""
-    dealt = prefix_rows(sets, orders, percent).repartition("gram").dropDuplicates(["gram", "node"])
-    return cut(dealt.withColumn("group", F.count("*").over(Window.partitionBy("gram"))).where(F.col("group") > 1))
+class Stars:
+    """Edges of a task, as stars of their components whenever twice as many have come."""
 
+    def __init__(self):
+        self.held, self.size, self.most = [], 0, 500_000
 
-def near_sizes(percent: int):
-    a, b = F.col("x.size"), F.col("y.size")
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.size += len(a)
+        if self.size > self.most:
+            self.held = [self.stars()]
+            self.size = len(self.held[0][0])
+            self.most = max(self.most, 2 * self.size)
 
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        return forest(*(np.concatenate(c) for c in zip(*self.held, strict=True))) if self.held else (np.zeros(0, np.int64),) * 2
 
-def pairs_of(left: DataFrame, right: DataFrame, percent: int, *conditions) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes of ``left`` and ``right`` that share an n-gram and could be similar by size."""
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") != F.col("y.node")) & near_sizes(percent)
-    for c in conditions:
-        on = on & c
-    found = left.alias("x").join(right.alias("y"), on)
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a partition as the stars of their components."""
+    edges = Stars()
+    for batch in batches:
+        edges.add(*(c.to_numpy() for c in batch.columns))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges.stars()], ["u", "v"])
 
-def narrowed(pairs: DataFrame, sets: DataFrame, reps: DataFrame, orders, build, read, check) -> DataFrame:
-    """The pairs (a, b) of which ``check`` holds, given what ``build`` makes of each node's n-grams (a list of binaries).
 
-    ``read`` turns that into what ``check`` compares; pairs of one b come together, so b is read once.
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the least node that each node of ``links`` (a, b) reaches, by alternating large and small stars.
+
+    Each partition makes stars of its own edges first.
+    """
+    star = lambda df: df.select("u", "v").mapInArrow(contracted, "u long, v long")
+    edges, state = stored(star(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct()), None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        state = now
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = stored(star(small.where("u <> v")).distinct())
+
+
+def meet(percent: int):
+    """Of rows (gram, part, node, size) in this order: pairs of the nodes of small n-grams, and edges that chain those of large ones."""
+
+    def rows_of(a, b, chained: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), chained))], ["a", "b", "chained"])
+
+    def groups(chains: Stars, gram, part, node, size, chained) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        count = np.diff(np.append(first, len(gram)))
+        large = (count > GROUP) | (part[first] > 0)
+        large[0] |= chained
+        out = [(node[:0], node[:0])]
+        for c in range(2, GROUP + 1):
+            rows = first[~large & (count == c)][:, None] + np.arange(c)
+            i, j = np.triu_indices(c, 1)
+            a, b = rows[:, i].ravel(), rows[:, j].ravel()
+            near = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+            out.append((node[a[near]], node[b[near]]))
+        inner = np.repeat(large, count)
+        dealt = first[large & (part[first] > 0)]  # parts of one n-gram meet at the n-gram itself
+        chains.add(np.append(node[inner], node[dealt]), np.append(node[np.repeat(first, count)[inner]], gram[dealt]))
+        return rows_of(*(np.concatenate(x) for x in zip(*out, strict=True)), False)
 
-    A node's n-grams come from the row of its least doc_id, found by a join with the
-    list of nodes in ``pairs``; only what ``build`` makes of them is shuffled.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chained, chains = None, False, Stars()
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("gram", "part", "node", "size")]
+            if not len(rows[0]):
+                continue
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            gram, part, node, _ = held
+            held = [c[np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])])] for c in held]
+            gram, part = held[:2]
+            last = int(np.argmax((gram == gram[-1]) & (part == part[-1])))
+            if last:
+                yield groups(chains, *(c[:last] for c in held), chained)
+                held, chained = [c[last:] for c in held], False
+            elif len(gram) > PART_ROWS:  # one n-gram only: chain what is here, and go on from its first node
+                yield groups(chains, *held, True)
+                held, chained = [c[:1] for c in held], True
+        if held is not None:
+            yield groups(chains, *held, chained)
+        yield rows_of(*chains.stars(), True)
+
+    return run
+
+
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, chained): pairs that may be similar, and edges of clusters, the stars of each task."""
+    postings = rows.where("node IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("p")).select("p.gram", "p.part", "node", "size")
+    dealt = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
+    return stored(dealt.mapInArrow(meet(percent), "a long, b long, chained boolean").distinct())
+
+
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, orders, n: int, percent: int) -> DataFrame:
+    """(node, prefixes, grams) of the ``wanted`` nodes (node); prefixes: 4-byte tails under each further order.
+
+    A node's text is that of one row, found by its ROW; only those texts are hashed again.
+    Rows equal in doc_id and text may bring a node more than once.
     """
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select(F.col("node").alias("__n"), F.col("own").alias("__d")))
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Orders(*orders.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, seen = Orders(*orders.value), set()
         for batch in batches:
-            made = [build(by, unpacked(raw)) for raw in batch.column("grams").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.list_(pa.binary()))], ["node", "made"])
+            batch = batch.filter(pa.array([k not in seen and not seen.add(k) for k in batch.column("node").to_pylist()], pa.bool_()))
+            sets = gram_sets(binary(batch.column("text")), n)
+            tails = [[s[by.place(s, o, percent, counts)].astype("<u4").tobytes() for o in range(1, ORDERS)] for s in sets for counts in [by.counts(s)]]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tails, pa.list_(pa.binary())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "prefixes", "grams"])
+
+    own = rows.groupBy("node").agg(F.min(ROW).alias(ROW)).join(wanted, "node").select(F.col(ROW).alias("__r"), "node")
+    texts = docs.join(own, F.col(ROW) == F.col("__r")).select("node", "text")
+    return stored(texts.mapInArrow(run, "node long, prefixes array<binary>, grams binary"))
+
+
+def kept(pairs: DataFrame, sets: DataFrame, column: str, read, check) -> DataFrame:
+    """The pairs (a, b) of which ``check`` holds, given what ``read`` makes of ``column`` of either node."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
             found = []
-            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "ma", "mb")), strict=True):
+            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "xa", "xb")), strict=True):
                 if b != last:
                     last, held = b, read(y)
                 found.append(check(read(x), held))
             good = pa.array(found, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    rows = sets.join(nodes, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "grams")
-    made = cut(rows.mapInArrow(make, "node long, made array<binary>"))
-    side = lambda s: made.select(F.col("node").alias(s), F.col("made").alias(f"m{s}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(keep, "a long, b long").distinct())
-
-
-def tails(grams: np.ndarray) -> bytes:
-    return grams.astype(np.uint16).tobytes()
-
-
-def tail_set(raw: bytes) -> set[int]:
-    return set(memoryview(raw).cast("H"))
+    one = sets.select("node", column).groupBy("node").agg(F.first(column).alias(column))
+    side = lambda s: one.select(F.col("node").alias(s), F.col(column).alias(f"x{s}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long"))
 
 
-def prefix_filter(percent: int):
-    """Two nodes must share a prefix n-gram under each further order; told by 2-byte tails, as n-grams of different tails differ."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix n-gram under every further order and whose sets are similar."""
 
-    def build(by: Orders, grams: np.ndarray) -> list[bytes]:
-        return [tails(by.prefix(grams, o, percent)) for o in range(1, ORDERS)]
-
-    def check(x: list[set], y: list[set]) -> bool:
+    def shared(x: list[set], y: list[set]) -> bool:
         return all(not p.isdisjoint(q) for p, q in zip(x, y, strict=True))
 
-    return build, lambda made: [tail_set(m) for m in made], check
-
-
-def room_filter(percent: int):
-    """The n-grams' tails in common must leave room for the similarity.
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
 
-    Each tail in common stands for one n-gram in common at most, but for n-grams of one
-    set that share a tail; the fewer of those in either set are added.
-    """
+    pairs = kept(pairs, sets, "prefixes", lambda made: [set(memoryview(m).cast("I")) for m in made], shared)
+    return kept(pairs, sets, "grams", lambda made: np.frombuffer(made, "<u8"), similar)
+
+
+class Block:
+    """Sets of n-grams in memory, and which of them are linked with a given one."""
+
+    def __init__(self, sets: list[np.ndarray], by: Orders, percent: int):
+        self.percent = percent
+        self.size = np.array([len(s) for s in sets], np.int64)
+        grams, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flags = np.zeros(len(grams), bool)
+        self.whole = (ids, np.cumsum(self.size) - self.size)
+        counts = by.counts(grams)
+        self.prefixes = []
+        for order in range(ORDERS):
+            own = [i + by.place(s, order, percent, counts[ids[i : i + len(s)]]) for i, s in zip(self.whole[1].tolist(), sets, strict=True)]
+            lengths = np.array([len(p) for p in own])
+            self.prefixes.append((ids[np.concatenate(own)], np.cumsum(lengths) - lengths))
+
+    def _marked(self, part, x: int) -> np.ndarray:
+        ids, starts = part
+        own = ids[starts[x] : starts[x + 1] if x + 1 < len(starts) else len(ids)]
+        self.flags[own] = True
+        hits = self.flags[ids]
+        self.flags[own] = False
+        return hits
+
+    def links(self, x: int) -> np.ndarray:
+        """Which sets are linked with set ``x``: those in every order's filter whose similarity is enough."""
+        good = np.minimum(self.size, self.size[x]) * 100 >= np.maximum(self.size, self.size[x]) * self.percent
+        for part in self.prefixes:
+            good &= np.logical_or.reduceat(self._marked(part, x), part[1])
+        good[x] = False
+        if good.any():
+            common = np.add.reduceat(self._marked(self.whole, x), self.whole[1], dtype=np.int64)
+            good &= 100 * common >= self.percent * (self.size + self.size[x] - common)
+        return good
+
+
+def joined(block: Block, component: np.ndarray, queries: Iterator[int]) -> list[tuple[int, int]]:
+    """Links that join the components of ``queries`` with others; ``component`` is brought up to date."""
+    found = []
+    for x in queries:
+        linked = np.flatnonzero(block.links(x) & (component != component[x]))
+        if len(linked):
+            others, first = np.unique(component[linked], return_index=True)
+            found += [(x, int(y)) for y in linked[first]]
+            component[np.isin(component, others)] = component[x]
+    return found
+
+
+def outside_largest(component: np.ndarray) -> Iterator[int]:
+    """Members of ``component``, as it is at the time, until all that were not given are in one component."""
+    asked = np.zeros(len(component), bool)
+    while True:
+        largest = np.bincount(component).argmax()
+        rest = np.flatnonzero(~asked & (component != largest))
+        if not len(rest):
+            return
+        asked[rest[0]] = True
+        yield int(rest[0])
 
-    def read(made: list[bytes]) -> tuple[set, int]:
-        return tail_set(made[0]), len(made[0]) // 2
 
-    def check(x: tuple[set, int], y: tuple[set, int]) -> bool:
-        most = len(x[0] & y[0]) + min(x[1] - len(x[0]), y[1] - len(y[0]))
-        return 100 * most >= percent * (x[1] + y[1] - most)
+def within_blocks(members: DataFrame, orders, percent: int) -> DataFrame:
+    """(a, b): links that hold together the components of each (cluster, block) of ``members`` (node, grams), as stars."""
 
-    return (lambda by, grams: [tails(grams)]), read, check
+    def run(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        sets = [np.frombuffer(g, "<u8") for g in table.column("grams").take(pa.array(first)).to_pylist()]
+        component = np.arange(len(nodes))
+        block = Block(sets, Orders(*orders.value), percent)
+        joined(block, component, outside_largest(component))
+        star = np.unique(component, return_index=True)[1][np.unique(component, return_inverse=True)[1]]
+        own = star != np.arange(len(nodes))
+        return pa.table({"a": nodes[star[own]], "b": nodes[own]})
 
+    return stored(members.groupBy("cluster", "block").applyInArrow(run, "a long, b long"))
 
-def similarity(percent: int):
-    def check(x: np.ndarray, y: np.ndarray) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * common >= percent * (len(x) + len(y) - common)
 
-    return (lambda by, grams: [grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :STORED].tobytes()]), (lambda made: unpacked(made[0])), check
+def across_blocks(asked: DataFrame, orders, percent: int) -> DataFrame:
+    """(a, b): links of the query nodes of each (cluster, part, block) with nodes of other components there."""
 
+    def run(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        taken = table.take(pa.array(first))
+        component = np.unique(taken.column("component").to_numpy(), return_inverse=True)[1]
+        queries = np.flatnonzero(np.isin(nodes, table.column("node").to_numpy()[table.column("query").to_numpy(zero_copy_only=False)]))
+        block = Block([np.frombuffer(g, "<u8") for g in taken.column("grams").to_pylist()], Orders(*orders.value), percent)
+        links = np.array(joined(block, component, iter(queries.tolist())), np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[links[:, 0]], "b": nodes[links[:, 1]]})
 
-def verified(pairs: DataFrame, sets: DataFrame, reps: DataFrame, orders, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; each step ships more of a set, for fewer pairs."""
-    for step in (prefix_filter, room_filter, similarity):
-        pairs = narrowed(pairs, sets, reps, orders, *step(percent))
-    return pairs
+    return stored(asked.groupBy("cluster", "part", "block").applyInArrow(run, "a long, b long"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of ``links`` (a, b) reaches, by alternating large and small stars."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stored(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+def with_own(labels: DataFrame) -> DataFrame:
+    """``components`` of all nodes with links, the least of each included."""
+    return labels.union(labels.select("component", "component")).distinct()
 
 
-def links_between(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def links_between(docs: DataFrame, rows: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes: all of them, but for those inside a component that other links hold together."""
-    orders = sets.sparkSession.sparkContext.broadcast(common_grams(sets, percent))
-    found = postings(sets, orders, percent)
-    small, large = found.where(F.col("group") <= GROUP), found.where(F.col("group") > GROUP)
-
-    def hubs(turn: int) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("node", "gram", F.lit(turn)), "node"))
-        return large.withColumn("place", place).where(F.col("place") <= HUBS).drop("place")
-
-    tried = stored(pairs_of(small, small, percent, F.col("x.node") < F.col("y.node")).union(pairs_of(large, hubs(0), percent)).distinct())
-    links = verified(tried, sets, reps, orders, percent)
-    if large.isEmpty():
+    met = meetings(rows, percent)
+    chains = met.where("chained").select("a", "b")
+    pairs = met.where("NOT chained").select("a", "b")
+    clusters = stored(with_own(components(chains)).withColumnRenamed("component", "cluster"))
+    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"))
+    members = clusters.join(sizes, "node")  # n-grams that chain parts are no nodes, and stay out here
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).alias("blocks"), F.count("*").alias("__n"))
+    placed = stored(members.join(blocks, "cluster").select("node", "cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    wanted = placed.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = sets_of(docs, rows, wanted, orders, n, percent)
+    grams = sets.select("node", "grams")
+    several = placed.where("blocks > 1")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("node", "cluster"), "node"))
+    hubs = several.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("node", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    links = within_blocks(placed.select("node", "cluster", "block").union(hubs).join(grams, "node"), orders, percent)
+    # Pairs that a block has joined need no other look.
+    star = links.select("b", "a").union(links.select("a", "a")).distinct().toDF("node", "star")
+    sa, sb = star.toDF("a", "sa"), star.toDF("b", "sb")
+    open_pairs = pairs.join(sa, "a", "left").join(sb, "b", "left").where("sa IS NULL OR sb IS NULL OR sa <> sb").select("a", "b")
+    links = links.union(verified(open_pairs, sets, percent))
+    if several.isEmpty():
         return links
-    for turn in range(1, TURNS + 1):
-        labels = components(links)
-        labelled = cut(large.join(labels, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("component")))
-        main = labelled.groupBy("gram", "component").count().groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        outside = labelled.join(main, "gram").where("component <> main").drop("main")
-        # Nodes outside their group's largest component meet other hubs, and at last all of the group.
-        others = labelled if turn == TURNS else hubs(turn).join(labels, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("component"))
-        rest = stored(pairs_of(outside, others, percent, F.col("x.component") != F.col("y.component")).join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.union(verified(rest, sets, reps, orders, percent)), tried.union(rest)
-    return links
+    labelled = several.join(with_own(components(links)), "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("component"))
+    labelled = stored(labelled.join(grams, "node"))
+    main = labelled.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.first("component"))
+    queries = labelled.join(main.select("cluster", "main"), "cluster").where("component <> main")
+    dealt = queries.groupBy("cluster").agg(F.ceil(F.sum(F.length("grams")) / BLOCK_BYTES).alias("parts"))
+    queries = queries.join(dealt, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
+    columns = ["cluster", "part", "block", "node", "component", "grams", "query"]
+    asking = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("query", F.lit(True)).select(columns)
+    others = labelled.join(dealt, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("query", F.lit(False)).select(columns)
+    return links.union(across_blocks(asking.union(others), orders, percent))
 
 
 def labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of ``gram_sets``; (node, own): each node's least doc_id; (node, component) of the nodes that have links."""
-    sets = cut(gram_sets(docs, n))
-    names = cut(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")))
-    labels = components(links_between(sets, names, percent))
-    return sets, names, labels.union(labels.select("component", "component")).distinct()
+    """(doc_id, n_shingles, node, ROW) of each row; (node, own): each node's least doc_id; (node, component) of the nodes that have links."""
+    docs = texts_of(docs)
+    orders = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n, percent))
+    rows = nodes_of(docs, orders, n, percent)
+    names = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own"))
+    return rows, names, with_own(components(links_between(docs, rows, orders, n, percent)))
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -285,8 +466,9 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     one without words, has an empty set, links with nothing and is its own component.
 
     Repeated rows come out as often as they came in. Rows without doc_id take part, but
-    give no component its name; a component of such rows only has none. An empty table
-    gives an empty table. Sets are compared by hashes: nodes by 64 bits, n-grams by 40.
+    give no component its name; a component of such rows only has none. Other columns of
+    ``docs``, whatever their names, are not looked at. An empty table gives an empty
+    table. Sets and n-grams are told apart by hashes of 64 bits.
     """
     sets, names, labels = labelled(docs, n, percent)
     named = labels.join(names, "node")
@@ -304,8 +486,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     component of rows without doc_id keeps one of them, and rows that share a doc_id but
     not a component each stand for their own.
     """
-    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets, _, labels = labelled(docs.select("doc_id", "text", row.alias(ROW)), n, percent)
+    sets, _, labels = labelled(docs, n, percent)
     rows = sets.select("doc_id", "node", ROW)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).getField(ROW)
     first = rows.where("node IS NOT NULL").join(labels, "node", "left").groupBy(F.coalesce("component", "node")).agg(least.alias(ROW)).select(ROW, F.lit(False).alias("__all"))
@@ -313,7 +494,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     # Dealt by ROW for the join, the rows need not move again for the window.
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     place = F.row_number().over(Window.partitionBy(ROW, "doc_id", "text").orderBy(*others or [F.lit(0)]))
-    return docs.withColumn(ROW, row).join(stay, ROW).withColumn("__place", place).where("__all OR __place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn(ROW, row_key(docs)).join(stay, ROW).withColumn("__place", place).where("__all OR __place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -176,10 +176,12 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("n, percent, group", [(4, 85, 8), (5, 80, 2), (2, 60, 3)])
-def test_ngram_join(docs, empty, monkeypatch, n, percent, group):
+@pytest.mark.parametrize("n, percent, group, part, block", [(4, 85, 8, 100_000, 4_000_000), (5, 80, 2, 100_000, 12_000), (2, 60, 3, 7, 6_000), (3, 70, 1, 3, 20_000)])
+def test_ngram_join(docs, empty, monkeypatch, n, percent, group, part, block):
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", part)
     monkeypatch.setattr(ngram_join, "HUBS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
     wanted = brute_components(corpus(), n, percent)
     found = ngram_join.ngram_components(docs, n, percent).collect()
     assert len(found) == len(corpus())
