@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,15 @@ class Words:
 
 def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Each batch in pieces of about ``most`` bytes of ``column``, with that column's values; a longer text is a piece of its own."""
+    for batch in batches:
+        values = binary(batch.column(column))
+        ends = np.cumsum([len(v or b"") for v in values])
+        start = 0
+        while start < len(values):
+            stop = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), side="right")))
+            yield batch.slice(start, stop - start), values[start:stop]
+            start = stop

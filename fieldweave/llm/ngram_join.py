@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Words, binary, gram_hashes, mix, stored
+from fieldweave.llm.common import Words, gram_hashes, mix, slices, stored
 
 N, PERCENT = 5, 80
 ORDERS = 3
@@ -106,8 +106,8 @@ def common_grams(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for batch in batches:
-            found = [by.prefix(g, 0, percent) for g in gram_sets(binary(batch.column("text")), n) if len(g)]
+        for _, texts in slices(batches):
+            found = [by.prefix(g, 0, percent) for g in gram_sets(texts, n) if len(g)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
 
@@ -125,8 +125,8 @@ def nodes_of(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Orders(*orders.value)
-        for batch in batches:
-            sets = gram_sets(binary(batch.column("text")), n)
+        for batch, texts in slices(batches):
+            sets = gram_sets(texts, n)
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             grams, parts, ends, seen = [], [], [0], {None}
             for own, node in zip(sets, nodes, strict=True):
@@ -272,9 +272,9 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, orders, n: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, seen = Orders(*orders.value), set()
-        for batch in batches:
-            batch = batch.filter(pa.array([k not in seen and not seen.add(k) for k in batch.column("node").to_pylist()], pa.bool_()))
-            sets = gram_sets(binary(batch.column("text")), n)
+        new = (b.filter(pa.array([k not in seen and not seen.add(k) for k in b.column("node").to_pylist()], pa.bool_())) for b in batches)
+        for batch, texts in slices(new):
+            sets = gram_sets(texts, n)
             tails = [[s[by.place(s, o, percent, counts)].astype("<u4").tobytes() for o in range(1, ORDERS)] for s in sets for counts in [by.counts(s)]]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tails, pa.list_(pa.binary())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "prefixes", "grams"])
 
