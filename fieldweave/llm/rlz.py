@@ -1,19 +1,24 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The corpus itself is the reference. It is indexed in blocks: each run of windows (of
-``window`` words) whose smallest k-gram hash is the same belongs to the block of that
-hash, its anchor, so equal windows always meet in one block, wherever they stand. A
-document is parsed against every block that its own anchors name:
-
-* greedy factors: a run that equals another run of its block, all of it, is a factor;
-  factors of neighbouring blocks join to the longest ones;
-* factor boundaries: where runs of a block differ, the match ends inside a run, and
-  the run's windows are looked up one by one among the windows of the block.
-
-Every word under a factor of at least one window is a duplicate. Blocks with a single
-run are never shipped. Equal runs of an Arrow batch go into one row before any shuffle,
-so a passage in very many documents comes to its block as a few rows, and a block with
-very many differing runs is dealt over several tasks by the windows' hashes.
+The corpus itself is the reference, indexed in blocks: a run of windows (of ``window``
+words) whose smallest k-gram hash is the same belongs to the block of that hash, its
+anchor, so equal windows always meet in one block, wherever they stand. A document is
+parsed against every block that its own anchors name:
+
+* a run that equals another run of its block is a factor as a whole;
+* the other runs of a block, one of each, are its reference text. A suffix order over it
+  gives the longest match of each place elsewhere in the block, and each run is factored
+  greedily: a factor is the longest match from where the last one ended, or one word that
+  stands nowhere else. A factor of ``window`` words or more is a duplicate span;
+* at factor boundaries, a window that no factor holds is looked at by its own longest
+  match, which another place of the reference may have.
+
+Every word under a span is a duplicate; spans of neighbouring blocks join in the document.
+Blocks of one run are never shipped, unless it holds a window twice. Equal
+runs of an Arrow batch go into one row before any shuffle, so a passage in very many
+documents comes to its block as a few rows. A block of over BLOCK_RUNS differing runs is
+cut into pieces at windows, dealt by their hashes, so that its factors there are one
+window long and no task holds the block.
 """
 
 from __future__ import annotations
@@ -23,16 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import cut, gram_hashes, mix, with_columns, word_hashes
+from fieldweave.llm.common import Words, cut, mix, slices, with_columns
 
 WINDOW = 35
 #: Words of an anchor.
 ANCHOR = 8
-#: Runs of a block that one task compares.
+#: Runs of a block whose reference text one task holds.
 BLOCK_RUNS = 2000
+#: Words and windows that are factored at once; blocks stay whole.
+AT_ONCE = 1_000_000
 OCCURRENCE = np.dtype([("row", "<i8"), ("start", "<i4")])
 
 
@@ -46,47 +54,55 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def windows_of(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``text``, and of each window of ``window`` of them."""
-    words = word_hashes(text.split())
-    return words, gram_hashes(words, window)
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before in one of ``keys``."""
+    differs = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        differs |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate([[True], differs]))[: len(keys[0])]
 
 
-def runs_of(text: bytes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Anchor, hash, first window and number of windows of each run of ``text``."""
-    words, windows = windows_of(text, window)
+def runs_of(texts: list[bytes | None], window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Text, anchor, hash, first window and number of windows of each run of ``texts``, and whether it holds a window twice."""
+    words = Words(texts)
+    windows = words.grams(window)
     if not len(windows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = sliding_min(gram_hashes(words, anchor), window - anchor + 1)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    lengths = np.diff(np.append(starts, len(windows)))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    text = np.repeat(np.arange(len(texts)), np.diff(words.bounds))[: len(windows)]
+    at = np.flatnonzero(np.arange(len(windows)) + window <= words.bounds[text + 1])
+    least = sliding_min(words.grams(anchor), window - anchor + 1)[at]
+    first = starts_of(least, text[at])
+    lengths = np.diff(np.append(first, len(at)))
+    begin = at[first]
     # A run is told by its first and last windows and its length, and by the sum of those between.
     sums = np.concatenate([[np.uint64(0)], np.cumsum(windows)])
-    ends = starts + lengths
-    run = mix(mix(windows[starts]) + windows[ends - 1] + mix(lengths.astype(np.uint64))) ^ mix(sums[ends] - sums[starts])
-    return least[starts], run, starts, lengths
+    end = begin + lengths
+    run = mix(mix(windows[begin]) + windows[end - 1] + mix(lengths.astype(np.uint64))) ^ mix(sums[end] - sums[begin])
+    own = np.repeat(np.arange(len(first)), lengths)
+    order = np.argsort(windows[at], kind="stable")
+    a, b = order[:-1], order[1:]
+    twice = np.zeros(len(first), bool)
+    twice[own[a[(windows[at[a]] == windows[at[b]]) & (own[a] == own[b])]]] = True
+    return text[begin], least[first], run, begin - words.bounds[text[begin]], lengths, twice
 
 
 def emit_runs(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column("row").to_numpy()
-            found = [runs_of(t or b"", window, anchor) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            counts = [len(f[0]) for f in found]
-            if not sum(counts):
+        for batch, texts in slices(batches):
+            which, anchors, runs, starts, lengths, twice = runs_of(texts, window, anchor)
+            if not len(which):
                 continue
-            anchors, runs, starts, lengths = (np.concatenate([f[i] for f in found]) for i in range(4))
             at = np.empty(len(anchors), OCCURRENCE)
-            at["row"], at["start"] = np.repeat(rows, counts), starts
+            at["row"], at["start"] = batch.column("row").to_numpy()[which], starts
             order = np.lexsort((at["start"], at["row"], runs, anchors))
-            anchors, runs, lengths, at = anchors[order], runs[order], lengths[order], at[order]
-            first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (runs[1:] != runs[:-1])]))
+            anchors, runs, lengths, twice, at = anchors[order], runs[order], lengths[order], twice[order], at[order]
+            first = starts_of(anchors, runs)
             n = np.diff(np.append(first, len(anchors)))
             ends = np.append(first, len(anchors)) * OCCURRENCE.itemsize
             held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(at.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors[first].view(np.int64)), pa.array(runs[first].view(np.int64)), pa.array(lengths[first].astype(np.int32)), pa.array(n.astype(np.int64)), held],
-                ["anchor", "run", "length", "n", "at"],
+                [pa.array(anchors[first].view(np.int64)), pa.array(runs[first].view(np.int64)), pa.array(lengths[first].astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(twice[first]), held],
+                ["anchor", "run", "length", "n", "twice", "at"],
             )
 
     return run
@@ -111,95 +127,174 @@ def unpack(first_only: bool):
 UNPACKED = "anchor long, row long, start int, length int, total long"
 
 
-def emit_windows(window: int):
-    """The windows of each asked run, dealt by their hashes if the block is large."""
+def emit_reference(window: int, block_runs: int):
+    """The words of each asked run; of a large block the windows instead, dealt by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            rows = batch.column("row").to_pylist()
-            for row, text, asked in zip(rows, batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                windows = windows_of(text or b"", window)[1]
+        for batch, texts in slices(batches):
+            out: list[list] = [[], [], [], [], [], []]
+            words = Words(texts)
+            windows = words.grams(window)
+            for i, (row, asked) in enumerate(zip(batch.column("__row").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 for a in asked:
-                    own = windows[a["start"] : a["start"] + a["length"]]
-                    places = np.arange(a["start"], a["start"] + a["length"], dtype=np.int32)
-                    parts = -(-a["total"] // BLOCK_RUNS)
-                    part = (own % np.uint64(parts)).astype(np.int64)
-                    for p in np.unique(part) if parts > 1 else (0,):
-                        here = part == p
-                        for column, value in zip(out, (a["anchor"], int(p), row, own[here].tobytes(), places[here].tobytes()), strict=True):
+                    begin, parts = words.bounds[i] + a["start"], -(-a["total"] // block_runs)
+                    if parts == 1:
+                        pieces = [(0, words.hashes[begin : begin + a["length"] + window - 1].tobytes(), None)]
+                    else:
+                        own, places = windows[begin : begin + a["length"]], np.arange(a["start"], a["start"] + a["length"], dtype=np.int32)
+                        part = (own % np.uint64(parts)).astype(np.int64)
+                        pieces = [(int(p), own[part == p].tobytes(), places[part == p].tobytes()) for p in np.unique(part)]
+                    for p, hashes, places in pieces:
+                        for column, value in zip(out, (a["anchor"], p, row, a["start"], hashes, places), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["anchor", "part", "row", "windows", "places"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["anchor", "part", "row", "start", "hashes", "places"])
 
     return run
 
 
-def match_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that stand twice or more in their block. Blocks come one after another; a few million windows are compared at once."""
+REFERENCE = "anchor long, part int, row long, start int, hashes binary, places binary"
 
-    def matched(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts)
-        held = table.column("windows").to_pylist()
-        windows = np.frombuffer(b"".join(held), np.uint64)
-        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
-        counts = [len(h) // 8 for h in held]
-        rows = np.repeat(table.column("row").to_numpy(), counts)
+
+def longest_matches(words: np.ndarray, run: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of ``words``, how many words from there also start at another place of its block, and such a place.
+
+    ``run`` and ``block`` number the runs and blocks, which stand one after another; a match
+    ends where either run does. The suffixes of each block are sorted by doubling; a
+    suffix has its longest match beside it.
+    """
+    n = len(words)
+    left = np.repeat(np.append(starts_of(run)[1:], n), np.diff(np.append(starts_of(run), n))) - np.arange(n)
+    tokens = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    ranks = [np.unique(block.astype(np.int64) * (n + 1) + tokens, return_inverse=True)[1].astype(np.int64) + 1]
+    most = int(left.max(initial=1))
+    while 2 ** len(ranks) <= most:
+        step = 2 ** (len(ranks) - 1)
+        later = np.where(left > step, np.append(ranks[-1][step:], np.zeros(min(step, n), np.int64)), 0)
+        ranks.append(np.unique(ranks[-1] * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1)
+    order = np.lexsort((np.where(left > 2 ** (len(ranks) - 1), np.append(ranks[-1], np.zeros(2 ** (len(ranks) - 1), np.int64))[np.arange(n) + 2 ** (len(ranks) - 1)], 0), ranks[-1]))
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        for _ in range(2 if k == len(ranks) - 1 else 1):
+            x, y = a + common, b + common
+            fits = np.minimum(left[a], left[b]) >= common + 2**k
+            fits[fits] = ranks[k][x[fits]] == ranks[k][y[fits]]
+            common[fits] += 2**k
+    length, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    length[a], place[a] = common, b
+    better = common > length[b]
+    length[b[better]], place[b[better]] = common[better], a[better]
+    return length, place
+
+
+def greedy_factors(length: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the factors of each run, given each place's longest match; a word that matches nowhere is one of length 1."""
+    first = starts_of(run)
+    at, stop, found = first, np.append(first[1:], len(run)), []
+    while len(at):
+        own = np.maximum(length[at], 1)
+        found.append((at, own))
+        going = at + own < stop
+        at, stop = (at + own)[going], stop[going]
+    starts, lengths = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), ())))
+    order = np.argsort(starts)
+    return starts[order], lengths[order]
+
+
+def duplicate_windows(length: np.ndarray, run: np.ndarray, window: int) -> np.ndarray:
+    """Which places start a window that also starts elsewhere: those inside factors, and those at the boundaries by their own match."""
+    starts, lengths = greedy_factors(length, run)
+    ends = np.repeat(starts + lengths, lengths)
+    alone = np.repeat(length[starts] == 0, lengths)
+    inside = (np.arange(len(length)) + window <= ends) & ~alone
+    at_boundary = ~inside
+    inside[at_boundary] = length[at_boundary] >= window
+    return inside
+
+
+def parse_blocks(window: int):
+    """The spans (row, start, length) of windows that stand elsewhere too. Blocks come one after another, many at a time."""
+
+    def spans(rows: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((places, rows))
+        rows, places = rows[order], places[order]
+        first = starts_of(rows, places - np.arange(len(places)))
+        return pa.RecordBatch.from_arrays([pa.array(rows[first]), pa.array(places[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(rows))).astype(np.int32))], ["row", "start", "length"])
+
+    def factored(table: pa.Table) -> pa.RecordBatch:
+        hashes = table.column("hashes").to_pylist()
+        counts = np.array([len(h) // 8 for h in hashes])
+        words, run = np.frombuffer(b"".join(hashes), np.uint64), np.repeat(np.arange(len(counts)), counts)
+        block = np.unique(table.column("anchor").to_numpy(), return_inverse=True)[1][run]
+        length = longest_matches(words, run, block)[0]
+        good = np.flatnonzero(duplicate_windows(length, run, window))
+        place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(table.column("start").to_numpy().astype(np.int64), counts)
+        return spans(np.repeat(table.column("row").to_numpy(), counts)[good], place[good])
+
+    def dealt(table: pa.Table) -> pa.RecordBatch:
+        hashes = table.column("hashes").to_pylist()
+        windows, places = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32)
         _, which, n = np.unique(windows, return_inverse=True, return_counts=True)
         twice = n[which] > 1
-        return pa.RecordBatch.from_arrays([pa.array(rows[twice]), pa.array(places[twice]), pa.array(np.ones(int(twice.sum()), np.int32))], ["row", "start", "length"])
-
-    parts: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchor, part = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
-        if sum(p.num_rows for p in parts) >= 100_000:
-            last = (parts[-1].column("anchor")[-1].as_py(), parts[-1].column("part")[-1].as_py())
-            other = np.flatnonzero((anchor != last[0]) | (part != last[1]))
-            if len(other):
-                yield matched([*parts, batch.slice(0, other[0])])
-                parts, batch = [], batch.slice(other[0])
-        parts.append(batch)
-    if parts:
-        yield matched(parts)
-
-
-def duplicate_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(row, start, length): runs of windows of ``rows`` (row, text) whose words also start somewhere else.
-
-    Windows that only repeat within their own run are not listed; the parse finds them.
-    """
-    runs = rows.mapInArrow(emit_runs(window, anchor), "anchor long, run long, length int, n long, at binary")
+        return spans(np.repeat(table.column("row").to_numpy(), [len(h) // 8 for h in hashes])[twice], places[twice].astype(np.int64))
+
+    def parsed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        words = table.column("places").is_null()
+        for own, how in ((table.filter(words), factored), (table.filter(pa.compute.invert(words)), dealt)):
+            if own.num_rows:
+                yield how(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, part = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
+            ends = np.cumsum(pa.compute.binary_length(batch.column("hashes")).to_numpy() // 8)
+            first, begun = starts_of(anchor, part), 0
+            if last == (anchor[0], part[0]):
+                first = first[1:]
+            for f in first.tolist():
+                if size + (ends[f - 1] if f else 0) - (ends[begun - 1] if begun else 0) >= AT_ONCE:
+                    parts.append(batch.slice(begun, f - begun))
+                    yield from parsed(parts)
+                    parts, size, begun = [], 0, f
+            parts.append(batch.slice(begun))
+            size += int(ends[-1] - (ends[begun - 1] if begun else 0))
+            last = (anchor[-1], part[-1])
+        if parts:
+            yield from parsed(parts)
+
+    return run
+
+
+def duplicate_spans(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(row, start, length): runs of windows of ``base`` (__row, text, ...) whose words also start somewhere else."""
+    rows = base.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
+    runs = rows.mapInArrow(emit_runs(window, anchor), "anchor long, run long, length int, n long, twice boolean, at binary")
     block, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "run")
-    runs = runs.withColumn("total", F.sum("n").over(block)).where("total > 1")
+    runs = runs.withColumn("total", F.sum("n").over(block)).where("total > 1 OR twice")
     runs = runs.withColumn("copies", F.sum("n").over(same)).withColumn("nth", F.row_number().over(same.orderBy("at")))
     runs = cut(runs)
     factors = runs.where("copies > 1").mapInArrow(unpack(False), UNPACKED).select("row", "start", "length")
-    ends = runs.where("total > copies and nth = 1").mapInArrow(unpack(True), UNPACKED)
-    asked = ends.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "length", "total")).alias("asked"))
-    windows = rows.join(asked, "row").select("row", "text", "asked").mapInArrow(emit_windows(window), "anchor long, part int, row long, windows binary, places binary")
-    dealt = windows.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return factors.unionByName(dealt.mapInArrow(match_boundaries, "row long, start int, length int"))
+    ends = runs.where("(total > copies OR twice) AND nth = 1").mapInArrow(unpack(True), UNPACKED)
+    asked = ends.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "length", "total")).alias("asked")).withColumnRenamed("row", "__asks")
+    # All columns go along, so that this join and the last one read the same shuffle of the texts.
+    words = base.join(asked, F.col("__row") == F.col("__asks")).mapInArrow(emit_reference(window, BLOCK_RUNS), REFERENCE)
+    dealt = words.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return factors.unionByName(dealt.mapInArrow(parse_blocks(window), "row long, start int, length int"))
 
 
-def parse(text: str, spans: np.ndarray | None, window: int) -> tuple[list[bytes], np.ndarray]:
-    """The words of ``text`` and which of them a duplicate factor covers.
-
-    ``spans``: first window and number of windows of each factor found in the reference;
-    windows that repeat within the text itself are added here.
-    """
+def covered(text: str, spans: list, window: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of ``text`` and which of them the spans (first window, number of windows) cover."""
     raw = text.encode().split()
-    n = len(raw)
-    if n < window:
-        return raw, np.zeros(n, bool)
-    _, which, counts = np.unique(gram_hashes(word_hashes(raw), window), return_inverse=True, return_counts=True)
-    edges = np.zeros(n + 1, np.int64)
-    own = np.flatnonzero(counts[which] > 1)
-    starts, stops = own, own + window
+    edges = np.zeros(len(raw) + 1, np.int64)
     if spans is not None and len(spans):
-        starts, stops = np.append(starts, spans[:, 0]), np.append(stops, spans[:, 0] + spans[:, 1] + window - 1)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, stops, -1)
+        own = np.array([(s["start"], s["length"]) for s in spans], np.int64)
+        np.add.at(edges, own[:, 0], 1)
+        np.add.at(edges, own[:, 0] + own[:, 1] + window - 1, -1)
     return raw, np.cumsum(edges[:-1]) > 0
 
 
@@ -218,23 +313,22 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
     if anchor >= window:
         raise ValueError("an anchor must be shorter than a window")
-    row = F.xxhash64("doc_id", "text")
-    found = duplicate_spans(docs.select(row.alias("row"), F.col("text").cast("string").alias("text")), window, anchor)
+    base = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = duplicate_spans(base, window, anchor)
     spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("__spans")).withColumnRenamed("row", "__found")
 
     @F.pandas_udf("text string, n_words long, n_removed long, spans array<struct<start:int,length:int>>")
     def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for text, own in zip(texts, spans, strict=True):
-            own = None if own is None or not len(own) else np.array([(s["start"], s["length"]) for s in own], np.int64)
-            words, gone = parse(text or "", own, window)
+            words, gone = covered(text or "", own, window)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
             out.append((kept.decode(), len(words), int(gone.sum()), [{"start": int(a), "length": int(b - a)} for a, b in edges.reshape(-1, 2)]))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed", "spans"])
 
-    joined = docs.withColumn("__row", row).join(spans, F.col("__row") == F.col("__found"), "left")
-    joined = joined.select(*(docs[c] for c in docs.columns), run(docs["text"].cast("string"), "__spans").alias("__kept"))
+    joined = base.join(spans, F.col("__row") == F.col("__found"), "left")
+    joined = joined.select(*(base[c] for c in docs.columns), run(base["text"].cast("string"), "__spans").alias("__kept"))
     out = with_columns(joined, n_words=F.col("__kept.n_words"), n_removed=F.col("__kept.n_removed"), spans=F.col("__kept.spans"))
     return out.select(*(F.col("__kept.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in out.columns if c != "__kept"))
 

@@ -335,3 +335,31 @@ def test_substring_dedup(docs, empty, monkeypatch, window, anchor, runs):
     assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.text)) for r in found) == wanted and sum(r.n_removed for r in found) > 1000
     assert all(sum(s.length for s in r.spans) == r.n_removed for r in found)
     assert rlz.dedup_substrings(empty).count() == 0
+
+
+def test_factors_are_the_longest_matches():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        runs = int(rng.integers(1, 6))
+        lengths = rng.integers(1, 25, runs)
+        run, block = np.repeat(np.arange(runs), lengths), np.repeat(np.sort(rng.integers(0, 3, runs)), lengths)
+        words = rng.integers(0, rng.choice([1, 2, 3, 10]), len(run)).astype(np.uint64)
+        ends = np.repeat(np.cumsum(lengths), lengths)
+
+        def common(i, j):
+            k = 0
+            while i + k < ends[i] and j + k < ends[j] and words[i + k] == words[j + k]:
+                k += 1
+            return k
+
+        wanted = [max((common(i, j) for j in range(len(words)) if i != j and block[i] == block[j]), default=0) for i in range(len(words))]
+        found, place = rlz.longest_matches(words, run, block)
+        assert found.tolist() == wanted
+        assert all(not n or (p != i and block[p] == block[i] and common(i, p) == n) for i, (n, p) in enumerate(zip(wanted, place.tolist(), strict=True)))
+        at, factors = 0, []
+        while at < len(words):
+            factors.append((at, max(wanted[at], 1)))
+            at += factors[-1][1]
+        assert list(zip(*(c.tolist() for c in rlz.greedy_factors(found, run)), strict=True)) == factors
+        for window in (1, 3, 6):
+            assert rlz.duplicate_windows(found, run, window).tolist() == [n >= window for n in wanted]
