@@ -7,10 +7,9 @@ Grammar of a formatted conversation:
     mark         := "" (body as it is) | "!" (body escaped)
 
 A deterministic parser reads it back: it cuts at every "</s>", and a piece is a role
-up to its first "]" and a body. A text that holds "</s>" would be cut, so what the
-parser recovers is compared with the source and, while it differs, more is escaped:
-first no text, then the texts with control strings, then all. Roles are always
-escaped. Escaping writes the characters of the grammar, and the backslash, as a
+up to its first "]" and a body. Roles, and texts that hold a control string, are always
+escaped, so none stands raw in a formatted conversation. What the parser recovers is
+compared with the source and, where it differs, all texts are escaped. Escaping writes the characters of the grammar, and the backslash, as a
 backslash and a letter, so it is undone exactly.
 """
 
@@ -63,42 +62,39 @@ def parse(formatted):
     return F.when((F.get(pieces, F.size(pieces) - 1) == "") & ~F.exists(parsed, lambda t: t.isNull()), parsed)
 
 
-def format_chats(turns: DataFrame, guard: bool = False) -> DataFrame:
+def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, n_turns, loss_spans) for each conversation of ``turns`` (conv_id, turn, role, text).
 
     loss_spans: array<struct<start, length>>, code points of ``formatted`` that hold the
     (possibly escaped) text of each assistant turn, and whether it is escaped.
 
-    With ``guard`` every text that holds a CONTROL string is escaped, also where the
-    conversation would be read back without.
-
     Turns stand in the order of turn, nulls first; equal turn numbers by role, then
     text, and repeated rows are turns of their own. A null text or role is an empty one.
-    Rows without conv_id form one conversation. Other columns are left out. An empty
-    table gives an empty table; a conversation that cannot be recovered is an error.
+    A row without conv_id is a conversation of its own, so such rows never gather. Other
+    columns, whatever their names, are left out. An empty table gives an empty table; a conversation that cannot be recovered is an error.
     """
     rows = turns.select(
         "conv_id",
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("__alone"),
         F.struct(
             F.col("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    convs = rows.groupBy("conv_id", "__alone").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     convs = convs.withColumn("source", F.transform("ts", lambda t: F.struct(t.getField("role").alias("role"), t.getField("text").alias("text"))))
     holds = lambda t: reduce(lambda a, b: a | b, (F.contains(t.getField("text"), F.lit(c)) for c in CONTROL))
-    levels = (lambda t: F.lit(False), holds, lambda t: F.lit(True))
+    levels = (holds, lambda t: F.lit(True))
 
     def rendered(level):
-        return F.transform("source", lambda t: turn_text(t.getField("role"), t.getField("text"), level(t)))
+        return F.array_join(F.transform("source", lambda t: turn_text(t.getField("role"), t.getField("text"), level(t))), "")
 
     for i, level in enumerate(levels):
-        convs = convs.withColumn(f"try{i}", F.array_join(rendered(level), ""))
+        convs = convs.withColumn(f"try{i}", rendered(level))
     same = lambda i: F.coalesce(parse(F.col(f"try{i}")) == F.col("source"), F.lit(False))
-    convs = convs.withColumn("level", F.when(same(0) & F.lit(not guard), 0).when(same(1), 1).when(same(2), 2).otherwise(F.raise_error(F.lit("a conversation does not survive its own grammar"))).cast("int"))
-    pick = lambda what: F.when(F.col("level") == 0, what(0)).when(F.col("level") == 1, what(1)).otherwise(what(2))
-    escaped = lambda t: F.when(F.col("level") == 0, F.lit(False)).when(F.col("level") == 1, holds(t)).otherwise(F.lit(True))
+    convs = convs.withColumn("level", F.when(same(0), 0).when(same(1), 1).otherwise(F.raise_error(F.lit("a conversation does not survive its own grammar"))).cast("int"))
+    escaped = lambda t: F.when(F.col("level") == 0, holds(t)).otherwise(F.lit(True))
     lengths = F.transform(
         "source",
         lambda t: F.struct(
@@ -121,7 +117,7 @@ def format_chats(turns: DataFrame, guard: bool = False) -> DataFrame:
         ),
         lambda acc: acc.getField("spans"),
     )
-    return convs.select("conv_id", pick(lambda i: F.col(f"try{i}")).alias("formatted"), F.size("ts").cast("long").alias("n_turns"), spans.alias("loss_spans"))
+    return convs.select("conv_id", F.when(F.col("level") == 0, F.col("try0")).otherwise(F.col("try1")).alias("formatted"), F.size("ts").cast("long").alias("n_turns"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -131,10 +127,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_text", masked)
 
 
-def op8_chat(spark, sf_dir: str, guard: bool = False) -> DataFrame:
+def op8_chat(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
-    back = read_back(format_chats(turns.unionByName(extra), guard))
+    back = read_back(format_chats(turns.unionByName(extra)))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -147,7 +143,7 @@ def op8_chat(spark, sf_dir: str, guard: bool = False) -> DataFrame:
 
 
 def op8_chat_guarded(spark, sf_dir: str) -> DataFrame:
-    return op8_chat(spark, sf_dir, guard=True)
+    return op8_chat(spark, sf_dir)
 
 
 SQL = r"""
@@ -156,7 +152,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, contains(text, '<s>') OR contains(text, '</s>') OR contains(text, '[INST]') OR contains(text, '[/INST]') AS holds,
-    bool_or(contains(text, '</s>')) OVER (PARTITION BY conv_id) AS breaks,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone,
     length(text) + length(regexp_replace(text, '[^\\<\[\]!]', '', 'g')) AS escaped_length,
     length(role) + length(regexp_replace(role, '[^\\<\[\]!]', '', 'g')) AS role_length
   FROM t
@@ -165,8 +161,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(9 + role_length + CASE WHEN breaks AND holds THEN 1 + escaped_length ELSE length(text) END)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+  sum(9 + role_length + CASE WHEN holds THEN 1 + escaped_length ELSE length(text) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id, alone
 """
-
-SQL_GUARDED = SQL.replace("WHEN breaks AND holds THEN", "WHEN holds THEN")

@@ -29,7 +29,7 @@ def test_guarded_chats_hold_no_raw_control_string(spark, tmp_path):
     texts = {1: "<s>[", 2: "[INST]", 3: "a [/INST] b", 4: "plain ] text", 5: "</s>"}
     rows = [(k, t, r, x) for k, x in texts.items() for t, r in enumerate(("user", "assistant"))]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for r in chat.read_back(chat.format_chats(turns, guard=True)).collect():
+    for r in chat.read_back(chat.format_chats(turns)).collect():
         assert [t.text for t in r.turns] == [texts[r.conv_id]] * 2 and r.loss_text == texts[r.conv_id]
         assert ("!]" in r.formatted) == (r.conv_id != 4)
         assert r.formatted.count("<s>[") == r.formatted.count("</s>") == 2 and "INST]" not in r.formatted
@@ -37,4 +37,4 @@ def test_guarded_chats_hold_no_raw_control_string(spark, tmp_path):
     frame = chat.op8_chat_guarded(spark, str(tmp_path))
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    assert sorted(map(tuple, frame.collect())) == sorted(db.sql(f"SELECT {', '.join(frame.columns)} FROM ({chat.SQL_GUARDED})").fetchall())
+    assert sorted(map(tuple, frame.collect())) == sorted(db.sql(f"SELECT {', '.join(frame.columns)} FROM ({chat.SQL})").fetchall())
