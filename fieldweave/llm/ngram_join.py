@@ -11,10 +11,11 @@ n-gram of the first order meet in one of two ways, neither of which pairs out a
 
 * up to GROUP nodes: their pairs, a few a node. The other orders' prefixes are joined to a
   pair first, and the sets only to pairs that pass them all.
-* more than GROUP nodes: such n-grams are chained to clusters of nodes, each node once. A
-  task holds a cluster (or a block of at most BLOCK_BYTES of it), applies the filters of
-  all orders and the similarity to it in memory, and gives the links that hold its
-  components together. Of a cluster of several blocks, each also holds a few HUBS of the
+* more than GROUP nodes: such n-grams chain their nodes to clusters, a band of set sizes
+  at a time; a node stands in two bands, and sets near enough in size share one. A task
+  holds a cluster (or a block of about BLOCK_BYTES of it), applies the filters of all
+  orders and the similarity to it in memory by an index of its prefixes, and gives the
+  links that hold its components together. Of a cluster of several blocks, each also holds a few HUBS of the
   whole; then nodes outside its largest component meet all its other blocks.
 """
 
@@ -28,18 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Words, gram_hashes, mix, slices, stored
+from fieldweave.llm.common import GOLDEN, Words, gram_hashes, mix, slices, stored
 
 N, PERCENT = 5, 80
 ORDERS = 3
 #: Common n-grams that are told apart, at most (16 bytes each, to every task).
 COMMON_MOST = 250_000
 #: Nodes of a prefix n-gram whose pairs are made; more are a cluster.
-GROUP = 8
+GROUP = 32
 #: Bytes of n-gram hashes that a task compares with each other, and nodes of a cluster that all its blocks hold.
-BLOCK_BYTES, HUBS = 4_000_000, 8
+BLOCK_BYTES, HUBS = 16_000_000, 8
 #: Rows that a task gets of one n-gram; one with more is dealt to several.
 PART_ROWS = 100_000
+PAIR, CHAIN, MEMBER = range(3)
 #: A hash of a row's doc_id and text, where rows and not doc_ids are told apart.
 ROW = "__row"
 
@@ -163,8 +165,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
 
 
-class Stars:
-    """Edges of a task, as stars of their components whenever twice as many have come."""
+class Pairs:
+    """Pairs of a task, without repeats; they are gone through whenever twice as many have come."""
 
     def __init__(self):
         self.held, self.size, self.most = [], 0, 500_000
@@ -173,12 +175,25 @@ class Stars:
         self.held.append((a, b))
         self.size += len(a)
         if self.size > self.most:
-            self.held = [self.stars()]
+            self.held = [self.pairs()]
             self.size = len(self.held[0][0])
             self.most = max(self.most, 2 * self.size)
 
-    def stars(self) -> tuple[np.ndarray, np.ndarray]:
-        return forest(*(np.concatenate(c) for c in zip(*self.held, strict=True))) if self.held else (np.zeros(0, np.int64),) * 2
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.shortened(*(np.concatenate(c) for c in zip(*self.held, strict=True))) if self.held else (np.zeros(0, np.int64),) * 2
+
+    @staticmethod
+    def shortened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        return a[new], b[new]
+
+
+class Stars(Pairs):
+    """Edges of a task, as the stars of their components."""
+
+    shortened = staticmethod(forest)
 
 
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +201,7 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = Stars()
     for batch in batches:
         edges.add(*(c.to_numpy() for c in batch.columns))
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges.stars()], ["u", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges.pairs()], ["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,10 +227,15 @@ def components(links: DataFrame) -> DataFrame:
 def meet(percent: int):
     """Of rows (gram, part, node, size) in this order: pairs of the nodes of small n-grams, and edges that chain those of large ones."""
 
-    def rows_of(a, b, chained: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), chained))], ["a", "b", "chained"])
+    width = np.log(100 / percent) + 1e-6  # of a band; sizes that a link allows are at most one band apart
+
+    def rows_of(a, b, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+
+    def places(node: np.ndarray, band: np.ndarray) -> np.ndarray:
+        return mix(node.view(np.uint64) ^ mix(band.astype(np.uint64) + GOLDEN)).view(np.int64)
 
-    def groups(chains: Stars, gram, part, node, size, chained) -> pa.RecordBatch:
+    def groups(chains: Stars, members: Pairs, gram, part, node, size, chained) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
         count = np.diff(np.append(first, len(gram)))
         large = (count > GROUP) | (part[first] > 0)
@@ -227,13 +247,24 @@ def meet(percent: int):
             a, b = rows[:, i].ravel(), rows[:, j].ravel()
             near = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
             out.append((node[a[near]], node[b[near]]))
-        inner = np.repeat(large, count)
-        dealt = first[large & (part[first] > 0)]  # parts of one n-gram meet at the n-gram itself
-        chains.add(np.append(node[inner], node[dealt]), np.append(node[np.repeat(first, count)[inner]], gram[dealt]))
-        return rows_of(*(np.concatenate(x) for x in zip(*out, strict=True)), False)
+        inner = np.flatnonzero(np.repeat(large, count))
+        if len(inner):
+            at = np.append(inner, inner)
+            band = np.floor(np.log(size[inner]) / width).astype(np.int64)
+            band = np.append(band, band + 1)
+            order = np.lexsort((at, band, np.repeat(np.arange(len(first)), count)[at]))
+            at, band = at[order], band[order]
+            own = places(node[at], band)
+            begins = np.flatnonzero(np.concatenate([[True], (gram[at[1:]] != gram[at[:-1]]) | (part[at[1:]] != part[at[:-1]]) | (band[1:] != band[:-1])]))
+            centre = np.repeat(own[begins], np.diff(np.append(begins, len(own))))
+            parts = begins[part[at[begins]] > 0]  # parts of one n-gram meet at the n-gram itself
+            chains.add(np.append(own, own[parts]), np.append(centre, places(gram[at[parts]], band[parts])))
+            members.add(own, node[at])
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return rows_of(np.minimum(a, b), np.maximum(a, b), PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chained, chains = None, False, Stars()
+        held, chained, chains, members = None, False, Stars(), Pairs()
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in ("gram", "part", "node", "size")]
             if not len(rows[0]):
@@ -244,23 +275,24 @@ def meet(percent: int):
             gram, part = held[:2]
             last = int(np.argmax((gram == gram[-1]) & (part == part[-1])))
             if last:
-                yield groups(chains, *(c[:last] for c in held), chained)
+                yield groups(chains, members, *(c[:last] for c in held), chained)
                 held, chained = [c[last:] for c in held], False
             elif len(gram) > PART_ROWS:  # one n-gram only: chain what is here, and go on from its first node
-                yield groups(chains, *held, True)
+                yield groups(chains, members, *held, True)
                 held, chained = [c[:1] for c in held], True
         if held is not None:
-            yield groups(chains, *held, chained)
-        yield rows_of(*chains.stars(), True)
+            yield groups(chains, members, *held, chained)
+        yield rows_of(*chains.pairs(), CHAIN)
+        yield rows_of(*members.pairs(), MEMBER)
 
     return run
 
 
 def meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, chained): pairs that may be similar, and edges of clusters, the stars of each task."""
+    """(a, b, kind): PAIRs of nodes that may be similar; CHAINs between places of nodes in bands, the stars of each task; MEMBERs (place, node)."""
     postings = rows.where("node IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("p")).select("p.gram", "p.part", "node", "size")
     dealt = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
-    return stored(dealt.mapInArrow(meet(percent), "a long, b long, chained boolean").distinct())
+    return stored(dealt.mapInArrow(meet(percent), "a long, b long, kind int").distinct())
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, orders, n: int, percent: int) -> DataFrame:
@@ -316,6 +348,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return kept(pairs, sets, "grams", lambda made: np.frombuffer(made, "<u8"), similar)
 
 
+class Lists:
+    """Lists of numbers, one after another."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def one(self, i: int) -> np.ndarray:
+        return self.values[self.starts[i] : self.starts[i] + self.lengths[i]]
+
+    def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of those lists, and where each begins among them."""
+        lengths = self.lengths[which]
+        begins = np.cumsum(lengths) - lengths
+        return self.values[np.repeat(self.starts[which] - begins, lengths) + np.arange(lengths.sum())], begins
+
+
 class Block:
     """Sets of n-grams in memory, and which of them are linked with a given one."""
 
@@ -324,39 +373,43 @@ class Block:
         self.size = np.array([len(s) for s in sets], np.int64)
         grams, ids = np.unique(np.concatenate(sets), return_inverse=True)
         self.flags = np.zeros(len(grams), bool)
-        self.whole = (ids, np.cumsum(self.size) - self.size)
+        self.whole = Lists(ids, self.size)
         counts = by.counts(grams)
         self.prefixes = []
         for order in range(ORDERS):
-            own = [i + by.place(s, order, percent, counts[ids[i : i + len(s)]]) for i, s in zip(self.whole[1].tolist(), sets, strict=True)]
-            lengths = np.array([len(p) for p in own])
-            self.prefixes.append((ids[np.concatenate(own)], np.cumsum(lengths) - lengths))
-
-    def _marked(self, part, x: int) -> np.ndarray:
-        ids, starts = part
-        own = ids[starts[x] : starts[x + 1] if x + 1 < len(starts) else len(ids)]
+            own = [i + by.place(s, order, percent, counts[ids[i : i + len(s)]]) for i, s in zip(self.whole.starts.tolist(), sets, strict=True)]
+            self.prefixes.append(Lists(ids[np.concatenate(own)], np.array([len(p) for p in own])))
+        first = self.prefixes[0]
+        holders = np.repeat(np.arange(len(sets)), first.lengths)[np.argsort(first.values, kind="stable")]
+        self.holders = Lists(holders, np.bincount(first.values, minlength=len(grams)))
+
+    def _hits(self, lists: Lists, x: int, others: np.ndarray, count: np.ufunc, kind: type) -> np.ndarray:
+        own = lists.one(x)
         self.flags[own] = True
-        hits = self.flags[ids]
+        values, begins = lists.some(others)
+        hits = count.reduceat(self.flags[values], begins, dtype=kind)
         self.flags[own] = False
         return hits
 
-    def links(self, x: int) -> np.ndarray:
-        """Which sets are linked with set ``x``: those in every order's filter whose similarity is enough."""
-        good = np.minimum(self.size, self.size[x]) * 100 >= np.maximum(self.size, self.size[x]) * self.percent
-        for part in self.prefixes:
-            good &= np.logical_or.reduceat(self._marked(part, x), part[1])
-        good[x] = False
-        if good.any():
-            common = np.add.reduceat(self._marked(self.whole, x), self.whole[1], dtype=np.int64)
-            good &= 100 * common >= self.percent * (self.size + self.size[x] - common)
-        return good
+    def links(self, x: int, component: np.ndarray) -> np.ndarray:
+        """The sets of other components that are linked with set ``x``: in every order's filter, and similar enough."""
+        near = np.unique(self.holders.some(self.prefixes[0].one(x))[0])
+        size, own = self.size[near], self.size[x]
+        near = near[(component[near] != component[x]) & (np.minimum(size, own) * 100 >= np.maximum(size, own) * self.percent)]
+        for lists in self.prefixes[1:]:
+            if len(near):
+                near = near[self._hits(lists, x, near, np.logical_or, bool)]
+        if len(near):
+            common = self._hits(self.whole, x, near, np.add, np.int64)
+            near = near[100 * common >= self.percent * (self.size[near] + own - common)]
+        return near
 
 
 def joined(block: Block, component: np.ndarray, queries: Iterator[int]) -> list[tuple[int, int]]:
     """Links that join the components of ``queries`` with others; ``component`` is brought up to date."""
     found = []
     for x in queries:
-        linked = np.flatnonzero(block.links(x) & (component != component[x]))
+        linked = block.links(x, component)
         if len(linked):
             others, first = np.unique(component[linked], return_index=True)
             found += [(x, int(y)) for y in linked[first]]
@@ -415,13 +468,14 @@ def with_own(labels: DataFrame) -> DataFrame:
 def links_between(docs: DataFrame, rows: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes: all of them, but for those inside a component that other links hold together."""
     met = meetings(rows, percent)
-    chains = met.where("chained").select("a", "b")
-    pairs = met.where("NOT chained").select("a", "b")
-    clusters = stored(with_own(components(chains)).withColumnRenamed("component", "cluster"))
+    of = lambda kind: met.where(F.col("kind") == kind).select("a", "b")
+    pairs = of(PAIR)
+    labels = with_own(components(of(CHAIN))).select(F.col("node").alias("a"), F.col("component").alias("cluster"))
+    clusters = stored(of(MEMBER).join(labels, "a").select(F.col("b").alias("node"), "cluster"))
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"))
-    members = clusters.join(sizes, "node")  # n-grams that chain parts are no nodes, and stay out here
+    members = clusters.join(sizes, "node")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).alias("blocks"), F.count("*").alias("__n"))
-    placed = stored(members.join(blocks, "cluster").select("node", "cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    placed = stored(members.join(blocks, "cluster").select("node", "cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")).distinct())
     wanted = placed.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = sets_of(docs, rows, wanted, orders, n, percent)
     grams = sets.select("node", "grams")
