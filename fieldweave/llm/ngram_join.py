@@ -10,13 +10,15 @@ Equal sets are one node from the start, so copies cost nothing. Nodes that share
 n-gram of the first order meet in one of two ways, neither of which pairs out a group:
 
 * up to GROUP nodes: their pairs, a few a node. The other orders' prefixes are joined to a
-  pair first, and the sets only to pairs that pass them all.
+  pair; pairs that pass them all chain their nodes to clusters.
 * more than GROUP nodes: such n-grams chain their nodes to clusters, a band of set sizes
-  at a time; a node stands in two bands, and sets near enough in size share one. A task
-  holds a cluster (or a block of about BLOCK_BYTES of it), applies the filters of all
-  orders and the similarity to it in memory by an index of its prefixes, and gives the
-  links that hold its components together. Of a cluster of several blocks, each also holds a few HUBS of the
-  whole; then nodes outside its largest component meet all its other blocks.
+  at a time; a node stands in two bands, and sets near enough in size share one.
+
+A task holds a cluster (or a block of about BLOCK_BYTES of it), applies the filters of all
+orders and the similarity to it in memory by an index of its prefixes, and gives the links
+that hold its components together. Between blocks of one cluster, pairs are compared one by
+one; of a chained cluster each block also holds a few HUBS of the whole, and then the nodes
+outside its largest component meet all its other blocks.
 """
 
 from __future__ import annotations
@@ -90,6 +92,10 @@ class Orders:
         return grams[self.place(grams, order, percent)]
 
 
+def node_of(grams: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+
+
 def row_key(docs: DataFrame):
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -119,34 +125,49 @@ def common_grams(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
 
 
 def nodes_of(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
-    """(doc_id, ROW, n_shingles, node, prefix): node is a hash of the set, null for an empty one.
+    """(doc_id, ROW, n_shingles, node, tails): node is a hash of the set, null for an empty one.
 
-    prefix: (gram, part) of the set's prefix under the first order, once for a node in a
-    batch; part is over 0 where an n-gram's rows are dealt to several tasks.
+    tails: 2-byte tails of the set's prefix under each order but the first, once for a node in a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Orders(*orders.value)
         for batch, texts in slices(batches):
             sets = gram_sets(texts, n)
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            grams, parts, ends, seen = [], [], [0], {None}
+            nodes, tails, seen = [node_of(s) for s in sets], [], {None}
             for own, node in zip(sets, nodes, strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    counts = by.counts(own)
-                    at = by.place(own, 0, percent, counts)
-                    dealt = -(-counts[at] // PART_ROWS)
-                    grams.append(own[at])
-                    parts.append(np.where(dealt > 1, (node % np.maximum(dealt, 1)) + 1, 0).astype(np.int32))
-                    ends.append(ends[-1] + len(at))
-                else:
-                    ends.append(ends[-1])
-            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]))], ["gram", "part"])
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), prefix], ["doc_id", ROW, "n_shingles", "node", "prefix"])
-
-    return stored(docs.mapInArrow(run, f"doc_id long, {ROW} long, n_shingles long, node long, prefix array<struct<gram: long, part: int>>"))
+                counts = None if node in seen else by.counts(own)
+                seen.add(node)
+                tails.append(None if counts is None else [own[by.place(own, o, percent, counts)].astype("<u2").tobytes() for o in range(1, ORDERS)])
+            columns = [batch.column("doc_id"), batch.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(tails, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", ROW, "n_shingles", "node", "tails"])
+
+    return stored(docs.mapInArrow(run, f"doc_id long, {ROW} long, n_shingles long, node long, tails array<binary>"))
+
+
+def prefixes_of(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
+    """(gram, part, node, size): each set's prefix under the first order; part is over 0 where an n-gram's rows are dealt to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = Orders(*orders.value)
+        for _, texts in slices(batches):
+            grams, parts, nodes, sizes, seen = [], [], [], [], set()
+            for own in gram_sets(texts, n):
+                node = node_of(own) if len(own) else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                counts = by.counts(own)
+                at = by.place(own, 0, percent, counts)
+                dealt = -(-counts[at] // PART_ROWS)
+                grams.append(own[at])
+                parts.append(np.where(dealt > 1, (node % np.maximum(dealt, 1)) + 1, 0))
+                nodes.append(np.full(len(at), node, np.int64))
+                sizes.append(np.full(len(at), len(own), np.int32))
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t).view(v)) for c, t, v in ((grams, np.uint64, np.int64), (parts, np.int32, np.int32), (nodes, np.int64, np.int64), (sizes, np.int32, np.int32))], ["gram", "part", "node", "size"])
+
+    return docs.select("text").mapInArrow(run, "gram long, part int, node long, size int")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,64 +309,63 @@ def meet(percent: int):
     return run
 
 
-def meetings(rows: DataFrame, percent: int) -> DataFrame:
+def meetings(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """(a, b, kind): PAIRs of nodes that may be similar; CHAINs between places of nodes in bands, the stars of each task; MEMBERs (place, node)."""
-    postings = rows.where("node IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("p")).select("p.gram", "p.part", "node", "size")
-    dealt = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
+    dealt = prefixes_of(docs, orders, n, percent).repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
     return stored(dealt.mapInArrow(meet(percent), "a long, b long, kind int").distinct())
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, orders, n: int, percent: int) -> DataFrame:
-    """(node, prefixes, grams) of the ``wanted`` nodes (node); prefixes: 4-byte tails under each further order.
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``wanted`` (node, ...) with the node's n-gram hashes, grams.
 
     A node's text is that of one row, found by its ROW; only those texts are hashed again.
     Rows equal in doc_id and text may bring a node more than once.
     """
+    own = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(ROW).alias("__r")).join(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, seen = Orders(*orders.value), set()
-        new = (b.filter(pa.array([k not in seen and not seen.add(k) for k in b.column("node").to_pylist()], pa.bool_())) for b in batches)
-        for batch, texts in slices(new):
-            sets = gram_sets(texts, n)
-            tails = [[s[by.place(s, o, percent, counts)].astype("<u4").tobytes() for o in range(1, ORDERS)] for s in sets for counts in [by.counts(s)]]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tails, pa.list_(pa.binary())), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "prefixes", "grams"])
+        for batch, texts in slices(batches):
+            grams = pa.array([s.astype("<u8").tobytes() for s in gram_sets(texts, n)], pa.binary())
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), grams], [*kept, "grams"])
 
-    own = rows.groupBy("node").agg(F.min(ROW).alias(ROW)).join(wanted, "node").select(F.col(ROW).alias("__r"), "node")
-    texts = docs.join(own, F.col(ROW) == F.col("__r")).select("node", "text")
-    return stored(texts.mapInArrow(run, "node long, prefixes array<binary>, grams binary"))
+    texts = docs.join(own, F.col(ROW) == F.col("__r")).select(*wanted.columns, "text")
+    return texts.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in wanted.dtypes) + ", grams binary")
 
 
-def kept(pairs: DataFrame, sets: DataFrame, column: str, read, check) -> DataFrame:
-    """The pairs (a, b) of which ``check`` holds, given what ``read`` makes of ``column`` of either node."""
+def kept(pairs: DataFrame, held: DataFrame, column: str, read, check) -> DataFrame:
+    """The pairs (a, b) of which ``check`` holds, given what ``read`` makes of ``column`` of either node in ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, own = None, None
         for batch in batches:
             found = []
             for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "xa", "xb")), strict=True):
                 if b != last:
-                    last, held = b, read(y)
-                found.append(check(read(x), held))
+                    last, own = b, read(y)
+                found.append(check(read(x), own))
             good = pa.array(found, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    one = sets.select("node", column).groupBy("node").agg(F.first(column).alias(column))
+    one = held.where(F.col(column).isNotNull()).groupBy("node").agg(F.first(column).alias(column))
     side = lambda s: one.select(F.col("node").alias(s), F.col(column).alias(f"x{s}"))
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix n-gram under every further order and whose sets are similar."""
+def sharing_prefixes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix n-gram under every further order too; told by tails, as n-grams of different tails differ."""
+    shared = lambda x, y: all(not p.isdisjoint(q) for p, q in zip(x, y, strict=True))
+    return kept(pairs, rows, "tails", lambda made: [set(memoryview(m).cast("H")) for m in made], shared)
+
 
-    def shared(x: list[set], y: list[set]) -> bool:
-        return all(not p.isdisjoint(q) for p, q in zip(x, y, strict=True))
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
 
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    def check(x: np.ndarray, y: np.ndarray) -> bool:
         common = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * common >= percent * (len(x) + len(y) - common)
 
-    pairs = kept(pairs, sets, "prefixes", lambda made: [set(memoryview(m).cast("I")) for m in made], shared)
-    return kept(pairs, sets, "grams", lambda made: np.frombuffer(made, "<u8"), similar)
+    return kept(pairs, sets, "grams", lambda made: np.frombuffer(made, "<u8"), check)
 
 
 class Lists:
@@ -467,38 +487,38 @@ def with_own(labels: DataFrame) -> DataFrame:
 
 def links_between(docs: DataFrame, rows: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes: all of them, but for those inside a component that other links hold together."""
-    met = meetings(rows, percent)
+    met = meetings(docs, orders, n, percent)
     of = lambda kind: met.where(F.col("kind") == kind).select("a", "b")
-    pairs = of(PAIR)
-    labels = with_own(components(of(CHAIN))).select(F.col("node").alias("a"), F.col("component").alias("cluster"))
-    clusters = stored(of(MEMBER).join(labels, "a").select(F.col("b").alias("node"), "cluster"))
-    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"))
-    members = clusters.join(sizes, "node")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).alias("blocks"), F.count("*").alias("__n"))
-    placed = stored(members.join(blocks, "cluster").select("node", "cluster", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")).distinct())
-    wanted = placed.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = sets_of(docs, rows, wanted, orders, n, percent)
-    grams = sets.select("node", "grams")
+    pairs = sharing_prefixes(of(PAIR), rows)
+    # Pairs left chain their nodes too. Places are hashes of their own, so both kinds of clusters stay apart.
+    labels = with_own(components(of(CHAIN).union(pairs))).select(F.col("node").alias("a"), F.col("component").alias("cluster"))
+    placed_nodes = of(MEMBER).select("a", F.col("b").alias("node"), F.lit(True).alias("banded"))
+    paired_nodes = pairs.select("a").union(pairs.select("b")).distinct().select("a", F.col("a").alias("node"), F.lit(False).alias("banded"))
+    clusters = placed_nodes.union(paired_nodes).join(labels, "a").select("node", "cluster", "banded").distinct()
+    members = clusters.join(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size")), "node")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).alias("blocks"))
+    placed = stored(members.join(blocks, "cluster").select("node", "cluster", "banded", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
     several = placed.where("blocks > 1")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("node", "cluster"), "node"))
-    hubs = several.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("node", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    links = within_blocks(placed.select("node", "cluster", "block").union(hubs).join(grams, "node"), orders, percent)
-    # Pairs that a block has joined need no other look.
-    star = links.select("b", "a").union(links.select("a", "a")).distinct().toDF("node", "star")
-    sa, sb = star.toDF("a", "sa"), star.toDF("b", "sb")
-    open_pairs = pairs.join(sa, "a", "left").join(sb, "b", "left").where("sa IS NULL OR sb IS NULL OR sa <> sb").select("a", "b")
-    links = links.union(verified(open_pairs, sets, percent))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    hubs = several.where("banded").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("node", "cluster", every("blocks").alias("block"))
+    links = within_blocks(sets_of(docs, rows, placed.select("node", "cluster", "block").union(hubs), n), orders, percent)
     if several.isEmpty():
         return links
-    labelled = several.join(with_own(components(links)), "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("component"))
-    labelled = stored(labelled.join(grams, "node"))
-    main = labelled.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.first("component"))
-    queries = labelled.join(main.select("cluster", "main"), "cluster").where("component <> main")
+    # Pairs of different blocks of their cluster are compared one by one.
+    at = several.where("NOT banded").select("node", "block")
+    apart = pairs.join(at.toDF("a", "ba"), "a").join(at.toDF("b", "bb"), "b").where("ba <> bb").select("a", "b")
+    sets = stored(sets_of(docs, rows, several.select("node").distinct(), n))
+    links = links.union(similar(apart, sets, percent))
+    labelled = several.where("banded").join(with_own(components(links)), "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("component"))
+    labelled = stored(labelled.join(sets, "node"))
+    main = labelled.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    queries = labelled.join(main, "cluster").where("component <> main")
     dealt = queries.groupBy("cluster").agg(F.ceil(F.sum(F.length("grams")) / BLOCK_BYTES).alias("parts"))
     queries = queries.join(dealt, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
     columns = ["cluster", "part", "block", "node", "component", "grams", "query"]
-    asking = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("query", F.lit(True)).select(columns)
-    others = labelled.join(dealt, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("query", F.lit(False)).select(columns)
+    asking = queries.withColumn("block", every("blocks")).withColumn("query", F.lit(True)).select(columns)
+    others = labelled.join(dealt, "cluster").withColumn("part", every("parts")).withColumn("query", F.lit(False)).select(columns)
     return links.union(across_blocks(asking.union(others), orders, percent))
 
 
