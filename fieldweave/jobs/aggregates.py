@@ -86,10 +86,14 @@ def quantile_pairs(spark, sf_dir):
     return distributions.quantile_pairs(pairs(spark, sf_dir).where("model_name = 'N'"), [1, 10, 25, 50, 75, 90, 99])
 
 
+def quantile_pairs_all(spark, sf_dir):
+    return distributions.quantile_pairs(pairs(spark, sf_dir), [1, 10, 25, 50, 75, 90, 99], ["model_name"])
+
+
 def scatter_quantiles(spark, sf_dir):
     percents = distributions.SCATTER_PERCENTS
-    found = adapters.field(spark, sf_dir).groupBy("model_name").agg(collapse.aggregate("PERCENTILE", F.col("value"), percents).alias("v"))
-    return found.select("model_name", F.posexplode("v").alias("place", "value"))
+    found = collapse.collapse(adapters.field(spark, sf_dir), ["model_name"], "PERCENTILE", percents)
+    return found.select("model_name", F.posexplode("value").alias("place", "value"))
 
 
 def hexagons(spark, sf_dir):
@@ -214,6 +218,13 @@ SELECT * FROM (SELECT model_name, bin, n * (e[bin + 1] + e[bin + 2]) / 2 / sum(n
         "field",
         f"WITH {PAIRS}, q AS (SELECT quantile_cont(base, {QQ}) AS b, quantile_cont(other, {QQ}) AS o FROM p WHERE model_name = 'N')\nFINAL\nSELECT 100 * unnest({QQ}) AS percent, unnest(b) AS base, unnest(o) AS other FROM q",
     ),
+    Query(
+        "quantile_pairs_all",
+        "model_name:s percent:r base:r other:r",
+        quantile_pairs_all,
+        "field",
+        f"WITH {PAIRS}, q AS (SELECT model_name, quantile_cont(base, {QQ}) AS b, quantile_cont(other, {QQ}) AS o FROM p GROUP BY ALL)\nFINAL\nSELECT model_name, 100 * unnest({QQ}) AS percent, unnest(b) AS base, unnest(o) AS other FROM q",
+    ),
     Query(
         "scatter_quantiles",
         "model_name:s place:i value:r",

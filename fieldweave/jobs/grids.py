@@ -210,6 +210,42 @@ BOX = """WITH size AS (SELECT time, max(iy) AS y1 FROM slab GROUP BY ALL), near
 FROM slab s JOIN size USING (time), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
 FINAL
 SELECT n.time, n.iy, n.ix, n.value - sum(s.value) / 9 AS value FROM near n JOIN slab s ON s.time = n.time AND s.iy = n.jy AND s.ix = n.jx GROUP BY n.time, n.iy, n.ix, n.value"""
+def smoothing_sql(source: str, values: str, sigma: float, reach: int, fold: str) -> str:
+    """``values`` (name = expression, ...) of ``source`` (time, part, iy, ix, ...) under a Gaussian of ``reach`` cells each way, as view m."""
+    names = [v.split("=")[0] for v in values.split(", ")]
+    sums = lambda pick: ", ".join(f"sum({pick(v)} * w) AS {v.split('=')[0]}" for v in values.split(", "))
+    at = lambda c, n: fold.format(c, n)
+    return f"""taps AS (SELECT k, exp(-0.5 * pow(k / {sigma}, 2)) / sum(exp(-0.5 * pow(k / {sigma}, 2))) OVER () AS w FROM range({-reach}, {reach + 1}) AS r(k)),
+size_ AS (SELECT time, part, max(iy) + 1 AS ny FROM {source} GROUP BY ALL), rows_ AS (SELECT DISTINCT s.time, s.part, s.iy, ny FROM {source} s JOIN size_ USING (time, part)),
+wy AS (SELECT time, part, iy, {at("iy + k", "ny")} AS jy, sum(w) AS w FROM rows_, taps GROUP BY ALL), wx AS (SELECT ix, {at("ix + k", "64")} AS jx, sum(w) AS w FROM range(0, 64) AS r(ix), taps GROUP BY ALL),
+half AS (SELECT wy.time, wy.part, wy.iy, s.ix, {sums(lambda v: v.split("=")[1])} FROM wy JOIN {source} s ON s.time = wy.time AND s.part = wy.part AND s.iy = wy.jy GROUP BY ALL),
+m AS (SELECT time, part, iy, wx.ix, {sums(lambda v: v.split("=")[0])} FROM half JOIN wx ON half.ix = wx.jx GROUP BY ALL)"""
+
+
+MIRROR = "(CASE WHEN (({0}) % (2 * {1}) + 2 * {1}) % (2 * {1}) < {1} THEN (({0}) % (2 * {1}) + 2 * {1}) % (2 * {1}) ELSE 2 * {1} - 1 - (({0}) % (2 * {1}) + 2 * {1}) % (2 * {1}) END)"
+CLAMP = "least(greatest({0}, 0), {1} - 1)"
+SIMILAR = f"""b AS (SELECT s.time, s.part, s.iy, s.ix, s.value AS x, o.value AS y FROM slabs s JOIN slabs o ON o.time = s.time + 1 AND o.part = s.part AND o.iy = s.iy AND o.ix = s.ix),
+{smoothing_sql("b", "mx=x, my=y, mxx=x*x, myy=y*y, mxy=x*y", 1.5, 5, MIRROR)}, reach_ AS (SELECT time, part, max(iy) + 1 AS ny, pow(0.01 * (max(x) - min(x)), 2) AS c1, pow(0.03 * (max(x) - min(x)), 2) AS c2 FROM b GROUP BY ALL),
+q AS (SELECT time, part, iy, ix, iy BETWEEN 5 AND ny - 6 AND ix BETWEEN 5 AND 58 AS inside,
+  (2 * mx * my + c1) * (2 * (mxy - mx * my) * 121 / 120 + c2) / ((mx * mx + my * my + c1) * ((mxx - mx * mx + myy - my * my) * 121 / 120 + c2)) AS value FROM m JOIN reach_ USING (time, part))"""
+METRES = "2 * 6378000.0 * asin(sqrt(pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({2}) / 2), 2)))"
+AGES = f"""SELECT lead, iy, ix, age FROM (WITH RECURSIVE mo AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS lead, (l_suppkey % 5)::INT AS iy, (l_partkey % 8)::INT AS ix, avg(l_quantity) - 25 AS q, avg(l_discount) - 0.05 AS d
+  FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
+w AS (SELECT lead, iy, ix, [q / 20, q / 10, q / 5] AS us, [d * 40, d * 20, d * 10] AS vs, [q * 0.001, d, -d] AS ws, [0.0, 1000.0, 2500.0]::DOUBLE[] AS zs FROM mo),
+sp AS (SELECT iy, ix, {METRES.format("(50 + iy * 0.1::DOUBLE)", "(50 + iy * 0.1::DOUBLE)", "0.15::DOUBLE")} AS dx, {METRES.format("(50 + iy * 0.1::DOUBLE)", "(50 + (iy + CASE WHEN iy < 4 THEN 1 ELSE -1 END) * 0.1::DOUBLE)", "0.0::DOUBLE")} AS dy
+  FROM (SELECT DISTINCT iy, ix FROM mo)),
+s AS (SELECT lead AS l0, iy AS y0, ix AS x0, dx, dy, lead, iy::DOUBLE AS y, ix::DOUBLE AS x, 2 AS k, NULL::DOUBLE AS first, 0 AS step, false AS gone, false AS lost FROM w JOIN sp USING (iy, ix) WHERE lead >= 1
+  UNION ALL
+  SELECT l0, y0, x0, dx, dy, lead, y, x, list_position(list_transform(zs, lambda z: abs(z - moved)), list_min(list_transform(zs, lambda z: abs(z - moved)))), coalesce(first, moved), step, coalesce(away, false), (y IS NULL OR x IS NULL) AND NOT coalesce(away, false)
+  FROM (SELECT *, y < 0 OR y >= 5 OR x < 0 OR x >= 8 AS away FROM (
+    SELECT l0, y0, x0, dx, dy, s.lead - 1 AS lead, y - vs[k] * 3600 / dy AS y, x - us[k] * 3600 / dx AS x, first, coalesce(first, zs[k]) - ws[k] * 3600 AS moved, zs, step + 1 AS step
+    FROM s LEFT JOIN w ON w.lead = s.lead AND w.iy = floor(y) AND w.ix = floor(x) WHERE NOT gone AND NOT lost AND s.lead > 0)))
+SELECT l0 AS lead, y0 AS iy, x0 AS ix, CASE WHEN gone THEN step - 1 WHEN NOT lost THEN l0 END::DOUBLE AS age FROM s WHERE gone OR lost OR lead = 0)"""
+UNSTABLE = f"""WITH {LEVELS}, s AS (SELECT *, 280 + value / 10 AS t, 1000 - z / 10 AS p, 0.85 + d AS rh FROM lv), e AS (SELECT *, 6.1121 * exp(17.502 * (t - 273.15) / (240.97 + t - 273.15)) AS e FROM s),
+w AS (SELECT *, 0.62197 * e / (p - e) * rh AS w FROM e), h AS (SELECT *, t / pow(p / 1000, 287.05 / 1005) * pow(rh, -w * 461.52 / 1005) * exp(2.501e6 * w / (1005 * t)) AS h FROM w),
+n AS (SELECT *, (lead(h) {NEXT} - h) / (lead(z) {NEXT} - z) AS slope FROM h)
+FINAL
+SELECT model_name, time, sum((coalesce(slope < 0, false) AND rh > 0.9)::INT) AS value FROM n GROUP BY ALL"""
 SPECTRUM_ALL = SPECTRUM.replace("slab", "slabs").replace("time", "time, part")
 BOX_ALL = """WITH size AS (SELECT time, part, max(iy) AS y1 FROM slabs GROUP BY ALL), near AS (SELECT s.time, s.part, s.iy, s.ix, s.value, least(greatest(s.iy + dy, 0), y1) AS jy, least(greatest(s.ix + dx, 0), 63) AS jx
 FROM slabs s JOIN size USING (time, part), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
@@ -254,7 +290,7 @@ SELECT model_name, time, avg(value) AS value FROM c GROUP BY ALL""",
 FINAL
 SELECT *, CASE WHEN d >= 180 THEN d - 360 WHEN d < -180 THEN d + 360 ELSE d END AS directional_shear FROM t""",
     ),
-    Query("unstable_mask", "model_name:s time:t value:r", unstable_mask),
+    Query("unstable_mask", "model_name:s time:t value:r", unstable_mask, "", UNSTABLE),
     Query(
         "vertical_interpolation",
         "model_name:s time:t level_height:r value:r n:l",
@@ -327,12 +363,18 @@ SELECT model_name, time, point, place, value FROM field JOIN l USING (iy, ix)"""
     Query("rotated_poles", "s_suppkey:l rlat:r rlon:r back_lat:r back_lon:r metres:r", rotated_poles, "", ROTATED),
     Query("box_perturbation", "time:i iy:i ix:i value:r", box_perturbation, "slab", BOX),
     Query("box_perturbation_all", "time:i part:i iy:i ix:i value:r", box_perturbation_all, "slabs", BOX_ALL),
-    Query("gaussian_perturbation", "time:i part:i iy:i ix:i value:r", gaussian_perturbation),
+    Query(
+        "gaussian_perturbation",
+        "time:i part:i iy:i ix:i value:r",
+        gaussian_perturbation,
+        "slabs",
+        f"WITH {smoothing_sql('slabs', 'v=value', 4.0, 16, MIRROR)}\nFINAL\nSELECT s.time, s.part, s.iy, s.ix, s.value - m.v AS value FROM slabs s JOIN m USING (time, part, iy, ix)",
+    ),
     Query("power_spectrum", "time:i k:i value:r", power_spectrum, "slab", SPECTRUM),
     Query("power_spectrum_all", "time:i part:i k:i value:r", power_spectrum_all, "slabs", SPECTRUM_ALL),
-    Query("similarity_map", "time:i part:i iy:i ix:i value:r", similarity_map),
-    Query("mean_similarity", "time:i part:i value:r", mean_similarity),
+    Query("similarity_map", "time:i part:i iy:i ix:i value:r", similarity_map, "slabs", f"WITH {SIMILAR}\nFINAL\nSELECT time, part, iy, ix, value FROM q"),
+    Query("mean_similarity", "time:i part:i value:r", mean_similarity, "slabs", f"WITH {SIMILAR}\nFINAL\nSELECT time, part, avg(value) FILTER (inside) AS value FROM q GROUP BY ALL"),
     Query("feature_tracks", "series:i frame:i feature:i track:s lifetime:i initiation:b", feature_tracks),
-    Query("smoothed_slabs", "time:i part:i iy:i ix:i value:r", smoothed_slabs),
-    Query("age_of_air", "lead:i iy:i ix:i age:r", age_of_air),
+    Query("smoothed_slabs", "time:i part:i iy:i ix:i value:r", smoothed_slabs, "slabs", f"WITH {smoothing_sql('slabs', 'v=value', 2.0, 8, CLAMP)}\nFINAL\nSELECT time, part, iy, ix, v AS value FROM m"),
+    Query("age_of_air", "lead:i iy:i ix:i age:r", age_of_air, "", AGES),
 ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldweave.jobs import aggregates, comparisons, grids, physics, reports
+from fieldweave.jobs import aggregates, comparisons, grids, loading, physics, reports
 
-QUERIES = {q.name: q for module in (aggregates, comparisons, physics, grids, reports) for q in module.QUERIES}
+QUERIES = {q.name: q for module in (aggregates, comparisons, physics, grids, reports, loading) for q in module.QUERIES}
 
 
 def queries() -> dict:

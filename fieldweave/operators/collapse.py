@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.operators.masks import condition
+from fieldweave.shared import cut
 
 
 def aggregate(method: str, value: Column, percent: float | list[float] | None = None) -> Column:
@@ -37,26 +39,39 @@ def aggregate(method: str, value: Column, percent: float | list[float] | None =
 
 
 def collapse(field: DataFrame, keep: list[str], method: str | None, percent: float | list[float] | None = None) -> DataFrame:
-    """(keep, value): ``field`` reduced over all other coordinates. "SEQ", "" or None passes it through."""
+    """(keep, value): ``field`` reduced over all other coordinates. "SEQ", "" or None passes it through.
+
+    A median or percentile orders the values over several tasks, however few groups there are.
+    """
     if method in ("SEQ", "", None):
         return field
+    if method in ("MEDIAN", "PERCENTILE"):
+        if method == "PERCENTILE" and percent is None:
+            raise ValueError("PERCENTILE needs a percent")
+        return exact_percentile(field, keep, 50 if method == "MEDIAN" else percent)
     return field.groupBy(*keep).agg(aggregate(method, F.col("value"), percent).alias("value"))
 
 
-def exact_percentile(field: DataFrame, keep: list[str], percent: float) -> DataFrame:
-    """As ``collapse`` by PERCENTILE, for groups too large for one task.
+def exact_percentile(field: DataFrame, keep: list[str], percent: float | list[float]) -> DataFrame:
+    """(keep, value) as by PERCENTILE, a list of percents giving an array, for groups too large for one task.
 
-    Equal values are counted first, so what is ordered is a group's distinct values; their
-    running counts give the two neighbours of the percentile's position.
+    Equal values are counted first. The counts are dealt to tasks by ranges of (keep, value),
+    so a large group is spread over many; each range's total, summed over the ranges before
+    it, places its values, and those at a percentile's two neighbouring positions are taken.
     """
     counted = field.where("value IS NOT NULL").groupBy(*keep, "value").agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*keep).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*keep)))
-    at = (F.col("total") - 1) * F.lit(percent / 100)
-    low = F.min(F.when(F.col("upto") > F.floor(at), F.col("value")))
-    high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("value")))
-    out = placed.groupBy(*keep).agg(low.alias("low"), high.alias("high"), F.max(at - F.floor(at)).alias("part"))
-    return out.select(*keep, (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
+    placed = cut(counted.repartitionByRange(*keep, "value").withColumn("__part", F.spark_partition_id()))
+    before = F.sum("__n").over(Window.partitionBy(*keep).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.groupBy(*keep, "__part").agg(F.sum("n").alias("__n")).select(*(F.col(k).alias(f"__{k}") for k in keep), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*keep)).alias("total"))
+    own = Window.partitionBy(*keep, "__part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = placed.join(sums, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keep), F.col("__part") == F.col("__p")))
+    upto = met.withColumn("upto", F.col("__before") + F.sum("n").over(own))
+    percents = percent if isinstance(percent, list) else [percent]
+    places = [(F.col("total") - 1) * F.lit(p / 100) for p in percents]
+    first = lambda at: F.min(F.when(F.col("upto") > at, F.col("value")))
+    found = upto.groupBy(*keep).agg(*(c for i, at in enumerate(places) for c in (first(F.floor(at)).alias(f"low{i}"), first(F.ceil(at)).alias(f"high{i}"), F.max(at - F.floor(at)).alias(f"part{i}"))))
+    values = [F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * F.col(f"part{i}") for i in range(len(percents))]
+    return found.select(*keep, (F.array(*values) if isinstance(percent, list) else values[0]).alias("value"))
 
 
 def by_hour_of_day(cases: DataFrame, keep: list[str], method: str, percent: float | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldweave.operators.collapse import exact_percentile
+
 BINS = 50
 RAIN_RATE_EDGES = [0.0, *(10 ** (k / 10) for k in range(-10, 27))]
 RAIN_AMOUNT_EDGES = [0.0, *(0.02 * math.exp(0.1 * k) for k in range(100))]
@@ -51,12 +53,15 @@ def contribution(counts: DataFrame, keep: list[str], edges: list[float]) -> Data
     return counts.select(*keep, "bin", (F.col("n") * F.get(middles, F.col("bin")) / total).alias("value")).where("bin > 0")
 
 
-def quantile_pairs(pairs: DataFrame, percents: list[float]) -> DataFrame:
-    """(percent, base, other): the same percentiles of both sides of the pairs."""
-    parts = [p / 100 for p in percents]
-    both = pairs.agg(F.percentile("base", parts).alias("b"), F.percentile("other", parts).alias("o"))
+def quantile_pairs(pairs: DataFrame, percents: list[float], keep: list[str] | None = None) -> DataFrame:
+    """(keep, percent, base, other): the same percentiles of both sides of the pairs."""
+    keep = keep or []
+    sides = pairs.select(*keep, F.explode(F.create_map(F.lit("base"), "base", F.lit("other"), "other")).alias("side", "value"))
+    found = exact_percentile(sides, [*keep, "side"], [float(p) for p in percents])
+    of = lambda side: F.max_by("value", F.col("side") == side)
+    both = found.groupBy(*keep).agg(of("base").alias("b"), of("other").alias("o"))
     labelled = F.arrays_zip(F.array(*(F.lit(float(p)) for p in percents)).alias("percent"), F.col("b").alias("base"), F.col("o").alias("other"))
-    return both.select(F.explode(labelled).alias("e")).select("e.percent", "e.base", "e.other")
+    return both.select(*keep, F.explode(labelled).alias("e")).select(*keep, "e.percent", "e.base", "e.other")
 
 
 def hexagons(pairs: DataFrame, gridsize: int = 100) -> DataFrame:

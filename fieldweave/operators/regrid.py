@@ -7,6 +7,8 @@ and the weighted cells summed. Cells move once, already cut to those a target ne
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +64,13 @@ def spaced_axis(source: DataFrame, spacing: float) -> DataFrame:
     return reach.where(n > 0).select(F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "lo").select("i", (F.col("lo") + F.col("i") * spacing).alias("c"))
 
 
-def single_point(cells: DataFrame, axes: tuple[DataFrame, DataFrame], y: float, x: float, keep: list[str], method: str = "Linear", margin: int = 8) -> DataFrame:
-    """(keep, value, near_edge) at one place; an error outside the domain, after trying the longitude a turn away."""
+def single_point(cells: DataFrame, axes: tuple[DataFrame, DataFrame], y: float, x: float, keep: list[str], method: str = "Linear", margin: int = 8, pole: tuple[float, float] | None = None) -> DataFrame:
+    """(keep, value, near_edge) at one place; an error outside the domain, after trying the longitude a turn away.
+
+    With ``pole`` (latitude, longitude of the grid's north pole) y and x are true latitude and longitude.
+    """
+    if pole:
+        y, x = cells.sparkSession.range(1).select(*rotate_pole(F.lit(float(y)), F.lit(float(x)), *pole)).first()
     reach = [a.agg(F.min("c"), F.max("c"), F.sort_array(F.collect_list("c"))).first() for a in axes]
     turns = [t for t in (0.0, 360.0, -360.0) if reach[1][0] <= x + t <= reach[1][1]]
     if not turns or not reach[0][0] <= y <= reach[0][1]:
@@ -76,12 +83,17 @@ def single_point(cells: DataFrame, axes: tuple[DataFrame, DataFrame], y: float,
     return out.select(*keep, "value", F.lit(not inside).alias("near_edge"))
 
 
-def interpolate_to_stations(cells: DataFrame, axes: tuple[DataFrame, DataFrame], stations: DataFrame, keep: list[str]) -> DataFrame:
+def interpolate_to_stations(cells: DataFrame, axes: tuple[DataFrame, DataFrame], stations: DataFrame, keep: list[str], pole: tuple[float, float] | None = None) -> DataFrame:
     """(keep, station, value): bilinear at each of ``stations`` (station, y, x); null outside the domain.
 
+    With ``pole`` (latitude, longitude of the grid's north pole) the stations' y and x are true latitudes and longitudes.
+
     Four weighted cells a station are joined to the field, so the field is cut to them
     before anything is grouped.
     """
+    if pole:
+        lat, lon = rotate_pole(F.col("y"), F.col("x"), *pole)
+        stations = stations.select("station", lat.alias("y"), lon.alias("x"))
     wy = weights(axes[0], stations.select(F.col("station").alias("i"), F.col("y").alias("c")), extrapolate=False)
     wx = weights(axes[1], stations.select(F.col("station").alias("i"), F.col("x").alias("c")), extrapolate=False)
     corner = wy.select(F.col("target").alias("station"), F.col("source").alias("iy"), F.col("weight").alias("wy")).join(wx.select(F.col("target").alias("station"), F.col("source").alias("ix"), F.col("weight").alias("wx")), "station")
@@ -91,15 +103,20 @@ def interpolate_to_stations(cells: DataFrame, axes: tuple[DataFrame, DataFrame],
     return met.groupBy(*keep, "station").agg(F.when(F.count("value") == F.max("need"), total).alias("value"))
 
 
-def transect(cells: DataFrame, axes: tuple[DataFrame, DataFrame], start: tuple[float, float], end: tuple[float, float], points: int, keep: list[str]) -> DataFrame:
+def transect(cells: DataFrame, axes: tuple[DataFrame, DataFrame], start: tuple[float, float], end: tuple[float, float], points: int | None, keep: list[str]) -> DataFrame:
     """(keep, point, place, value) at ``points`` evenly spaced places from ``start`` to ``end`` (y, x): nearest cells.
 
-    place is the coordinate, y or x, that spans more. Ends outside the domain are an error.
+    Without ``points`` there are as many as the length holds of the least spacing: of both
+    axes, or of the one that the transect runs along. place is the coordinate, y or x, that spans more. Ends outside the domain are an error.
     """
     for a, ends in zip(axes, zip(start, end, strict=True), strict=True):
         lo, hi = a.agg(F.min("c"), F.max("c")).first()
         if not all(lo <= c <= hi for c in ends):
             raise ValueError("the transect leaves the domain")
+    if points is None:
+        gap = lambda a: a.select(F.abs(F.lead("c").over(Window.orderBy("c")) - F.col("c")).alias("g")).agg(F.min("g")).first()[0]
+        along = [k for k in (0, 1) if start[k] != end[k]]
+        points = int(math.hypot(end[0] - start[0], end[1] - start[1]) / min(gap(axes[k]) for k in along)) if along else 0
     if points < 2:
         raise ValueError("a transect needs two points")
     line = cells.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))

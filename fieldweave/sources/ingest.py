@@ -14,6 +14,11 @@ from fieldweave.functions.thermo import finite
 FILE_ATTRIBUTES = ("timeStamp", "uuid", "name", "source", "analysis_source", "history", "radar_sites", "additional_radar_sites", "recursive_filter_iterations", "Probability methods")
 #: STASH codes of radiation fields, and of accumulations that are marked as means.
 RADIATION = ("m01s01i207", "m01s01i208", "m01s02i205", "m01s02i201", "m01s02i207", "m01s01i235")
+#: STASH codes of lightning, rain and snow, which are accumulations.
+ACCUMULATED = ("m01s21i104", "m01s04i201", "m01s04i202", "m01s05i201", "m01s05i202")
+#: STASH codes of the 10 m wind along the grid's own axes.
+GRID_WINDS = ("m01s03i225", "m01s03i226")
+SPEED_UNITS = "m s-1"
 HIGHEST_CLOUD_BASE = 144
 
 
@@ -48,7 +53,8 @@ def wrap_longitude(axes: DataFrame) -> DataFrame:
 def pressure_levels(field: DataFrame) -> DataFrame:
     """Pressure levels in hPa under one name."""
     own = F.lower("level_type").isin("pressure", "pressure_level", "air_pressure")
-    return field.withColumn("level", F.when(own & (F.col("level_units") == "Pa"), F.col("level") / 100).otherwise(F.col("level"))).withColumn("level_type", F.when(own, F.lit("pressure")).otherwise(F.col("level_type")))
+    pascal = own & (F.col("level_units") == "Pa")
+    return field.withColumns({"level": F.when(pascal, F.col("level") / 100).otherwise(F.col("level")), "level_units": F.when(pascal, F.lit("hPa")).otherwise(F.col("level_units")), "level_type": F.when(own, F.lit("pressure")).otherwise(F.col("level_type"))})
 
 
 def radiation_times(field: DataFrame) -> DataFrame:
@@ -60,10 +66,10 @@ def radiation_times(field: DataFrame) -> DataFrame:
     return shifted.withColumn("time", F.timestamp_micros(F.unix_micros("time") - F.col("__s") * 1_000_000)).withColumn("forecast_period", F.col("forecast_period") - F.col("__s") / 3600).drop("__s")
 
 
-def accumulations(field: DataFrame, codes: tuple[str, ...]) -> DataFrame:
-    """Cell methods of the accumulated ``codes`` say sum where they said mean."""
+def accumulations(field: DataFrame, codes: tuple[str, ...] = ACCUMULATED) -> DataFrame:
+    """Cell methods of the accumulated ``codes`` say sum where they all said mean."""
     fixed = F.transform("cell_methods", lambda m: F.when(m.getField("method") == "mean", m.withField("method", F.lit("sum"))).otherwise(m))
-    return field.withColumn("cell_methods", F.when(F.col("stash").isin(*codes), fixed).otherwise(F.col("cell_methods")))
+    return field.withColumn("cell_methods", F.when(F.col("stash").isin(*codes) & F.forall("cell_methods", lambda m: F.coalesce(m.getField("method") == "mean", F.lit(False))), fixed).otherwise(F.col("cell_methods")))
 
 
 def microphysics_units(field: DataFrame) -> DataFrame:
@@ -116,10 +122,42 @@ def add_wind_speed(field: DataFrame, keys: list[str], u: str = "eastward_wind_at
     """Wind speed as a variable more, for cells with both components and no speed yet: one aggregation, no self-join."""
     of = lambda name: F.max(F.when(F.col("variable") == name, F.col("value")))
     cells = field.where(F.col("variable").isin(u, v, speed)).groupBy(*keys).agg(of(u).alias("u"), of(v).alias("v"), F.max((F.col("variable") == speed).cast("int")).alias("has"))
-    new = cells.where("has = 0 AND u IS NOT NULL AND v IS NOT NULL").select(*keys, F.lit(speed).alias("variable"), wind_speed(F.col("u"), F.col("v")).alias("value"))
+    units = [F.lit(SPEED_UNITS).alias("units")] if "units" in field.columns else []
+    new = cells.where("has = 0 AND u IS NOT NULL AND v IS NOT NULL").select(*keys, F.lit(speed).alias("variable"), wind_speed(F.col("u"), F.col("v")).alias("value"), *units)
     return field.unionByName(new, allowMissingColumns=True)
 
 
+def wind_speed_only(field: DataFrame, keys: list[str], u: str = "eastward_wind_at_10m", v: str = "northward_wind_at_10m", speed: str = "wind_speed_at_10m") -> DataFrame:
+    """As ``add_wind_speed``; where a model has nothing but the two components, only their speed is left of it."""
+    others = Window.partitionBy("model_name")
+    alone = (F.max((~F.col("variable").isin(u, v, speed)).cast("int")).over(others) == 0) & (F.max((F.col("__given") & (F.col("variable") == speed)).cast("int")).over(others) == 0)
+    given = field.withColumn("__given", F.lit(True))
+    both = add_wind_speed(given, keys, u, v, speed).withColumn("__given", F.coalesce("__given", F.lit(False)))
+    return both.withColumn("__alone", alone).where(~F.col("__alone") | (F.col("variable") == speed)).drop("__given", "__alone")
+
+
+def pole_angles(places: DataFrame, pole_lat: float, pole_lon: float) -> DataFrame:
+    """(iy, ix, angle): radians that ``rotate_winds`` needs at ``places`` (iy, ix, lat, lon; true degrees) of a grid with that north pole.
+
+    It is minus the bearing of the grid's pole, clockwise from north.
+    """
+    lat, turn, top = F.radians("lat"), F.radians(F.lit(pole_lon) - F.col("lon")), F.radians(F.lit(pole_lat))
+    bearing = F.atan2(F.cos(top) * F.sin(turn), F.cos(lat) * F.sin(top) - F.sin(lat) * F.cos(top) * F.cos(turn))
+    return places.select("iy", "ix", (-bearing).alias("angle"))
+
+
+def true_north_winds(field: DataFrame, angles: DataFrame, keys: list[str]) -> DataFrame:
+    """``field`` (keys with iy and ix, stash, value, ...) with the two GRID_WINDS turned to true north; other rows stay.
+
+    Each cell's pair is brought together by one aggregation; a component without the other becomes null.
+    """
+    of = lambda code: F.max(F.when(F.col("stash") == code, F.col("value")))
+    both = field.where(F.col("stash").isin(*GRID_WINDS)).groupBy(*keys).agg(*(of(c).alias(n) for c, n in zip(GRID_WINDS, ("u", "v"), strict=True)))
+    turned = rotate_winds(both, angles).select(*keys, F.explode(F.create_map(F.lit(GRID_WINDS[0]), "u", F.lit(GRID_WINDS[1]), "v")).alias("stash", "__turned"))
+    met = field.join(turned, [*keys, "stash"], "left")
+    return met.withColumn("value", F.when(F.col("stash").isin(*GRID_WINDS), F.col("__turned")).otherwise(F.col("value"))).drop("__turned")
+
+
 def rotate_winds(cells: DataFrame, angles: DataFrame) -> DataFrame:
     """u and v of ``cells`` (iy, ix, u, v) turned to true north by ``angles`` (iy, ix, angle in radians)."""
     c, s = F.cos("angle"), F.sin("angle")
