@@ -43,7 +43,8 @@ GROUP = 32
 BLOCK_BYTES, HUBS = 16_000_000, 8
 #: Rows that a task gets of one n-gram; one with more is dealt to several.
 PART_ROWS = 100_000
-PAIR, CHAIN, MEMBER = range(3)
+#: Kinds of rows where nodes meet: edges between places, members at their own band's place, members at the next one's, and pairs of band k as PAIR + k.
+CHAIN, MEMBER, GUEST, PAIR = range(4)
 #: A hash of a row's doc_id and text, where rows and not doc_ids are told apart.
 ROW = "__row"
 
@@ -250,28 +251,31 @@ def meet(percent: int):
 
     width = np.log(100 / percent) + 1e-6  # of a band; sizes that a link allows are at most one band apart
 
-    def rows_of(a, b, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+    def rows_of(a, b, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(a)))], ["a", "b", "kind"])
+
+    def bands(size: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(size) / width).astype(np.int64)
 
     def places(node: np.ndarray, band: np.ndarray) -> np.ndarray:
         return mix(node.view(np.uint64) ^ mix(band.astype(np.uint64) + GOLDEN)).view(np.int64)
 
-    def groups(chains: Stars, members: Pairs, gram, part, node, size, chained) -> pa.RecordBatch:
+    def groups(chains: Stars, members: Pairs, guests: Pairs, gram, part, node, size, chained) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
         count = np.diff(np.append(first, len(gram)))
         large = (count > GROUP) | (part[first] > 0)
         large[0] |= chained
-        out = [(node[:0], node[:0])]
+        out = [(node[:0], node[:0], node[:0])]
         for c in range(2, GROUP + 1):
             rows = first[~large & (count == c)][:, None] + np.arange(c)
             i, j = np.triu_indices(c, 1)
             a, b = rows[:, i].ravel(), rows[:, j].ravel()
             near = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
-            out.append((node[a[near]], node[b[near]]))
+            out.append((node[a[near]], node[b[near]], PAIR + bands(np.maximum(size[a[near]], size[b[near]]))))
         inner = np.flatnonzero(np.repeat(large, count))
         if len(inner):
             at = np.append(inner, inner)
-            band = np.floor(np.log(size[inner]) / width).astype(np.int64)
+            band = bands(size[inner])
             band = np.append(band, band + 1)
             order = np.lexsort((at, band, np.repeat(np.arange(len(first)), count)[at]))
             at, band = at[order], band[order]
@@ -280,12 +284,14 @@ def meet(percent: int):
             centre = np.repeat(own[begins], np.diff(np.append(begins, len(own))))
             parts = begins[part[at[begins]] > 0]  # parts of one n-gram meet at the n-gram itself
             chains.add(np.append(own, own[parts]), np.append(centre, places(gram[at[parts]], band[parts])))
-            members.add(own, node[at])
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return rows_of(np.minimum(a, b), np.maximum(a, b), PAIR)
+            native = band == bands(size[at])
+            members.add(own[native], node[at[native]])
+            guests.add(own[~native], node[at[~native]])
+        a, b, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+        return rows_of(np.minimum(a, b), np.maximum(a, b), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chained, chains, members = None, False, Stars(), Pairs()
+        held, chained, chains, members, guests = None, False, Stars(), Pairs(), Pairs()
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in ("gram", "part", "node", "size")]
             if not len(rows[0]):
@@ -296,21 +302,22 @@ def meet(percent: int):
             gram, part = held[:2]
             last = int(np.argmax((gram == gram[-1]) & (part == part[-1])))
             if last:
-                yield groups(chains, members, *(c[:last] for c in held), chained)
+                yield groups(chains, members, guests, *(c[:last] for c in held), chained)
                 held, chained = [c[last:] for c in held], False
             elif len(gram) > PART_ROWS:  # one n-gram only: chain what is here, and go on from its first node
-                yield groups(chains, members, *held, True)
+                yield groups(chains, members, guests, *held, True)
                 held, chained = [c[:1] for c in held], True
         if held is not None:
-            yield groups(chains, members, *held, chained)
+            yield groups(chains, members, guests, *held, chained)
         yield rows_of(*chains.pairs(), CHAIN)
         yield rows_of(*members.pairs(), MEMBER)
+        yield rows_of(*guests.pairs(), GUEST)
 
     return run
 
 
 def meetings(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
-    """(a, b, kind): PAIRs of nodes that may be similar; CHAINs between places of nodes in bands, the stars of each task; MEMBERs (place, node)."""
+    """(a, b, kind): pairs of nodes that may be similar; edges between places of nodes in bands, the stars of each task; (place, node) of members and guests."""
     dealt = prefixes_of(docs, orders, n, percent).repartition("gram", "part").sortWithinPartitions("gram", "part", "node")
     return stored(dealt.mapInArrow(meet(percent), "a long, b long, kind int").distinct())
 
@@ -345,11 +352,12 @@ def kept(pairs: DataFrame, held: DataFrame, column: str, read, check) -> DataFra
                     last, own = b, read(y)
                 found.append(check(read(x), own))
             good = pa.array(found, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in names], names)
 
+    names = pairs.columns
     one = held.where(F.col(column).isNotNull()).groupBy("node").agg(F.first(column).alias(column))
     side = lambda s: one.select(F.col("node").alias(s), F.col(column).alias(f"x{s}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "xa", "xb").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes)))
 
 
 def sharing_prefixes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -488,15 +496,16 @@ def with_own(labels: DataFrame) -> DataFrame:
 def links_between(docs: DataFrame, rows: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes: all of them, but for those inside a component that other links hold together."""
     met = meetings(docs, orders, n, percent)
-    of = lambda kind: met.where(F.col("kind") == kind).select("a", "b")
-    pairs = sharing_prefixes(of(PAIR), rows)
-    # Pairs left chain their nodes too. Places are hashes of their own, so both kinds of clusters stay apart.
-    labels = with_own(components(of(CHAIN).union(pairs))).select(F.col("node").alias("a"), F.col("component").alias("cluster"))
-    placed_nodes = of(MEMBER).select("a", F.col("b").alias("node"), F.lit(True).alias("banded"))
-    paired_nodes = pairs.select("a").union(pairs.select("b")).distinct().select("a", F.col("a").alias("node"), F.lit(False).alias("banded"))
-    clusters = placed_nodes.union(paired_nodes).join(labels, "a").select("node", "cluster", "banded").distinct()
+    pairs = sharing_prefixes(met.where(F.col("kind") >= PAIR), rows)
+    # Pairs left chain their nodes too, by bands; these places are other hashes, so both kinds of clusters stay apart.
+    edges = pairs.select(*(F.xxhash64(c, "kind").alias(c) for c in ("a", "b")))
+    labels = with_own(components(met.where(F.col("kind") == CHAIN).select("a", "b").union(edges))).select(F.col("node").alias("a"), F.col("component").alias("cluster"))
+    chained = met.where(F.col("kind").isin(MEMBER, GUEST)).select("a", F.col("b").alias("node"), F.lit(True).alias("banded"), (F.col("kind") == MEMBER).alias("native"))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node"), "kind").select(F.xxhash64("node", "kind").alias("a"), "node", F.lit(False).alias("banded"), F.lit(True).alias("native"))
+    clusters = chained.union(paired.distinct()).join(labels, "a").groupBy("cluster", "node").agg(F.max("banded").alias("banded"), F.max("native").alias("native"))
     members = clusters.join(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size")), "node")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).alias("blocks"))
+    # Guests without a member of the band are together in their own band already.
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / BLOCK_BYTES).alias("blocks"), F.count("*").alias("n"), F.max("native").alias("native")).where("native AND n > 1").select("cluster", "blocks")
     placed = stored(members.join(blocks, "cluster").select("node", "cluster", "banded", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")))
     several = placed.where("blocks > 1")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("node", "cluster"), "node"))
@@ -506,8 +515,8 @@ def links_between(docs: DataFrame, rows: DataFrame, orders, n: int, percent: int
     if several.isEmpty():
         return links
     # Pairs of different blocks of their cluster are compared one by one.
-    at = several.where("NOT banded").select("node", "block")
-    apart = pairs.join(at.toDF("a", "ba"), "a").join(at.toDF("b", "bb"), "b").where("ba <> bb").select("a", "b")
+    at = several.where("NOT banded").select("node", "cluster", "block")
+    apart = pairs.select("a", "b").join(at.toDF("a", "ca", "ba"), "a").join(at.toDF("b", "cb", "bb"), "b").where("ca = cb AND ba <> bb").select("a", "b").distinct()
     sets = stored(sets_of(docs, rows, several.select("node").distinct(), n))
     links = links.union(similar(apart, sets, percent))
     labelled = several.where("banded").join(with_own(components(links)), "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("component"))
