@@ -23,8 +23,10 @@ CODEBOOKS, CODEWORDS, BEAM = 32, 256, 2
 CANDIDATES, K = 200, 10
 #: Rows that codebooks are fitted on, the first by a hash of their id.
 SAMPLE = 10_000
-#: Vectors in a chunk of codes, queries in a block, and parts that a block meets the chunks in.
-CHUNK, BLOCK, PARTS = 8192, 256, 32
+#: Vectors in a chunk of codes, queries in a block.
+CHUNK, BLOCK = 8192, 256
+#: Parts of the codes at least, and vectors of one; every query goes to every part, codes move once.
+PARTS, PART_ROWS = 32, 500_000
 
 
 def fit(sample: np.ndarray, books: int, words: int, rounds: int = 6) -> np.ndarray:
@@ -81,7 +83,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
     to the smaller vec_id. Vectors that are null, empty, zero or hold a null or non-finite
     component take no part, nor do rows without vec_id or of another dimension than the
     sample's most frequent one. Repeated rows of one vec_id count once. With fewer than
-    ``k`` candidates all come out; an empty table gives an empty table.
+    ``k`` candidates all come out; other columns, whatever their names, are not looked
+    at; an empty table gives an empty table.
 
     Equal vectors are searched once and stand for their ``k`` + 1 smallest ids, so a
     vector that very many rows hold does not crowd out others.
@@ -114,9 +117,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
 
     blocks = max(1, -(-asked.count() // BLOCK))
     block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    block = block.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parts = max(PARTS, -(-copies.count() // PART_ROWS))
+    block = block.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     chunks = copies.where("nth = 1").select("rep", "v").mapInArrow(coded, "ids binary, codes binary, norms binary")
-    chunks = chunks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    chunks = chunks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +137,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
                 columns = [np.repeat(own.field("vec_id").to_numpy(), keep), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "rep", "near"])
 
-    met = chunks.join(block, ["block", "part"]).select("ids", "codes", "norms", "asked")
+    met = chunks.join(block, "part").select("ids", "codes", "norms", "asked")
     found = met.mapInArrow(scored, "query_id long, rep long, near float")
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "rep"))).where(F.col("place") <= candidates)
     exact = found.select("query_id", "rep").join(copies, "rep").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").where("vec_id <> query_id")

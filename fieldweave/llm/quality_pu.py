@@ -108,6 +108,14 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(ratio.min(), 0.05, 0.99))
 
 
+def unbiased_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk of positives as good, that of bad texts as bad, which should not be negative, and both gradients."""
+    fp, fu = p @ w, u @ w
+    good = prior * np.logaddexp(0, -fp).mean()
+    bad = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return good, bad, -prior * (p.T @ sigmoid(-fp)) / len(p), (u.T @ sigmoid(fu)) / len(u) - prior * (p.T @ sigmoid(fp)) / len(p)
+
+
 def fit(positives: np.ndarray, unlabelled: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Bin edges, weights and the class prior, from the statistics of both samples."""
     if len(positives) < 4 or len(unlabelled) < 4:
@@ -119,10 +127,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray) -> tuple[list[np.ndarray]
     prior = class_prior(p, u)
 
     def gradient(w):
-        fp, fu = p @ w, u @ w
-        good = -prior * (p.T @ sigmoid(-fp)) / len(p)
-        bad = (u.T @ sigmoid(fu)) / len(u) - prior * (p.T @ sigmoid(fp)) / len(p)
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        _, risk, good, bad = unbiased_risk(w, p, u, prior)
         return good + bad if risk >= 0 else -bad
 
     return edges, descend(size + 1, gradient), prior

@@ -367,3 +367,82 @@ def test_factors_are_the_longest_matches():
         assert list(zip(*(c.tolist() for c in rlz.greedy_factors(found, run)), strict=True)) == factors
         for window in (1, 3, 6):
             assert rlz.duplicate_windows(found, run, window).tolist() == [n >= window for n in wanted]
+
+
+def test_quantised_search_finds_neighbours_among_few_candidates(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(frame, frame.where("vec_id % 100 = 0"), candidates=60).collect()  # 1.5 % of the rows
+    hits = []
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in found if r.query_id == q}) / 10)
+    assert np.mean(hits) >= 0.9
+
+
+def test_the_risk_and_its_gradient():
+    rng = np.random.default_rng(2)
+    p, u, w = rng.normal(1, 1, (50, 4)), rng.normal(0, 1, (80, 4)), rng.normal(size=4)
+    good, bad, up, down = quality_pu.unbiased_risk(w, p, u, 0.4)
+    loss = lambda f: float(np.mean([np.log(1 + np.exp(-v)) for v in f]))
+    assert good == pytest.approx(0.4 * loss(p @ w)) and bad == pytest.approx(loss(-(u @ w)) - 0.4 * loss(-(p @ w)))
+    for i in range(4):
+        step = np.zeros(4)
+        step[i] = 1e-6
+        more = quality_pu.unbiased_risk(w + step, p, u, 0.4)
+        assert (more[0] - good) / 1e-6 == pytest.approx(up[i], abs=1e-4) and (more[1] - bad) / 1e-6 == pytest.approx(down[i], abs=1e-4)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_the_class_prior_is_found(prior):
+    rng = np.random.default_rng(8)
+    rows = lambda n, share: np.column_stack([np.where(rng.random(n) < share, rng.normal(2.5, 1, n), rng.normal(-2.5, 1, n)), np.ones(n)])
+    assert abs(quality_pu.class_prior(rows(3000, 1), rows(6000, prior)) - prior) < 0.12
+
+
+def test_quality_scores_as_summed_by_hand(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "GAMMA", "d1", "e$", "f."]) for _ in range(rng.randint(0, 60))) + "\n" * (i % 3) for i in range(300)] + ["long word " * 30000, "", "漢字 é"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("GAMMA" not in t)) for i, t in rows], "doc_id long, quality int")
+    edges, weights, _ = quality_pu.learn(frame, labels)
+    found = quality_pu.score_quality(frame, labels).collect()
+
+    def by_hand(text):
+        total, start = weights[-1], 0
+        for value, own in zip(quality_pu.statistics(text), edges, strict=True):
+            total += weights[start + sum(e <= value for e in own)]
+            start += len(own) + 1
+        return 1 / (1 + np.exp(-total))
+
+    assert len(found) == len(rows) + 2 and all(r.score == pytest.approx(by_hand(texts[r.doc_id]), abs=1e-9) for r in found)
+    assert len({r.score for r in found if r.doc_id == 3}) == 1 and len({round(r.score, 6) for r in found}) > 5
+
+
+def test_languages_by_distances_counted_by_hand(spark):
+    rng = random.Random(12)
+    tongues = {"aa": "the of and in shall thing", "bb": "der die und nicht schön ung", "cc": "le la les était où ça", "dd": "der die und nicht schön ung"}
+    rows = [(i, " ".join(rng.choice(tongues[lang].split()) for _ in range(30)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    rows += [(1000 + i, text, "dd") for i, text, lang in rows if lang == "bb"]
+    mixed = [(5000 + i, " ".join(rng.choice(tongues[rng.choice("abc") * 2].split()) for _ in range(8)) + " 12!", None) for i in range(60)]
+    frame = spark.createDataFrame([*rows, *mixed, mixed[0]], "doc_id long, text string, lang string")
+    names, lists = langid.learn(frame)
+
+    name = lambda g: "".join(chr(int(g) >> (21 * k) & 0x1FFFFF) for k in (2, 1, 0)).strip("\0")
+
+    def ranked(text):
+        text = " " + " ".join(re.sub(r"[\W\d_]+", " ", text.lower()).split()) + " "
+        counts = Counter(text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][: langid.PROFILE]
+
+    profiles = [[name(g) for g in x] for x in lists]
+    for r in langid.identify(frame).collect():
+        own = ranked(r.text)
+        assert len(own) < langid.PROFILE
+        far = [sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for p in profiles]
+        best = names[min(range(len(far)), key=far.__getitem__)]
+        assert (r.lang_pred, round(r.score, 9)) == (best, round(1 - min(far) / (langid.PROFILE * len(own)), 9))
