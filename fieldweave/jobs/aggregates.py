@@ -100,6 +100,10 @@ def hexagons(spark, sf_dir):
     return distributions.hexagons(pairs(spark, sf_dir).where("model_name = 'N'"), 20)
 
 
+def hexagons_all(spark, sf_dir):
+    return distributions.hexagons(pairs(spark, sf_dir), 20, ["model_name"])
+
+
 def hourly(spark, sf_dir):
     return adapters.observations(spark, sf_dir).groupBy("variable", F.date_trunc("hour", "time").alias("time")).agg(F.avg("value").alias("value"))
 
@@ -243,6 +247,18 @@ SELECT * FROM (SELECT model_name, bin, n * (e[bin + 1] + e[bin + 2]) / 2 / sum(n
         d AS (SELECT *, (x - ax) * (x - ax) + 3 * (y - ay) * (y - ay) < (x - bx) * (x - bx) + 3 * (y - by_) * (y - by_) AS first FROM h)
 FINAL
 SELECT 2 * CASE WHEN first THEN ax ELSE bx END AS hx, 2 * CASE WHEN first THEN ay ELSE by_ END AS hy, count(*) AS n FROM d GROUP BY ALL""",
+    ),
+    Query(
+        "hexagons_all",
+        "model_name:s hx:l hy:l n:l",
+        hexagons_all,
+        "field",
+        f"""WITH {PAIRS}, r AS (SELECT min(base) AS b0, max(base) - min(base) AS b1, min(other) AS o0, max(other) - min(other) AS o1 FROM p),
+        u AS (SELECT model_name, (base - b0) * (20 / b1) AS x, (other - o0) * (11 / o1) AS y FROM p, r),
+        h AS (SELECT *, round_even(x, 0)::DOUBLE AS ax, round_even(y, 0)::DOUBLE AS ay, floor(x) + 0.5 AS bx, floor(y) + 0.5 AS by_ FROM u),
+        d AS (SELECT *, (x - ax) * (x - ax) + 3 * (y - ay) * (y - ay) < (x - bx) * (x - bx) + 3 * (y - by_) * (y - by_) AS first FROM h)
+FINAL
+SELECT model_name, 2 * CASE WHEN first THEN ax ELSE bx END AS hx, 2 * CASE WHEN first THEN ay ELSE by_ END AS hy, count(*) AS n FROM d GROUP BY ALL""",
     ),
     Query("rolling_day", "variable:s time:t value:p", rolling_day, "hourly", f"SELECT * FROM ({ROLL.format('avg(value)', 'hourly')}) WHERE n = 24"),
     Query("daily_maximum", "variable:s time:t value:r", daily_maximum, "hourly", f"SELECT * FROM ({ROLL.format('max(value)', 'hourly')}) WHERE n = 24 AND hour(time) = 21"),

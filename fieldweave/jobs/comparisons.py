@@ -108,6 +108,12 @@ def radar_weights(spark, sf_dir):
     return masks.radar_weights(cells.select(*CELL, "value", "weight")).groupBy("time").agg(F.sum("value").alias("value"))
 
 
+def radar_weights_all(spark, sf_dir):
+    weight = F.when(F.month("time") % 2 == 0, F.col("ix") * 4.0).otherwise((F.col("ix") * 4 + 1) / 32)
+    cells = adapters.field(spark, sf_dir).withColumn("weight", weight)
+    return masks.radar_weights(cells.select("model_name", *CELL, "value", "weight"), ["model_name", "time"]).groupBy("model_name", "time").agg(F.sum("value").alias("value"))
+
+
 PAIRED = "p AS (SELECT time, iy, ix, o.model_name, b.value AS o, o.value AS f FROM field o JOIN field b USING (time, iy, ix) WHERE b.is_base AND NOT o.is_base)"
 SCORES = "count(*) AS n, sqrt(avg((f - o) * (f - o))) AS rmse, avg(abs(f - o)) AS mae, avg(f - o) AS additive_bias, covar_pop(f, o) / nullif(stddev_pop(f) * stddev_pop(o), 0) AS pearson"
 SHOWN = "n:l rmse:r mae:r additive_bias:r pearson:r"
@@ -205,4 +211,13 @@ SELECT m.model_name, m.realization, avg(0.5 * pow(c.u - m.u, 2) + 0.5 * pow(c.v
 FINAL
 SELECT time, sum(CASE WHEN CASE WHEN packed THEN round_even(weight * 32, 0) ELSE weight END < 11 THEN 0 ELSE value END) AS value FROM w JOIN m USING (time) GROUP BY ALL""",
     ),
+    Query(
+        "radar_weights_all",
+        "model_name:s time:t value:r",
+        radar_weights_all,
+        "field",
+        """WITH w AS (SELECT *, CASE WHEN month(time) % 2 = 0 THEN ix * 4.0 ELSE (ix * 4 + 1) / 32.0 END::DOUBLE AS weight FROM field), m AS (SELECT model_name, time, max(weight) < 1 AS packed FROM w GROUP BY ALL)
+FINAL
+SELECT model_name, time, sum(CASE WHEN CASE WHEN packed THEN round_even(weight * 32, 0) ELSE weight END < 11 THEN 0 ELSE value END) AS value FROM w JOIN m USING (model_name, time) GROUP BY ALL""",
+    ),
 ]

@@ -64,19 +64,20 @@ def quantile_pairs(pairs: DataFrame, percents: list[float], keep: list[str] | No
     return both.select(*keep, F.explode(labelled).alias("e")).select(*keep, "e.percent", "e.base", "e.other")
 
 
-def hexagons(pairs: DataFrame, gridsize: int = 100) -> DataFrame:
-    """(hx, hy, n): pairs counted in hexagons, told by twice the indices of their centres.
+def hexagons(pairs: DataFrame, gridsize: int = 100, keep: list[str] | None = None) -> DataFrame:
+    """(keep, hx, hy, n): pairs counted in hexagons, told by twice the indices of their centres.
 
     Two lattices of centres, one shifted by half a step both ways; a pair goes to the
-    nearer centre, distances across counted three times as heavy as along.
+    nearer centre, distances across counted three times as heavy as along. All of ``keep`` share the lattices.
     """
+    keep = keep or []
     reach = pairs.agg(*(f(c).alias(f"{n}_{c}") for c in ("base", "other") for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if reach["lo_base"] is None:
-        return pairs.sparkSession.createDataFrame([], "hx long, hy long, n long")
+        return pairs.select(*keep, F.lit(0).cast("long").alias("hx"), F.lit(0).cast("long").alias("hy"), F.lit(0).cast("long").alias("n")).limit(0)
     rows = int(gridsize / math.sqrt(3))
     unit = lambda c, n: (F.col(c) - float(reach[f"lo_{c}"])) * (n / ((float(reach[f"hi_{c}"]) - float(reach[f"lo_{c}"])) or 1.0))
-    placed = pairs.select(unit("base", gridsize).alias("x"), unit("other", rows).alias("y"))
+    placed = pairs.select(*keep, unit("base", gridsize).alias("x"), unit("other", rows).alias("y"))
     ax, ay, bx, by = F.rint("x"), F.rint("y"), F.floor("x") + 0.5, F.floor("y") + 0.5
     far = lambda cx, cy: (F.col("x") - cx) * (F.col("x") - cx) + 3 * (F.col("y") - cy) * (F.col("y") - cy)
     first = far(ax, ay) < far(bx, by)
-    return placed.select((2 * F.when(first, ax).otherwise(bx)).cast("long").alias("hx"), (2 * F.when(first, ay).otherwise(by)).cast("long").alias("hy")).groupBy("hx", "hy").agg(F.count("*").alias("n"))
+    return placed.select(*keep, (2 * F.when(first, ax).otherwise(bx)).cast("long").alias("hx"), (2 * F.when(first, ay).otherwise(by)).cast("long").alias("hy")).groupBy(*keep, "hx", "hy").agg(F.count("*").alias("n"))

@@ -36,11 +36,12 @@ def trim(field: DataFrame, axes: DataFrame, lower: int, left: int, upper: int, r
     return field.join(axes.select("model_name", "ny", "nx"), "model_name").where(inside).drop("ny", "nx")
 
 
-def radar_weights(radar: DataFrame) -> DataFrame:
-    """``radar`` (time, iy, ix, value, weight): values of weight under 11 are 0.
+def radar_weights(radar: DataFrame, scan: list[str] | None = None) -> DataFrame:
+    """``radar`` (scan, iy, ix, value, weight): values of weight under 11 are 0. ``scan``: the columns of one picture, time if not given.
 
-    Weights of a time that are all under 1 are packed, and stand for round(32 * weight).
+    Weights of a picture that are all under 1 are packed, and stand for round(32 * weight).
     """
-    packed = radar.groupBy("time").agg((F.max("weight") < 1).alias("__packed"))
+    scan = scan or ["time"]
+    packed = radar.groupBy(*scan).agg((F.max("weight") < 1).alias("__packed"))
     weight = F.when(F.col("__packed"), F.rint(F.col("weight") * 32)).otherwise(F.col("weight"))
-    return radar.join(packed, "time").withColumn("value", F.when(weight < 11, 0.0).otherwise(F.col("value"))).drop("__packed")
+    return radar.join(packed, scan).withColumn("value", F.when(weight < 11, 0.0).otherwise(F.col("value"))).drop("__packed")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.operators import slabs
 from fieldweave.operators.regrid import haversine
+from fieldweave.shared import cut
 
 
 def features(cells: DataFrame, slab: list[str], threshold: float, under: bool = False, min_size: int = 4) -> DataFrame:
@@ -22,34 +23,59 @@ def features(cells: DataFrame, slab: list[str], threshold: float, under: bool =
     return slabs.apply(cells.select(*slab, "iy", "ix", "value"), slab, run, "iy int, ix int, feature int")
 
 
-def track(found: DataFrame, series: list[str], overlap: float = 0.3) -> DataFrame:
-    """(series, frame, feature, track, lifetime, initiation) of ``found`` features (series, frame, feature, iy, ix).
+def earliest(nodes: DataFrame, series: list[str]) -> DataFrame:
+    """(series, frame, feature, root_frame, root): the first feature before each one, along its parent in the frame before.
 
-    A feature continues the one of the frame before with which it shares most cells, if
-    they are at least ``overlap`` of the smaller one; of several that continue one, the
-    one that shares most does, the others start anew. Frames are matched in parallel;
-    along a track only the small table of features is followed, by doubling steps.
+    Only the small table of features is followed, by doubling steps.
     """
-    sizes = found.groupBy(*series, "frame", "feature").agg(F.count("*").alias("size"))
-    before = found.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), "iy", "ix")
-    shared = found.join(before, [*series, "frame", "iy", "ix"]).groupBy(*series, "frame", "feature", "parent").agg(F.count("*").alias("shared"))
-    own = sizes.withColumnRenamed("size", "own")
-    theirs = sizes.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), F.col("size").alias("theirs"))
-    edges = shared.join(own, [*series, "frame", "feature"]).join(theirs, [*series, "frame", "parent"]).where(F.col("shared") >= overlap * F.least("own", "theirs"))
-    best = lambda by, other: F.row_number().over(Window.partitionBy(*series, "frame", by).orderBy(F.desc("shared"), other))
-    edges = edges.withColumn("a", best("feature", "parent")).where("a = 1").withColumn("b", best("parent", "feature")).where("b = 1")
-    nodes = sizes.join(edges.select(*series, "frame", "feature", "parent"), [*series, "frame", "feature"], "left")
-    # root: the earliest feature known to be on the track, first the parent, then twice as far each round.
     state = nodes.select(*series, "frame", "feature", F.when(F.col("parent").isNull(), F.col("frame")).otherwise(F.col("frame") - 1).alias("root_frame"), F.coalesce("parent", "feature").alias("root"))
     while True:
-        state = state.checkpoint()
+        state = cut(state)
         ahead = state.select(*series, F.col("frame").alias("root_frame"), F.col("feature").alias("root"), F.col("root_frame").alias("__f"), F.col("root").alias("__r"))
         moved = state.join(ahead, [*series, "root_frame", "root"])
         if moved.where("__f <> root_frame").isEmpty():
-            break
+            return state
         state = moved.select(*series, "frame", "feature", F.col("__f").alias("root_frame"), F.col("__r").alias("root"))
+
+
+def track(found: DataFrame, series: list[str], overlap: float = 0.3, retain_lifetime_on_split: bool = True, nbhood: int = 5) -> DataFrame:
+    """(series, frame, feature, track, lifetime, initiation) of ``found`` features (series, frame, feature, iy, ix).
+
+    A feature follows the one of the frame before with which it shares most cells, if
+    they are at least ``overlap`` of the smaller one (ties: the least number). Of several
+    that follow one, the one that shares most continues its track; the others are parts
+    split off, with tracks of their own, whose lifetime goes on from the feature they left,
+    or with ``retain_lifetime_on_split`` false starts at 1. initiation: lifetime 1, and no
+    cell of a feature with a longer one within ``nbhood`` cells of the centre. Frames are
+    matched in parallel.
+    """
+    sizes = found.groupBy(*series, "frame", "feature").agg(F.count("*").alias("size"), F.avg("iy").alias("cy"), F.avg("ix").alias("cx"))
+    before = found.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), "iy", "ix")
+    shared = found.join(before, [*series, "frame", "iy", "ix"]).groupBy(*series, "frame", "feature", "parent").agg(F.count("*").alias("shared"))
+    own = sizes.select(*series, "frame", "feature", F.col("size").alias("own"))
+    theirs = sizes.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), F.col("size").alias("theirs"))
+    edges = shared.join(own, [*series, "frame", "feature"]).join(theirs, [*series, "frame", "parent"]).where(F.col("shared") >= overlap * F.least("own", "theirs"))
+    best = lambda by, other: F.row_number().over(Window.partitionBy(*series, "frame", by).orderBy(F.desc("shared"), other))
+    edges = edges.withColumn("a", best("feature", "parent")).where("a = 1").withColumn("b", best("parent", "feature"))
+    keys = [*series, "frame", "feature"]
+    follows = cut(sizes.select(*keys, "cy", "cx").join(edges.select(*keys, "parent", "b"), keys, "left"))
+    continued = F.when(F.col("b") == 1, F.col("parent"))
+    tracks = earliest(follows.withColumn("parent", continued), series)
+    lives = earliest(follows, series) if retain_lifetime_on_split else tracks
+    ages = lives.select(*keys, (F.col("frame") - F.col("root_frame") + 1).alias("lifetime"))
     name = F.concat_ws("_", F.col("root_frame"), F.col("root"))
-    return state.select(*series, "frame", "feature", name.alias("track"), (F.col("frame") - F.col("root_frame") + 1).alias("lifetime"), (F.col("frame") == F.col("root_frame")).alias("initiation"))
+    out = cut(tracks.select(*keys, name.alias("track")).join(ages, keys).join(follows.select(*keys, "cy", "cx"), keys))
+    old = found.join(out.where("lifetime > 1").select(*keys), keys).select(*series, "frame", F.col("iy").alias("oy"), F.col("ix").alias("ox"))
+    # Cells of a frame in squares as wide as the reach: those near a centre lie in nine of them.
+    side = float(max(nbhood, 1))
+    square = lambda c, d=0: (F.floor(c / side) + d).cast("long")
+    around = F.array(*(F.struct(square(F.col("cy"), dy).alias("sy"), square(F.col("cx"), dx).alias("sx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    fresh = out.where("lifetime = 1").select(*keys, "cy", "cx", F.explode(around).alias("s")).select(*keys, "cy", "cx", "s.sy", "s.sx")
+    squares = old.withColumns({"sy": square(F.col("oy")), "sx": square(F.col("ox"))})
+    far = (F.col("oy") - F.col("cy")) * (F.col("oy") - F.col("cy")) + (F.col("ox") - F.col("cx")) * (F.col("ox") - F.col("cx"))
+    spawned = fresh.join(squares, [*series, "frame", "sy", "sx"]).where(far <= nbhood * nbhood).select(*keys).distinct().withColumn("__near", F.lit(True))
+    done = out.join(spawned, keys, "left")
+    return done.select(*keys, "track", "lifetime", ((F.col("lifetime") == 1) & F.col("__near").isNull()).alias("initiation"))
 
 
 def grid_spacing(places: DataFrame) -> DataFrame:
@@ -85,7 +111,7 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
     while it is in the domain, and where it is still under way after ``steps``.
     """
     seconds = hours * 3600
-    winds = winds.select("lead", "iy", "ix", "us", "vs", "ws", "zs").checkpoint()
+    winds = cut(winds.select("lead", "iy", "ix", "us", "vs", "ws", "zs"))
     seeds = winds.where(F.col("lead") >= 1).select("lead", "iy", "ix").join(spacing, ["iy", "ix"], "left")
     seeds = seeds.select(
         F.col("lead").alias("seed_lead"), F.col("iy").alias("seed_iy"), F.col("ix").alias("seed_ix"), "lead", F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x"), F.lit(level).alias("k"), F.lit(None).cast("double").alias("first"), "dx", "dy"
@@ -104,7 +130,7 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
         out = (F.col("y") < 0) | (F.col("y") >= ny) | (F.col("x") < 0) | (F.col("x") >= nx)
         # Without a place the air is lost, unless the other axis alone has left the domain.
         lost = (F.col("y").isNull() | F.col("x").isNull()) & ~F.coalesce(out, F.lit(False))
-        here = here.select(*seed, (F.col("lead") - 1).alias("lead"), "y", "x", "k", "first", "dx", "dy", F.coalesce(out, F.lit(False)).alias("out"), lost.alias("lost")).checkpoint()
+        here = cut(here.select(*seed, (F.col("lead") - 1).alias("lead"), "y", "x", "k", "first", "dx", "dy", F.coalesce(out, F.lit(False)).alias("out"), lost.alias("lost")))
         age = F.when(F.col("out"), F.lit(step * hours)).when(~F.col("lost"), F.col("seed_lead") * F.lit(hours))
         ended = here.where(F.col("out") | F.col("lost") | (F.col("lead") == 0)).select(*seed, age.alias("age"))
         done = ended if done is None else done.union(ended)

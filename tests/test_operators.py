@@ -248,6 +248,52 @@ def test_a_moving_square_keeps_its_track(spark):
     assert [r.lifetime for r in found] == [1, 2, 3] and len({r.track for r in found}) == 1 and [r.initiation for r in found] == [True, False, False]
 
 
+def brute_tracks(frames, overlap, retain, nbhood):
+    """{(frame, feature): (track, lifetime, initiation)} of frames, each {feature: set of cells}."""
+    out, old = {}, {}
+    for t, here in enumerate(frames):
+        follows = {}
+        for f, cells in sorted(here.items()):
+            near = [(-len(cells & other), p) for p, other in old.items() if len(cells & other) and len(cells & other) >= overlap * min(len(cells), len(other))]
+            if near:
+                follows[f] = min(near)
+        heir = {}
+        for f, (shared, p) in sorted(follows.items()):
+            if p not in heir or (shared, f) < heir[p]:
+                heir[p] = (shared, f)
+        for f in here:
+            p = follows[f][1] if f in follows else None
+            goes_on = p is not None and heir[p][1] == f
+            track, life = out[t - 1, p][:2] if p is not None else (None, 0)
+            out[t, f] = (track if goes_on else f"{t}_{f}", life + 1 if goes_on or (p is not None and retain) else 1, None)
+        grown = {c for f, cells in here.items() if out[t, f][1] > 1 for c in cells}
+        for f, cells in here.items():
+            cy, cx = (sum(c[i] for c in cells) / len(cells) for i in (0, 1))
+            close = any((y - cy) ** 2 + (x - cx) ** 2 <= nbhood**2 for y, x in grown)
+            out[t, f] = (*out[t, f][:2], out[t, f][1] == 1 and not close)
+        old = here
+    return out
+
+
+@pytest.mark.parametrize("retain, nbhood", [(True, 5), (False, 2)])
+def test_tracks_that_split_and_spawn(spark, retain, nbhood):
+    rng, frames = np.random.default_rng(4), []
+    for t in range(7):
+        field = np.zeros((20, 24), bool)
+        for k in range(6):
+            y, x = (3 + 5 * (k % 3) + t // 2) % 17, (2 + 7 * (k // 3) + t) % 21
+            field[y : y + 3, x : x + 4] |= rng.random() < 0.85
+        field[:, 8 + t] &= rng.random(20) < 0.3  # cuts features apart
+        labels = slabs.connected_areas(field)
+        frames.append({int(f): {(int(y), int(x)) for y, x in zip(*np.nonzero(labels == f))} for f in np.unique(labels[labels > 0])})
+    rows = [(0, t, f, y, x) for t, here in enumerate(frames) for f, cells in here.items() for y, x in cells]
+    found = tracking.track(frame(spark, rows, "series int, frame int, feature int, iy int, ix int"), ["series"], 0.3, retain, nbhood).collect()
+    wanted = brute_tracks(frames, 0.3, retain, nbhood)
+    assert {(r.frame, r.feature): (r.track, r.lifetime, r.initiation) for r in found} == wanted
+    assert any(life > 2 for _, life, _ in wanted.values())
+    assert len({track for track, _, _ in wanted.values()}) > 5 and {init for _, _, init in wanted.values()} == {True, False}
+
+
 def test_connected_areas_join_round_corners():
     inside = np.array([[1, 0, 1, 1], [1, 0, 0, 1], [1, 1, 1, 1], [0, 0, 0, 0], [1, 0, 1, 0]], bool)
     assert len(np.unique(slabs.connected_areas(inside))) == 4
