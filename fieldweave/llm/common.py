@@ -8,8 +8,6 @@ UTF-8 bytes that is what ``bytes.split()`` and ``bytes.strip()`` use, and
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldweave.shared import cut, fresh_path  # noqa: F401
+
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,21 +25,6 @@ STRIP = " \t\n\x0b\x0c\r"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that executors and driver share, as ``spark.checkpoint.dir`` names it.
-
-    Where the session names none, a run in one process (tests) gets a temporary folder; on a
-    cluster that would be one machine's own disk, so there it is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there.
 
@@ -47,17 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     over rounds of joins the numbers themselves grow too long to plan with. A table has
     the size of its files, and columns that are not asked for are not read.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` by way of a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
