@@ -10,7 +10,8 @@ Equal sets are one node from the start, so copies cost nothing. Nodes that share
 n-gram of the first order meet in one of two ways, neither of which pairs out a group:
 
 * up to GROUP nodes: their pairs, a few a node. The other orders' prefixes are joined to a
-  pair; pairs that pass them all chain their nodes to clusters.
+  pair, and bits that bound from below how far two sets are apart; pairs that pass all
+  of these filters chain their nodes to clusters.
 * more than GROUP nodes: such n-grams chain their nodes to clusters, a band of set sizes
   at a time; a node stands in two bands, and sets near enough in size share one.
 
@@ -97,6 +98,24 @@ def node_of(grams: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """The set's size and a bit for each of at least twice as many cells: whether an odd number of its n-grams fall there."""
+    cells = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return len(grams).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """How many n-grams at least are in one set only, given their ``parities``: each cell whose bits differ has one."""
+    low, high = sorted((x[8:], y[8:]), key=len)
+    cells, wide = 8 * len(low), int.from_bytes(high, "little")
+    folded = 0
+    while wide:
+        folded ^= wide & ((1 << cells) - 1)
+        wide >>= cells
+    return (folded ^ int.from_bytes(low, "little")).bit_count()
+
+
 def row_key(docs: DataFrame):
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -128,7 +147,7 @@ def common_grams(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
 def nodes_of(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """(doc_id, ROW, n_shingles, node, tails): node is a hash of the set, null for an empty one.
 
-    tails: 2-byte tails of the set's prefix under each order but the first, once for a node in a batch.
+    tails: 2-byte tails of the set's prefix under each order but the first, and its parities, once for a node in a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +158,7 @@ def nodes_of(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
             for own, node in zip(sets, nodes, strict=True):
                 counts = None if node in seen else by.counts(own)
                 seen.add(node)
-                tails.append(None if counts is None else [own[by.place(own, o, percent, counts)].astype("<u2").tobytes() for o in range(1, ORDERS)])
+                tails.append(None if counts is None else [*(own[by.place(own, o, percent, counts)].astype("<u2").tobytes() for o in range(1, ORDERS)), parities(own)])
             columns = [batch.column("doc_id"), batch.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(tails, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", ROW, "n_shingles", "node", "tails"])
 
@@ -360,10 +379,20 @@ def kept(pairs: DataFrame, held: DataFrame, column: str, read, check) -> DataFra
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "xa", "xb").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes)))
 
 
-def sharing_prefixes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix n-gram under every further order too; told by tails, as n-grams of different tails differ."""
-    shared = lambda x, y: all(not p.isdisjoint(q) for p, q in zip(x, y, strict=True))
-    return kept(pairs, rows, "tails", lambda made: [set(memoryview(m).cast("H")) for m in made], shared)
+def sharing_prefixes(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix n-gram under every further order too, and whose parities leave room for the similarity.
+
+    Prefixes are told by tails, as n-grams of different tails differ.
+    """
+
+    def check(x: tuple[list[set], bytes], y: tuple[list[set], bytes]) -> bool:
+        if any(p.isdisjoint(q) for p, q in zip(x[0], y[0], strict=True)):
+            return False
+        both = int.from_bytes(x[1][:8], "little") + int.from_bytes(y[1][:8], "little")
+        common = (both - apart_at_least(x[1], y[1])) // 2
+        return 100 * common >= percent * (both - common)
+
+    return kept(pairs, rows, "tails", lambda made: ([set(memoryview(m).cast("H")) for m in made[:-1]], made[-1]), check)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -496,7 +525,7 @@ def with_own(labels: DataFrame) -> DataFrame:
 def links_between(docs: DataFrame, rows: DataFrame, orders, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes: all of them, but for those inside a component that other links hold together."""
     met = meetings(docs, orders, n, percent)
-    pairs = sharing_prefixes(met.where(F.col("kind") >= PAIR), rows)
+    pairs = sharing_prefixes(met.where(F.col("kind") >= PAIR), rows, percent)
     # Pairs left chain their nodes too, by bands; these places are other hashes, so both kinds of clusters stay apart.
     edges = pairs.select(*(F.xxhash64(c, "kind").alias(c) for c in ("a", "b")))
     labels = with_own(components(met.where(F.col("kind") == CHAIN).select("a", "b").union(edges))).select(F.col("node").alias("a"), F.col("component").alias("cluster"))

@@ -446,3 +446,13 @@ def test_languages_by_distances_counted_by_hand(spark):
         far = [sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for p in profiles]
         best = names[min(range(len(far)), key=far.__getitem__)]
         assert (r.lang_pred, round(r.score, 9)) == (best, round(1 - min(far) / (langid.PROFILE * len(own)), 9))
+
+
+def test_parities_never_set_sets_too_far_apart():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+        a = np.unique(rng.choice(pool, rng.integers(1, 500)))
+        b = np.unique(np.append(rng.choice(a, rng.integers(1, len(a) + 1)), rng.choice(pool, rng.integers(0, 60))))
+        found = ngram_join.apart_at_least(ngram_join.parities(a), ngram_join.parities(b))
+        assert 0 <= found <= len(np.setxor1d(a, b)) and ngram_join.apart_at_least(ngram_join.parities(a), ngram_join.parities(a)) == 0
