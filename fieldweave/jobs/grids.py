@@ -168,7 +168,7 @@ def feature_tracks(spark, sf_dir):
 
 def age_of_air(spark, sf_dir):
     """Leads, columns and three levels of the base's monthly fields; winds from its values."""
-    months = adapters.lines(spark, sf_dir).where("is_base").groupBy((F.year("time") * 12 + F.month("time") - 1995 * 12 - 1).alias("lead"), "iy", "ix").agg(F.avg("value").alias("q"), F.avg("l_discount").alias("d"))
+    months = adapters.lines(spark, sf_dir).where("is_base").groupBy((F.year("time") * 12 + F.month("time") - 1995 * 12 - 1).alias("lead"), "iy", "ix").agg(F.round(F.avg("value"), 6).alias("q"), F.round(F.avg("l_discount"), 9).alias("d"))
     q, d = F.col("q") - 25, F.col("d") - 0.05
     columns = months.select(
         "lead", "iy", "ix", F.array(q / 20, q / 10, q / 5).alias("us"), F.array(d * 40, d * 20, d * 10).alias("vs"), F.array(q * 0.001, d, -d).alias("ws"), F.array(*(F.lit(z) for z in (0.0, 1000.0, 2500.0))).alias("zs")
@@ -229,7 +229,7 @@ SIMILAR = f"""b AS (SELECT s.time, s.part, s.iy, s.ix, s.value AS x, o.value AS
 q AS (SELECT time, part, iy, ix, iy BETWEEN 5 AND ny - 6 AND ix BETWEEN 5 AND 58 AS inside,
   (2 * mx * my + c1) * (2 * (mxy - mx * my) * 121 / 120 + c2) / ((mx * mx + my * my + c1) * ((mxx - mx * mx + myy - my * my) * 121 / 120 + c2)) AS value FROM m JOIN reach_ USING (time, part))"""
 METRES = "2 * 6378000.0 * asin(sqrt(pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({2}) / 2), 2)))"
-AGES = f"""SELECT lead, iy, ix, age FROM (WITH RECURSIVE mo AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS lead, (l_suppkey % 5)::INT AS iy, (l_partkey % 8)::INT AS ix, avg(l_quantity) - 25 AS q, avg(l_discount) - 0.05 AS d
+AGES = f"""SELECT lead, iy, ix, age FROM (WITH RECURSIVE mo AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS lead, (l_suppkey % 5)::INT AS iy, (l_partkey % 8)::INT AS ix, round(avg(l_quantity), 6) - 25 AS q, round(avg(l_discount), 9) - 0.05::DOUBLE AS d
   FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
 w AS (SELECT lead, iy, ix, [q / 20, q / 10, q / 5] AS us, [d * 40, d * 20, d * 10] AS vs, [q * 0.001, d, -d] AS ws, [0.0, 1000.0, 2500.0]::DOUBLE[] AS zs FROM mo),
 sp AS (SELECT iy, ix, {METRES.format("(50 + iy * 0.1::DOUBLE)", "(50 + iy * 0.1::DOUBLE)", "0.15::DOUBLE")} AS dx, {METRES.format("(50 + iy * 0.1::DOUBLE)", "(50 + (iy + CASE WHEN iy < 4 THEN 1 ELSE -1 END) * 0.1::DOUBLE)", "0.0::DOUBLE")} AS dy
