@@ -238,7 +238,7 @@ s AS (SELECT lead AS l0, iy AS y0, ix AS x0, dx, dy, lead, iy::DOUBLE AS y, ix::
   UNION ALL
   SELECT l0, y0, x0, dx, dy, lead, y, x, list_position(list_transform(zs, lambda z: abs(z - moved)), list_min(list_transform(zs, lambda z: abs(z - moved)))), coalesce(first, moved), step, coalesce(away, false), (y IS NULL OR x IS NULL) AND NOT coalesce(away, false)
   FROM (SELECT *, y < 0 OR y >= 5 OR x < 0 OR x >= 8 AS away FROM (
-    SELECT l0, y0, x0, dx, dy, s.lead - 1 AS lead, y - vs[k] * 3600 / dy AS y, x - us[k] * 3600 / dx AS x, first, coalesce(first, zs[k]) - ws[k] * 3600 AS moved, zs, step + 1 AS step
+    SELECT l0, y0, x0, dx, dy, s.lead - 1 AS lead, round(y - vs[k] * 3600 / dy, 9) AS y, round(x - us[k] * 3600 / dx, 9) AS x, first, coalesce(first, zs[k]) - ws[k] * 3600 AS moved, zs, step + 1 AS step
     FROM s LEFT JOIN w ON w.lead = s.lead AND w.iy = floor(y) AND w.ix = floor(x) WHERE NOT gone AND NOT lost AND s.lead > 0)))
 SELECT l0 AS lead, y0 AS iy, x0 AS ix, CASE WHEN gone THEN step - 1 WHEN NOT lost THEN l0 END::DOUBLE AS age FROM s WHERE gone OR lost OR lead = 0)"""
 UNSTABLE = f"""WITH {LEVELS}, s AS (SELECT *, 280 + value / 10 AS t, 1000 - z / 10 AS p, 0.85 + d AS rh FROM lv), e AS (SELECT *, 6.1121 * exp(17.502 * (t - 273.15) / (240.97 + t - 273.15)) AS e FROM s),

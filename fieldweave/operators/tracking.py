@@ -103,7 +103,8 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
     levels of winds in m s-1 and heights in m; ``spacing`` as of ``grid_spacing``, that of
     the seed's own cell counting all the way. Air is followed back one lead a step: it
     moves by minus the wind, and takes the level whose height is nearest to the height of
-    its first step plus the present step's own rise. Each step is one join of the seeds
+    its first step plus the present step's own rise. Places are kept to nine digits of a cell,
+    so that air blown forth and back comes to the cell it left. Each step is one join of the seeds
     still under way with the winds, then a checkpoint; a cyclic domain wraps in x.
 
     Every column of a lead from 1 on gives a row. Air is followed until none is under
@@ -121,7 +122,7 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
     while steps is None or step < steps:
         here = seeds.withColumns({"iy": F.floor("y").cast("int"), "ix": F.floor("x").cast("int")}).join(winds, keys, "left")
         at = lambda c: F.get(c, F.col("k"))
-        y, x = F.col("y") - at("vs") * seconds / F.col("dy"), F.col("x") - at("us") * seconds / F.col("dx")
+        y, x = F.round(F.col("y") - at("vs") * seconds / F.col("dy"), 9), F.round(F.col("x") - at("us") * seconds / F.col("dx"), 9)
         x = F.pmod(x, F.lit(float(nx))) if cyclic else x
         moved = F.coalesce("first", at("zs")) - at("ws") * seconds
         here = here.withColumns({"y": y, "x": x, "moved": moved, "first": F.coalesce("first", moved)})
