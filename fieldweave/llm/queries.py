@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import ann, bpe, chat, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz
+from fieldweave.llm import ann, bpe, chat, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz, topk
 
 _QUERIES = (
     (line_dedup.op1_line_dedup, line_dedup.SQL),
@@ -16,6 +16,7 @@ _QUERIES = (
     (chat.op8_chat_guarded, chat.SQL),
     (quality_rules.op9_quality_rules, quality_rules.SQL),
     (rlz.op10_substring_dedup, rlz.SQL),
+    (topk.op11_exact_topk, topk.SQL),
 )
 
 
