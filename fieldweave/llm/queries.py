@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import ann, bpe, chat, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz, topk
+from fieldweave.llm import ann, bpe, chat, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz, topk, trie
 
 _QUERIES = (
     (line_dedup.op1_line_dedup, line_dedup.SQL),
@@ -17,6 +17,7 @@ _QUERIES = (
     (quality_rules.op9_quality_rules, quality_rules.SQL),
     (rlz.op10_substring_dedup, rlz.SQL),
     (topk.op11_exact_topk, topk.SQL),
+    (trie.op12_prefix_trie, trie.SQL),
 )
 
 
