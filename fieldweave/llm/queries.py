@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldweave.llm import ann, bpe, chat, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz, topk, trie
+from fieldweave.llm import ann, bpe, chat, collocations, langid, line_dedup, mixing, ngram_join, quality_pu, quality_rules, rlz, topk, trie
 
 _QUERIES = (
     (line_dedup.op1_line_dedup, line_dedup.SQL),
@@ -18,6 +18,7 @@ _QUERIES = (
     (rlz.op10_substring_dedup, rlz.SQL),
     (topk.op11_exact_topk, topk.SQL),
     (trie.op12_prefix_trie, trie.SQL),
+    (collocations.op13_collocations, collocations.SQL),
 )
 
 
