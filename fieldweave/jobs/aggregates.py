@@ -83,10 +83,6 @@ def pairs(spark, sf_dir):
 
 
 def quantile_pairs(spark, sf_dir):
-    return distributions.quantile_pairs(pairs(spark, sf_dir).where("model_name = 'N'"), [1, 10, 25, 50, 75, 90, 99])
-
-
-def quantile_pairs_all(spark, sf_dir):
     return distributions.quantile_pairs(pairs(spark, sf_dir), [1, 10, 25, 50, 75, 90, 99], ["model_name"])
 
 
@@ -97,10 +93,6 @@ def scatter_quantiles(spark, sf_dir):
 
 
 def hexagons(spark, sf_dir):
-    return distributions.hexagons(pairs(spark, sf_dir).where("model_name = 'N'"), 20)
-
-
-def hexagons_all(spark, sf_dir):
     return distributions.hexagons(pairs(spark, sf_dir), 20, ["model_name"])
 
 
@@ -217,15 +209,8 @@ SELECT * FROM (SELECT model_name, bin, n * (e[bin + 1] + e[bin + 2]) / 2 / sum(n
     ),
     Query(
         "quantile_pairs",
-        "percent:r base:r other:r",
-        quantile_pairs,
-        "field",
-        f"WITH {PAIRS}, q AS (SELECT quantile_cont(base, {QQ}) AS b, quantile_cont(other, {QQ}) AS o FROM p WHERE model_name = 'N')\nFINAL\nSELECT 100 * unnest({QQ}) AS percent, unnest(b) AS base, unnest(o) AS other FROM q",
-    ),
-    Query(
-        "quantile_pairs_all",
         "model_name:s percent:r base:r other:r",
-        quantile_pairs_all,
+        quantile_pairs,
         "field",
         f"WITH {PAIRS}, q AS (SELECT model_name, quantile_cont(base, {QQ}) AS b, quantile_cont(other, {QQ}) AS o FROM p GROUP BY ALL)\nFINAL\nSELECT model_name, 100 * unnest({QQ}) AS percent, unnest(b) AS base, unnest(o) AS other FROM q",
     ),
@@ -238,20 +223,8 @@ SELECT * FROM (SELECT model_name, bin, n * (e[bin + 1] + e[bin + 2]) / 2 / sum(n
     ),
     Query(
         "hexagons",
-        "hx:l hy:l n:l",
-        hexagons,
-        "field",
-        f"""WITH {PAIRS}, r AS (SELECT min(base) AS b0, max(base) - min(base) AS b1, min(other) AS o0, max(other) - min(other) AS o1 FROM p WHERE model_name = 'N'),
-        u AS (SELECT (base - b0) * (20 / b1) AS x, (other - o0) * (11 / o1) AS y FROM p, r WHERE model_name = 'N'),
-        h AS (SELECT *, round_even(x, 0)::DOUBLE AS ax, round_even(y, 0)::DOUBLE AS ay, floor(x) + 0.5 AS bx, floor(y) + 0.5 AS by_ FROM u),
-        d AS (SELECT *, (x - ax) * (x - ax) + 3 * (y - ay) * (y - ay) < (x - bx) * (x - bx) + 3 * (y - by_) * (y - by_) AS first FROM h)
-FINAL
-SELECT 2 * CASE WHEN first THEN ax ELSE bx END AS hx, 2 * CASE WHEN first THEN ay ELSE by_ END AS hy, count(*) AS n FROM d GROUP BY ALL""",
-    ),
-    Query(
-        "hexagons_all",
         "model_name:s hx:l hy:l n:l",
-        hexagons_all,
+        hexagons,
         "field",
         f"""WITH {PAIRS}, r AS (SELECT min(base) AS b0, max(base) - min(base) AS b1, min(other) AS o0, max(other) - min(other) AS o1 FROM p),
         u AS (SELECT model_name, (base - b0) * (20 / b1) AS x, (other - o0) * (11 / o1) AS y FROM p, r),

@@ -18,8 +18,6 @@ VIEWS = {
     "wx": "SELECT l_orderkey, l_linenumber, 250 + l_quantity AS t, 500 + 5000 * l_discount AS p, 0.05 + 10 * l_tax AS rh, l_quantity - 25 AS u, l_linenumber - 3.5::DOUBLE AS v FROM lineitem",
     "obs": "SELECT user_id AS station, ts::TIMESTAMP AS time, event_type AS variable, value, event_id FROM events",
     "hourly": "SELECT variable, date_trunc('hour', time) AS time, avg(value) AS value FROM obs GROUP BY ALL",
-    "slab": """SELECT label AS time, iy, (i - 1)::INT AS ix, embedding[i]::DOUBLE AS value FROM (
-        SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS iy FROM embeddings) , range(1, 65) AS r(i) WHERE iy < 40""",
     "slabs": """SELECT label AS time, (n // 40)::INT AS part, (n % 40)::INT AS iy, (i - 1)::INT AS ix, embedding[i]::DOUBLE AS value FROM (
         SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), range(1, 65) AS r(i)""",
 }

@@ -25,10 +25,6 @@ def common_points(spark, sf_dir):
 
 
 def matched_points(spark, sf_dir):
-    return align.matched_points(adapters.member_field(spark, sf_dir).where("iy = 0 AND ix = 0 AND realization = 0"), "time").select("time", F.concat_ws(",", "models").alias("models"))
-
-
-def matched_points_all(spark, sf_dir):
     point = ["time", "iy", "ix", "realization"]
     return align.matched_points(adapters.member_field(spark, sf_dir), *point).select(*point, F.concat_ws(",", "models").alias("models"))
 
@@ -104,11 +100,6 @@ def trimmed(spark, sf_dir):
 
 
 def radar_weights(spark, sf_dir):
-    cells = adapters.field(spark, sf_dir).where("is_base").withColumn("weight", F.when(F.month("time") % 2 == 0, F.col("ix") * 4.0).otherwise((F.col("ix") * 4 + 1) / 32))
-    return masks.radar_weights(cells.select(*CELL, "value", "weight")).groupBy("time").agg(F.sum("value").alias("value"))
-
-
-def radar_weights_all(spark, sf_dir):
     weight = F.when(F.month("time") % 2 == 0, F.col("ix") * 4.0).otherwise((F.col("ix") * 4 + 1) / 32)
     cells = adapters.field(spark, sf_dir).withColumn("weight", weight)
     return masks.radar_weights(cells.select("model_name", *CELL, "value", "weight"), ["model_name", "time"]).groupBy("model_name", "time").agg(F.sum("value").alias("value"))
@@ -135,12 +126,9 @@ QUERIES = [
         "SELECT model_name, count(*) AS n, avg(value) AS value FROM field WHERE (time, iy, ix) IN (SELECT (time, iy, ix) FROM field GROUP BY time, iy, ix HAVING count(*) = 3) GROUP BY ALL",
     ),
     Query(
-        "matched_points", "time:t models:s", matched_points, "member", "SELECT time, string_agg(model_name, ',' ORDER BY model_name) AS models FROM member WHERE iy = 0 AND ix = 0 AND realization = 0 GROUP BY ALL"
-    ),
-    Query(
-        "matched_points_all",
+        "matched_points",
         "time:t iy:i ix:i realization:i models:s",
-        matched_points_all,
+        matched_points,
         "member",
         "SELECT time, iy, ix, realization, string_agg(model_name, ',' ORDER BY model_name) AS models FROM member GROUP BY ALL",
     ),
@@ -204,17 +192,8 @@ SELECT m.model_name, m.realization, avg(0.5 * pow(c.u - m.u, 2) + 0.5 * pow(c.v
     Query("trimmed", "model_name:s iy:i ix:i value:r", trimmed, "field", "SELECT model_name, iy, ix, avg(value) AS value FROM field WHERE iy BETWEEN 1 AND 3 AND ix BETWEEN 2 AND 6 GROUP BY ALL"),
     Query(
         "radar_weights",
-        "time:t value:r",
-        radar_weights,
-        "field",
-        """WITH w AS (SELECT *, CASE WHEN month(time) % 2 = 0 THEN ix * 4.0 ELSE (ix * 4 + 1) / 32.0 END::DOUBLE AS weight FROM field WHERE is_base), m AS (SELECT time, max(weight) < 1 AS packed FROM w GROUP BY ALL)
-FINAL
-SELECT time, sum(CASE WHEN CASE WHEN packed THEN round_even(weight * 32, 0) ELSE weight END < 11 THEN 0 ELSE value END) AS value FROM w JOIN m USING (time) GROUP BY ALL""",
-    ),
-    Query(
-        "radar_weights_all",
         "model_name:s time:t value:r",
-        radar_weights_all,
+        radar_weights,
         "field",
         """WITH w AS (SELECT *, CASE WHEN month(time) % 2 = 0 THEN ix * 4.0 ELSE (ix * 4 + 1) / 32.0 END::DOUBLE AS weight FROM field), m AS (SELECT model_name, time, max(weight) < 1 AS packed FROM w GROUP BY ALL)
 FINAL

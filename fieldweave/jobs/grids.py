@@ -59,10 +59,6 @@ def vertical_interpolation(spark, sf_dir):
 
 
 def rain_rates(spark, sf_dir):
-    return vertical.rain_rate(adapters.field(spark, sf_dir).where("iy = 0 AND ix = 0").select("model_name", "time", "value"), ["model_name"])
-
-
-def rain_rates_all(spark, sf_dir):
     series = ["model_name", "iy", "ix"]
     return vertical.rain_rate(adapters.field(spark, sf_dir).select(*series, "time", "value"), series)
 
@@ -123,10 +119,6 @@ SLAB = ["time", "part"]
 
 
 def box_perturbation(spark, sf_dir):
-    return slabs.perturbation(adapters.first_slabs(spark, sf_dir), ["time"], 3, gauss=False)
-
-
-def box_perturbation_all(spark, sf_dir):
     return slabs.perturbation(adapters.slabs(spark, sf_dir), SLAB, 3, gauss=False)
 
 
@@ -139,10 +131,6 @@ def smoothed_slabs(spark, sf_dir):
 
 
 def power_spectrum(spark, sf_dir):
-    return slabs.power_spectrum(adapters.first_slabs(spark, sf_dir), ["time"])
-
-
-def power_spectrum_all(spark, sf_dir):
     return slabs.power_spectrum(adapters.slabs(spark, sf_dir), SLAB)
 
 
@@ -199,17 +187,19 @@ ROTATED = """WITH p AS (SELECT s_suppkey, s_acctbal / 150 AS lat, fmod(s_suppkey
 FINAL
 SELECT s_suppkey, degrees(asin(sin(t) * cos(y) * cos(x) + cos(t) * sin(y))) AS rlat, degrees(atan2(-cos(y) * sin(x), -(cos(t) * cos(y) * cos(x) - sin(t) * sin(y)))) AS rlon, lat AS back_lat, lon AS back_lon,
 2 * 6378000.0 * asin(sqrt(pow(sin(radians(51.5 - lat) / 2), 2) + cos(y) * cos(radians(51.5)) * pow(sin(radians(0 - lon) / 2), 2))) AS metres FROM a"""
-SPECTRUM = """WITH size AS (SELECT time, max(iy) + 1 AS ny, 64 AS nx FROM slab GROUP BY ALL), rows_ AS (SELECT slab.time, ny, nx, k AS kx, iy, sum(value * cos(pi() * (2 * ix + 1) * k / (2 * nx)) * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END)::DOUBLE / nx)) AS f
-FROM slab JOIN size USING (time), range(0, 64) AS r(k) GROUP BY ALL),
-both_ AS (SELECT time, ny, nx, kx, k AS ky, sum(f * cos(pi() * (2 * iy + 1) * k / (2 * ny)) * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END)::DOUBLE / ny)) AS f FROM rows_, range(0, 40) AS r(k) WHERE k < ny GROUP BY ALL),
-rings AS (SELECT time, floor(sqrt(pow((ky + 1) / ny::DOUBLE, 2) + pow((kx + 1) / nx::DOUBLE, 2)) * (least(ny, nx) - 1) + 1e-12) AS k, avg(f * f / (ny * nx)) AS value FROM both_ GROUP BY ALL),
-every_ AS (SELECT time, unnest(range(1, least(ny, nx))) AS k FROM size)
+SPECTRUM = """WITH size AS (SELECT time, part, max(iy) + 1 AS ny, 64 AS nx FROM slabs GROUP BY ALL), rows_ AS (SELECT slabs.time, part, ny, nx, k AS kx, iy, sum(value * cos(pi() * (2 * ix + 1) * k / (2 * nx)) * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END)::DOUBLE / nx)) AS f
+FROM slabs JOIN size USING (time, part), range(0, 64) AS r(k) GROUP BY ALL),
+both_ AS (SELECT time, part, ny, nx, kx, k AS ky, sum(f * cos(pi() * (2 * iy + 1) * k / (2 * ny)) * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END)::DOUBLE / ny)) AS f FROM rows_, range(0, 40) AS r(k) WHERE k < ny GROUP BY ALL),
+rings AS (SELECT time, part, floor(sqrt(pow((ky + 1) / ny::DOUBLE, 2) + pow((kx + 1) / nx::DOUBLE, 2)) * (least(ny, nx) - 1) + 1e-12) AS k, avg(f * f / (ny * nx)) AS value FROM both_ GROUP BY ALL),
+every_ AS (SELECT time, part, unnest(range(1, least(ny, nx))) AS k FROM size)
 FINAL
-SELECT time, k, coalesce(value, 0) AS value FROM every_ LEFT JOIN rings USING (time, k)"""
-BOX = """WITH size AS (SELECT time, max(iy) AS y1 FROM slab GROUP BY ALL), near AS (SELECT s.time, s.iy, s.ix, s.value, least(greatest(s.iy + dy, 0), y1) AS jy, least(greatest(s.ix + dx, 0), 63) AS jx
-FROM slab s JOIN size USING (time), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
+SELECT time, part, k, coalesce(value, 0) AS value FROM every_ LEFT JOIN rings USING (time, part, k)"""
+BOX = """WITH size AS (SELECT time, part, max(iy) AS y1 FROM slabs GROUP BY ALL), near AS (SELECT s.time, s.part, s.iy, s.ix, s.value, least(greatest(s.iy + dy, 0), y1) AS jy, least(greatest(s.ix + dx, 0), 63) AS jx
+FROM slabs s JOIN size USING (time, part), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
 FINAL
-SELECT n.time, n.iy, n.ix, n.value - sum(s.value) / 9 AS value FROM near n JOIN slab s ON s.time = n.time AND s.iy = n.jy AND s.ix = n.jx GROUP BY n.time, n.iy, n.ix, n.value"""
+SELECT n.time, n.part, n.iy, n.ix, n.value - sum(s.value) / 9 AS value FROM near n JOIN slabs s ON s.time = n.time AND s.part = n.part AND s.iy = n.jy AND s.ix = n.jx GROUP BY n.time, n.part, n.iy, n.ix, n.value"""
+
+
 def smoothing_sql(source: str, values: str, sigma: float, reach: int, fold: str) -> str:
     """``values`` (name = expression, ...) of ``source`` (time, part, iy, ix, ...) under a Gaussian of ``reach`` cells each way, as view m."""
     names = [v.split("=")[0] for v in values.split(", ")]
@@ -246,11 +236,6 @@ w AS (SELECT *, 0.62197 * e / (p - e) * rh AS w FROM e), h AS (SELECT *, t / pow
 n AS (SELECT *, (lead(h) {NEXT} - h) / (lead(z) {NEXT} - z) AS slope FROM h)
 FINAL
 SELECT model_name, time, sum((coalesce(slope < 0, false) AND rh > 0.9)::INT) AS value FROM n GROUP BY ALL"""
-SPECTRUM_ALL = SPECTRUM.replace("slab", "slabs").replace("time", "time, part")
-BOX_ALL = """WITH size AS (SELECT time, part, max(iy) AS y1 FROM slabs GROUP BY ALL), near AS (SELECT s.time, s.part, s.iy, s.ix, s.value, least(greatest(s.iy + dy, 0), y1) AS jy, least(greatest(s.ix + dx, 0), 63) AS jx
-FROM slabs s JOIN size USING (time, part), range(-1, 2) AS a(dy), range(-1, 2) AS b(dx))
-FINAL
-SELECT n.time, n.part, n.iy, n.ix, n.value - sum(s.value) / 9 AS value FROM near n JOIN slabs s ON s.time = n.time AND s.part = n.part AND s.iy = n.jy AND s.ix = n.jx GROUP BY n.time, n.part, n.iy, n.ix, n.value"""
 
 QUERIES = [
     Query(
@@ -303,15 +288,8 @@ WHERE z1 IS NOT NULL AND (level_height >= z OR i = 1) AND (level_height < z1 OR
     ),
     Query(
         "rain_rates",
-        "model_name:s time:t value:p",
-        rain_rates,
-        "field",
-        """SELECT model_name, time, value / coalesce(epoch(lead(time) OVER w) - epoch(time), epoch(time) - epoch(lag(time) OVER w)) AS value FROM field WHERE iy = 0 AND ix = 0 WINDOW w AS (PARTITION BY model_name ORDER BY time)""",
-    ),
-    Query(
-        "rain_rates_all",
         "model_name:s iy:i ix:i time:t value:p",
-        rain_rates_all,
+        rain_rates,
         "field",
         """SELECT model_name, iy, ix, time, value / coalesce(epoch(lead(time) OVER w) - epoch(time), epoch(time) - epoch(lag(time) OVER w)) AS value FROM field WINDOW w AS (PARTITION BY model_name, iy, ix ORDER BY time)""",
     ),
@@ -361,8 +339,7 @@ FINAL
 SELECT model_name, time, point, place, value FROM field JOIN l USING (iy, ix)""",
     ),
     Query("rotated_poles", "s_suppkey:l rlat:r rlon:r back_lat:r back_lon:r metres:r", rotated_poles, "", ROTATED),
-    Query("box_perturbation", "time:i iy:i ix:i value:r", box_perturbation, "slab", BOX),
-    Query("box_perturbation_all", "time:i part:i iy:i ix:i value:r", box_perturbation_all, "slabs", BOX_ALL),
+    Query("box_perturbation", "time:i part:i iy:i ix:i value:r", box_perturbation, "slabs", BOX),
     Query(
         "gaussian_perturbation",
         "time:i part:i iy:i ix:i value:r",
@@ -370,8 +347,7 @@ SELECT model_name, time, point, place, value FROM field JOIN l USING (iy, ix)"""
         "slabs",
         f"WITH {smoothing_sql('slabs', 'v=value', 4.0, 16, MIRROR)}\nFINAL\nSELECT s.time, s.part, s.iy, s.ix, s.value - m.v AS value FROM slabs s JOIN m USING (time, part, iy, ix)",
     ),
-    Query("power_spectrum", "time:i k:i value:r", power_spectrum, "slab", SPECTRUM),
-    Query("power_spectrum_all", "time:i part:i k:i value:r", power_spectrum_all, "slabs", SPECTRUM_ALL),
+    Query("power_spectrum", "time:i part:i k:i value:r", power_spectrum, "slabs", SPECTRUM),
     Query("similarity_map", "time:i part:i iy:i ix:i value:r", similarity_map, "slabs", f"WITH {SIMILAR}\nFINAL\nSELECT time, part, iy, ix, value FROM q"),
     Query("mean_similarity", "time:i part:i value:r", mean_similarity, "slabs", f"WITH {SIMILAR}\nFINAL\nSELECT time, part, avg(value) FILTER (inside) AS value FROM q GROUP BY ALL"),
     Query("feature_tracks", "series:i frame:i feature:i track:s lifetime:i initiation:b", feature_tracks),

@@ -45,14 +45,6 @@ def radiation_times(spark, sf_dir):
 
 
 def wind_speeds(spark, sf_dir):
-    keys = ["model_name", "time", "iy", "ix"]
-    cells = adapters.lines(spark, sf_dir).where("realization < 3").groupBy(*keys, "realization").agg(F.avg("value").alias("value"))
-    named = cells.withColumn("variable", F.element_at(F.array(F.lit("eastward_wind_at_10m"), F.lit("northward_wind_at_10m"), F.lit("wind_speed_at_10m")), F.col("realization").cast("int") + 1)).drop("realization")
-    named = named.where("variable <> 'wind_speed_at_10m' OR iy = 0")
-    return ingest.add_wind_speed(named, keys).groupBy("model_name", "time", "variable").agg(F.count("*").alias("n"), F.avg("value").alias("value"))
-
-
-def wind_speeds_all(spark, sf_dir):
     """All members stand for the two components, and in row 0 for a given speed too."""
     keys = ["model_name", "time", "iy", "ix"]
     kind = F.when(F.col("iy") == 0, F.col("realization") % 3).otherwise(F.col("realization") % 2).cast("int")
@@ -162,16 +154,6 @@ SELECT model_name, variable, units, realization, count(value) AS n, avg(value) A
         "wind_speeds",
         "model_name:s time:t variable:s n:l value:r",
         wind_speeds,
-        "member",
-        """WITH c AS (SELECT model_name, time, iy, ix, max(value) FILTER (realization = 0) AS u, max(value) FILTER (realization = 1) AS v, max(value) FILTER (realization = 2 AND iy = 0) AS s FROM member WHERE realization < 3 GROUP BY ALL),
-        a AS (SELECT model_name, time, 'eastward_wind_at_10m' AS variable, u AS value FROM c UNION ALL SELECT model_name, time, 'northward_wind_at_10m', v FROM c UNION ALL SELECT model_name, time, 'wind_speed_at_10m', coalesce(s, sqrt(u * u + v * v)) FROM c)
-FINAL
-SELECT model_name, time, variable, count(*) AS n, avg(value) AS value FROM a WHERE value IS NOT NULL GROUP BY ALL""",
-    ),
-    Query(
-        "wind_speeds_all",
-        "model_name:s time:t variable:s n:l value:r",
-        wind_speeds_all,
         "ln",
         """WITH k AS (SELECT *, CASE WHEN iy = 0 THEN realization % 3 ELSE realization % 2 END AS kind FROM ln),
         c AS (SELECT model_name, time, iy, ix, avg(value) FILTER (kind = 0) AS u, avg(value) FILTER (kind = 1) AS v, avg(value) FILTER (kind = 2) AS s FROM k GROUP BY ALL),

@@ -85,8 +85,3 @@ def slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     rows = vectors.select("vec_id", n.alias("n")).select("vec_id", F.floor(F.col("n") / ROWS).cast("int").alias("part"), (F.col("n") % ROWS).cast("int").alias("iy"))
     return vectors.join(rows, "vec_id").select(F.col("label").alias("time"), "part", "iy", F.posexplode("embedding").alias("ix", "value")).withColumn("value", F.col("value").cast("double"))
-
-
-def first_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only each label's first field of ``slabs``: what the SQL view slab has."""
-    return slabs(spark, sf_dir).where("part = 0").drop("part")

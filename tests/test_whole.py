@@ -38,14 +38,14 @@ def parts(n):
 
 def test_slabs_hold_every_vector(spark, vectors):
     cells = {(label, part, iy) for label, n in LABELS.items() for part, size in enumerate(parts(n)) for iy in range(size)}
-    for name in ("gaussian_perturbation", "smoothed_slabs", "box_perturbation_all"):
+    for name in ("gaussian_perturbation", "smoothed_slabs", "box_perturbation"):
         found = QUERIES[name](spark, vectors).collect()
         assert len(found) == 64 * sum(LABELS.values()) and {(r.time, r.part, r.iy) for r in found} == cells
     tables = {"embeddings": f"{vectors}/embeddings.parquet/*.parquet"}
-    for name in ("box_perturbation_all", "power_spectrum_all"):
+    for name in ("box_perturbation", "power_spectrum"):
         close(QUERIES[name](spark, vectors).collect(), oracle(name, tables))
     # Label 2's third slab is a single row, which has no ring.
-    assert {(r.time, r.part) for r in QUERIES["power_spectrum_all"](spark, vectors).collect()} == {(t, p) for t, p, _ in cells} - {(2, 2)}
+    assert {(r.time, r.part) for r in QUERIES["power_spectrum"](spark, vectors).collect()} == {(t, p) for t, p, _ in cells} - {(2, 2)}
     shared = {(t, p, y) for t, p, y in cells if (t + 1, p, y) in cells}
     assert {(r.time, r.part, r.iy) for r in QUERIES["similarity_map"](spark, vectors).collect()} == shared
     means = {(r.time, r.part): r.value for r in QUERIES["mean_similarity"](spark, vectors).collect()}
@@ -104,20 +104,19 @@ def test_age_of_air_has_every_lead(spark):
 def test_rain_rates_of_every_cell(spark):
     sf = "/root/testdata/sf0.001"
     cells = duckdb.sql(f"SELECT DISTINCT l_returnflag, l_suppkey % 5, l_partkey % 8, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S') FROM '{sf}/lineitem.parquet'").fetchall()
-    found = QUERIES["rain_rates_all"](spark, sf).collect()
+    found = QUERIES["rain_rates"](spark, sf).collect()
     assert sorted((r.model_name, r.iy, r.ix, r.time) for r in found) == sorted(cells) and all(r.value > 0 for r in found)
 
 
 def test_matched_points_of_every_cell_and_member(spark):
     sf = "/root/testdata/sf0.001"
     points = duckdb.sql(f"SELECT DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d %H:%M:%S'), l_suppkey % 5, l_partkey % 8, l_linenumber - 1 FROM '{sf}/lineitem.parquet'").fetchall()
-    found = [(r.time, r.iy, r.ix, r.realization) for r in QUERIES["matched_points_all"](spark, sf).collect()]
+    found = [(r.time, r.iy, r.ix, r.realization) for r in QUERIES["matched_points"](spark, sf).collect()]
     assert sorted(found) == sorted(points)
 
 
 def test_wind_speeds_count_every_line(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_linenumber > 3").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert QUERIES["wind_speeds"](spark, str(tmp_path)).count() == 0
-    found = QUERIES["wind_speeds_all"](spark, str(tmp_path)).collect()
+    found = QUERIES["wind_speeds"](spark, str(tmp_path)).collect()
     assert len({r.variable for r in found}) == 3
-    close([(r.model_name, r.time, r.variable, r.n, r.value) for r in found], oracle("wind_speeds_all", {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"}))
+    close([(r.model_name, r.time, r.variable, r.n, r.value) for r in found], oracle("wind_speeds", {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"}))
