@@ -1,9 +1,9 @@
 """Phrase collocations: word sequences that stand together more often than their parts do alone.
 
 Counting is by HAT-tries. A task keeps its counts in hash containers under a shallow trie
-of word ids; a container that grows too large bursts into one for each next word. When
-the trie is full, its largest subtrees leave as runs sorted by key, and the runs of all
-tasks are merged in partitions by prefix.
+of word ids; a container that grows too large bursts into one for each next byte of an
+id. When the trie is full, its largest subtrees leave as runs sorted by key, and the runs
+of all tasks are merged in partitions by prefix.
 
 Texts are read three times: for words, for pairs of words, and for phrases of three and
 four. A phrase is no more frequent than its parts, so each reading counts only phrases
@@ -31,7 +31,7 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A phrase goes whose words lie in a longer one that occurs at least this often for each of its own occurrences, in percent.
 COVERED = 80
 #: Entries of a container before it bursts, and of a task's trie before it spills; bytes of words kept with it.
-BURST, ENTRIES, NAMES = 4096, 400_000, 64_000_000
+BURST, ENTRIES, NAMES = 4096, 250_000, 32_000_000
 #: Entries at which a run is closed.
 RUN = 20_000
 #: Bits of a filter for each of its members, and at most (64 MB).
@@ -44,7 +44,11 @@ ID = 8
 
 
 class HatTrie:
-    """Counts by key, a sequence of ids. A node maps an id to a node or a container; a container maps the rest of a key to its count."""
+    """Counts by key, the bytes of a sequence of ids. A node maps a byte to a node or a container; a container maps the rest of a key to its count.
+
+    A container bursts into a node of up to 256 by the next byte, so the trie stays shallow
+    and few containers are small.
+    """
 
     class Container(dict):
         pass
@@ -55,8 +59,8 @@ class HatTrie:
     def add(self, key: bytes, n: int) -> None:
         node, at, made = self.root, 0, self.Container
         while True:
-            step = key[at : at + ID]
-            at += ID
+            step = key[at : at + 1]
+            at += 1
             child = node.get(step)
             if child is None:
                 child = node[step] = made()
@@ -67,11 +71,11 @@ class HatTrie:
         child[rest] = child.get(rest, 0) + n
         if len(child) > before:
             self.size += 1
-            self.sizes[key[:ID]] = self.sizes.get(key[:ID], 0) + 1
-            if len(child) > self.burst and any(len(r) > ID for r in child):
+            self.sizes[key[:1]] = self.sizes.get(key[:1], 0) + 1
+            if len(child) > self.burst and any(len(r) > 1 for r in child):
                 node[step] = parts = {}
                 for r, m in child.items():
-                    parts.setdefault(r[:ID], made())[r[ID:]] = m
+                    parts.setdefault(r[:1], made())[r[1:]] = m
 
     def _items(self, node: dict, prefix: bytes) -> Iterator[tuple[bytes, int]]:
         for step, child in node.items():
