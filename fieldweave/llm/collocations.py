@@ -1,8 +1,8 @@
 """Phrase collocations: word sequences that stand together more often than their parts do alone.
 
 Counting is by HAT-tries. A task keeps its counts in hash containers under a shallow trie
-of word ids; a container that grows too large bursts into one for each next byte of an
-id. When the trie is full, its largest subtrees leave as runs sorted by key, and the runs
+of word ids; a container that grows too large bursts into one for each next byte of the
+ids. When the trie is full, its largest subtrees leave as runs sorted by key, and the runs
 of all tasks are merged in partitions by prefix.
 
 Texts are read three times: for words, for pairs of words, and for phrases of three and
@@ -31,9 +31,7 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A phrase goes whose words lie in a longer one that occurs at least this often for each of its own occurrences, in percent.
 COVERED = 80
 #: Entries of a container before it bursts, and of a task's trie before it spills; bytes of words kept with it.
-BURST, ENTRIES, NAMES = 4096, 250_000, 32_000_000
-#: Entries at which a run is closed.
-RUN = 20_000
+BURST, ENTRIES, NAMES = 16_384, 2_000_000, 64_000_000
 #: Bits of a filter for each of its members, and at most (64 MB).
 BITS_EACH, BITS_MOST = 16, 2**29
 BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -43,64 +41,105 @@ IS_GAP[[ord(c) for c in BREAKS + BLANKS]] = True
 ID = 8
 
 
+class Container:
+    """Keys (rows of ids) with counts and what else is told of a key at first, in the order of the keys' hashes; newer ones wait to be merged."""
+
+    def __init__(self):
+        self.waiting, self.size, self.settled = [], 0, 0
+
+    def add(self, columns: list[np.ndarray]) -> None:
+        self.waiting.append(columns)
+        self.size += len(columns[0])
+
+    def settle(self) -> list[np.ndarray]:
+        """All entries, each key once: hashes, keys, counts, and the rest."""
+        hashes, keys, counts, *rest = (np.concatenate(c) for c in zip(*self.waiting, strict=True))
+        if len(self.waiting) > 1:
+            order = np.argsort(hashes, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
+            at = order[first]
+            hashes, keys, counts, rest = hashes[at], keys[at], np.add.reduceat(counts[order], first), [r[at] for r in rest]
+        self.waiting, self.size, self.settled = [[hashes, keys, counts, *rest]], len(hashes), len(hashes)
+        return self.waiting[0]
+
+
 class HatTrie:
-    """Counts by key, the bytes of a sequence of ids. A node maps a byte to a node or a container; a container maps the rest of a key to its count.
+    """Counts by key, a row of ids. A node has a child, node or container, for each next byte of the ids; a container has the keys below.
 
-    A container bursts into a node of up to 256 by the next byte, so the trie stays shallow
-    and few containers are small.
+    A container of over ``burst`` keys becomes a node. Keys are told apart by their hashes.
     """
 
-    class Container(dict):
-        pass
-
     def __init__(self, burst: int = BURST, entries: int = ENTRIES):
-        self.root, self.sizes, self.burst, self.entries, self.size = {}, {}, burst, entries, 0
-
-    def add(self, key: bytes, n: int) -> None:
-        node, at, made = self.root, 0, self.Container
-        while True:
-            step = key[at : at + 1]
-            at += 1
-            child = node.get(step)
-            if child is None:
-                child = node[step] = made()
-            if type(child) is made:
-                break
-            node = child
-        rest, before = key[at:], len(child)
-        child[rest] = child.get(rest, 0) + n
-        if len(child) > before:
-            self.size += 1
-            self.sizes[key[:1]] = self.sizes.get(key[:1], 0) + 1
-            if len(child) > self.burst and any(len(r) > 1 for r in child):
-                node[step] = parts = {}
-                for r, m in child.items():
-                    parts.setdefault(r[:1], made())[r[1:]] = m
-
-    def _items(self, node: dict, prefix: bytes) -> Iterator[tuple[bytes, int]]:
-        for step, child in node.items():
-            if type(child) is self.Container:
-                yield from ((prefix + step + rest, n) for rest, n in child.items())
-            else:
-                yield from self._items(child, prefix + step)
-
-    def spill(self, everything: bool = False) -> Iterator[list[tuple[bytes, int]]]:
-        """Sorted runs, each of whole subtrees under the root, the largest first, until half of the entries, or all of them, are gone."""
-        going, gone = {}, 0
-        for step in sorted(self.sizes, key=self.sizes.get, reverse=True):
-            if not everything and self.size <= self.entries // 2:
+        self.root, self.burst, self.entries = {}, burst, entries
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, *rest: np.ndarray) -> None:
+        """``keys`` (n, ids) with their counts, and columns of which the first value of a key is kept."""
+        if len(keys):
+            self._add(self.root, 0, [combined(keys), keys, counts, *rest])
+
+    def _add(self, node: dict, level: int, columns: list[np.ndarray]) -> None:
+        keys = columns[1]
+        step = (keys[:, level // ID] >> np.uint64(56 - 8 * (level % ID))) & np.uint64(255)
+        order = np.argsort(step, kind="stable")
+        firsts = np.flatnonzero(np.append(True, np.diff(step[order]) != 0))
+        for own in np.split(order, firsts[1:]):
+            at = int(step[own[0]])
+            child, part = node.setdefault(at, Container()), [c[own] for c in columns]
+            if isinstance(child, dict):
+                self._add(child, level + 1, part)
+                continue
+            child.add(part)
+            if child.size > self.burst and child.size > 2 * child.settled:
+                entries = child.settle()
+                if child.size > self.burst and level + 1 < ID * keys.shape[1]:
+                    node[at] = {}
+                    self._add(node[at], level + 1, entries)
+
+    def _containers(self, node) -> Iterator[Container]:
+        if isinstance(node, Container):
+            yield node
+        else:
+            for child in node.values():
+                yield from self._containers(child)
+
+    def size(self) -> int:
+        return sum(c.size for c in self._containers(self.root))
+
+    def spill(self, everything: bool = False) -> Iterator[list[np.ndarray]]:
+        """Runs sorted by key (keys, counts, and the rest), each a whole subtree under the root, the largest first, until half of the entries, or all of them, are gone."""
+        sizes = {at: sum(c.size for c in self._containers(child)) for at, child in self.root.items()}
+        left = sum(sizes.values())
+        for at in sorted(sizes, key=sizes.get, reverse=True):
+            if not everything and left <= self.entries // 2:
                 break
-            gone += self.sizes[step]
-            self.size -= self.sizes.pop(step)
-            going[step] = self.root.pop(step)
-            if gone >= RUN:
-                yield sorted(self._items(going, b""))
-                going, gone = {}, 0
-        if going:
-            yield sorted(self._items(going, b""))
+            left -= sizes[at]
+            _, keys, *rest = (np.concatenate(c) for c in zip(*(c.settle() for c in self._containers(self.root.pop(at))), strict=True))
+            order = np.lexsort(keys.T[::-1])
+            yield [c[order] for c in (keys, *rest)]
 
     def full(self) -> bool:
-        return self.size > self.entries
+        """Whether there are more than the entries it may hold, once all that waits is merged."""
+        if self.size() <= self.entries:
+            return False
+        for c in self._containers(self.root):
+            c.settle()
+        return self.size() > self.entries
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that stand one after the other in ``data``, up to ``ends``."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def key_column(keys: np.ndarray) -> pa.Array:
+    return binaries(keys.astype("<u8").view(np.uint8).ravel(), np.arange(1, len(keys) + 1) * ID * keys.shape[1])
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of ``data`` from each of ``starts`` on, one after the other."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Pieces(Words):
@@ -169,26 +208,26 @@ def words_counted(docs: DataFrame) -> DataFrame:
     """(lang, word, key, a) of every word of ``docs`` (lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, held_bytes = HatTrie(), {}, 0
+        trie, spelled, begins, langs_seen = HatTrie(), [], 0, {}  # words as spelled first, one after the other
 
         def runs(everything: bool) -> Iterator[pa.RecordBatch]:
-            for run in trie.spill(everything):
-                langs, words = zip(*(names.pop(key) for key, _ in run), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words, pa.binary()), pa.array([k for k, _ in run], pa.binary()), pa.array([n for _, n in run])], ["lang", "word", "key", "a"])
+            names, data = list(langs_seen), np.concatenate([*spelled, np.zeros(0, np.uint8)])
+            for keys, counts, starts, sizes, lang in trie.spill(everything):
+                words = binaries(gathered(data, starts, sizes), np.cumsum(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(lang)), words, key_column(keys), pa.array(counts)], ["lang", "word", "key", "a"])
 
         for pieces, ids, langs in texts_of(batches):
-            of = np.repeat(np.arange(len(langs)), np.diff(pieces.bounds)[: len(langs)])
+            code = np.array([langs_seen.setdefault(x, len(langs_seen)) for x in langs], np.int64)
             distinct, at, n = np.unique(ids, return_index=True, return_counts=True)
-            raw = distinct.astype("<u8").tobytes()
-            for i, (start, end, doc, m) in enumerate(zip(pieces.starts[at].tolist(), pieces.ends[at].tolist(), of[at].tolist(), n.tolist(), strict=True)):
-                key = raw[ID * i : ID * i + ID]
-                trie.add(key, m)
-                if key not in names:
-                    names[key] = langs[doc], pieces.bytes[start:end].tobytes()
-                    held_bytes += end - start
-            if trie.full() or held_bytes > NAMES:
-                yield from runs(held_bytes > NAMES)
-                held_bytes = sum(len(w) for _, w in names.values())
+            sizes = (pieces.ends - pieces.starts)[at]
+            spelled.append(gathered(pieces.bytes, pieces.starts[at], sizes))
+            trie.add(distinct[:, None], n, begins + np.cumsum(sizes) - sizes, sizes, np.repeat(code, np.diff(pieces.bounds)[: len(langs)])[at])
+            begins += len(spelled[-1])
+            if begins > NAMES:
+                yield from runs(True)
+                spelled, begins = [], 0
+            elif trie.full():
+                yield from runs(False)
         yield from runs(True)
 
     found = docs.mapInArrow(count, "lang string, word binary, key binary, a long")
@@ -200,11 +239,12 @@ def phrases_counted(docs: DataFrame, sizes: tuple[int, ...], known: int, bits: n
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie()
+        tries = {n: HatTrie() for n in sizes}
 
         def runs(everything: bool) -> Iterator[pa.RecordBatch]:
-            for run in trie.spill(everything):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in run], pa.binary()), pa.array([n for _, n in run])], ["key", "a"])
+            for trie in tries.values():
+                for keys, counts in trie.spill(everything):
+                    yield pa.RecordBatch.from_arrays([key_column(keys), pa.array(counts)], ["key", "a"])
 
         for pieces, ids, _ in texts_of(batches):
             within = lambda n: pieces.piece[: len(ids) - n + 1] == pieces.piece[n - 1 :]  # noqa: B023, E731
@@ -213,22 +253,20 @@ def phrases_counted(docs: DataFrame, sizes: tuple[int, ...], known: int, bits: n
             spans = np.lib.stride_tricks.sliding_window_view
             good = within(known)
             good[good] = held(shared.value, combined(spans(ids, known)[good]))
-            for n in sizes:
-                if len(ids) < n:
-                    continue
+            for n in (n for n in sizes if n <= len(ids)):
                 grams = spans(ids, n)[within(n) & spans(good, n - known + 1).all(axis=1)]
                 _, at, counts = np.unique(combined(grams), return_index=True, return_counts=True)
-                raw, wide = grams[at].astype("<u8").tobytes(), ID * n
-                for i, m in enumerate(counts.tolist()):
-                    trie.add(raw[wide * i : wide * i + wide], m)
-                if trie.full():
-                    yield from runs(False)
+                tries[n].add(grams[at], counts)
+            if any(trie.full() for trie in tries.values()):
+                yield from runs(False)
         yield from runs(True)
 
-    # the subtree of all words but the last is merged in one place; a pair has no such word to spare
-    prefix = F.expr(f"substring(key, 1, greatest(length(key) - {ID}, {2 * ID}))")
-    merged = docs.mapInArrow(count, "key binary, a long").withColumn("prefix", prefix).repartition("prefix")
-    return merged.groupBy("prefix", "key").agg(F.sum("a").alias("a")).drop("prefix")
+    # the subtree of all words but the last is merged in one place; a pair has no word to spare
+    found = docs.mapInArrow(count, "key binary, a long")
+    if max(sizes) == 2:
+        return found.groupBy("key").agg(F.sum("a").alias("a"))
+    split = found.select(F.expr(f"substring(key, 1, length(key) - {ID})").alias("head"), F.expr(f"substring(key, length(key) - {ID - 1})").alias("last"), "a")
+    return split.repartition("head").groupBy("head", "last").agg(F.sum("a").alias("a")).select(F.concat("head", "last").alias("key"), "a")
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -176,7 +176,6 @@ def prose(seed=6):
 def test_collocations_equal_brute_force(spark, monkeypatch, burst, entries):
     made = collocations.HatTrie
     monkeypatch.setattr(collocations, "HatTrie", lambda: made(burst, entries))
-    monkeypatch.setattr(collocations, "RUN", 7 if burst == 3 else 20_000)
     monkeypatch.setattr(collocations, "NAMES", 10_000 if burst == 3 else 64_000_000)
     rows = prose()
     frame = spark.createDataFrame(rows, "lang string, text string").withColumns({"key": F.lit(1), "a": F.lit("old"), "word": F.lit("x")}).repartition(4)
@@ -187,20 +186,27 @@ def test_collocations_equal_brute_force(spark, monkeypatch, burst, entries):
 
 
 def test_hat_trie_counts_bursts_and_spills_whole_subtrees():
-    rng = random.Random(1)
-    tree, want, got = collocations.HatTrie(burst=4, entries=50), Counter(), Counter()
-    for _ in range(3000):
-        key = b"".join(rng.randrange(6).to_bytes(8, "little") for _ in range(rng.randint(1, 4)))
-        tree.add(key, 2)
-        want[key] += 2
+    rng = np.random.default_rng(1)
+    tree, want, got, firsts = collocations.HatTrie(burst=4, entries=50), Counter(), Counter(), {}
+    for _ in range(60):
+        keys = rng.integers(0, 5, (40, 2)).astype(np.uint64) << np.uint64(rng.choice([0, 56]))
+        keys = np.unique(keys, axis=0)
+        tree.add(keys, np.full(len(keys), 2), np.arange(len(keys)))
+        for i, k in enumerate(map(tuple, keys.tolist())):
+            want[k] += 2
+            firsts.setdefault(k, i)
         if tree.full():
-            gone = {k[:1] for run in tree.spill() for k, n in run if not got.update({k: n})}
-            assert tree.size <= 25 and not gone & set(tree.root)
-    assert any(isinstance(x, dict) and type(x) is dict for x in tree.root.values())
-    for run in tree.spill(True):
-        assert run == sorted(run)
-        got.update(dict(run))
-    assert got == want and tree.size == 0
+            gone = set()
+            for run, n, first in tree.spill():
+                run = list(map(tuple, run.tolist()))
+                assert run == sorted(run) and [firsts.pop(k) for k in run] == first.tolist()
+                got.update(dict(zip(run, n.tolist(), strict=True)))
+                gone |= {k[0] >> 56 for k in run}
+            assert tree.size() <= 25 and not gone & set(tree.root)
+    assert any(isinstance(x, dict) for x in tree.root.values())
+    for run, n, _ in tree.spill(True):
+        got.update(dict(zip(map(tuple, run.tolist()), n.tolist(), strict=True)))
+    assert got == want and tree.size() == 0
 
 
 def test_filter_never_misses_a_key(spark):
