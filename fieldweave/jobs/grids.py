@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldweave.jobs import diagnostics
 from fieldweave.jobs.base import Query
 from fieldweave.operators import regrid, slabs, tracking, vertical
+from fieldweave.shared import cut
 from fieldweave.sources import adapters
 
 COLUMN = ["model_name", "time", "iy", "ix"]
@@ -127,7 +128,7 @@ def gaussian_perturbation(spark, sf_dir):
 
 
 def smoothed_slabs(spark, sf_dir):
-    return tracking.smoothed(adapters.slabs(spark, sf_dir), SLAB)
+    return slabs.smoothed(adapters.slabs(spark, sf_dir), SLAB)
 
 
 def power_spectrum(spark, sf_dir):
@@ -148,10 +149,28 @@ def mean_similarity(spark, sf_dir):
     return slabs.mean_similarity(slab_pairs(spark, sf_dir), SLAB)
 
 
-def feature_tracks(spark, sf_dir):
+def found_features(spark, sf_dir):
+    """A label's place in order is the frame; parts are series."""
     cells = adapters.slabs(spark, sf_dir).select(F.col("part").alias("series"), F.col("time").alias("frame"), "iy", "ix", "value")
-    found = tracking.features(cells, ["series", "frame"], 0.05)
-    return tracking.track(found, ["series"])
+    return cut(tracking.features(cells, ["series", "frame"], 0.05))
+
+
+def feature_tracks(spark, sf_dir):
+    return tracking.track(found_features(spark, sf_dir), ["series"])
+
+
+def feature_motion(spark, sf_dir):
+    return tracking.motion(found_features(spark, sf_dir), ["series"])
+
+
+def feature_lineage(spark, sf_dir):
+    found = found_features(spark, sf_dir)
+    return tracking.lineage(found, ["series"], cut(tracking.links(found, ["series"])))
+
+
+def feature_fields(spark, sf_dir):
+    found = found_features(spark, sf_dir)
+    return tracking.feature_fields(found, tracking.track(found, ["series"]), ["series"])
 
 
 def age_of_air(spark, sf_dir):
@@ -231,6 +250,34 @@ s AS (SELECT lead AS l0, iy AS y0, ix AS x0, dx, dy, lead, iy::DOUBLE AS y, ix::
     SELECT l0, y0, x0, dx, dy, s.lead - 1 AS lead, round(y - vs[k] * 3600 / dy, 9) AS y, round(x - us[k] * 3600 / dx, 9) AS x, first, coalesce(first, zs[k]) - ws[k] * 3600 AS moved, zs, step + 1 AS step
     FROM s LEFT JOIN w ON w.lead = s.lead AND w.iy = floor(y) AND w.ix = floor(x) WHERE NOT gone AND NOT lost AND s.lead > 0)))
 SELECT l0 AS lead, y0 AS iy, x0 AS ix, CASE WHEN gone THEN step - 1 WHEN NOT lost THEN l0 END::DOUBLE AS age FROM s WHERE gone OR lost OR lead = 0)"""
+FEATURES = """WITH RECURSIVE cells AS MATERIALIZED (SELECT DISTINCT part AS series, time AS frame, iy, ix FROM slabs WHERE value > 0.05),
+beside AS (SELECT a.series, a.frame, a.iy, a.ix, b.iy AS jy, b.ix AS jx FROM cells a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS d(dy, dx) JOIN cells b ON b.series = a.series AND b.frame = a.frame AND b.iy = a.iy + dy AND b.ix = a.ix + dx),
+reach AS (SELECT series, frame, iy, ix, iy AS jy, ix AS jx FROM cells UNION SELECT r.series, r.frame, r.iy, r.ix, b.jy, b.jx FROM reach r JOIN beside b ON b.series = r.series AND b.frame = r.frame AND b.iy = r.jy AND b.ix = r.jx),
+area AS (SELECT series, frame, iy, ix, min(jy * 64 + jx) AS least, count(*) AS size FROM reach GROUP BY ALL),
+found AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY series, frame ORDER BY least) AS feature, iy // 32 AS ty, ix // 32 AS tx FROM area) WHERE size >= 4),
+met AS (SELECT a.series, a.frame, a.ty, a.tx, dy, dx, count(*) AS n FROM found a, range(-8, 9) AS y(dy), range(-8, 9) AS x(dx) JOIN found b ON b.series = a.series AND b.frame = a.frame + 1 AND b.iy = a.iy + dy AND b.ix = a.ix + dx GROUP BY ALL),
+motion AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY series, frame, ty, tx ORDER BY n DESC, dy * dy + dx * dx, dy, dx) = 1),
+main AS (SELECT * FROM (SELECT series, frame, feature, ty, tx, count(*) AS n FROM found GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY series, frame, feature ORDER BY n DESC, ty, tx) = 1),
+past AS (SELECT f.series, f.frame + 1 AS frame, f.feature AS parent, f.size AS theirs, f.iy + coalesce(dy, 0) AS iy, f.ix + coalesce(dx, 0) AS ix FROM found f JOIN main m USING (series, frame, feature) LEFT JOIN motion o ON o.series = m.series AND o.frame = m.frame AND o.ty = m.ty AND o.tx = m.tx),
+edges AS (SELECT f.series, f.frame, f.feature, p.parent, count(*) AS shared FROM found f JOIN past p USING (series, frame, iy, ix) GROUP BY ALL HAVING count(*) >= 0.3::DOUBLE * least(max(f.size), max(p.theirs))),
+follows AS (SELECT *, row_number() OVER (PARTITION BY series, frame, parent ORDER BY shared DESC, feature) = 1 AS continues FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY series, frame, feature ORDER BY shared DESC, parent) = 1)),
+nodes AS (SELECT n.series, n.frame, n.feature, n.cy, n.cx, f.parent, coalesce(f.continues, false) AS continues FROM (SELECT series, frame, feature, avg(iy) AS cy, avg(ix) AS cx FROM found GROUP BY ALL) n LEFT JOIN follows f USING (series, frame, feature)),
+lives AS (SELECT series, frame, feature, frame AS root_frame, feature AS root, 1 AS lifetime FROM nodes WHERE parent IS NULL UNION ALL
+  SELECT n.series, n.frame, n.feature, CASE WHEN n.continues THEN l.root_frame ELSE n.frame END, CASE WHEN n.continues THEN l.root ELSE n.feature END, l.lifetime + 1 FROM lives l JOIN nodes n ON n.series = l.series AND n.frame = l.frame + 1 AND n.parent = l.feature),
+tracks AS (SELECT l.*, l.lifetime = 1 AND NOT EXISTS (FROM found o JOIN lives p USING (series, frame, feature) WHERE p.lifetime > 1 AND o.series = l.series AND o.frame = l.frame AND pow(o.iy - n.cy, 2) + pow(o.ix - n.cx, 2) <= 25) AS initiation FROM lives l JOIN nodes n USING (series, frame, feature))
+"""
+
+
+def features_sql(tail: str) -> str:
+    return f"SELECT * FROM ({FEATURES}{tail})"
+
+
+LINEAGE = features_sql("""SELECT series, frame, feature, unnest([CASE WHEN up = 0 AND frame > first THEN 'initiation' END, CASE WHEN up > 1 THEN 'merge' END, CASE WHEN down > 1 THEN 'split' END,
+  CASE WHEN down > 0 AND NOT heir THEN 'accretion' END, CASE WHEN down = 0 AND frame < last THEN 'dissipation' END]) AS event, unnest([up, up, down, down, down]) AS others FROM (
+  SELECT n.series, n.frame, n.feature, (SELECT count(*) FROM edges e WHERE e.series = n.series AND e.frame = n.frame AND e.feature = n.feature) AS up, (SELECT count(*) FROM edges e WHERE e.series = n.series AND e.frame = n.frame + 1 AND e.parent = n.feature) AS down,
+    EXISTS (FROM follows f WHERE f.continues AND f.series = n.series AND f.frame = n.frame + 1 AND f.parent = n.feature) AS heir, min(n.frame) OVER (PARTITION BY n.series) AS first, max(n.frame) OVER (PARTITION BY n.series) AS last FROM nodes n)""") + " WHERE event IS NOT NULL"
+FIELDS = features_sql("""SELECT f.series, f.frame, f.iy, f.ix, i.feature_id, t.lifetime AS feature_lifetime, t.initiation::INT AS feature_init FROM found f JOIN tracks t USING (series, frame, feature)
+JOIN (SELECT series, root_frame, root, row_number() OVER (PARTITION BY series ORDER BY root_frame, root) AS feature_id FROM tracks GROUP BY series, root_frame, root) i ON i.series = t.series AND i.root_frame = t.root_frame AND i.root = t.root""")
 UNSTABLE = f"""WITH {LEVELS}, s AS (SELECT *, 280 + value / 10 AS t, 1000 - z / 10 AS p, 0.85 + d AS rh FROM lv), e AS (SELECT *, 6.1121 * exp(17.502 * (t - 273.15) / (240.97 + t - 273.15)) AS e FROM s),
 w AS (SELECT *, 0.62197 * e / (p - e) * rh AS w FROM e), h AS (SELECT *, t / pow(p / 1000, 287.05 / 1005) * pow(rh, -w * 461.52 / 1005) * exp(2.501e6 * w / (1005 * t)) AS h FROM w),
 n AS (SELECT *, (lead(h) {NEXT} - h) / (lead(z) {NEXT} - z) AS slope FROM h)
@@ -350,7 +397,10 @@ SELECT model_name, time, point, place, value FROM field JOIN l USING (iy, ix)"""
     Query("power_spectrum", "time:i part:i k:i value:r", power_spectrum, "slabs", SPECTRUM),
     Query("similarity_map", "time:i part:i iy:i ix:i value:r", similarity_map, "slabs", f"WITH {SIMILAR}\nFINAL\nSELECT time, part, iy, ix, value FROM q"),
     Query("mean_similarity", "time:i part:i value:r", mean_similarity, "slabs", f"WITH {SIMILAR}\nFINAL\nSELECT time, part, avg(value) FILTER (inside) AS value FROM q GROUP BY ALL"),
-    Query("feature_tracks", "series:i frame:i feature:i track:s lifetime:i initiation:b", feature_tracks),
+    Query("feature_tracks", "series:i frame:i feature:i track:s lifetime:i initiation:b", feature_tracks, "slabs", features_sql("SELECT *, concat(root_frame, '_', root) AS track FROM tracks")),
+    Query("feature_motion", "series:i frame:i ty:i tx:i dy:i dx:i", feature_motion, "slabs", features_sql("SELECT * FROM motion")),
+    Query("feature_lineage", "series:i frame:i feature:i event:s others:l", feature_lineage, "slabs", LINEAGE),
+    Query("feature_fields", "series:i frame:i iy:i ix:i feature_id:l feature_lifetime:i feature_init:i", feature_fields, "slabs", FIELDS),
     Query("smoothed_slabs", "time:i part:i iy:i ix:i value:r", smoothed_slabs, "slabs", f"WITH {smoothing_sql('slabs', 'v=value', 2.0, 8, CLAMP)}\nFINAL\nSELECT time, part, iy, ix, v AS value FROM m"),
     Query("age_of_air", "lead:i iy:i ix:i age:r", age_of_air, "", AGES),
 ]

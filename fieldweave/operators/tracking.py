@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,16 +12,81 @@ from fieldweave.operators.regrid import haversine
 from fieldweave.shared import cut
 
 
-def features(cells: DataFrame, slab: list[str], threshold: float, under: bool = False, min_size: int = 4) -> DataFrame:
-    """(slab, feature, iy, ix): cells of connected areas above (or under) the threshold with ``min_size`` cells or more."""
+#: Rows and columns of the squares that move together, and cells that one may move in a frame.
+SQUARE, REACH = 32, 8
+
+
+def features(cells: DataFrame, slab: list[str], threshold: float, under: bool = False, min_size: int = 4, tile: int = slabs.TILE) -> DataFrame:
+    """(slab, feature, iy, ix): cells of connected areas above (or under) the threshold with ``min_size`` cells or more.
+
+    Features are numbered in the order of their first cells, small ones counted. Only cells
+    beyond the threshold move; a field of any size is labelled in tiles.
+    """
+    beyond = F.col("value") < threshold if under else (F.col("value") > threshold) & ~F.isnan("value")
+    labelled = slabs.area_labels(cells.where(beyond), slab, tile)
+    areas = labelled.groupBy(*slab, "area").agg(F.count("*").alias("__n"))
+    areas = areas.withColumn("feature", F.row_number().over(Window.partitionBy(*slab).orderBy("area"))).where(F.col("__n") >= min_size)
+    return labelled.join(areas, [*slab, "area"]).select(*slab, "iy", "ix", "feature")
+
+
+def motion(found: DataFrame, series: list[str], reach: int = REACH, square: int = SQUARE) -> DataFrame:
+    """(series, frame, ty, tx, dy, dx): how far each square of a frame's features moves until the next frame.
+
+    The shift, of at most ``reach`` cells each way, at which most of the square's feature
+    cells meet feature cells of the next frame, by cross-correlation (ties: the shortest,
+    then the least dy, dx). Squares are worked on side by side, each with the next frame's
+    cells up to ``reach`` around it. Squares that meet nothing have no row.
+    """
+    at = lambda c, d=0: F.floor((F.col(c) + d) / square).cast("int")
+    spans = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), at(c, -reach)), at(c, reach)))
+    now = found.select(*series, "frame", at("iy").alias("ty"), at("ix").alias("tx"), "iy", "ix", F.lit(False).alias("late"))
+    late = found.select(*series, (F.col("frame") - 1).alias("frame"), spans("iy").alias("ty"), "iy", "ix").select(*series, "frame", "ty", spans("ix").alias("tx"), "iy", "ix", F.lit(True).alias("late"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = slabs.dense(pdf)
-        out = slabs.spread({k: pdf[k].iloc[0] for k in slab}, slabs.connected_areas(values < threshold if under else values > threshold), "feature")
-        out = out[out["feature"] > 0]
-        return out[out.groupby("feature")["feature"].transform("size") >= min_size]
+        first, size = pdf.iloc[0], square + 2 * reach
+        grids = np.zeros((2, size, size))
+        grids[pdf["late"].to_numpy().astype(int), pdf["iy"].to_numpy() - first["ty"] * square + reach, pdf["ix"].to_numpy() - first["tx"] * square + reach] = 1
+        wave = np.fft.rfft2(grids)
+        met = np.rint(np.fft.irfft2(np.conj(wave[0]) * wave[1], (size, size))).astype(int)
+        steps = np.arange(-reach, reach + 1)
+        met = met[np.ix_(steps, steps)].ravel()
+        dy, dx = (g.ravel() for g in np.meshgrid(steps, steps, indexing="ij"))
+        best = np.lexsort((dx, dy, dy * dy + dx * dx, -met))[0]
+        keys = {k: [first[k]] for k in (*series, "frame", "ty", "tx")}
+        return pd.DataFrame({**keys, "dy": [dy[best]], "dx": [dx[best]]}) if met[best] else pd.DataFrame({**{k: [] for k in keys}, "dy": [], "dx": []})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.select(*series, "frame", "ty", "tx").schema) + ", dy int, dx int"
+    return now.unionByName(late).groupBy(*series, "frame", "ty", "tx").applyInPandas(run, schema)
+
+
+def links(found: DataFrame, series: list[str], overlap: float = 0.3, reach: int = REACH, square: int = SQUARE) -> DataFrame:
+    """(series, frame, feature, parent, shared): features of a frame and of the one before that overlap.
+
+    The features of the frame before are first projected onto the time of the frame: each
+    moves by the shift of the square that holds most of its cells (ties: the first one).
+    Overlap counts where the shared cells are at least ``overlap`` of the smaller of both.
+    With ``reach`` 0 features are compared where they stand.
+    """
+    keys = [*series, "frame", "feature"]
+    places = found
+    if reach:
+        square_of = {"ty": F.floor(F.col("iy") / square).cast("int"), "tx": F.floor(F.col("ix") / square).cast("int")}
+        main = found.withColumns(square_of).groupBy(*keys, "ty", "tx").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.min(F.struct(-F.col("n"), "ty", "tx")).alias("m"))
+        shifts = main.select(*keys, "m.ty", "m.tx").join(motion(found, series, reach, square), [*series, "frame", "ty", "tx"]).select(*keys, "dy", "dx")
+        moved = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
+        places = found.join(shifts, keys, "left").select(*keys, moved("iy", "dy"), moved("ix", "dx"))
+    before = places.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), "iy", "ix")
+    shared = found.join(before, [*series, "frame", "iy", "ix"]).groupBy(*series, "frame", "feature", "parent").agg(F.count("*").alias("shared"))
+    sizes = found.groupBy(*keys).agg(F.count("*").alias("size"))
+    theirs = sizes.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), F.col("size").alias("theirs"))
+    met = shared.join(sizes, keys).join(theirs, [*series, "frame", "parent"])
+    return met.where(F.col("shared") >= overlap * F.least("size", "theirs")).select(*keys, "parent", "shared")
+
 
-    return slabs.apply(cells.select(*slab, "iy", "ix", "value"), slab, run, "iy int, ix int, feature int")
+def followed(edges: DataFrame, series: list[str]) -> DataFrame:
+    """``edges`` of each feature to the parent with which it shares most (ties: the least number), and whether it is the one that continues its track."""
+    best = lambda by, other: F.row_number().over(Window.partitionBy(*series, "frame", by).orderBy(F.desc("shared"), other))
+    return edges.withColumn("__a", best("feature", "parent")).where("__a = 1").withColumn("continues", best("parent", "feature") == 1).drop("__a")
 
 
 def earliest(nodes: DataFrame, series: list[str]) -> DataFrame:
@@ -38,46 +104,83 @@ def earliest(nodes: DataFrame, series: list[str]) -> DataFrame:
         state = moved.select(*series, "frame", "feature", F.col("__f").alias("root_frame"), F.col("__r").alias("root"))
 
 
-def track(found: DataFrame, series: list[str], overlap: float = 0.3, retain_lifetime_on_split: bool = True, nbhood: int = 5) -> DataFrame:
+def track(found: DataFrame, series: list[str], overlap: float = 0.3, retain_lifetime_on_split: bool = True, nbhood: int = 5, reach: int = REACH, square: int = SQUARE, edges: DataFrame | None = None) -> DataFrame:
     """(series, frame, feature, track, lifetime, initiation) of ``found`` features (series, frame, feature, iy, ix).
 
-    A feature follows the one of the frame before with which it shares most cells, if
-    they are at least ``overlap`` of the smaller one (ties: the least number). Of several
-    that follow one, the one that shares most continues its track; the others are parts
-    split off, with tracks of their own, whose lifetime goes on from the feature they left,
-    or with ``retain_lifetime_on_split`` false starts at 1. initiation: lifetime 1, and no
+    A feature follows the one of the frame before with which it shares most cells, once
+    that is projected onto its time (``links``; ties: the least number). Of several that
+    follow one, the one that shares most continues its track; the others are parts split
+    off, with tracks of their own, whose lifetime goes on from the feature they left, or
+    with ``retain_lifetime_on_split`` false starts at 1. initiation: lifetime 1, and no
     cell of a feature with a longer one within ``nbhood`` cells of the centre. Frames are
-    matched in parallel.
+    matched in parallel; ``edges`` can be given where they are known.
     """
-    sizes = found.groupBy(*series, "frame", "feature").agg(F.count("*").alias("size"), F.avg("iy").alias("cy"), F.avg("ix").alias("cx"))
-    before = found.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), "iy", "ix")
-    shared = found.join(before, [*series, "frame", "iy", "ix"]).groupBy(*series, "frame", "feature", "parent").agg(F.count("*").alias("shared"))
-    own = sizes.select(*series, "frame", "feature", F.col("size").alias("own"))
-    theirs = sizes.select(*series, (F.col("frame") + 1).alias("frame"), F.col("feature").alias("parent"), F.col("size").alias("theirs"))
-    edges = shared.join(own, [*series, "frame", "feature"]).join(theirs, [*series, "frame", "parent"]).where(F.col("shared") >= overlap * F.least("own", "theirs"))
-    best = lambda by, other: F.row_number().over(Window.partitionBy(*series, "frame", by).orderBy(F.desc("shared"), other))
-    edges = edges.withColumn("a", best("feature", "parent")).where("a = 1").withColumn("b", best("parent", "feature"))
     keys = [*series, "frame", "feature"]
-    follows = cut(sizes.select(*keys, "cy", "cx").join(edges.select(*keys, "parent", "b"), keys, "left"))
-    continued = F.when(F.col("b") == 1, F.col("parent"))
-    tracks = earliest(follows.withColumn("parent", continued), series)
-    lives = earliest(follows, series) if retain_lifetime_on_split else tracks
-    ages = lives.select(*keys, (F.col("frame") - F.col("root_frame") + 1).alias("lifetime"))
+    edges = links(found, series, overlap, reach, square) if edges is None else edges
+    centres = found.groupBy(*keys).agg(F.avg("iy").alias("cy"), F.avg("ix").alias("cx"))
+    follows = cut(centres.join(followed(edges, series).select(*keys, "parent", "continues"), keys, "left"))
+    # Tracks and lives are followed together: the same chain, but for parts split off.
+    alive = F.col("parent") if retain_lifetime_on_split else F.when(F.col("continues"), F.col("parent"))
+    kinds = F.array(F.struct(F.lit(True).alias("life"), alive.alias("parent")), F.struct(F.lit(False).alias("life"), F.when(F.col("continues"), F.col("parent")).alias("parent")))
+    roots = earliest(follows.select(*keys, F.inline(kinds)), [*series, "life"])
+    lives = roots.where("life").select(*keys, (F.col("frame") - F.col("root_frame") + 1).alias("lifetime"))
     name = F.concat_ws("_", F.col("root_frame"), F.col("root"))
-    out = cut(tracks.select(*keys, name.alias("track")).join(ages, keys).join(follows.select(*keys, "cy", "cx"), keys))
+    out = cut(roots.where("NOT life").select(*keys, name.alias("track")).join(lives, keys).join(follows.select(*keys, "cy", "cx"), keys))
     old = found.join(out.where("lifetime > 1").select(*keys), keys).select(*series, "frame", F.col("iy").alias("oy"), F.col("ix").alias("ox"))
     # Cells of a frame in squares as wide as the reach: those near a centre lie in nine of them.
     side = float(max(nbhood, 1))
-    square = lambda c, d=0: (F.floor(c / side) + d).cast("long")
-    around = F.array(*(F.struct(square(F.col("cy"), dy).alias("sy"), square(F.col("cx"), dx).alias("sx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    near_square = lambda c, d=0: (F.floor(c / side) + d).cast("long")
+    around = F.array(*(F.struct(near_square(F.col("cy"), dy).alias("sy"), near_square(F.col("cx"), dx).alias("sx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     fresh = out.where("lifetime = 1").select(*keys, "cy", "cx", F.explode(around).alias("s")).select(*keys, "cy", "cx", "s.sy", "s.sx")
-    squares = old.withColumns({"sy": square(F.col("oy")), "sx": square(F.col("ox"))})
+    squares = old.withColumns({"sy": near_square(F.col("oy")), "sx": near_square(F.col("ox"))})
     far = (F.col("oy") - F.col("cy")) * (F.col("oy") - F.col("cy")) + (F.col("ox") - F.col("cx")) * (F.col("ox") - F.col("cx"))
     spawned = fresh.join(squares, [*series, "frame", "sy", "sx"]).where(far <= nbhood * nbhood).select(*keys).distinct().withColumn("__near", F.lit(True))
     done = out.join(spawned, keys, "left")
     return done.select(*keys, "track", "lifetime", ((F.col("lifetime") == 1) & F.col("__near").isNull()).alias("initiation"))
 
 
+def lineage(found: DataFrame, series: list[str], edges: DataFrame) -> DataFrame:
+    """(series, frame, feature, event, others): what became of features, by the ``edges`` between frames.
+
+    initiation: no feature of the frame before leads to it (the series' first frame has
+    none). merge: several do. split: it leads to several of the next frame. accretion: it
+    leads on, but into tracks of others only. dissipation: it leads to none (the last
+    frame has none). others: how many features stand on the other side. A feature can
+    have several events.
+    """
+    keys = [*series, "frame", "feature"]
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    parents = edges.groupBy(*keys).agg(F.count("*").alias("n_parents"))
+    earlier = [*series, (F.col("frame") - 1).alias("frame"), F.col("parent").alias("feature")]
+    children = edges.select(*earlier).groupBy(*keys).agg(F.count("*").alias("n_children"))
+    heirs = followed(edges, series).where("continues").select(*earlier, F.lit(True).alias("heir"))
+    span = found.groupBy(*series).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    nodes = found.select(*keys).distinct().join(parents, keys, "left").join(children, keys, "left").join(heirs, keys, "left").join(span, series)
+    up, down = zero("n_parents"), zero("n_children")
+    cases = (
+        ("initiation", (up == 0) & (F.col("frame") > F.col("first")), up),
+        ("merge", up > 1, up),
+        ("split", down > 1, down),
+        ("accretion", (down > 0) & F.col("heir").isNull(), down),
+        ("dissipation", (down == 0) & (F.col("frame") < F.col("last")), down),
+    )
+    events = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(name).alias("event"), n.alias("others"))) for name, when, n in cases)))
+    return nodes.select(*keys, F.inline(events))
+
+
+def feature_fields(found: DataFrame, tracks: DataFrame, series: list[str]) -> DataFrame:
+    """(series, frame, iy, ix, feature_id, feature_lifetime, feature_init) at each cell of a feature; other cells have none.
+
+    feature_id numbers a series' tracks from 1 in the order in which they begin, and stays
+    with a feature as long as it is followed.
+    """
+    keys = [*series, "frame", "feature"]
+    begun = tracks.groupBy(*series, "track").agg(F.min(F.struct("frame", "feature")).alias("at"))
+    numbered = begun.select(*series, "track", F.row_number().over(Window.partitionBy(*series).orderBy("at")).alias("feature_id"))
+    named = tracks.join(numbered, [*series, "track"]).select(*keys, "feature_id", F.col("lifetime").alias("feature_lifetime"), F.col("initiation").cast("int").alias("feature_init"))
+    return found.join(named, keys).select(*series, "frame", "iy", "ix", "feature_id", "feature_lifetime", "feature_init")
+
+
 def grid_spacing(places: DataFrame) -> DataFrame:
     """(iy, ix, dx, dy) in metres from ``places`` (iy, ix, lat, lon): to the next cell, at the edge from the one before."""
     along = lambda part, order: Window.partitionBy(part).orderBy(order)
@@ -87,15 +190,6 @@ def grid_spacing(places: DataFrame) -> DataFrame:
     return places.select("iy", "ix", haversine(*here, near("lat", wx), near("lon", wx)).alias("dx"), haversine(*here, near("lat", wy), near("lon", wy)).alias("dy"))
 
 
-def smoothed(cells: DataFrame, slab: list[str], sigma: float = 2.0) -> DataFrame:
-    """(slab, iy, ix, value) smoothed by a Gaussian, edge values repeated: vertical winds, before air is followed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return slabs.spread({k: pdf[k].iloc[0] for k in slab}, slabs.gaussian(slabs.dense(pdf), sigma, edge="nearest"))
-
-    return slabs.apply(cells.select(*slab, "iy", "ix", "value"), slab, run, "iy int, ix int, value double")
-
-
 def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: float, level: int, steps: int | None = None, cyclic: bool = False) -> DataFrame:
     """(lead, iy, ix, age): whole steps, in hours, that air at ``level`` has been in the domain; all hours since lead 0 if it never came in.
 

@@ -287,7 +287,7 @@ def test_tracks_that_split_and_spawn(spark, retain, nbhood):
         labels = slabs.connected_areas(field)
         frames.append({int(f): {(int(y), int(x)) for y, x in zip(*np.nonzero(labels == f))} for f in np.unique(labels[labels > 0])})
     rows = [(0, t, f, y, x) for t, here in enumerate(frames) for f, cells in here.items() for y, x in cells]
-    found = tracking.track(frame(spark, rows, "series int, frame int, feature int, iy int, ix int"), ["series"], 0.3, retain, nbhood).collect()
+    found = tracking.track(frame(spark, rows, "series int, frame int, feature int, iy int, ix int"), ["series"], 0.3, retain, nbhood, reach=0).collect()
     wanted = brute_tracks(frames, 0.3, retain, nbhood)
     assert {(r.frame, r.feature): (r.track, r.lifetime, r.initiation) for r in found} == wanted
     assert any(life > 2 for _, life, _ in wanted.values())
