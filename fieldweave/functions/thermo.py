@@ -113,7 +113,11 @@ def equivalent_potential_temperature(t: Column, rh: Column, p: Column) -> Column
 
 
 def wet_bulb_potential_temperature(t: Column, rh: Column, p: Column) -> Column:
-    theta = equivalent_potential_temperature(t, rh, p)
+    return wet_bulb_of_equivalent(equivalent_potential_temperature(t, rh, p))
+
+
+def wet_bulb_of_equivalent(theta: Column) -> Column:
+    """The wet-bulb potential temperature of an equivalent one; given as a column, it is computed once, not at each of its many places."""
     x = theta / T0
     # Fixed coefficients, of rising powers of x.
     above = (7.101574, -20.68208, 16.11182, 2.574631, -5.205688)

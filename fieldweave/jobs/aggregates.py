@@ -49,6 +49,18 @@ def six_hour_means(spark, sf_dir):
     return collapse.by_time(adapters.observations(spark, sf_dir), ["variable"], "MEAN", "PT6H")
 
 
+def hour_of_day_median(spark, sf_dir):
+    return collapse.by_hour_of_day(event_cases(spark, sf_dir), ["variable"], "MEDIAN")
+
+
+def validity_time_median(spark, sf_dir):
+    return collapse.by_validity_time(adapters.case_field(spark, sf_dir).withColumn("forecast_period", F.col("forecast_period") + 24 * F.col("iy")), ["model_name"], "MEDIAN")
+
+
+def six_hour_percentile(spark, sf_dir):
+    return collapse.by_time(adapters.observations(spark, sf_dir), ["variable"], "PERCENTILE", "PT6H", 90)
+
+
 def cases_per_lead(spark, sf_dir):
     return collapse.cases_per_lead(adapters.case_field(spark, sf_dir))
 
@@ -104,6 +116,10 @@ def rolling_day(spark, sf_dir):
     return collapse.rolling(hourly(spark, sf_dir), ["variable"], "MEAN", 24)
 
 
+def rolling_median(spark, sf_dir):
+    return collapse.rolling(hourly(spark, sf_dir), ["variable"], "MEDIAN", 24)
+
+
 def daily_maximum(spark, sf_dir):
     return diagnostics.daily_extreme(hourly(spark, sf_dir), ["variable"], "MAX")
 
@@ -233,6 +249,28 @@ SELECT * FROM (SELECT model_name, bin, n * (e[bin + 1] + e[bin + 2]) / 2 / sum(n
 FINAL
 SELECT model_name, 2 * CASE WHEN first THEN ax ELSE bx END AS hx, 2 * CASE WHEN first THEN ay ELSE by_ END AS hy, count(*) AS n FROM d GROUP BY ALL""",
     ),
+    Query(
+        "hour_of_day_median",
+        "variable:s hour:i value:r",
+        hour_of_day_median,
+        "obs",
+        "SELECT variable, hour, quantile_cont(value, 0.5) AS value FROM (SELECT variable, date_trunc('day', time) AS d, hour(time) AS hour, quantile_cont(value, 0.5) AS value FROM obs GROUP BY ALL) GROUP BY ALL",
+    ),
+    Query(
+        "validity_time_median",
+        "model_name:s time:t n_cases:l value:r",
+        validity_time_median,
+        "cases",
+        "SELECT model_name, frt + to_hours((lead + 24 * iy)::BIGINT) AS time, count(DISTINCT frt) AS n_cases, quantile_cont(value, 0.5) AS value FROM cases GROUP BY ALL",
+    ),
+    Query(
+        "six_hour_percentile",
+        "variable:s time:t value:r",
+        six_hour_percentile,
+        "obs",
+        "SELECT variable, time_bucket(INTERVAL '6 hours', time, TIMESTAMP '1970-01-01') AS time, quantile_cont(value, 0.9) AS value FROM obs GROUP BY ALL",
+    ),
+    Query("rolling_median", "variable:s time:t value:r", rolling_median, "hourly", f"SELECT * FROM ({ROLL.format('quantile_cont(value, 0.5)', 'hourly')}) WHERE n = 24"),
     Query("rolling_day", "variable:s time:t value:p", rolling_day, "hourly", f"SELECT * FROM ({ROLL.format('avg(value)', 'hourly')}) WHERE n = 24"),
     Query("daily_maximum", "variable:s time:t value:r", daily_maximum, "hourly", f"SELECT * FROM ({ROLL.format('max(value)', 'hourly')}) WHERE n = 24 AND hour(time) = 21"),
     Query(

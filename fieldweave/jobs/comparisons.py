@@ -53,11 +53,11 @@ def overall_scores(spark, sf_dir):
 
 
 def station_scores(spark, sf_dir):
-    """Daily clicks forecast daily views, a station."""
-    daily = adapters.observations(spark, sf_dir).groupBy("station", F.date_trunc("day", "time").alias("day")).agg(
+    """Daily clicks forecast daily views; latitudes, which belong to stations, are preserved."""
+    daily = adapters.observations(spark, sf_dir).groupBy("station", F.date_trunc("day", "time").alias("time")).agg(
         *(F.avg(F.when(F.col("variable") == v, F.col("value"))).alias(n) for v, n in (("click", "forecast"), ("view", "observed")))
     )
-    return scores.scores(daily, ["station"])
+    return scores.scores(daily.withColumn("lat", 50 + F.col("station") * 0.01), ["lat"], {"lat": "station"})
 
 
 def detection_scores(spark, sf_dir):
@@ -99,6 +99,25 @@ def trimmed(spark, sf_dir):
     return masks.trim(field, axes, 1, 2, 1, 1).groupBy("model_name", "iy", "ix").agg(F.avg("value").alias("value"))
 
 
+def placed_axes(spark, sf_dir, low):
+    """Axes 5 degrees apart: of the base from 40 north, of the others, whose poles are turned, from ``low``; and the poles."""
+    field = adapters.field(spark, sf_dir)
+    start = F.when(F.col("model_name") == "A", F.lit(40.0 if low is None else low)).otherwise(-10.0 if low is None else low)
+    rows = [field.select("model_name", F.lit(a).alias("axis"), F.col(f"i{a}").alias("i"), ((start if a == "y" else F.lit(-20.0)) + 5 * F.col(f"i{a}")).alias("c")).distinct() for a in "yx"]
+    poles = spark.sql("SELECT * FROM VALUES ('N', 37.5D, 177.5D), ('R', 45D, 170D) AS t(model_name, pole_lat, pole_lon)")
+    return field, rows[0].union(rows[1]), poles
+
+
+def real_subarea(spark, sf_dir):
+    field, axes, poles = placed_axes(spark, sf_dir, None)
+    return masks.subarea(field, axes, "realworld", (45, 57, -12, 8), poles).groupBy("model_name", "iy", "ix").agg(F.count("*").alias("n"), F.avg("value").alias("value"))
+
+
+def relative_subarea(spark, sf_dir):
+    field, axes, _ = placed_axes(spark, sf_dir, -10.0)
+    return masks.subarea(field, axes, "modelrelative", (-5, 8, 350, 368)).groupBy("model_name", "iy", "ix").agg(F.count("*").alias("n"), F.avg("value").alias("value"))
+
+
 def radar_weights(spark, sf_dir):
     weight = F.when(F.month("time") % 2 == 0, F.col("ix") * 4.0).otherwise((F.col("ix") * 4 + 1) / 32)
     cells = adapters.field(spark, sf_dir).withColumn("weight", weight)
@@ -108,6 +127,15 @@ def radar_weights(spark, sf_dir):
 PAIRED = "p AS (SELECT time, iy, ix, o.model_name, b.value AS o, o.value AS f FROM field o JOIN field b USING (time, iy, ix) WHERE b.is_base AND NOT o.is_base)"
 SCORES = "count(*) AS n, sqrt(avg((f - o) * (f - o))) AS rmse, avg(abs(f - o)) AS mae, avg(f - o) AS additive_bias, covar_pop(f, o) / nullif(stddev_pop(f) * stddev_pop(o), 0) AS pearson"
 SHOWN = "n:l rmse:r mae:r additive_bias:r pearson:r"
+TIMES = "min(time) AS time_start, max(time) AS time_end, make_timestamp((epoch_us(min(time)) + epoch_us(max(time))) // 2) AS time"
+SHOWN_TIMES = f"{SHOWN} time:t time_start:t time_end:t"
+BOXED = """WITH p AS (SELECT * FROM (VALUES ('N', 37.5::DOUBLE, 177.5::DOUBLE), ('R', 45.0::DOUBLE, 170.0::DOUBLE)) AS t(model_name, pole_lat, pole_lon)), c AS (SELECT * FROM (VALUES (0, 45.0::DOUBLE, -12.0::DOUBLE), (1, 57.0::DOUBLE, 8.0::DOUBLE)) AS t(k, lat, lon)),
+t AS (SELECT model_name, k, radians(90 - pole_lat) AS t, radians(lat) AS y, radians(lon - pole_lon) AS x FROM p, c),
+r AS (SELECT model_name, k, degrees(asin(sin(t) * cos(y) * cos(x) + cos(t) * sin(y))) AS lat, degrees(atan2(-cos(y) * sin(x), -(cos(t) * cos(y) * cos(x) - sin(t) * sin(y)))) AS lon FROM t UNION ALL SELECT 'A', k, lat, lon FROM c),
+b AS (SELECT model_name, max(lat) FILTER (k = 0) AS low, max(lat) FILTER (k = 1) AS high, max(lon) FILTER (k = 0) AS west, max(lon) FILTER (k = 1) AS east FROM r GROUP BY ALL)
+FINAL
+SELECT model_name, iy, ix, count(*) AS n, avg(value) AS value FROM field JOIN b USING (model_name)
+WHERE CASE WHEN model_name = 'A' THEN 40 ELSE -10 END + 5 * iy BETWEEN low AND high AND -20 + 5 * ix BETWEEN west AND east GROUP BY ALL"""
 CRPS = """WITH x AS (SELECT model_name, time, iy, ix, first(value ORDER BY realization <> 0, realization) AS y, list(value ORDER BY realization <> 0, realization) AS m FROM member GROUP BY ALL HAVING count(*) >= 3),
 e AS (SELECT x.model_name, time, iy, ix, y, unnest(m[2:]) AS v FROM x),
 d AS (SELECT model_name, time, iy, ix, count(*) AS n, avg(abs(v - y)) AS a FROM e GROUP BY ALL),
@@ -141,14 +169,16 @@ QUERIES = [
     ),
     Query("field_ratio", "time:t iy:i ix:i value:r", field_ratio, "field", f"WITH {PAIRED}\nFINAL\nSELECT time, iy, ix, f / nullif(o, 0) AS value FROM p WHERE model_name = 'N'"),
     Query("model_scores", f"model_name:s time:t {SHOWN}", model_scores, "field", f"WITH {PAIRED}\nFINAL\nSELECT model_name, time, {SCORES} FROM p GROUP BY ALL"),
-    Query("overall_scores", f"model_name:s {SHOWN}", overall_scores, "field", f"WITH {PAIRED}\nFINAL\nSELECT model_name, {SCORES} FROM p GROUP BY ALL"),
+    Query("overall_scores", f"model_name:s {SHOWN_TIMES}", overall_scores, "field", f"WITH {PAIRED}\nFINAL\nSELECT model_name, {SCORES}, {TIMES} FROM p GROUP BY ALL"),
+    Query("real_subarea", "model_name:s iy:i ix:i n:l value:r", real_subarea, "field", BOXED),
+    Query("relative_subarea", "model_name:s iy:i ix:i n:l value:r", relative_subarea, "field", "SELECT model_name, iy, ix, count(*) AS n, avg(value) AS value FROM field WHERE 5 * iy - 10 BETWEEN -5 AND 8 AND 5 * ix - 20 BETWEEN -10 AND 8 GROUP BY ALL"),
     Query(
         "station_scores",
-        f"station:l {SHOWN}",
+        f"station:l lat:r {SHOWN_TIMES}",
         station_scores,
         "obs",
-        f"""SELECT station, {SCORES} FROM (SELECT station, date_trunc('day', time) AS d, avg(value) FILTER (variable = 'click') AS f, avg(value) FILTER (variable = 'view') AS o FROM obs GROUP BY ALL)
-        WHERE f IS NOT NULL AND o IS NOT NULL GROUP BY ALL""",
+        f"""SELECT station, 50 + station * 0.01 AS lat, {SCORES.replace("count(*)", "count(f - o)")}, {TIMES} FROM (SELECT station, time, CASE WHEN o IS NOT NULL THEN f END AS f, CASE WHEN f IS NOT NULL THEN o END AS o FROM
+        (SELECT station, date_trunc('day', time) AS time, avg(value) FILTER (variable = 'click') AS f, avg(value) FILTER (variable = 'view') AS o FROM obs GROUP BY ALL)) GROUP BY ALL HAVING count(f - o) > 0""",
     ),
     Query(
         "detection_scores",

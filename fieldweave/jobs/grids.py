@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.jobs import diagnostics
 from fieldweave.jobs.base import Query
-from fieldweave.operators import regrid, slabs, tracking, vertical
+from fieldweave.operators import align, regrid, slabs, tracking, vertical
 from fieldweave.shared import cut
 from fieldweave.sources import adapters
 
@@ -88,6 +88,15 @@ def single_point(spark, sf_dir):
     return regrid.single_point(adapters.field(spark, sf_dir), own_axes(spark), 17.0, -324.0, KEEP, margin=1)
 
 
+def vector_winds(spark, sf_dir):
+    """Eastward winds on the given grid, northward ones on a coarser grid."""
+    rows = adapters.lines(spark, sf_dir)
+    u = rows.groupBy(*KEEP, "iy", "ix").agg(F.avg(F.col("value") - 24.9).alias("value")).withColumn("units", F.lit("m s-1"))
+    coarse = [(F.col(c) % n).cast("int").alias(c) for c, n in (("iy", 3), ("ix", 4))]
+    v = rows.groupBy(*KEEP, *coarse).agg(F.avg(100 * F.col("l_discount") - 4.7).alias("value")).withColumn("units", F.lit("m s-1"))
+    return align.vector_wind(u, v, own_axes(spark), (axis(spark, 3, 15.0), axis(spark, 4, 20.0)), KEEP)
+
+
 def stations(spark):
     """30 places, some outside the grid."""
     return spark.range(30).select(F.col("id").alias("station"), (F.col("id") * 1.7 - 3).alias("y"), (F.col("id") * 2.9 - 5).alias("x"))
@@ -367,6 +376,20 @@ SELECT model_name, time, ty AS iy, tx AS ix, value FROM field JOIN ay USING (iy)
         """WITH n AS (SELECT *, CASE iy WHEN 1 THEN 0.3 WHEN 2 THEN 0.7 END * CASE ix WHEN 3 THEN 0.4 WHEN 4 THEN 0.6 END AS w FROM field WHERE iy IN (1, 2) AND ix IN (3, 4))
 FINAL
 SELECT model_name, time, CASE WHEN count(*) = 4 THEN sum(w * value) END AS value, false AS near_edge FROM n GROUP BY ALL""",
+    ),
+    Query(
+        "vector_winds",
+        "model_name:s time:t iy:i ix:i variable:s units:s value:r",
+        vector_winds,
+        "ln field",
+        f"""WITH {weights_sql("wy", 5, 10.0, "SELECT range AS i, range * 15.0::DOUBLE AS c FROM range(3)")}, {weights_sql("wx", 8, 10.0, "SELECT range AS i, range * 20.0::DOUBLE AS c FROM range(4)")},
+        need AS (SELECT wy.target AS ty, wx.target AS tx, wy.source AS iy, wx.source AS ix, wy.w * wx.w AS w, count(*) OVER (PARTITION BY wy.target, wx.target) AS n FROM wy, wx),
+        u AS (SELECT model_name, time, ty AS iy, tx AS ix, CASE WHEN count(*) = max(n) THEN sum(w * (value - 24.9)) END AS u FROM field JOIN need USING (iy, ix) GROUP BY ALL),
+        v AS (SELECT l_returnflag AS model_name, date_trunc('month', l_shipdate)::TIMESTAMP AS time, (l_suppkey % 5 % 3)::INT AS iy, (l_partkey % 8 % 4)::INT AS ix, avg(100 * l_discount - 4.7) AS v FROM lineitem GROUP BY ALL),
+        b AS (SELECT * FROM u JOIN v USING (model_name, time, iy, ix))
+FINAL
+SELECT model_name, time, iy, ix, 'wind_speed' AS variable, 'm s-1' AS units, sqrt(u * u + v * v) AS value FROM b UNION ALL
+SELECT model_name, time, iy, ix, 'wind_from_direction', 'degrees', fmod(degrees(atan2(-u, -v)) + 360, 360) FROM b""",
     ),
     Query("station_values", "model_name:s time:t station:l value:p", station_values, "field", f"WITH {AT_STATIONS}\nFINAL\nSELECT * FROM at_"),
     Query(

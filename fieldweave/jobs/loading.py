@@ -176,6 +176,16 @@ def equalised(spark, sf_dir):
     return counted(io.combine(*tables), ["model_name", "stash"], F.avg("value").alias("value"), F.lit(",".join(tables[1].columns)).alias("names"))
 
 
+def equalised_attributes(spark, sf_dir):
+    """Two tables whose rows agree on one attribute in three."""
+    rows = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model_name"), F.col("l_quantity").alias("value"), F.col("l_linenumber").alias("n"))
+    attributes = F.create_map(F.lit("institution"), F.lit("centre"), F.lit("model"), F.col("model_name"), F.when(F.col("n") < 4, "grid").otherwise("domain"), F.lit("a"))
+    rows = rows.withColumn("attributes", attributes)
+    tables = ingest.equalise([rows.where("n < 4"), rows.where("n >= 4").drop("n")])
+    shown = F.concat_ws(",", F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return io.combine(*tables).groupBy("model_name", shown.alias("kept")).agg(F.count("*").alias("n"), F.avg("value").alias("value"))
+
+
 PRESENT = ("thick_fog", "aviation_fog", "frost", "snow", "lightning")
 
 
@@ -387,6 +397,7 @@ SELECT name, count(*) FILTER (keeps) AS n FROM (SELECT unnest([
         "SELECT model_name, frt AS forecast_reference_time, count(*) AS n, count(*) FILTER (model_name = 'A') AS extra, avg(value) AS value FROM cases GROUP BY ALL",
     ),
     Query("equalised", "model_name:s stash:s n:l value:r names:s", equalised, "", f"WITH {LINES}\nFINAL\nSELECT model_name, stash, count(*) AS n, avg(q) AS value, 'model_name,value,stash' AS names FROM l GROUP BY ALL"),
+    Query("equalised_attributes", "model_name:s kept:s n:l value:r", equalised_attributes, "", "SELECT l_returnflag AS model_name, 'institution=centre' AS kept, count(*) AS n, avg(l_quantity) AS value FROM lineitem GROUP BY ALL"),
     Query(
         "more_presence",
         "model_name:s time:t " + " ".join(f"{n}:r" for n in PRESENT),

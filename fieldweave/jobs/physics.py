@@ -12,16 +12,13 @@ from fieldweave.sources import adapters
 
 def _thermo():
     t, p, rh = F.col("t"), F.col("p"), F.col("rh")
-    w = thermo.mixing_ratio_from_rh(t, p, rh)
-    q = thermo.specific_humidity_from_rh(t, p, rh)
+    w, q = F.col("mixing_ratio"), F.col("specific_humidity")
     return {
         "vapour_pressure": thermo.vapour_pressure(t),
         "vapour_pressure_rh": thermo.vapour_pressure_from_rh(t, rh),
         "exner": thermo.exner_pressure(p),
         "saturation_mixing_ratio": thermo.saturation_mixing_ratio(t, p),
         "saturation_specific_humidity": thermo.saturation_specific_humidity(t, p),
-        "mixing_ratio": w,
-        "specific_humidity": q,
         "mixing_ratio_of_q": thermo.mixing_ratio_from_specific_humidity(q),
         "specific_humidity_of_w": thermo.specific_humidity_from_mixing_ratio(w),
         "rh_of_w": thermo.rh_percent_from_mixing_ratio(w, t, p),
@@ -32,7 +29,6 @@ def _thermo():
         "theta": thermo.potential_temperature(t, p),
         "theta_v": thermo.virtual_potential_temperature(t, w, p),
         "theta_e": thermo.equivalent_potential_temperature(t, rh, p),
-        "theta_w": thermo.wet_bulb_potential_temperature(t, rh, p),
         "theta_es": thermo.saturation_equivalent_potential_temperature(t, p),
     }
 
@@ -45,7 +41,10 @@ THERMO = [
 
 def thermodynamics(spark, sf_dir):
     states = adapters.weather(spark, sf_dir).groupBy("t", "p", "rh").count()
-    return states.select("t", "p", "rh", "count", *(c.alias(n) for n, c in _thermo().items()))
+    # What later formulas use many times is a column of its own first.
+    t, p, rh = F.col("t"), F.col("p"), F.col("rh")
+    bound = states.withColumns({"mixing_ratio": thermo.mixing_ratio_from_rh(t, p, rh), "specific_humidity": thermo.specific_humidity_from_rh(t, p, rh)})
+    return bound.withColumns(_thermo()).withColumn("theta_w", thermo.wet_bulb_of_equivalent(F.col("theta_e")))
 
 
 def winds(spark, sf_dir):

@@ -81,6 +81,17 @@ def matched_observations(spark, sf_dir):
     return pairs.groupBy("station").agg(F.count("*").alias("n"), F.avg(F.col("forecast") - F.col("observed")).alias("value"))
 
 
+def nearest_observations(spark, sf_dir):
+    """Hourly views and clicks a cell as forecasts; other events are observed at places, some outside the grid."""
+    obs = adapters.observations(spark, sf_dir)
+    cells = [(F.col("station") % n).cast("int").alias(c) for c, n in (("iy", 5), ("ix", 8))]
+    forecasts = obs.where("variable IN ('view', 'click')").groupBy(F.col("variable").alias("model_name"), F.date_trunc("hour", "time").alias("time"), *cells).agg(F.avg("value").alias("value"))
+    placed = obs.where("variable NOT IN ('view', 'click')").withColumns({"y": (F.col("station") * 7.3) % 45 - 2, "x": (F.col("station") * 3.7) % 80 - 4})
+    axes = tuple(spark.range(n).select(F.col("id").cast("int").alias("i"), (F.col("id") * 10.0).alias("c")) for n in (5, 8))
+    met = observations.match_nearest(forecasts, placed, axes, ["model_name"])
+    return met.groupBy("model_name", "station", "iy", "ix").agg(F.count("*").alias("n"), F.avg(F.col("forecast") - F.col("observed")).alias("value"), F.min("valid").alias("first"))
+
+
 FIRST, LAST = datetime(2024, 1, 1, 12, tzinfo=timezone.utc), datetime(2024, 2, 5, tzinfo=timezone.utc)
 
 
@@ -193,6 +204,18 @@ SELECT model_name, ix, x + 360 * CASE WHEN mid < -175 THEN ceil((-175 - mid) / 3
         """WITH f AS (SELECT station, date_trunc('hour', time) AS time, avg(value) AS value FROM obs WHERE variable = 'view' GROUP BY ALL)
 FINAL
 SELECT f.station, count(*) AS n, avg(f.value - o.value) AS value FROM f JOIN obs o ON o.station = f.station AND o.variable <> 'view' AND o.time BETWEEN f.time - INTERVAL 30 MINUTE AND f.time + INTERVAL 30 MINUTE GROUP BY ALL""",
+    ),
+    Query(
+        "nearest_observations",
+        "model_name:s station:l iy:i ix:i n:l value:r first:t",
+        nearest_observations,
+        "obs",
+        """WITH f AS (SELECT variable AS model_name, date_trunc('hour', time) AS valid, (station % 5)::INT AS iy, (station % 8)::INT AS ix, avg(value) AS forecast FROM obs WHERE variable IN ('view', 'click') GROUP BY ALL),
+        o AS (SELECT *, fmod(station * 7.3::DOUBLE, 45) - 2 AS y, fmod(station * 3.7::DOUBLE, 80) - 4 AS x FROM obs WHERE variable NOT IN ('view', 'click')),
+        p AS (SELECT *, ceil(y / 10 - 0.5)::INT AS iy, ceil(x / 10 - 0.5)::INT AS ix FROM o WHERE y BETWEEN 0 AND 40 AND x BETWEEN 0 AND 70),
+        m AS (SELECT * FROM p JOIN f USING (iy, ix) WHERE f.valid BETWEEN p.time - INTERVAL 30 MINUTE AND p.time + INTERVAL 30 MINUTE QUALIFY row_number() OVER (PARTITION BY model_name, event_id ORDER BY abs(epoch_us(p.time) - epoch_us(f.valid)), f.valid) = 1)
+FINAL
+SELECT model_name, station, iy, ix, count(*) AS n, avg(forecast - value) AS value, min(valid) AS first FROM m GROUP BY ALL""",
     ),
     Query(
         "pseudo_forecasts",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.functions.surface import wind_direction, wind_speed
 from fieldweave.operators.regrid import regrid_onto
+from fieldweave.shared import found_in
 
 #: Variables on staggered grids, always regridded before a difference.
 STAGGERED = (
@@ -21,15 +23,13 @@ STAGGERED = (
 
 
 def common_points(fields: DataFrame, coordinates: list[str]) -> DataFrame:
-    """``fields`` at the points of ``coordinates`` that every model has; an error if there is none.
+    """``fields`` at the points of ``coordinates`` that every model has; an error, when it runs, if there is none.
 
-    One aggregation counts models a point; the points, few beside the cells, are semi-joined.
+    One aggregation counts models a point; the points, few beside the cells, are joined to them.
     """
-    models = fields.select("model_name").distinct().count()
+    models = fields.agg(F.count_distinct("model_name")).scalar()
     points = fields.groupBy(*coordinates).agg(F.count_distinct("model_name").alias("n")).where(F.col("n") == models).select(*coordinates)
-    if points.isEmpty():
-        raise ValueError(f"no common {', '.join(coordinates)}")
-    return fields.join(points, coordinates, "left_semi")
+    return found_in(fields, points, coordinates, f"no common {', '.join(coordinates)}")
 
 
 def paired(fields: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,6 +58,25 @@ def regridded_difference(fields: DataFrame, base_axes: tuple[DataFrame, DataFram
     return difference(base.unionByName(rest, allowMissingColumns=True), ["variable", *keys, "iy", "ix"])
 
 
+def vector_wind(u: DataFrame, v: DataFrame, u_axes: tuple[DataFrame, DataFrame], v_axes: tuple[DataFrame, DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, iy, ix, variable, units, value): wind_speed and wind_from_direction of the fields ``u`` and ``v`` (keys, iy, ix, units, value).
+
+    ``keys`` without iy and ix. On axes (i, c) of other lengths u goes linearly onto the grid
+    of v first. Cells of both fields count; an error, when it runs, where their units differ.
+    """
+    shape = lambda axes: [a.count() for a in axes]
+    if shape(u_axes) != shape(v_axes):
+        u = regrid_onto(u, u_axes, v_axes, [*keys, "units"])
+    both = u.select(*keys, "iy", "ix", F.col("units").alias("__u_units"), F.col("value").alias("u")).join(v.select(*keys, "iy", "ix", "units", F.col("value").alias("v")), [*keys, "iy", "ix"])
+    units = F.when(F.col("__u_units").eqNullSafe(F.col("units")), F.col("units")).otherwise(F.raise_error(F.lit("u and v need the same units")))
+    speed, direction = wind_speed(F.col("u"), F.col("v")), wind_direction(F.col("u"), F.col("v"))
+    kinds = F.array(
+        F.struct(F.lit("wind_speed").alias("variable"), F.col("units").alias("units"), speed.alias("value")),
+        F.struct(F.lit("wind_from_direction").alias("variable"), F.lit("degrees").alias("units"), direction.alias("value")),
+    )
+    return both.withColumn("units", units).select(*keys, "iy", "ix", F.inline(kinds))
+
+
 def pivoted_difference(fields: DataFrame, keys: list[str], other: str) -> DataFrame:
     """(keys, value) for one other model, in a single aggregation without a join."""
     of = lambda c: F.max(F.when(c, F.col("value")))

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldweave.operators.regrid import AxisSearch, rotate_pole
+
 #: Fixed values.
 MESSAGE_TYPES = {"AIREP": "AIRCFT", "Land Surface": "ADPSFC", "Sea Surface": "SFCSHP", "Upper Air Sounding": "ADPUPA"}
 ACCUMULATED = ("PRATE", "TSTM", "APCP", "NCPCP", "ACPCP")
@@ -25,6 +27,31 @@ def match_window(forecasts: DataFrame, observations: DataFrame, keys: list[str],
     return left.join(right, [*keys, "__b"]).where(near).select(*keys, "valid", "obs_time", "forecast", "observed")
 
 
+def match_nearest(forecasts: DataFrame, observations: DataFrame, axes: tuple[DataFrame, DataFrame], keys: list[str], seconds: int = 1800, pole: tuple[float, float] | None = None) -> DataFrame:
+    """Each observation (y, x, time, value, ...) beside the nearest cell of ``forecasts`` (keys, time, iy, ix, value), for each of the ``keys``.
+
+    The nearest point of each axis (i, c), found by search; with ``pole`` (latitude,
+    longitude of the grid's north pole) y and x are true ones. Of the valid times within
+    ``seconds``, ends included, the nearest one counts (ties: the earlier). Observations
+    outside the axes, without time or place, or without a forecast in the window have no
+    row; equal observations count once. One equality join on cell and time bucket: an
+    observation, the smaller side, looks in its own bucket and both neighbours.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
+    y, x = (F.col(c).cast("double") for c in "yx")
+    if pole:
+        y, x = rotate_pole(y, x, *pole)
+    placed = observations.dropDuplicates().withColumns({"iy": AxisSearch(axes[0]).nearest(y), "ix": AxisSearch(axes[1]).nearest(x)})
+    own = [c for c in placed.columns if c not in ("time", "value")]
+    placed = placed.where("iy IS NOT NULL AND ix IS NOT NULL AND time IS NOT NULL").select(*own, F.col("time").alias("obs_time"), F.col("value").alias("observed"))
+    placed = placed.withColumn("__b", F.explode(F.array(*(bucket("obs_time") + d for d in (-1, 0, 1)))))
+    cells = forecasts.select(*keys, "iy", "ix", F.col("time").alias("valid"), F.col("value").alias("forecast"), bucket("time").alias("__b"))
+    gap = F.abs(F.unix_micros("obs_time") - F.unix_micros("valid"))
+    met = cells.join(placed, ["iy", "ix", "__b"]).where(gap <= seconds * 1_000_000)
+    report = [*keys, *own, "obs_time", "observed"]
+    return met.groupBy(*report).agg(F.min_by(F.struct("valid", "forecast"), F.struct(gap, "valid")).alias("__n")).select(*report, "__n.valid", "__n.forecast")
+
+
 def pseudo_forecasts(reanalysis: DataFrame, first: datetime, last: datetime, every_hours: int, length_hours: int) -> DataFrame:
     """``reanalysis`` (variable, time, ...) as forecasts from each cycle start, first and last included.
 

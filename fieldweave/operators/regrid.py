@@ -1,7 +1,7 @@
 """Regridding and interpolation by separable weights, transects and rotated poles.
 
-Axes are small tables (one row a row or column of a grid). A target point's weights on
-a source axis are a few rows; both axes' weights are joined to the cells on (iy, ix),
+Axes are small tables (one row a row or column of a grid), searched as one sorted array.
+A target point's weights on a source axis are a few rows; both axes' weights are joined to the cells on (iy, ix),
 and the weighted cells summed. Cells move once, already cut to those a target needs.
 """
 
@@ -9,38 +9,79 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+AXIS_MOST = 1_000_000
+
 
 def axis(cells: DataFrame, index: str, coordinate: str) -> DataFrame:
     """(index, coordinate): the distinct rows or columns of a grid."""
     return cells.select(index, coordinate).distinct()
 
 
+class AxisSearch:
+    """The sorted points of an axis (i, c), and the search among them; an axis is small beside its cells, and of AXIS_MOST points at most."""
+
+    def __init__(self, axis: DataFrame):
+        rows = axis.where(F.col("c").isNotNull()).select("i", F.col("c").cast("double").alias("c")).limit(AXIS_MOST + 1).toArrow()
+        if rows.num_rows > AXIS_MOST:
+            raise ValueError(f"an axis of over {AXIS_MOST} points")
+        index, places = (rows.column(c).to_numpy() for c in ("i", "c"))
+        order = np.argsort(places, kind="stable")
+        self.index, self.places, self.kind = index[order], places[order], axis.schema["i"].dataType
+        self.shared = axis.sparkSession.sparkContext.broadcast((self.index.astype(np.int64), self.places))
+
+    def around(self, place: Column) -> Column:
+        """The points (i0, c0) and (i1, c1) about ``place``, at the ends the outer two; of a single point both are it; null without a place or a point."""
+        shared = self.shared
+
+        @F.pandas_udf("i0 long, c0 double, i1 long, c1 double")
+        def search(place: pd.Series) -> pd.DataFrame:
+            index, places = shared.value
+            t = place.to_numpy(float)
+            if not len(places):
+                return pd.DataFrame({"i0": [None] * len(t), "c0": None, "i1": None, "c1": None})
+            low = np.clip(np.searchsorted(places, t, side="right") - 1, 0, max(len(places) - 2, 0))
+            high = np.minimum(low + 1, len(places) - 1)
+            return pd.DataFrame({"i0": index[low], "c0": places[low], "i1": index[high], "c1": places[high]})
+
+        return F.when(place.isNotNull() & ~F.isnan(place), search(place))
+
+    def holds(self, place: Column) -> Column:
+        return place.between(float(self.places[0]), float(self.places[-1])) if len(self.places) else F.lit(False)
+
+    def nearest(self, place: Column) -> Column:
+        """The index of the point nearest to ``place``, the lower one halfway; null outside the axis."""
+        near = self.around(place)
+        lower = place - near["c0"] <= near["c1"] - place
+        return F.when(self.holds(place), F.when(lower, near["i0"]).otherwise(near["i1"])).cast(self.kind)
+
+
 def weights(source: DataFrame, target: DataFrame, method: str = "Linear", extrapolate: bool = True) -> DataFrame:
     """(target, source, weight) between two axes, both of (i, c).
 
     Linear: the two neighbours of a target, or beyond the ends the outer two, extended.
     Nearest: the nearer neighbour, the lower one halfway. Without ``extrapolate`` a
-    target outside the axis has no rows. Axes are bracketed by one sort of both together.
+    target outside the axis has no rows, nor has any on an axis of one point. Each target
+    searches the sorted axis; targets do not move.
     """
     if method not in ("Linear", "Nearest"):
         raise ValueError(f"unknown method {method}")
-    order = Window.partitionBy(F.lit(1)).orderBy("c")
-    pairs = source.select(F.col("i").alias("i0"), F.col("c").alias("c0"), F.lead("i").over(order).alias("i1"), F.lead("c").over(order).alias("c1"), F.row_number().over(order).alias("n"))
-    size = F.count("*").over(Window.partitionBy(F.lit(1)))
-    pairs = pairs.withColumn("n_all", size).where("i1 IS NOT NULL")
-    lower = F.lit(float("-inf")) if extrapolate else F.col("c0")
-    upper = F.lit(float("inf")) if extrapolate else F.col("c1")
-    first, last = F.col("n") == 1, F.col("n") == F.col("n_all") - 1
-    on = (F.col("t.c") >= F.when(first, lower).otherwise(F.col("c0"))) & F.when(last, F.col("t.c") <= upper).otherwise(F.col("t.c") < F.col("c1"))
-    met = target.alias("t").join(F.broadcast(pairs), on)
-    part = (F.col("t.c") - F.col("c0")) / (F.col("c1") - F.col("c0"))
+    axis = AxisSearch(source)
+    if len(axis.places) < 2:
+        target = target.limit(0)
+    found = target.select(F.col("i").alias("target"), F.col("c").cast("double").alias("t")).where("t IS NOT NULL")
+    if not extrapolate:
+        found = found.where(axis.holds(F.col("t")))
+    found = found.withColumn("near", axis.around(F.col("t"))).select("target", "t", F.col("near.i0").cast(axis.kind).alias("i0"), "near.c0", F.col("near.i1").cast(axis.kind).alias("i1"), "near.c1")
+    part = (F.col("t") - F.col("c0")) / (F.col("c1") - F.col("c0"))
     if method == "Nearest":
-        return met.select(F.col("t.i").alias("target"), F.when(part <= 0.5, F.col("i0")).otherwise(F.col("i1")).alias("source"), F.lit(1.0).alias("weight"))
+        return found.select("target", F.when(part <= 0.5, F.col("i0")).otherwise(F.col("i1")).alias("source"), F.lit(1.0).alias("weight"))
     both = F.array(F.struct(F.col("i0").alias("source"), (1 - part).alias("weight")), F.struct(F.col("i1").alias("source"), part.alias("weight")))
-    return met.select(F.col("t.i").alias("target"), F.explode(both).alias("w")).select("target", "w.source", "w.weight").where("weight <> 0")
+    return found.select("target", F.explode(both).alias("w")).select("target", "w.source", "w.weight").where("weight <> 0")
 
 
 def regrid(cells: DataFrame, wy: DataFrame, wx: DataFrame, keep: list[str]) -> DataFrame:
@@ -127,9 +168,9 @@ def transect(cells: DataFrame, axes: tuple[DataFrame, DataFrame], start: tuple[f
     return cells.join(spots.withColumn("place", place), ["iy", "ix"]).select(*keep, F.col("i").alias("point"), "place", "value")
 
 
-def rotate_pole(lat: Column, lon: Column, pole_lat: float, pole_lon: float) -> tuple[Column, Column]:
+def rotate_pole(lat: Column, lon: Column, pole_lat: float | Column, pole_lon: float | Column) -> tuple[Column, Column]:
     """Latitude and longitude on a grid whose north pole stands at (pole_lat, pole_lon), in degrees."""
-    tilt = F.radians(F.lit(90.0 - pole_lat))
+    tilt = F.radians(F.lit(90.0) - pole_lat)
     y, x = F.radians(lat), F.radians(lon - pole_lon)
     px, py, pz = F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
     # Turned about the y axis, so that the pole comes to the top, seen from behind it.

@@ -12,23 +12,36 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("forecast IS NOT NULL AND observed IS NOT NULL")
 
 
-def scores(pairs: DataFrame, preserve: list[str]) -> DataFrame:
+def scores(pairs: DataFrame, preserve: list[str], carried: dict[str, str] | None = None) -> DataFrame:
     """(preserve, n, rmse, mae, additive_bias, pearson) of the pairs with both values.
 
-    A constant side has no correlation: null.
+    Where ``pairs`` has a time that is not preserved, also time_start, time_end and time,
+    the middle: of all the group's pairs, of their bounds (time_lower, time_upper) if they
+    have any. ``carried`` says which coordinates belong to which dimension ({"lat":
+    "station"}): preserving one preserves its dimension, and it is shown beside it (the
+    least, should there be several). A constant side has no correlation: null. Groups
+    without a pair have no row.
     """
-    f, o = F.col("forecast"), F.col("observed")
-    return (
-        _pairs(pairs)
-        .groupBy(*preserve)
-        .agg(
-            F.count("*").alias("n"),
-            F.sqrt(F.avg((f - o) * (f - o))).alias("rmse"),
-            F.avg(F.abs(f - o)).alias("mae"),
-            F.avg(f - o).alias("additive_bias"),
-            F.try_divide(F.covar_pop("forecast", "observed"), F.stddev_pop("forecast") * F.stddev_pop("observed")).alias("pearson"),
-        )
+    carried = carried or {}
+    keys = list(dict.fromkeys(carried.get(c, c) for c in preserve))
+    shown = [F.min(c).alias(c) for c in preserve if c not in keys]
+    times = []
+    if "time" in pairs.columns and "time" not in preserve:
+        lower, upper = ("time_lower", "time_upper") if "time_lower" in pairs.columns else ("time", "time")
+        start, end = F.min(lower), F.max(upper)
+        times = [F.timestamp_micros(F.floor((F.unix_micros(start) + F.unix_micros(end)) / 2)).alias("time"), start.alias("time_start"), end.alias("time_end")]
+    both = F.col("forecast").isNotNull() & F.col("observed").isNotNull()
+    f, o = (F.when(both, F.col(c)) for c in ("forecast", "observed"))
+    found = pairs.groupBy(*keys).agg(
+        *shown,
+        F.count_if(both).alias("n"),
+        F.sqrt(F.avg((f - o) * (f - o))).alias("rmse"),
+        F.avg(F.abs(f - o)).alias("mae"),
+        F.avg(f - o).alias("additive_bias"),
+        F.try_divide(F.covar_pop(f, o), F.stddev_pop(f) * F.stddev_pop(o)).alias("pearson"),
+        *times,
     )
+    return found.where("n > 0")
 
 
 def event(value: Column, name: str, threshold: Column | float) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.shared import cut
+from fieldweave.shared import cut, stored
 
 
 #: Rows and columns of a tile.
@@ -233,17 +233,17 @@ def area_labels(cells: DataFrame, slab: list[str], tile: int = TILE) -> DataFram
     for a, b in (("iy", "ix"), ("ix", "iy")):
         over = labelled.where(last(a)).select(*slab, (F.col(a) + 1).alias(a), b, F.col("area").alias("one"))
         edges.append(over.join(labelled.where(F.col(a) % tile == 0), [*slab, "iy", "ix"]).select(*slab, "one", F.col("area").alias("two")))
-    links = cut(edges[0].union(edges[1]).distinct())
+    links = stored(edges[0].union(edges[1]).distinct())
     if links.isEmpty():
         return labelled
-    links = cut(links.union(links.select(*slab, F.col("two").alias("one"), F.col("one").alias("two"))))
+    links = stored(links.union(links.select(*slab, F.col("two").alias("one"), F.col("one").alias("two"))))
     state = links.groupBy(*slab, F.col("one").alias("node")).agg(F.least(F.min("one"), F.min("two")).alias("root"))
     while True:
-        state = cut(state)
+        state = stored(state)
         near = links.join(state.select(*slab, F.col("node").alias("two"), "root"), [*slab, "two"]).groupBy(*slab, F.col("one").alias("node")).agg(F.min("root").alias("near"))
         jump = state.select(*slab, F.col("node").alias("root"), F.col("root").alias("far"))
         moved = state.join(near, [*slab, "node"]).join(jump, [*slab, "root"]).select(*slab, "node", "root", F.least("near", "far").alias("new"))
-        moved = cut(moved)
+        moved = stored(moved)
         if moved.where("new < root").isEmpty():
             break
         state = moved.select(*slab, "node", F.least("root", "new").alias("root"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.operators import slabs
 from fieldweave.operators.regrid import haversine
-from fieldweave.shared import cut
+from fieldweave.shared import cut, fresh_path, stored
 
 
 #: Rows and columns of the squares that move together, and cells that one may move in a frame.
@@ -96,7 +96,7 @@ def earliest(nodes: DataFrame, series: list[str]) -> DataFrame:
     """
     state = nodes.select(*series, "frame", "feature", F.when(F.col("parent").isNull(), F.col("frame")).otherwise(F.col("frame") - 1).alias("root_frame"), F.coalesce("parent", "feature").alias("root"))
     while True:
-        state = cut(state)
+        state = stored(state)
         ahead = state.select(*series, F.col("frame").alias("root_frame"), F.col("feature").alias("root"), F.col("root_frame").alias("__f"), F.col("root").alias("__r"))
         moved = state.join(ahead, [*series, "root_frame", "root"])
         if moved.where("__f <> root_frame").isEmpty():
@@ -190,6 +190,15 @@ def grid_spacing(places: DataFrame) -> DataFrame:
     return places.select("iy", "ix", haversine(*here, near("lat", wx), near("lon", wx)).alias("dx"), haversine(*here, near("lat", wy), near("lon", wy)).alias("dy"))
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> tuple[str, DataFrame]:
+    """A table of ``df`` in the shared folder, in buckets of ``keys``, and its name: joins on them don't move it."""
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    name = f"winds_{path.rsplit('/', 1)[-1]}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return name, spark.table(name)
+
+
 def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: float, level: int, steps: int | None = None, cyclic: bool = False) -> DataFrame:
     """(lead, iy, ix, age): whole steps, in hours, that air at ``level`` has been in the domain; all hours since lead 0 if it never came in.
 
@@ -198,15 +207,15 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
     the seed's own cell counting all the way. Air is followed back one lead a step: it
     moves by minus the wind, and takes the level whose height is nearest to the height of
     its first step plus the present step's own rise. Places are kept to nine digits of a cell,
-    so that air blown forth and back comes to the cell it left. Each step is one join of the seeds
-    still under way with the winds, then a checkpoint; a cyclic domain wraps in x.
+    so that air blown forth and back comes to the cell it left. Winds are written once in
+    buckets of lead and cell; each step moves only the seeds still under way to the buckets, then is cut; a cyclic domain wraps in x.
 
     Every column of a lead from 1 on gives a row. Air is followed until none is under
     way, or for ``steps`` steps. The age is null where air comes to a place without winds
     while it is in the domain, and where it is still under way after ``steps``.
     """
     seconds = hours * 3600
-    winds = cut(winds.select("lead", "iy", "ix", "us", "vs", "ws", "zs"))
+    name, winds = bucketed(winds.select("lead", "iy", "ix", "us", "vs", "ws", "zs"), ["lead", "iy", "ix"])
     seeds = winds.where(F.col("lead") >= 1).select("lead", "iy", "ix").join(spacing, ["iy", "ix"], "left")
     seeds = seeds.select(
         F.col("lead").alias("seed_lead"), F.col("iy").alias("seed_iy"), F.col("ix").alias("seed_ix"), "lead", F.col("iy").cast("double").alias("y"), F.col("ix").cast("double").alias("x"), F.lit(level).alias("k"), F.lit(None).cast("double").alias("first"), "dx", "dy"
@@ -232,6 +241,7 @@ def age_of_air(winds: DataFrame, spacing: DataFrame, ny: int, nx: int, hours: fl
         seeds, step = here.where(~F.col("out") & ~F.col("lost") & (F.col("lead") > 0)).drop("out", "lost"), step + 1
         if seeds.isEmpty():
             break
+    winds.sparkSession.sql(f"DROP TABLE {name}")
     left = seeds.select(*seed, F.lit(None).cast("double").alias("age"))
     done = left if done is None else done.union(left)
     return done.select(F.col("seed_lead").alias("lead"), F.col("seed_iy").alias("iy"), F.col("seed_ix").alias("ix"), "age")

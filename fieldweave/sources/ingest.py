@@ -184,6 +184,18 @@ def coordinates_from_attributes(field: DataFrame) -> DataFrame:
 
 
 def equalise(fields: list[DataFrame]) -> list[DataFrame]:
-    """``fields`` with the columns that all of them have, in the first one's order."""
+    """``fields`` with the columns that all of them have, in the first one's order, and the attributes that do not differ.
+
+    An attribute stays if every row of every field has it with the same value (nulls
+    alike); one aggregation over all map entries tells which, when the result runs.
+    """
     common = reduce(lambda a, b: [c for c in a if c in b], (f.columns for f in fields))
-    return [f.select(*common) for f in fields]
+    fields = [f.select(*common) for f in fields]
+    if "attributes" not in common:
+        return fields
+    maps = reduce(DataFrame.unionByName, (f.select("attributes") for f in fields))
+    entries = maps.select(F.explode("attributes").alias("key", "value")).groupBy("key", "value").agg(F.count("*").alias("n"))
+    rows = maps.agg(F.count("*")).scalar()
+    kept = entries.where(F.col("n") == rows).agg(F.sort_array(F.collect_list("key"))).scalar()
+    alike = lambda f: f.withColumn("__kept", kept).withColumn("attributes", F.map_filter("attributes", lambda k, v: F.array_contains("__kept", k))).drop("__kept")
+    return [alike(f).select(*common) for f in fields]
