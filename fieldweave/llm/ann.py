@@ -25,6 +25,8 @@ CANDIDATES, K = 200, 10
 SAMPLE = 10_000
 #: Vectors in a chunk of codes, queries in a block.
 CHUNK, BLOCK = 8192, 256
+#: Blocks of queries whose best candidates a task keeps across chunks (some 0.6 MB each) before it lets them go.
+BLOCKS_HELD = 64
 #: Parts of the codes at least, and vectors of one; every query goes to every part, codes move once.
 PARTS, PART_ROWS = 32, 500_000
 
@@ -123,21 +125,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int
     chunks = chunks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # of a block of queries: their ids, and the best so far
+
+        def let_go() -> Iterator[pa.RecordBatch]:
+            for asked_ids, near, reps in held.values():
+                columns = [np.repeat(asked_ids, near.shape[1]), reps.ravel(), near.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "rep", "near"])
+            held.clear()
+
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, norms = np.frombuffer(batch.column("ids")[i].as_py(), np.int64), np.frombuffer(batch.column("norms")[i].as_py(), np.float32)
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(len(ids), -1)
-                own = batch.column("asked")[i].values
+                own, number = batch.column("asked")[i].values, batch.column("block")[i].as_py()
                 query = stacked(own.field("v")).astype(np.float32)
-                score = np.repeat(norms[None], len(query), axis=0)
+                near = np.repeat(norms[None], len(query), axis=0)
                 for book, code in zip(books.value, codes.T, strict=True):
-                    score -= 2 * (query @ book.T)[:, code]
-                keep = min(candidates, len(ids))
-                best = np.argpartition(score, keep - 1, axis=1)[:, :keep]
-                columns = [np.repeat(own.field("vec_id").to_numpy(), keep), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "rep", "near"])
-
-    met = chunks.join(block, "part").select("ids", "codes", "norms", "asked")
+                    near -= 2 * (query @ book.T)[:, code]
+                reps = np.broadcast_to(ids, near.shape)
+                if number in held:
+                    near, reps = np.concatenate([held[number][1], near], 1), np.concatenate([held[number][2], reps], 1)
+                keep = min(candidates, near.shape[1])
+                best = np.argpartition(near, keep - 1, axis=1)[:, :keep]
+                held[number] = own.field("vec_id").to_numpy(), np.take_along_axis(near, best, 1), np.take_along_axis(reps, best, 1)
+                if len(held) > BLOCKS_HELD:
+                    yield from let_go()
+        yield from let_go()
+
+    met = chunks.join(block, "part").select("block", "ids", "codes", "norms", "asked")
     found = met.mapInArrow(scored, "query_id long, rep long, near float")
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "rep"))).where(F.col("place") <= candidates)
     exact = found.select("query_id", "rep").join(copies, "rep").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").where("vec_id <> query_id")

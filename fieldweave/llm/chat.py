@@ -142,10 +142,6 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def op8_chat_guarded(spark, sf_dir: str) -> DataFrame:
-    return op8_chat(spark, sf_dir)
-
-
 SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldweave.llm.common import GOLDEN, Words, gram_hashes, mix, slices, stored
 
@@ -590,11 +591,19 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def orderable(field: T.StructField):
+    """A column to order by: itself, or what stands for it as text where its type has no order."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+    if "variant" in kind or kind == "interval":
+        return column.cast("string")
+    return F.to_json(F.struct(column.alias("c"))) if "map<" in kind else column
+
+
 def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, and every row without words.
 
     The row that stays is the one of least doc_id, nulls last, and of these the one of
-    least ROW; of rows equal in both doc_id and text, the first by the other columns. So a
+    least ROW; of rows equal in both doc_id and text, the first by the other columns (maps by their JSON). So a
     component of rows without doc_id keeps one of them, and rows that share a doc_id but
     not a component each stand for their own.
     """
@@ -604,7 +613,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     first = rows.where("node IS NOT NULL").join(labels, "node", "left").groupBy(F.coalesce("component", "node")).agg(least.alias(ROW)).select(ROW, F.lit(False).alias("__all"))
     stay = first.union(rows.where("node IS NULL").select(ROW, F.lit(True)).distinct())
     # Dealt by ROW for the join, the rows need not move again for the window.
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    others = [orderable(f) for f in docs.schema if f.name not in ("doc_id", "text")]
     place = F.row_number().over(Window.partitionBy(ROW, "doc_id", "text").orderBy(*others or [F.lit(0)]))
     return docs.withColumn(ROW, row_key(docs)).join(stay, ROW).withColumn("__place", place).where("__all OR __place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 

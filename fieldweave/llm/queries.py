@@ -13,7 +13,6 @@ _QUERIES = (
     (bpe.op6_byte_bpe, None),
     (langid.op7_language_id, None),
     (chat.op8_chat, chat.SQL),
-    (chat.op8_chat_guarded, chat.SQL),
     (quality_rules.op9_quality_rules, quality_rules.SQL),
     (rlz.op10_substring_dedup, rlz.SQL),
     (topk.op11_exact_topk, topk.SQL),

@@ -34,7 +34,14 @@ def test_guarded_chats_hold_no_raw_control_string(spark, tmp_path):
         assert ("!]" in r.formatted) == (r.conv_id != 4)
         assert r.formatted.count("<s>[") == r.formatted.count("</s>") == 2 and "INST]" not in r.formatted
     turns.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
-    frame = chat.op8_chat_guarded(spark, str(tmp_path))
+    frame = chat.op8_chat(spark, str(tmp_path))
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(tuple, frame.collect())) == sorted(db.sql(f"SELECT {', '.join(frame.columns)} FROM ({chat.SQL})").fetchall())
+
+
+def test_near_duplicates_with_columns_that_have_no_order(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, {"b": 1}, (1, {"x": "y"})), (1, text, {"a": 2}, (2, None)), (2, "other words", None, None)], "doc_id long, text string, tags map<string,int>, extra struct<n:int,m:map<string,string>>")
+    kept = sorted(tuple(r) for r in ngram_join.drop_near_duplicates(docs).select("doc_id", "tags").collect())
+    assert kept == [(1, {"a": 2}), (2, None)]
