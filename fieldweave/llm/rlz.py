@@ -6,12 +6,12 @@ anchor, so equal windows always meet in one block, wherever they stand. A docume
 parsed against every block that its own anchors name:
 
 * a run that equals another run of its block is a factor as a whole;
-* the other runs of a block, one of each, are its reference text. A suffix order over it
-  gives the longest match of each place elsewhere in the block, and each run is factored
-  greedily: a factor is the longest match from where the last one ended, or one word that
-  stands nowhere else. A factor of ``window`` words or more is a duplicate span;
-* at factor boundaries, a window that no factor holds is looked at by its own longest
-  match, which another place of the reference may have.
+* the other runs of a block, one of each, are its reference text, indexed by a suffix
+  order. Each run is factored greedily: a factor is the longest match, elsewhere in the
+  block, from where the last one ended, or one word that stands nowhere else. A factor of
+  ``window`` words or more is a duplicate span;
+* at factor boundaries, a window that no factor holds is looked up in the index, as
+  another place of the reference may have it.
 
 Every word under a span is a duplicate; spans of neighbouring blocks join in the document.
 Blocks of one run are never shipped, unless it holds a window twice. Equal
@@ -156,61 +156,95 @@ def emit_reference(window: int, block_runs: int):
 REFERENCE = "anchor long, part int, row long, start int, hashes binary, places binary"
 
 
-def longest_matches(words: np.ndarray, run: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of ``words``, how many words from there also start at another place of its block, and such a place.
+class Suffixes:
+    """An index of the reference text of blocks: the suffixes of their runs in order, by doubling.
 
-    ``run`` and ``block`` number the runs and blocks, which stand one after another; a match
-    ends where either run does. The suffixes of each block are sorted by doubling; a
-    suffix has its longest match beside it.
+    ``run`` and ``block`` number the runs and blocks of ``words``, which stand one after
+    another; a match ends where either run does. A suffix has its longest match beside it.
     """
-    n = len(words)
-    left = np.repeat(np.append(starts_of(run)[1:], n), np.diff(np.append(starts_of(run), n))) - np.arange(n)
-    tokens = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    ranks = [np.unique(block.astype(np.int64) * (n + 1) + tokens, return_inverse=True)[1].astype(np.int64) + 1]
-    most = int(left.max(initial=1))
-    while 2 ** len(ranks) <= most:
-        step = 2 ** (len(ranks) - 1)
-        later = np.where(left > step, np.append(ranks[-1][step:], np.zeros(min(step, n), np.int64)), 0)
-        ranks.append(np.unique(ranks[-1] * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1)
-    order = np.lexsort((np.where(left > 2 ** (len(ranks) - 1), np.append(ranks[-1], np.zeros(2 ** (len(ranks) - 1), np.int64))[np.arange(n) + 2 ** (len(ranks) - 1)], 0), ranks[-1]))
-    a, b = order[:-1], order[1:]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        for _ in range(2 if k == len(ranks) - 1 else 1):
-            x, y = a + common, b + common
-            fits = np.minimum(left[a], left[b]) >= common + 2**k
-            fits[fits] = ranks[k][x[fits]] == ranks[k][y[fits]]
-            common[fits] += 2**k
-    length, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    length[a], place[a] = common, b
-    better = common > length[b]
-    length[b[better]], place[b[better]] = common[better], a[better]
-    return length, place
-
-
-def greedy_factors(length: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the factors of each run, given each place's longest match; a word that matches nowhere is one of length 1."""
-    first = starts_of(run)
-    at, stop, found = first, np.append(first[1:], len(run)), []
+
+    def __init__(self, words: np.ndarray, run: np.ndarray, block: np.ndarray):
+        n = len(words)
+        self.run, self.block = run, block
+        self.left = np.repeat(np.append(starts_of(run)[1:], n), np.diff(np.append(starts_of(run), n))) - np.arange(n)
+        tokens = np.unique(words, return_inverse=True)[1].astype(np.int64)
+        self.ranks = [np.unique(block.astype(np.int64) * (n + 1) + tokens, return_inverse=True)[1].astype(np.int64) + 1]
+        most = int(self.left.max(initial=1))
+        while 2 ** len(self.ranks) <= most:
+            later = self._later(len(self.ranks) - 1)
+            self.ranks.append(np.unique(self.ranks[-1] * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1)
+        self.order = np.lexsort((self._later(len(self.ranks) - 1), self.ranks[-1]))
+        self.at = np.empty(n, np.int64)
+        self.at[self.order] = np.arange(n)
+
+    def _later(self, level: int) -> np.ndarray:
+        """The rank of what follows 2 ** level words on, 0 beyond a run."""
+        step = 2**level
+        moved = np.append(self.ranks[level], np.zeros(step, np.int64))[step:]
+        return np.where(self.left > step, moved, 0)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words places ``a`` and ``b`` have in common from there on; 0 in different blocks."""
+        out = np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            for _ in range(2 if k == len(self.ranks) - 1 else 1):
+                fits = np.minimum(self.left[a], self.left[b]) >= out + 2**k
+                fits[fits] = self.ranks[k][a[fits] + out[fits]] == self.ranks[k][b[fits] + out[fits]]
+                out[fits] += 2**k
+        return out
+
+    def longest(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The length of the longest match of each of ``places`` at another place of its block, and that place, -1 for none."""
+        length, where = np.zeros(len(places), np.int64), np.full(len(places), -1)
+        for side in (-1, 1):
+            at = self.at[places] + side
+            there = (at >= 0) & (at < len(self.order))
+            beside = self.order[at[there]]
+            found = np.zeros(len(places), np.int64)
+            found[there] = self.common(places[there], beside)
+            better = found > length
+            where[better] = self.order[at[better]]
+            length[better] = found[better]
+        return length, where
+
+
+def greedy_factors(index: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The factors (start, length, place in the reference) of each run, in order.
+
+    A factor is the longest match from where the last one ended; a word that stands
+    nowhere else is one of length 1 without a place, -1. All runs are parsed side by side.
+    """
+    first = starts_of(index.run)
+    at, stop, found = first, np.append(first[1:], len(index.run)), []
     while len(at):
-        own = np.maximum(length[at], 1)
-        found.append((at, own))
-        going = at + own < stop
-        at, stop = (at + own)[going], stop[going]
-    starts, lengths = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), ())))
+        length, where = index.longest(at)
+        length = np.maximum(length, 1)
+        found.append((at, length, where))
+        going = at + length < stop
+        at, stop = (at + length)[going], stop[going]
+    starts, lengths, places = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     order = np.argsort(starts)
-    return starts[order], lengths[order]
+    return starts[order], lengths[order], places[order]
 
 
-def duplicate_windows(length: np.ndarray, run: np.ndarray, window: int) -> np.ndarray:
-    """Which places start a window that also starts elsewhere: those inside factors, and those at the boundaries by their own match."""
-    starts, lengths = greedy_factors(length, run)
-    ends = np.repeat(starts + lengths, lengths)
-    alone = np.repeat(length[starts] == 0, lengths)
-    inside = (np.arange(len(length)) + window <= ends) & ~alone
-    at_boundary = ~inside
-    inside[at_boundary] = length[at_boundary] >= window
-    return inside
+def duplicate_windows(index: Suffixes, window: int) -> np.ndarray:
+    """Which places start a window that also starts elsewhere, from the factors.
+
+    Windows inside a factor stand at its place in the reference too. A window that runs
+    over a factor's end may stand at another place: those of the last places of each
+    factor are looked up in the index.
+    """
+    starts, lengths, places = greedy_factors(index)
+    n = len(index.run)
+    edges = np.zeros(n + 1, np.int64)
+    long = (places >= 0) & (lengths >= window)
+    np.add.at(edges, starts[long], 1)
+    np.add.at(edges, (starts + lengths)[long] - window + 1, -1)
+    good = np.cumsum(edges[:-1]) > 0
+    ends, known = np.repeat(starts + lengths, lengths), np.repeat(places >= 0, lengths)
+    asked = np.flatnonzero(known & ~good & (np.arange(n) + window > ends) & (index.left >= window))
+    good[asked] = index.longest(asked)[0] >= window
+    return good
 
 
 def parse_blocks(window: int):
@@ -227,8 +261,7 @@ def parse_blocks(window: int):
         counts = np.array([len(h) // 8 for h in hashes])
         words, run = np.frombuffer(b"".join(hashes), np.uint64), np.repeat(np.arange(len(counts)), counts)
         block = np.unique(table.column("anchor").to_numpy(), return_inverse=True)[1][run]
-        length = longest_matches(words, run, block)[0]
-        good = np.flatnonzero(duplicate_windows(length, run, window))
+        good = np.flatnonzero(duplicate_windows(Suffixes(words, run, block), window))
         place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(table.column("start").to_numpy().astype(np.int64), counts)
         return spans(np.repeat(table.column("row").to_numpy(), counts)[good], place[good])
 

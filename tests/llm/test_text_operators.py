@@ -357,16 +357,27 @@ def test_factors_are_the_longest_matches():
             return k
 
         wanted = [max((common(i, j) for j in range(len(words)) if i != j and block[i] == block[j]), default=0) for i in range(len(words))]
-        found, place = rlz.longest_matches(words, run, block)
+        index = rlz.Suffixes(words, run, block)
+        found, place = index.longest(np.arange(len(words)))
         assert found.tolist() == wanted
         assert all(not n or (p != i and block[p] == block[i] and common(i, p) == n) for i, (n, p) in enumerate(zip(wanted, place.tolist(), strict=True)))
         at, factors = 0, []
         while at < len(words):
             factors.append((at, max(wanted[at], 1)))
             at += factors[-1][1]
-        assert list(zip(*(c.tolist() for c in rlz.greedy_factors(found, run)), strict=True)) == factors
+        starts, sizes, sources = rlz.greedy_factors(index)
+        assert list(zip(starts.tolist(), sizes.tolist(), strict=True)) == factors
+        assert all((p < 0) == (wanted[s] == 0) and (p < 0 or common(s, p) == n) for s, n, p in zip(starts.tolist(), sizes.tolist(), sources.tolist(), strict=True))
         for window in (1, 3, 6):
-            assert rlz.duplicate_windows(found, run, window).tolist() == [n >= window for n in wanted]
+            assert rlz.duplicate_windows(index, window).tolist() == [n >= window for n in wanted]
+
+
+def test_windows_come_from_factors(monkeypatch):
+    words = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 8], np.uint64)
+    index = rlz.Suffixes(words, np.repeat([0, 1], 6), np.zeros(12, int))
+    assert np.flatnonzero(rlz.duplicate_windows(index, 3)).tolist() == [0, 1, 2, 6, 7, 8]
+    monkeypatch.setattr(rlz, "greedy_factors", lambda index: (np.arange(12), np.ones(12, int), np.full(12, -1)))
+    assert not rlz.duplicate_windows(index, 3).any()
 
 
 def test_quantised_search_finds_neighbours_among_few_candidates(spark):
