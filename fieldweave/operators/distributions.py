@@ -23,15 +23,15 @@ def equal_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 def histogram(field: DataFrame, keep: list[str], bins: int = BINS) -> DataFrame:
     """(keep, bin, lower, upper, n, density) in equal bins between the least and greatest value of all groups; empty bins too."""
-    reach = field.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
-    if reach["lo"] is None:
-        return field.sparkSession.createDataFrame([], field.select(*keep).schema.add("bin", "long").add("lower", "double").add("upper", "double").add("n", "long").add("density", "double"))
-    low, high = (float(reach["lo"]), float(reach["hi"])) if reach["hi"] > reach["lo"] else (reach["lo"] - 0.5, reach["hi"] + 0.5)
-    counts = field.where("value IS NOT NULL").groupBy(*keep, equal_bin(F.col("value"), F.lit(low), F.lit(high), bins).alias("bin")).agg(F.count("*").alias("n"))
-    width = (high - low) / bins
+    reach = field.agg(F.struct(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"))).scalar()
+    wide = F.col("__r.hi") > F.col("__r.lo")
+    low, high = F.when(wide, F.col("__r.lo")).otherwise(F.col("__r.lo") - 0.5), F.when(wide, F.col("__r.hi")).otherwise(F.col("__r.hi") + 0.5)
+    placed = field.where("value IS NOT NULL").select(*keep, "value", reach.alias("__r")).select(*keep, equal_bin(F.col("value"), low, high, bins).alias("bin"))
+    counts = placed.groupBy(*keep, "bin").agg(F.count("*").alias("n"))
     full = counts.select(*keep).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
-    out = full.join(counts, [*keep, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    out = full.join(counts, [*keep, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("__r", reach)
     total = F.sum("n").over(Window.partitionBy(*keep)) if keep else F.sum("n").over(Window.partitionBy())
+    width = (high - low) / bins
     return out.select(*keep, "bin", (low + F.col("bin") * width).alias("lower"), (low + (F.col("bin") + 1) * width).alias("upper"), "n", (F.col("n") / (total * width)).alias("density"))
 
 
@@ -71,12 +71,11 @@ def hexagons(pairs: DataFrame, gridsize: int = 100, keep: list[str] | None = Non
     nearer centre, distances across counted three times as heavy as along. All of ``keep`` share the lattices.
     """
     keep = keep or []
-    reach = pairs.agg(*(f(c).alias(f"{n}_{c}") for c in ("base", "other") for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    if reach["lo_base"] is None:
-        return pairs.select(*keep, F.lit(0).cast("long").alias("hx"), F.lit(0).cast("long").alias("hy"), F.lit(0).cast("long").alias("n")).limit(0)
+    reach = pairs.agg(F.struct(*(f(c).cast("double").alias(f"{n}_{c}") for c in ("base", "other") for n, f in (("lo", F.min), ("hi", F.max))))).scalar()
     rows = int(gridsize / math.sqrt(3))
-    unit = lambda c, n: (F.col(c) - float(reach[f"lo_{c}"])) * (n / ((float(reach[f"hi_{c}"]) - float(reach[f"lo_{c}"])) or 1.0))
-    placed = pairs.select(*keep, unit("base", gridsize).alias("x"), unit("other", rows).alias("y"))
+    ends = lambda c: (F.col(f"__r.lo_{c}"), F.col(f"__r.hi_{c}"))
+    unit = lambda c, n, lo, hi: (F.col(c) - lo) * (n / F.when(hi > lo, hi - lo).otherwise(1.0))
+    placed = pairs.withColumn("__r", reach).select(*keep, unit("base", gridsize, *ends("base")).alias("x"), unit("other", rows, *ends("other")).alias("y"))
     ax, ay, bx, by = F.rint("x"), F.rint("y"), F.floor("x") + 0.5, F.floor("y") + 0.5
     far = lambda cx, cy: (F.col("x") - cx) * (F.col("x") - cx) + 3 * (F.col("y") - cy) * (F.col("y") - cy)
     first = far(ax, ay) < far(bx, by)
