@@ -192,7 +192,12 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """(doc_id, ids, decoded) for each row of ``docs``: encoded, and decoded again from the ids, in one pass."""
+    """(doc_id, ids, decoded) for each row of ``docs`` (doc_id, text, ...): encoded, and decoded again from the ids, in one pass.
+
+    A null or empty text has no ids and decodes to no bytes; a null doc_id stays null.
+    Repeated rows come out as often as they came in, with equal ids. Other columns,
+    whatever their names, are left out. An empty table gives an empty table.
+    """
     codec = shared_codec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,10 @@ Grammar of a formatted conversation:
 
 A deterministic parser reads it back: it cuts at every "</s>", and a piece is a role
 up to its first "]" and a body. Roles, and texts that hold a control string, are always
-escaped, so none stands raw in a formatted conversation. What the parser recovers is
-compared with the source and, where it differs, all texts are escaped. Escaping writes the characters of the grammar, and the backslash, as a
-backslash and a letter, so it is undone exactly.
+escaped, so no text shows one raw. (The template's own brackets round a role may spell
+one: a role named /INST is written [/INST].) What the parser recovers is compared with
+the source and, where it differs, all texts are escaped. Escaping writes the characters
+of the grammar, and the backslash, as a backslash and a letter, so it is undone exactly.
 """
 
 from __future__ import annotations

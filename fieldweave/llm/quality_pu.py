@@ -161,7 +161,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` (doc_id, quality): rows with quality 1 are the trusted positives; no other
     label is used. A score depends on the text alone. A null text counts as an empty
-    one; it is scored but never learned from. Equal texts have equal scores. With fewer
+    one; it is scored but never learned from. Equal texts have equal scores. Rows that share a doc_id are
+    each scored by their own text, and each learned from if the id is picked. With fewer
     than 4 positives or unlabelled rows to learn from, every score is 0.5. Added columns
     replace others of their names; an empty table gives an empty table.
     """
