@@ -35,12 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by weight: a row for each epoch that takes a document."""
+    """The mix of sources by weight: a row for each epoch that takes a document. A null source is one of its own; documents without words are taken once."""
     return _documents(mixing.take(mixing.mix_sources(docs)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of each row of the mix."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of each row of the mix; a null text has no tokens, a null doc_id stays null."""
     coded = bpe.round_trip(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
