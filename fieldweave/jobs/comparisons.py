@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.jobs.aggregates import CELL, pairs
 from fieldweave.jobs.base import Query
-from fieldweave.operators import align, masks, observations, scores
+from fieldweave.operators import align, collapse, masks, observations, scores
 from fieldweave.sources import adapters
 
 THRESHOLDS = [15.0, 20.0, 25.0, 30.0]
@@ -16,6 +16,14 @@ def model_difference(spark, sf_dir):
     return align.difference(adapters.field(spark, sf_dir), CELL)
 
 
+def named_results(spark, sf_dir):
+    """Differences and probabilities under the names that they are known by."""
+    keep = ["variable", "units", "model_name", "time"]
+    field = adapters.field(spark, sf_dir)
+    differences = align.named_difference(field, CELL).groupBy(*keep).agg(F.avg("value").alias("value"))
+    return differences.unionByName(collapse.named_proportion(field, ["model_name", "time"], "gt", 25.0).select(*keep, "value"))
+
+
 def pivoted_difference(spark, sf_dir):
     return align.pivoted_difference(adapters.field(spark, sf_dir), CELL, "R")
 
@@ -145,6 +153,16 @@ FINAL
 
 QUERIES = [
     Query("model_difference", "model_name:s time:t iy:i ix:i value:r", model_difference, "field", f"WITH {PAIRED}\nFINAL\nSELECT model_name, time, iy, ix, f - o AS value FROM p"),
+    Query(
+        "named_results",
+        "variable:s units:s model_name:s time:t value:r",
+        named_results,
+        "field",
+        f"""WITH {PAIRED}
+FINAL
+SELECT 'quantity_difference' AS variable, '1' AS units, model_name, time, avg(f - o) AS value FROM p GROUP BY ALL UNION ALL
+SELECT 'probability_of_quantity_gt_25.0', '1', model_name, time, avg((value > 25)::INT) FROM field GROUP BY ALL""",
+    ),
     Query("pivoted_difference", "time:t iy:i ix:i value:r", pivoted_difference, "field", f"WITH {PAIRED}\nFINAL\nSELECT time, iy, ix, f - o AS value FROM p WHERE model_name = 'R'"),
     Query(
         "common_points",

@@ -46,6 +46,13 @@ def difference(fields: DataFrame, keys: list[str]) -> DataFrame:
     return paired(fields, keys).select(*keys, "model_name", (F.col("other") - F.col("base")).alias("value"))
 
 
+def named_difference(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """(variable, units, keys, model_name, value): other minus base of each variable, under the base's name with ``_difference`` and its units."""
+    base = fields.where("is_base").select("variable", "units", *keys, F.col("value").alias("base"))
+    met = fields.where("NOT is_base").select("variable", *keys, "model_name", "value").join(base, ["variable", *keys])
+    return met.select(F.concat("variable", F.lit("_difference")).alias("variable"), "units", *keys, "model_name", (F.col("value") - F.col("base")).alias("value"))
+
+
 def regridded_difference(fields: DataFrame, base_axes: tuple[DataFrame, DataFrame], other_axes: tuple[DataFrame, DataFrame], keys: list[str], same_grid: bool = False) -> DataFrame:
     """(keys, iy, ix, model_name, value) of fields with a variable: the base goes linearly onto the other grid first.
 

@@ -115,6 +115,13 @@ def proportion(field: DataFrame, keep: list[str], name: str, threshold: float) -
     return field.groupBy(*keep).agg(F.avg(condition(F.col("value"), name, threshold).cast("double")).alias("value"))
 
 
+def named_proportion(field: DataFrame, keep: list[str], name: str, threshold: float) -> DataFrame:
+    """(variable, units, keep, value): ``proportion`` of each variable, named probability_of_(variable)_(condition)_(threshold), of units 1."""
+    found = proportion(field, ["variable", *keep], name, threshold)
+    label = F.concat(F.lit("probability_of_"), F.col("variable"), F.lit(f"_{name}_{threshold}"))
+    return found.select(label.alias("variable"), F.lit("1").alias("units"), *keep, "value")
+
+
 def whole_hours(duration: str) -> int:
     m = re.fullmatch(r"P(?:(\d+)D)?(?:T(\d+)H)?", duration)
     hours = 24 * int(m[1] or 0) + int(m[2] or 0) if m else 0
