@@ -31,9 +31,9 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A phrase goes whose words lie in a longer one that occurs at least this often for each of its own occurrences, in percent.
 COVERED = 80
 #: Entries of a container before it bursts, and of a task's trie before it spills; bytes of words kept with it.
-BURST, ENTRIES, NAMES = 16_384, 1_200_000, 32_000_000
-#: Bytes of text that are cut into words at once.
-AT_ONCE = 2_000_000
+BURST, ENTRIES, NAMES = 16_384, 600_000, 16_000_000
+#: Bytes of text that are cut into words at once, and rows that are looked at for them.
+AT_ONCE, ROWS = 1_500_000, 256
 #: Bits of a filter for each of its members, and at most (64 MB).
 BITS_EACH, BITS_MOST = 16, 2**29
 BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -201,7 +201,8 @@ def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, np.ndarray, list[str]]]:
-    for batch, texts in slices(batches, most=AT_ONCE):
+    few = (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS))
+    for batch, texts in slices(few, most=AT_ONCE):
         pieces, langs = Pieces(texts), batch.column("lang").to_pylist()
         yield pieces, pieces.ids(langs), langs
 
