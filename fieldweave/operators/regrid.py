@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXIS_MOST = 1_000_000
+#: Degrees that rounding may put a longitude of -180 below 180 (0.1 mm).
+SEAM = 1e-9
 
 
 def axis(cells: DataFrame, index: str, coordinate: str) -> DataFrame:
@@ -169,27 +171,29 @@ def transect(cells: DataFrame, axes: tuple[DataFrame, DataFrame], start: tuple[f
 
 
 def rotate_pole(lat: Column, lon: Column, pole_lat: float | Column, pole_lon: float | Column) -> tuple[Column, Column]:
-    """Latitude and longitude on a grid whose north pole stands at (pole_lat, pole_lon), in degrees."""
+    """Latitude and longitude on a grid whose north pole stands at (pole_lat, pole_lon), in degrees; the pole's own meridian is at -180 beyond the pole."""
     tilt = F.radians(F.lit(90.0) - pole_lat)
     y, x = F.radians(lat), F.radians(lon - pole_lon)
     px, py, pz = F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
     # Turned about the y axis, so that the pole comes to the top, seen from behind it.
     rx, rz = F.cos(tilt) * px - F.sin(tilt) * pz, F.sin(tilt) * px + F.cos(tilt) * pz
-    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rz)))), F.degrees(F.atan2(-py, -rx))
+    # Spark's atan2 takes -0 for +0, which would put that meridian at 180.
+    turned = F.when((py == 0) & (rx > 0), F.lit(-180.0)).otherwise(F.degrees(F.atan2(-py, -rx)))
+    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rz)))), turned
 
 
 def unrotate_pole(lat: Column, lon: Column, pole_lat: float, pole_lon: float) -> tuple[Column, Column]:
-    """The inverse of ``rotate_pole``, longitude between -180 and 180."""
+    """The inverse of ``rotate_pole``, longitude from -180 on and below 180; within SEAM below 180 it is -180."""
     tilt = F.radians(F.lit(90.0 - pole_lat))
     y, x = F.radians(lat), F.radians(lon)
     rx, py, rz = -F.cos(y) * F.cos(x), -F.cos(y) * F.sin(x), F.sin(y)
     px, pz = F.cos(tilt) * rx + F.sin(tilt) * rz, -F.sin(tilt) * rx + F.cos(tilt) * rz
-    found = F.degrees(F.atan2(py, px)) + pole_lon
-    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), pz)))), F.pmod(found + 180, F.lit(360.0)) - 180
+    found = F.pmod(F.degrees(F.atan2(py, px)) + pole_lon + 180, F.lit(360.0))
+    return F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), pz)))), F.when(found > 360 - SEAM, F.lit(0.0)).otherwise(found) - 180
 
 
 def haversine(lat0: Column, lon0: Column, lat1: Column, lon1: Column, radius: float = 6_378_000.0) -> Column:
     """Metres between two places along a great circle."""
     dy, dx = F.radians(lat1 - lat0) / 2, F.radians(lon1 - lon0) / 2
-    a = F.sin(dy) * F.sin(dy) + F.cos(F.radians(lat0)) * F.cos(F.radians(lat1)) * F.sin(dx) * F.sin(dx)
+    a = F.sin(dy) * F.sin(dy) + F.cos(F.radians(lat0)) * F.cos(F.radians(lat1)) * (F.sin(dx) * F.sin(dx))
     return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))

@@ -120,3 +120,12 @@ def test_wind_speeds_count_every_line(spark, tmp_path):
     found = QUERIES["wind_speeds"](spark, str(tmp_path)).collect()
     assert len({r.variable for r in found}) == 3
     close([(r.model_name, r.time, r.variable, r.n, r.value) for r in found], oracle("wind_speeds", {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"}))
+
+
+def test_rotated_poles_at_the_seam(spark, tmp_path):
+    """Suppliers on the pole's meridian, at -180 beyond the pole, and on the antimeridian, at -180 too."""
+    rows = [(k, round(-999.99 + 7.31 * (k // 25 * 37 % 1500), 2)) for k in (*range(875, 60_000, 1800), *range(0, 60_000, 1800))]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = QUERIES["rotated_poles"](spark, str(tmp_path)).collect()
+    assert -180 in {r.rlon for r in found} and -180 in {r.back_lon for r in found} and 180 not in {x for r in found for x in (r.rlon, r.back_lon)}
+    close(found, oracle("rotated_poles", {"supplier": f"{tmp_path}/supplier.parquet/*.parquet"}))
