@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXIS_MOST = 1_000_000
+#: Stations of one box of cells that are joined to its fields in one piece.
+STATIONS_AT_ONCE = 1024
 #: Degrees that rounding may put a longitude of -180 below 180 (0.1 mm).
 SEAM = 1e-9
 
@@ -131,19 +133,35 @@ def interpolate_to_stations(cells: DataFrame, axes: tuple[DataFrame, DataFrame],
 
     With ``pole`` (latitude, longitude of the grid's north pole) the stations' y and x are true latitudes and longitudes.
 
-    Four weighted cells a station are joined to the field, so the field is cut to them
-    before anything is grouped.
+    The field is cut to the boxes of four cells that hold stations, a row a box and field,
+    and these are joined to the stations; a result needs no grouping. A box of many
+    stations is dealt out in pieces of about STATIONS_AT_ONCE.
     """
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
     if pole:
-        lat, lon = rotate_pole(F.col("y"), F.col("x"), *pole)
-        stations = stations.select("station", lat.alias("y"), lon.alias("x"))
-    wy = weights(axes[0], stations.select(F.col("station").alias("i"), F.col("y").alias("c")), extrapolate=False)
-    wx = weights(axes[1], stations.select(F.col("station").alias("i"), F.col("x").alias("c")), extrapolate=False)
-    corner = wy.select(F.col("target").alias("station"), F.col("source").alias("iy"), F.col("weight").alias("wy")).join(wx.select(F.col("target").alias("station"), F.col("source").alias("ix"), F.col("weight").alias("wx")), "station")
-    corner = corner.withColumn("need", F.count("*").over(Window.partitionBy("station")))
-    met = cells.join(corner, ["iy", "ix"])
-    total = F.sum(F.col("wy") * F.col("wx") * F.col("value"))
-    return met.groupBy(*keep, "station").agg(F.when(F.count("value") == F.max("need"), total).alias("value"))
+        y, x = rotate_pole(y, x, *pole)
+    sides = [AxisSearch(a) for a in axes]
+    # As a generated row a place is turned once, whatever filters and columns use it.
+    placed = stations.select("station", F.inline(F.array(F.struct(y.alias("y"), x.alias("x"))))).where(sides[0].holds(F.col("y")) & sides[1].holds(F.col("x")) & F.col("station").isNotNull())
+    if min(len(side.places) for side in sides) < 2:
+        placed = placed.limit(0)
+    for side, c in zip(sides, "yx", strict=True):
+        placed = placed.withColumn("near", side.around(F.col(c)))
+        part = (F.col(c) - F.col("near.c0")) / (F.col("near.c1") - F.col("near.c0"))
+        placed = placed.select("*", *(F.col(f"near.i{k}").cast(side.kind).alias(f"i{c}{k}") for k in (0, 1)), (1 - part).alias(f"w{c}0"), part.alias(f"w{c}1")).drop("near")
+    box, corners = ["iy0", "ix0"], [(j, k) for j in (0, 1) for k in (0, 1)]
+    boxes = placed.groupBy(*box, "iy1", "ix1").agg(F.ceil(F.count("*") / STATIONS_AT_ONCE).cast("int").alias("pieces"))
+    spots = F.explode(F.array(*(F.struct(F.col(f"iy{j}").alias("iy"), F.col(f"ix{k}").alias("ix"), F.lit(f"{j}{k}").alias("corner")) for j, k in corners)))
+    met = cells.join(boxes.select(*box, "pieces", spots.alias("s")).select(*box, "pieces", "s.*"), ["iy", "ix"])
+    there = lambda j, k: F.when(F.col("corner") == f"{j}{k}", F.struct(F.col("value").cast("double").alias("value")))
+    fields = met.groupBy(*keep, *box, "pieces").agg(*(F.max(there(j, k)).alias(f"v{j}{k}") for j, k in corners))
+    fields = fields.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    dealt = placed.join(boxes.select(*box, "pieces"), box).withColumn("piece", F.pmod(F.xxhash64("station"), F.col("pieces")).cast("int"))
+    both = fields.join(dealt.drop("y", "x", "iy1", "ix1", "pieces"), [*box, "piece"])
+    weight = {(j, k): F.col(f"wy{j}") * F.col(f"wx{k}") for j, k in corners}
+    needed = [(weight[c] != 0) & F.col("v{}{}".format(*c)).isNotNull() for c in corners]
+    total = sum(F.when(weight[c] == 0, 0.0).otherwise(weight[c] * F.col("v{}{}.value".format(*c))) for c in corners)
+    return both.where(needed[0] | needed[1] | needed[2] | needed[3]).select(*keep, "station", total.alias("value"))
 
 
 def transect(cells: DataFrame, axes: tuple[DataFrame, DataFrame], start: tuple[float, float], end: tuple[float, float], points: int | None, keep: list[str]) -> DataFrame:

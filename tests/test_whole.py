@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from fieldweave.jobs.queries import QUERIES
-from fieldweave.operators import tracking
+from fieldweave.operators import regrid, tracking
 
 LABELS = {0: 45, 1: 85, 2: 81}
 
@@ -129,3 +129,26 @@ def test_rotated_poles_at_the_seam(spark, tmp_path):
     found = QUERIES["rotated_poles"](spark, str(tmp_path)).collect()
     assert -180 in {r.rlon for r in found} and -180 in {r.back_lon for r in found} and 180 not in {x for r in found for x in (r.rlon, r.back_lon)}
     close(found, oracle("rotated_poles", {"supplier": f"{tmp_path}/supplier.parquet/*.parquet"}))
+
+
+def test_many_stations_of_one_box(spark):
+    """Over 1,024 stations in one box, beside missing and null cells; no row of a station and field is grouped again."""
+    rng, cells = np.random.default_rng(3), {(t, y, x): float(10 * t + 3 * y + x * x) for t in range(3) for y in range(3) for x in range(3)}
+    del cells[1, 0, 0]
+    cells[2, 1, 1] = None
+    places = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0.01, 0.99, (3000, 2)))] + [(3000, 1.0, 1.0), (3001, 2.0, 1.5), (3002, 0.0, 0.0), (3003, 2.1, 1.0), (3004, None, 1.0)]
+    axis = spark.createDataFrame([(i, float(i)) for i in range(3)], "i int, c double")
+    field = spark.createDataFrame([(*k, v) for k, v in cells.items()], "t int, iy int, ix int, value double")
+    found = regrid.interpolate_to_stations(field, (axis, axis), spark.createDataFrame(places, "station long, y double, x double"), ["t"])
+    wanted = {}
+    for t in range(3):
+        for i, y, x in (p for p in places if p[1] is not None and p[1] <= 2):
+            near = {(j, k): (1 - abs(y - j)) * (1 - abs(x - k)) for j in range(3) for k in range(3) if abs(y - j) < 1 and abs(x - k) < 1}
+            if any((t, *c) in cells for c in near):
+                values = [cells.get((t, *c)) for c in near]
+                wanted[t, i] = None if None in values else sum(w * v for w, v in zip(near.values(), values, strict=True))
+    rows = {(r.t, r.station): r.value for r in found.collect()}
+    assert rows.keys() == wanted.keys() and found.count() == len(rows) and None in rows.values()
+    assert all(rows[k] == (None if v is None else pytest.approx(v, abs=1e-9)) for k, v in wanted.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate [" in line and "station#" in line.split("Aggregate [")[1].split("]")[0]]
