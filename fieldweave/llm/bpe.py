@@ -20,11 +20,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import with_columns
+from fieldweave.llm.common import slices, with_columns
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pieces whose ids a worker remembers; past it the memory starts empty again.
-REMEMBERED = 800_000
+#: Pieces whose ids a worker remembers; past it the memory starts empty again. Idle workers keep it while other stages run.
+REMEMBERED = 200_000
+#: Bytes of text that are cut into pieces at once; a longer text by itself.
+AT_ONCE = 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -202,14 +204,13 @@ def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in batches:
+        for part, texts in slices(batches, most=AT_ONCE):
             own = own or codec()
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum([0, *(len(i) for i in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array([own.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = own.encode([(t or b"").decode() for t in texts])
+            ends = np.cumsum([0, *(len(i) for i in ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array([own.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()  # else an idle worker keeps it
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 

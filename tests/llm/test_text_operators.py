@@ -219,6 +219,17 @@ def test_byte_bpe_as_the_ranks_say(docs, empty):
     assert bpe.round_trip(empty).count() == 0
 
 
+def test_byte_bpe_remembers_a_bounded_number_of_pieces():
+    """Idle workers keep what they remember, so many different words must not fill them."""
+    ranks = bpe.read_ranks(bpe.RANKS)
+    codec, most = bpe.Codec(ranks, bpe.merges_of(ranks)), 0
+    for k in range(8):
+        text = " ".join(f"w{k}x{i}" for i in range(40_000))
+        assert codec.decode(codec.encode([text])[0]).decode() == text
+        most = max(most, len(codec.known))
+    assert most <= 250_000
+
+
 def test_byte_bpe_on_odd_texts():
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
