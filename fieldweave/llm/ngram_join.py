@@ -4,7 +4,10 @@ A document is its set of word n-grams. Under any one order of all n-grams, two s
 with a Jaccard similarity of at least t share an n-gram among the first
 |x| - ceil(t |x|) + 1 of each. So they do under every order, and a pair must pass the
 prefix filter of ORDERS orders before its sets are compared. Each order puts n-grams of
-many documents last, rarest of them first, and sorts the rest by a hash of its own.
+many documents last, rarest of them first. The rest the first order sorts by the length
+of their words, longest first, as those meet by chance least often: two texts share many
+n-grams of short, frequent words, and the more the larger the table is. The other orders
+sort the rest by hashes of their own.
 
 Equal sets are one node from the start, so copies cost nothing. Nodes that share a prefix
 n-gram of the first order meet in one of two ways, neither of which pairs out a group:
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldweave.llm.collocations import BITS_EACH, BITS_MOST, held
 from fieldweave.llm.common import GOLDEN, Words, gram_hashes, mix, slices, stored
 
 N, PERCENT = 5, 80
@@ -47,6 +51,8 @@ BLOCK_BYTES, HUBS = 16_000_000, 8
 PART_ROWS = 100_000
 #: Kinds of rows where nodes meet: edges between places, members at their own band's place, members at the next one's, and pairs of band k as PAIR + k.
 CHAIN, MEMBER, GUEST, PAIR = range(4)
+#: Classes of an n-gram's length, the topmost bits of its hash, longest first: half bytes of mean length of its words, from 3 bytes on.
+CLASS_BITS, SHORTEST = 4, 6
 #: A hash of a row's doc_id and text, where rows and not doc_ids are told apart.
 ROW = "__row"
 
@@ -55,10 +61,22 @@ def prefix_size(size: int, percent: int) -> int:
     return size + (-percent * size) // 100 + 1
 
 
+def length_classes(words: Words, n: int) -> np.ndarray:
+    """0 for n-grams of the longest words, more for shorter ones, by the mean length."""
+    ends = np.cumsum(np.append(0, words.ends - words.starts))
+    most = (1 << CLASS_BITS) - 1
+    return most - np.clip(2 * (ends[n:] - ends[:-n]) // n - SHORTEST, 0, most)
+
+
 def gram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
-    """The set of n-gram hashes of each text; of the whole sequence if it is shorter. Sorted."""
+    """The set of n-gram hashes of each text; of the whole sequence if it is shorter. Sorted.
+
+    The topmost bits of an n-gram's hash are its length class, so long n-grams come first.
+    """
     words = Words(texts, lower=True)
-    grams = words.grams(n)
+    grams = words.grams(n) >> np.uint64(CLASS_BITS)
+    if len(grams):
+        grams |= length_classes(words, n).astype(np.uint64) << np.uint64(64 - CLASS_BITS)
     out = []
     for i in range(len(texts)):
         start, stop = words.bounds[i], words.bounds[i + 1]
@@ -69,7 +87,7 @@ def gram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
 
 
 class Orders:
-    """The global orders: by number of documents for common n-grams, which stand last, then by hash."""
+    """The global orders: by number of documents for common n-grams, which stand last; then by the n-gram itself, length class first, or by a hash of it."""
 
     def __init__(self, common: np.ndarray, docs: np.ndarray):
         at = np.argsort(common)
@@ -85,7 +103,7 @@ class Orders:
         """Where in ``grams`` its prefix under ``order`` stands. ``counts`` if they are known."""
         counts = self.counts(grams) if counts is None else counts
         keep = prefix_size(len(grams), percent)
-        own = mix(grams + np.uint64((order * 0xA24BAED4963EE407) % (1 << 64)))
+        own = mix(grams + np.uint64((order * 0xA24BAED4963EE407) % (1 << 64))) if order else grams
         rare = np.flatnonzero(counts == 0)
         if len(rare) >= keep:  # the common case: no sorting of all
             return rare[np.argpartition(own[rare], keep - 1)[:keep]] if len(rare) > keep else rare
@@ -126,7 +144,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def common_grams(docs: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams in the hash prefixes of more than GROUP documents, with those numbers, which make the orders.
+    """n-grams in the first order's prefixes of more than GROUP documents, with those numbers, which make the orders.
 
     Put last, they leave the prefixes of all documents that have enough rarer n-grams.
     Any order gives the same links, so that only the COMMON_MOST most frequent are told
@@ -342,13 +360,29 @@ def meetings(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
     return stored(dealt.mapInArrow(meet(percent), "a long, b long, kind int").distinct())
 
 
+def among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ROW is in ``wanted``, and few others: told by a filter of BITS_MOST bits at most, so that not all texts are shuffled."""
+    bits = min(BITS_MOST, max(2**16, 2 ** (wanted.count() * BITS_EACH - 1).bit_length()))
+    spots = F.explode(F.array(*(part.bitwiseAND(F.lit(bits - 1)) for part in (F.col(ROW), F.shiftrightunsigned(ROW, 35))))).alias("at")
+    words = wanted.select(spots).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("mask")).toArrow()
+    made = np.zeros(bits // 64, np.int64)
+    made[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(made.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(shared.value, batch.column(ROW).to_numpy().view(np.uint64))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted`` (node, ...) with the node's n-gram hashes, grams.
 
     A node's text is that of one row, found by its ROW; only those texts are hashed again.
     Rows equal in doc_id and text may bring a node more than once.
     """
-    own = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(ROW).alias("__r")).join(wanted, "node")
+    own = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(ROW).alias(ROW)).join(wanted, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -356,7 +390,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int) -> Data
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), grams], [*kept, "grams"])
 
-    texts = docs.join(own, F.col(ROW) == F.col("__r")).select(*wanted.columns, "text")
+    texts = among(docs.select(ROW, "text"), own.select(ROW).distinct()).join(own, ROW).select(*wanted.columns, "text")
     return texts.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in wanted.dtypes) + ", grams binary")
 
 

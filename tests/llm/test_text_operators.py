@@ -195,6 +195,24 @@ def test_near_duplicates_leave_one_of_each_group(docs):
     assert {r.doc_id for r in ngram_join.drop_near_duplicates(docs).collect()} == wanted
 
 
+def test_texts_do_not_meet_by_their_short_words(spark):
+    rng = np.random.default_rng(4)
+    short = [" ".join(rng.choice(["of", "to", "the", "and"], 150)) for _ in range(24)]
+    texts = [t + " " + " ".join(f"extraordinary{i}x{j}" for j in range(40)) for i, t in enumerate(short)]
+    docs = ngram_join.texts_of(spark.createDataFrame([*enumerate(texts), (24, texts[7] + " again")], "doc_id long, text string"))
+    orders = spark.sparkContext.broadcast(ngram_join.common_grams(docs, 4, 85))
+    met = ngram_join.meetings(docs, orders, 4, 85).where(F.col("kind") >= ngram_join.PAIR)
+    assert met.select("a", "b").distinct().count() == 1
+
+
+def test_only_texts_asked_for_are_read_again(spark):
+    docs = ngram_join.texts_of(spark.createDataFrame([(i, f"text {i}") for i in range(5000)], "doc_id long, text string"))
+    wanted = docs.where("doc_id % 50 = 7").select(ngram_join.ROW)
+    found = {r.doc_id for r in ngram_join.among(docs, wanted).collect()}
+    assert set(range(7, 5000, 50)) <= found and len(found) < 200
+    assert ngram_join.among(docs, wanted.limit(0)).count() == 0
+
+
 def test_any_order_has_the_prefix_of_similar_sets():
     rng = np.random.default_rng(2)
     by = ngram_join.Orders(np.arange(20, dtype=np.uint64), np.arange(20, 0, -1))
